@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,18 @@ def by_chars(texts: list[str], limit: int):
         yield start, len(texts)
 
 
+def text_slices(batch: pa.RecordBatch, column: int, limit: int):
+    """Parts of an Arrow batch with about `limit` bytes of text each (one row at least): (the part, its texts, '' for null). Only one part's texts are Python strings at a time."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sums, start = np.cumsum(size, dtype=np.int64), 0
+    while start < batch.num_rows:
+        before = int(sums[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(sums, before + limit, side="right")))
+        part = batch.slice(start, stop - start)
+        yield part, [t or "" for t in part.column(column).to_pylist()]
+        start = stop
+
+
 def ragged_take(starts: np.ndarray, lens: np.ndarray, values: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenates values[starts[i]:starts[i]+lens[i]] for i in idx; also returns the lengths taken."""
     took = lens[idx]

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, mixing, token_counts, topk
+from . import bpe, language_id, line_dedup, mixing, secrets, token_counts, topk
 from .common import read_table
 
 #: Where the public tokenizers lie; a parameter of every query that needs one.
@@ -50,6 +50,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All secrets of every whole document: those of the fixed patterns, and the spans that the random field adds."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secrets.scan(docs, secrets.train(docs))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
+    n = lambda kind: F.size(F.filter("found", lambda x: x.kind == kind)).cast("long")
+    return out.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(joined(F.filter("found", lambda x: x.kind != "crf")).cast("binary"), 256).alias("base_sha256"), joined("found").alias("spans"), n("crf").alias("n_crf"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the mixture takes, and in how many epochs."""
     docs = read_table(spark, sf_dir, "documents")
@@ -132,6 +141,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_secret_scan": op5_secret_scan,
     "op6_source_mixing": op6_source_mixing,
     "op7_language_id": op7_language_id,
     "op8_topk_search": op8_topk_search,
