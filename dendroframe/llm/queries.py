@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, mixing, secrets, token_counts, topk
+from . import bpe, language_id, line_dedup, mixing, secrets, suffix_dedup, token_counts, topk
 from .common import read_table
 
 #: Where the public tokenizers lie; a parameter of every query that needs one.
@@ -44,6 +44,12 @@ FROM p LEFT JOIN g ON p.page_id = g.page_id
 """
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document without the 400-byte strings that start anywhere else too."""
+    out = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), 400)
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact histogram of token lengths over all documents, with suffix sums."""
     docs = read_table(spark, sf_dir, "documents")
@@ -140,6 +146,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_secret_scan": op5_secret_scan,
     "op6_source_mixing": op6_source_mixing,

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_slices
 
@@ -337,7 +338,7 @@ def scan(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """The rows without their text, with found: an array of (kind, start, end), by start and kind."""
     kept = [c for c in df.columns if c not in (text_col, "found")]
     held = df.sparkSession.sparkContext.broadcast((field.weights, field.moves))
-    schema = df.select(*(df[f"`{c}`"] for c in kept)).schema.add("found", "array<struct<kind:string,start:long,end:long>>")
+    schema = df.select(*(df[f"`{c}`"] for c in kept)).schema.add("found", T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long")))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
