@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, mixing, secrets, suffix_dedup, token_counts, topk
+from . import bpe, language_id, line_dedup, mixing, ngram_join, secrets, suffix_dedup, token_counts, topk
 from .common import read_table
 
 #: Where the public tokenizers lie; a parameter of every query that needs one.
@@ -144,6 +144,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near-duplicates and its number of links."""
+    out = ngram_join.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -153,5 +159,6 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_topk_search": op8_topk_search,
     "op9_bpe": op9_bpe,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op6_source_mixing": OP6_SQL, "op8_topk_search": OP8_SQL}
