@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, mixing, ngram_join, secrets, suffix_dedup, token_counts, topk
+from . import bpe, language_id, line_dedup, media, mixing, ngram_join, secrets, suffix_dedup, token_counts, topk
 from .common import read_table
 
 #: Where the public tokenizers lie; a parameter of every query that needs one.
@@ -50,6 +50,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and links of copied images. The tables hold no media, so every vector of embeddings is shown as an image first."""
+    images = media.render(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return media.linked_media(images, "id", "media").withColumnRenamed("id", "vec_id")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact histogram of token lengths over all documents, with suffix sums."""
     docs = read_table(spark, sf_dir, "documents")
@@ -153,6 +159,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_media_copies": op3_media_copies,
     "op4_token_counts": op4_token_counts,
     "op5_secret_scan": op5_secret_scan,
     "op6_source_mixing": op6_source_mixing,
