@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import by_chars, ragged_take
+from .common import ragged_take, text_slices
 
 #: Characters that are encoded at once; bounds a worker's memory.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 2_000_000
 #: Pieces that a worker remembers.
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 150_000
 _NONE = np.int64(1 << 40)
 _FAR = re.compile("[^\x00-\u024f]")
 #: Marks an added token among the words, which hold no white space themselves.
@@ -229,6 +229,11 @@ class Bpe:
         ends = np.cumsum(counts)
         return ids, sums[ends] - sums[ends - counts]
 
+    def encode_each(self, texts: list[str]) -> list[np.ndarray]:
+        ids, n = self.encode(texts)
+        ends = np.cumsum(n)
+        return [ids[e - k : e] for e, k in zip(ends.tolist(), n.tolist())]
+
     def decode(self, ids: np.ndarray) -> str:
         """Without a decoder in the tokenizer's file, the tokens stand side by side with blanks between them. Ids without a token are left out."""
         ids = ids[ids < len(self.tokens)]
@@ -264,13 +269,9 @@ def bpe_encode(df: DataFrame, tokenizer_json: str, text_col: str = "text", ids_c
     def run(batches):
         model = _model(spec.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
-            for a, b in by_chars(texts, BATCH_CHARS):
-                ids, n = model.encode(texts[a:b])
-                ids = ids.astype("<u4")
-                ends = np.cumsum(n)
-                out = [ids[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(kept)]), pa.array(out, pa.binary())], names=[*kept, ids_col])
+            for part, texts in text_slices(batch, len(kept), BATCH_CHARS):
+                out = [x.astype("<u4").tobytes() for x in model.encode_each(texts)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(out, pa.binary())], names=[*kept, ids_col])
 
     return df.select(*(df[f"`{c}`"] for c in order)).mapInArrow(run, schema)
 
@@ -296,3 +297,20 @@ def bpe_decode(df: DataFrame, tokenizer_json: str, ids_col: str = "ids", decoded
                 start = end
 
     return df.select(*(df[f"`{c}`"] for c in kept)).mapInArrow(run, schema)
+
+
+def bpe_round_trip(df: DataFrame, tokenizer_json: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """bpe_encode and bpe_decode in one pass: the ids of a slice of texts are decoded while they are at hand, so one Python worker per task serves both."""
+    spec = _spread(df, tokenizer_json)
+    df = df.drop(ids_col, decoded_col)
+    kept, schema = _result_schema(df.drop(text_col), [(ids_col, T.BinaryType()), (decoded_col, T.StringType())])
+
+    def run(batches):
+        model = _model(spec.value)
+        for batch in batches:
+            for part, texts in text_slices(batch, len(kept), BATCH_CHARS):
+                ids = model.encode_each(texts)
+                arrays = [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([model.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *arrays], names=[*kept, ids_col, decoded_col])
+
+    return df.select(*(df[f"`{c}`"] for c in [*kept, text_col])).mapInArrow(run, schema)

@@ -146,7 +146,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded and decoded again."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     path = f"{TOKENIZERS}/word_bpe_49k.json"
-    out = bpe.bpe_decode(bpe.bpe_encode(docs, path), path)
+    out = bpe.bpe_round_trip(docs, path)
     return out.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
