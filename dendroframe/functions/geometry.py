@@ -5,7 +5,7 @@ Nulls in any argument give null. Comparisons at edges are stated per function.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 XYZ = ("x", "y", "z")
@@ -150,8 +150,8 @@ def tree_key(name: Column) -> Column:
 
 def morton(x: Column, y: Column, z: Column, depth: int = 16) -> Column:
     """Z-order code of non-negative cell numbers: bit i of x at 3i+2, of y at 3i+1, of z at 3i."""
-    spread = lambda c: _spread3(F.bitwiseAND(c.cast("long"), F.lit((1 << depth) - 1).cast("long")))
-    return F.bitwise_or(F.bitwise_or(F.shiftleft(spread(x), 2), F.shiftleft(spread(y), 1)), spread(z)) if hasattr(F, "bitwise_or") else F.shiftleft(spread(x), 2).bitwiseOR(F.shiftleft(spread(y), 1)).bitwiseOR(spread(z))
+    spread = lambda c: _spread3(c.cast("long").bitwiseAND(F.lit((1 << depth) - 1).cast("long")))
+    return F.shiftleft(spread(x), 2).bitwiseOR(F.shiftleft(spread(y), 1)).bitwiseOR(spread(z))
 
 
 _MASKS = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
@@ -175,29 +175,29 @@ def morton_decode(code: Column) -> tuple[Column, Column, Column]:
     return _gather3(F.shiftrightunsigned(code, 2)), _gather3(F.shiftrightunsigned(code, 1)), _gather3(code)
 
 
-def eigenvalues(xx, yy, zz, xy, xz, yz) -> tuple[Column, Column, Column]:
-    """Of a symmetric 3 x 3 matrix, from the largest to the smallest, by the trigonometric form."""
-    q = (xx + yy + zz) / 3
-    p2 = ((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6
-    p = F.sqrt(p2)
-    s = F.when(p > 0, p).otherwise(num(1))
-    a, b, c = (xx - q) / s, (yy - q) / s, (zz - q) / s
-    d, e, f = xy / s, xz / s, yz / s
-    half = (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)) / 2
-    phi = F.acos(F.least(num(1), F.greatest(num(-1), half))) / 3
-    one = q + 2 * p * F.cos(phi)
-    three = q + 2 * p * F.cos(phi + 2 * F.pi() / 3)
-    return one, 3 * q - one - three, three
-
-
-def smallest_axis(xx, yy, zz, xy, xz, yz) -> list[Column]:
-    """Unit eigenvector of the smallest eigenvalue: the longest cross product of two rows of (C - lambda I). Its sign is arbitrary; the matrix must not be a multiple of the unit matrix (null then)."""
-    lam = eigenvalues(xx, yy, zz, xy, xz, yz)[2]
+def with_eigenvalues(df: DataFrame, c: tuple[str, ...] = ("cxx", "cyy", "czz", "cxy", "cxz", "cyz")) -> DataFrame:
+    """Adds l0 >= l1 >= l2, the eigenvalues of a symmetric 3 x 3 matrix, by the trigonometric form. Each step is a projection of its own, so no expression is written out more than once."""
+    xx, yy, zz, xy, xz, yz = (F.col(k) for k in c)
+    df = df.withColumn("_q", (xx + yy + zz) / 3)
+    a, b, d = xx - F.col("_q"), yy - F.col("_q"), zz - F.col("_q")
+    df = df.withColumn("_p", F.sqrt((a * a + b * b + d * d + 2 * (xy * xy + xz * xz + yz * yz)) / 6))
+    det = a * (b * d - yz * yz) - xy * (xy * d - yz * xz) + xz * (xy * yz - b * xz)
+    df = df.withColumn("_h", F.when(F.col("_p") > 0, det / (F.col("_p") * F.col("_p") * F.col("_p")) / 2).otherwise(num(0)))
+    df = df.withColumn("_f", F.acos(F.least(num(1), F.greatest(num(-1), F.col("_h")))) / 3)
+    df = df.withColumns({"l0": F.col("_q") + 2 * F.col("_p") * F.cos("_f"), "l2": F.col("_q") + 2 * F.col("_p") * F.cos(F.col("_f") + 2 * F.pi() / 3)})
+    return df.withColumn("l1", 3 * F.col("_q") - F.col("l0") - F.col("l2")).drop("_q", "_p", "_h", "_f")
+
+
+def with_smallest_axis(df: DataFrame, c: tuple[str, ...] = ("cxx", "cyy", "czz", "cxy", "cxz", "cyz")) -> DataFrame:
+    """Adds nx, ny, nz to with_eigenvalues: the unit eigenvector of l2, as the longest cross product of two rows of (C - l2 I). Its sign is arbitrary; null for multiples of the unit matrix."""
+    xx, yy, zz, xy, xz, yz = (F.col(k) for k in c)
+    lam = F.col("l2")
     rows = ([xx - lam, xy, xz], [xy, yy - lam, yz], [xz, yz, zz - lam])
     ways = [cross(rows[0], rows[1]), cross(rows[0], rows[2]), cross(rows[1], rows[2])]
-    sizes = [norm(w) for w in ways]
-    out = []
-    for i in range(3):
-        best = F.when((sizes[0] >= sizes[1]) & (sizes[0] >= sizes[2]), ways[0][i] / sizes[0]).when(sizes[1] >= sizes[2], ways[1][i] / sizes[1]).otherwise(ways[2][i] / sizes[2])
-        out.append(F.when(F.greatest(*sizes) > 0, best))
-    return out
+    df = df.withColumns({f"_w{i}{j}": w[j] for i, w in enumerate(ways) for j in range(3)})
+    df = df.withColumns({f"_n{i}": norm([F.col(f"_w{i}{j}") for j in range(3)]) for i in range(3)})
+    df = df.withColumn("_k", F.when((F.col("_n0") >= F.col("_n1")) & (F.col("_n0") >= F.col("_n2")), 0).when(F.col("_n1") >= F.col("_n2"), 1).otherwise(2))
+    pick = lambda j: F.when(F.col("_k") == 0, F.col(f"_w0{j}") / F.col("_n0")).when(F.col("_k") == 1, F.col(f"_w1{j}") / F.col("_n1")).otherwise(F.col(f"_w2{j}") / F.col("_n2"))
+    some = F.greatest("_n0", "_n1", "_n2") > 0
+    df = df.withColumns({k: F.when(some, pick(j)) for j, k in enumerate(("nx", "ny", "nz"))})
+    return df.drop("_k", *(f"_n{i}" for i in range(3)), *(f"_w{i}{j}" for i in range(3) for j in range(3)))

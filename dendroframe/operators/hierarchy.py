@@ -1,7 +1,7 @@
 """Cylinder hierarchies as relations: levels, top-down correction, re-rooting, connected components.
 
-Trees are walked level by level: each round joins only the current level with its children and is written where the
-session has a checkpoint folder, so lineage stays short. The number of rounds is the hierarchy's depth.
+Hierarchies are walked by recursive queries, level by level; components by rounds that are each written to the shared
+checkpoint folder, so plans stay short and lost executors cost one round.
 """
 
 from __future__ import annotations
@@ -10,15 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cylinder_volume, num
+from ..sources.scratch import cut
 
 LIMIT = 10_000
 
 
-def _cut(df: DataFrame, rounds: int) -> DataFrame:
-    """Shortens lineage every tenth round, where there is a shared folder for it."""
-    return df.checkpoint() if rounds % 10 == 9 and df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def roots(cylinders: DataFrame) -> DataFrame:
     return cylinders.filter("parent_id is null")
 
@@ -71,16 +67,14 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> Dat
     """
     both = edges.select("tree_id", "a", "b").union(edges.select("tree_id", F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     labels = nodes.select("tree_id", F.col("point_id").alias("id"), F.col("point_id").alias("label"))
-    both, labels = both.persist(), labels.persist()
-    for i in range(most_rounds):
+    both, labels = cut(both), cut(labels)
+    for _ in range(most_rounds):
         near = both.join(labels.select("tree_id", F.col("id").alias("b"), F.col("label").alias("l")), ["tree_id", "b"]).groupBy("tree_id", F.col("a").alias("id")).agg(F.min("l").alias("l"))
-        step = labels.join(near, ["tree_id", "id"], "left").select("tree_id", "id", "label", F.least("label", F.coalesce("l", "label")).alias("new"))
+        step = cut(labels.join(near, ["tree_id", "id"], "left").select("tree_id", "id", "label", F.least("label", F.coalesce("l", "label")).alias("new")))
         jump = step.select("tree_id", F.col("id").alias("new"), F.col("new").alias("jumped"))
-        new = _cut(step.join(jump, ["tree_id", "new"], "left").select("tree_id", "id", F.coalesce("jumped", "new").alias("label"), (F.coalesce("jumped", "new") != F.col("label")).alias("moved")), i).persist()
-        moved = new.filter("moved").limit(1).count()
-        labels.unpersist()
+        new = cut(step.join(jump, ["tree_id", "new"], "left").select("tree_id", "id", F.coalesce("jumped", "new").alias("label"), (F.coalesce("jumped", "new") != F.col("label")).alias("moved")))
         labels = new.drop("moved")
-        if not moved:
+        if new.filter("moved").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance, eigenvalues, num, smallest_axis
+from ..functions.geometry import distance, num, with_eigenvalues, with_smallest_axis
 from .neighbours import XYZ, density, knn
 
 #: Edges of the evaluation's distance bins (fixed values): hundredths to 0.1, tenths to 1, and beyond.
@@ -157,15 +157,12 @@ def covariance(points: DataFrame, k: int) -> DataFrame:
 
 def curvature(cov: DataFrame) -> DataFrame:
     """Smallest eigenvalue over the trace plus 1e-6."""
-    c = [F.col(f"c{n}") for n in ("xx", "yy", "zz", "xy", "xz", "yz")]
-    return cov.select("tree_id", "point_id", (F.greatest(eigenvalues(*c)[2], num(0)) / (c[0] + c[1] + c[2] + num(1e-6))).alias("curvature"))
+    return with_eigenvalues(cov).select("tree_id", "point_id", (F.greatest("l2", num(0)) / (F.col("cxx") + F.col("cyy") + F.col("czz") + num(1e-6))).alias("curvature"))
 
 
 def normals(cov: DataFrame) -> DataFrame:
     """Direction of least variance; its sign is arbitrary. verticality = |nz|."""
-    c = [F.col(f"c{n}") for n in ("xx", "yy", "zz", "xy", "xz", "yz")]
-    n = smallest_axis(*c)
-    return cov.select("tree_id", "point_id", n[0].alias("nx"), n[1].alias("ny"), n[2].alias("nz"), F.abs(n[2]).alias("verticality"))
+    return with_smallest_axis(with_eigenvalues(cov)).select("tree_id", "point_id", "nx", "ny", "nz", F.abs("nz").alias("verticality"))
 
 
 def add_features(points: DataFrame, use_normals: bool = True, use_curvature: bool = True, use_density: bool = True, k_normal: int = 15, k_curve: int = 10, radius: float = 0.1) -> DataFrame:
@@ -183,9 +180,7 @@ def add_features(points: DataFrame, use_normals: bool = True, use_curvature: boo
 def principal_axes(df: DataFrame, by: list[str]) -> DataFrame:
     """Sample covariance and sorted eigenvalues of each group's coordinates, with the plane's normal."""
     cov = df.groupBy(*by).agg(*(F.covar_samp(a[0], a[1]).alias(f"c{a}") for a in ("xx", "yy", "zz", "xy", "xz", "yz")))
-    c = [F.col(f"c{n}") for n in ("xx", "yy", "zz", "xy", "xz", "yz")]
-    lam, n = eigenvalues(*c), smallest_axis(*c)
-    return cov.select(*by, *(v.alias(f"l{i}") for i, v in enumerate(lam)), *(v.alias(f"n{k}") for k, v in zip(XYZ, n)))
+    return with_smallest_axis(with_eigenvalues(cov)).select(*by, "l0", "l1", "l2", "nx", "ny", "nz")
 
 
 def merge_spheres(spheres: DataFrame, by: list[str], rule: str = "weighted") -> DataFrame:

@@ -406,12 +406,12 @@ def _(s, d):
     return stats.stem_base(X.event_points(s, d))
 
 
-@query("stem_base_qsm", X.sql(f"r AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY sz, id) k FROM cyl) SELECT tree_id, {q('sx')} AS bx, {q('sy')} AS by, {q('sz')} AS bz FROM r WHERE k = 1", "cyl"))
+@query("stem_base_qsm", X.sql(f"r AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY sz, id) k FROM cyl) SELECT tree_id, {q('sx')} AS bx, {q('sy')} AS \"by\", {q('sz')} AS bz FROM r WHERE k = 1", "cyl"))
 def _(s, d):
     return rounded(stats.model_base(X.cylinders(s, d)), "bx", "by", "bz")
 
 
-@query("qsm_align", X.sql(f"r AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY sz, id) k FROM cyl), b AS (SELECT tree_id, min_by(x, z) bx, min_by(y, z) by, min(z) bz FROM pts GROUP BY tree_id), t AS (SELECT r.tree_id, r.sx-bx tx, r.sy-by ty, r.sz-bz tz FROM r JOIN b ON r.tree_id = b.tree_id WHERE k = 1) SELECT c.tree_id, id, {q('sx-tx')} AS sx, {q('sy-ty')} AS sy, {q('ez-tz')} AS ez FROM cyl c JOIN t ON c.tree_id = t.tree_id", "pts", "cyl"))
+@query("qsm_align", X.sql(f"r AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY sz, id) k FROM cyl), b AS (SELECT tree_id, min_by(x, z) bx, min_by(y, z) bky, min(z) bz FROM pts GROUP BY tree_id), t AS (SELECT r.tree_id, r.sx-bx tx, r.sy-bky ty, r.sz-bz tz FROM r JOIN b ON r.tree_id = b.tree_id WHERE k = 1) SELECT c.tree_id, id, {q('sx-tx')} AS sx, {q('sy-ty')} AS sy, {q('ez-tz')} AS ez FROM cyl c JOIN t ON c.tree_id = t.tree_id", "pts", "cyl"))
 def _(s, d):
     low = X.points(s, d).groupBy("tree_id").agg(F.min(F.struct("z", "x", "y")).alias("m")).select("tree_id", F.col("m.x").alias("bx"), F.col("m.y").alias("by"), F.col("m.z").alias("bz"))
     return rounded(stats.align_model(X.cylinders(s, d), X.points(s, d), low), "sx", "sy", "ez").select("tree_id", "id", "sx", "sy", "ez")
