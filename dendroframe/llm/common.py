@@ -62,9 +62,12 @@ def checked(df: DataFrame, needed: dict[str, str]) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
-def text_hash(c: Column) -> list[Column]:
-    """Two independent 64-bit hashes of a string: 128 bits, so that equal pairs mean equal strings at any realistic size."""
-    return [F.xxhash64(c), F.xxhash64(F.lit(7919), c)]
+def dealt(df: DataFrame, size: str, node: str, block: int) -> DataFrame:
+    """Deals the rows of groups out as pairs of blocks: adds own (the row's block) and bi <= bj, once for every pair that its block belongs to. `size` names the column with the group's rows; a group of up to `block` rows has the one pair (0, 0)."""
+    n = F.ceil(F.col(size) / block).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(3), node), n).cast("int")
+    df = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return df.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")})
 
 
 def by_chars(texts: list[str], limit: int):

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
-from .ngram_join import _dealt, _grouped, _local_roots, components
+from .common import dealt, materialize
+from .ngram_join import _grouped, _local_roots, components
 
 POINTS = (16, 8)  # corners at full and at half size
 BITS, PARTS = 256, 8
@@ -272,8 +272,8 @@ def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media")
     blocks = F.when(F.col("c") <= BUCKET_BLOCK, 1).otherwise(F.pow(F.lit(2), F.ceil(F.log2(F.col("c") / BUCKET_BLOCK)))).cast("int")
     busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("lead")).filter("c > 1").select("key", "lead", blocks.alias("n"))
     met = keys.join(busy, "key").select("lead", "n", "g").distinct()
-    dealt = _dealt(met.withColumn("c", F.col("n") * BUCKET_BLOCK), "lead", "c", "g", BUCKET_BLOCK)
-    dealt = dealt.select("lead", "n", "bi", "bj", "g").join(reps.select("g", "points"), "g")
+    spread = dealt(met.withColumn("c", F.col("n") * BUCKET_BLOCK), "c", "g", BUCKET_BLOCK)
+    spread = spread.select("lead", "n", "bi", "bj", "g").join(reps.select("g", "points"), "g")
 
     def meet(batches):
         for _, rows in _grouped(batches, 4):
@@ -296,14 +296,14 @@ def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media")
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["u", "v"])
 
     order = ["lead", "n", "bi", "bj"]
-    units = dealt.repartition(*order).sortWithinPartitions(*order).select(*order, "g", "points")
+    units = spread.repartition(*order).sortWithinPartitions(*order).select(*order, "g", "points")
     groups = components(units.mapInArrow(meet, "u binary, v binary"), "media-candidates")
     groups = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
     members = groups.join(sizes, "root").join(reps.select(F.col("g").alias("node"), "copies", "points"), "node")
-    dealt = _dealt(members, "root", "c", "node", GROUP_BLOCK)
+    spread = dealt(members, "c", "node", GROUP_BLOCK)
     order = ["root", "bi", "bj"]
-    units = dealt.select(*order, "node", "copies", "own", (F.col("c") > GROUP_BLOCK).alias("split"), "points").repartition(*order).sortWithinPartitions(*order)
+    units = spread.select(*order, "node", "copies", "own", (F.col("c") > GROUP_BLOCK).alias("split"), "points").repartition(*order).sortWithinPartitions(*order)
 
     def verify(batches):
         for (_, bi, bj), rows in _grouped(batches, 3):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_slices
+from .common import dealt, materialize, text_slices
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 4
@@ -181,14 +181,6 @@ def _grouped(batches, keys: int):
         yield key, rows
 
 
-def _dealt(df: DataFrame, key: str, size: str, node: str, block: int) -> DataFrame:
-    """Rows with columns bi <= bj: every pair of blocks of each key's rows that a row belongs to. A key with one block has one unit."""
-    n = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(3), node), n).cast("int")
-    df = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return df.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")})
-
-
 def gram_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, k1, k2 (the row's key), g (the gram set's 128-bit hash; null if there are no grams), sig."""
     size = BANDS * ROWS
@@ -216,7 +208,7 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
     keys = reps.select("g", band.alias("x")).select("g", "x.key")
     busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     met = keys.join(busy, "key").join(reps.select("g", "sig"), "g")
-    dealt = _dealt(met, "key", "c", "g", BUCKET_BLOCK)
+    spread = dealt(met, "c", "g", BUCKET_BLOCK)
 
     def run(batches):
         for _, rows in _grouped(batches, 3):
@@ -227,7 +219,7 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
             if at:
                 yield pa.RecordBatch.from_arrays([pa.array([g[i] for i in at], pa.binary()), pa.array([g[root[i]] for i in at], pa.binary())], names=["u", "v"])
 
-    units = dealt.select("key", "bi", "bj", "g", "sig").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    units = spread.select("key", "bi", "bj", "g", "sig").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     return components(units.mapInArrow(run, "u binary, v binary"), "join-candidates")
 
 
@@ -241,8 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = groups.join(sizes, "root").join(reps.select(F.col("g").alias("node"), "copies", "at"), "node")
     members = members.select("root", "c", "node", "copies", "at.k1", "at.k2")
     keyed = docs.select(F.xxhash64(id_col).alias("k1"), F.xxhash64(text_col).alias("k2"), F.col(text_col).alias("text"))
-    dealt = _dealt(members.join(keyed, ["k1", "k2"]), "root", "c", "node", GROUP_BLOCK)
-    units = dealt.select("root", "bi", "bj", "node", "copies", "own", (F.col("c") > GROUP_BLOCK).alias("split"), "text").repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "node")
+    spread = dealt(members.join(keyed, ["k1", "k2"]), "c", "node", GROUP_BLOCK)
+    units = spread.select("root", "bi", "bj", "node", "copies", "own", (F.col("c") > GROUP_BLOCK).alias("split"), "text").repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "node")
 
     def run(batches):
         for (_, bi, bj), rows in _grouped(batches, 3):

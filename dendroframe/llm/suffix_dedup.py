@@ -7,7 +7,9 @@ exact copies never move; only strings that share a minimiser with a different st
 suffix order. There, previous and next smaller positions give each window's earlier match (its longest previous factor).
 Removing what an earlier match covers keeps first copies; the matches themselves are marked too where no copy shall stay.
 
-Minimisers with very many different strings are not gathered: their windows are counted by a 128-bit hash instead, exactly.
+Minimisers with many different strings are not gathered: their strings meet as pairs of blocks. That work grows with the
+square of their number, so beyond PAIRED strings windows are counted by a 128-bit hash instead, which grows in proportion.
+All ways are exact.
 
 Defined results: a null text counts as empty; rows that are equal in id and text are documents of their own, each a copy of
 the other; texts shorter than `length` lose nothing; overlaps within a document count; the result has one row per input row.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import dealt, materialize
 
 LENGTH = 400
 GRAM = 48
@@ -31,6 +33,8 @@ GRAM = 48
 LONGEST_RUN = 2048
 #: Different strings of one minimiser that are put in suffix order together.
 GROUP = 128
+#: Different strings of one minimiser that meet as pairs of blocks (64 blocks); of more, windows are counted by hash.
+PAIRED = 8192
 BATCH_BYTES = 2_000_000
 _MULT = 0x9E3779B97F4A7C15
 
@@ -213,12 +217,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     # each different string once; those that occur twice are repeated as a whole
     strings = unsure.groupBy("m", "g1", "g2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "start", "n")).alias("at"))
     strings = materialize(strings.select("m", "g1", "g2", "copies", "at.*"), "suffix-strings")
-    hot = strings.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > GROUP).select("m", F.lit(True).alias("hot"))
-    placed = strings.join(hot, "m", "left").join(keyed.select("k1", "k2", "raw"), ["k1", "k2"])
-    # equal rows give their strings twice: the hash path counts strings, so they must stay single
-    text = placed.select("m", "g1", "g2", "copies", F.coalesce("hot", F.lit(False)).alias("hot"), F.substring("raw", F.col("start") + 1, F.col("n") + (length - 1)).alias("s"))
+    busy = strings.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > GROUP)
+    placed = strings.join(busy, "m", "left").join(keyed.select("k1", "k2", "raw"), ["k1", "k2"])
+    # equal rows give their strings twice; the paths below count strings, so these become single again there
+    text = placed.select("m", "g1", "g2", "copies", F.coalesce("c", F.lit(1)).alias("c"), F.substring("raw", F.col("start") + 1, F.col("n") + (length - 1)).alias("s"))
     text = materialize(text, "suffix-text")
-    found = _by_order(text.filter("not hot"), length).union(_by_hash(text.filter("hot"), length))
+    found = _by_order(text.filter(F.col("c") <= PAIRED), length).union(_by_hash(text.filter(F.col("c") > PAIRED), length))
     whole = strings.filter("copies > 1").select("m", "g1", "g2", F.lit(0).alias("x"), F.col("n").alias("y"))
     found = whole.union(found)
     got = unsure.join(found, ["m", "g1", "g2"]).select("k1", "k2", (F.col("start") + F.col("x")).alias("a"), (F.col("start") + F.col("y")).alias("b"))
@@ -251,25 +255,28 @@ def _by_order(text: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out[:3]), *(pa.array(o, pa.int32()) for o in out[3:])], names=["m", "g1", "g2", "x", "y"])
 
     def run(batches):
-        keys, strings, size, seen = [], [], 0, set()
+        keys, strings, size, seen, unit = [], [], 0, set(), None
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(4)]
-            for i, key in enumerate(zip(*cols)):
-                if keys and key[0] != keys[-1][0]:
-                    seen = set()
-                    if size > BATCH_BYTES // 2:
+            cols = [batch.column(i).to_pylist() for i in range(6)]
+            for i, (m, bi, bj, g1, g2, copies) in enumerate(zip(*cols)):
+                if (m, bi, bj) != unit:
+                    # units of different minimisers share no window, so several small ones may be ordered together; pairs of blocks may not
+                    if keys and (size > BATCH_BYTES // 2 or (bi, bj) != (0, 0) or unit[1:] != (0, 0)):
                         yield solve(keys, strings)
                         keys, strings, size = [], [], 0
-                if key[1:3] in seen:  # an equal row of the documents
+                    unit, seen = (m, bi, bj), set()
+                if (g1, g2) in seen:  # an equal row of the documents
                     continue
-                seen.add(key[1:3])
-                keys.append(key)
-                strings.append(batch.column(4)[i].as_py())
+                seen.add((g1, g2))
+                keys.append((m, g1, g2, copies))
+                strings.append(batch.column(6)[i].as_py())
                 size += len(strings[-1])
         if keys:
             yield solve(keys, strings)
 
-    return text.select("m", "g1", "g2", "copies", "s").repartition("m").sortWithinPartitions("m").mapInArrow(run, "m long, g1 long, g2 long, x int, y int")
+    order = ["m", "bi", "bj"]
+    units = dealt(text, "c", "g1", GROUP).select(*order, "g1", "g2", "copies", "s").repartition(*order).sortWithinPartitions(*order)
+    return units.mapInArrow(run, "m long, g1 long, g2 long, x int, y int")
 
 
 def _by_hash(text: DataFrame, length: int) -> DataFrame:
