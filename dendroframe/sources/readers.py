@@ -74,7 +74,7 @@ def encode_las(xyz: np.ndarray, scale: float = 0.001) -> bytes:
     head[131:155], head[155:179] = np.full(3, scale).tobytes(), low.astype("<f8").tobytes()
     head[179:227] = np.array([[high[i], low[i]] for i in range(3)], "<f8").tobytes()
     rec = np.zeros((len(xyz), 20), np.uint8)
-    rec[:, :12] = np.rint((xyz - low) / scale).astype("<i4").view(np.uint8).reshape(len(xyz), 12)
+    rec[:, :12] = np.ascontiguousarray(np.rint((xyz - low) / scale).astype("<i4")).view(np.uint8).reshape(len(xyz), 12)
     return bytes(head) + rec.tobytes()
 
 
