@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_chars
+from .common import text_slices
 
 #: Documents that the fit may read. The accuracy hardly moves beyond some hundreds a language.
 SAMPLE = 1200
 ROUNDS = 4
 LONGEST = 8
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_000_000
 #: Words that a worker remembers.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 #: Probability of a character that no piece covers, and of any piece that a language lacks.
 UNKNOWN, LEAST = 1e-7, 1e-7
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -230,7 +230,7 @@ def fit(rows: list[tuple[str, str]], pieces: list[str]) -> LanguageModel:
                     np.add.at(got, piece[hit], (flow * fwd[start])[hit])
         prob = np.maximum(got / np.maximum(got.sum(axis=0), 1e-300), LEAST)
         if step == ROUNDS - 2:  # what no language uses goes, for speed
-            keep = got.max(axis=1) >= 0.5
+            keep = got.max(axis=1, initial=0) >= 0.5
             if keep.any():
                 prob = prob[keep]
                 seg = Segments([p for p, k in zip(seg.pieces, keep) if k])
@@ -259,9 +259,9 @@ def _loaded(key: str, held) -> LanguageModel:
     return _models[key]
 
 
-def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """Adds lang_pred, score (the posterior) and lang_fit (mean log probability of a letter). Without keep_text the text does not come back from the workers."""
-    new = [("lang_pred", "string"), ("score", "double"), ("lang_fit", "double")]
+def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", keep_text: bool = True, names: tuple[str, str, str] = ("lang_pred", "score", "lang_fit")) -> DataFrame:
+    """Adds the language, the posterior and the mean log probability of a letter, under the given names. Without keep_text the text does not come back from the workers."""
+    new = list(zip(names, ("string", "double", "double")))
     kept = [c for c in df.columns if c not in {n for n, _ in new} and (keep_text or c != text_col)]
     held = df.sparkSession.sparkContext.broadcast((model.languages, model.segments.pieces, model.prob))
     key = uuid.uuid4().hex
@@ -272,14 +272,24 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", keep_t
     def run(batches):
         m = _loaded(key, held)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
-            for a, b in by_chars(texts, BATCH_CHARS):
-                names, post, per = m.predict(texts[a:b])
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(kept)]), pa.array(names, pa.string()), pa.array(post, pa.float64()), pa.array(per, pa.float64())], names=[*kept, *(n for n, _ in new)])
+            for part, texts in text_slices(batch, len(kept), BATCH_CHARS):
+                found, post, per = m.predict(texts)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(found, pa.string()), pa.array(post, pa.float64()), pa.array(per, pa.float64())], names=[*kept, *(n for n, _ in new)])
 
     return df.select(*(df[f"`{c}`"] for c in kept), df[f"`{text_col}`"].alias("_language_text")).mapInArrow(run, schema)
 
 
+#: A document fits no learned language if a letter's mean log probability is below this (a uniform choice of 26 letters: -3.3).
+LEAST_FIT = -6.0
+
+
+def accepted(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows whose language is certain: not 'und', with a posterior of one half or more, and a fit of LEAST_FIT or more. The columns stay as they are."""
+    names = ("_language_pred", "_language_score", "_language_fit")
+    out = identify(df, model, text_col, names=names).filter((F.col(names[0]) != "und") & (F.col(names[1]) >= 0.5) & (F.col(names[2]) >= LEAST_FIT))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that is never learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
