@@ -1,8 +1,8 @@
 """Media columns: cropped or edited copies of images, found by local descriptors.
 
 Corners are taken at two scales; each gets an orientation (its patch's intensity centroid) and 256 binary brightness tests
-turned by it. Tables keyed by 32-bit parts of the descriptors bring images together (two descriptors that differ in up to 7
-bits share a part). Whether two images are linked is decided by geometry: matches (mutually nearest, 24 bits apart at most)
+turned by it. Tables keyed by 40-bit parts of the descriptors bring images together (two descriptors that differ in up to 5
+bits share a part; a pair of images has many descriptors). Whether two images are linked is decided by geometry: matches (mutually nearest, 24 bits apart at most)
 must agree on one shift, turn and scale, MIN_INLIERS of them at least.
 
 Images with equal pixels form a class of which one goes on. Buckets and groups of any size are dealt out as pairs of blocks;
@@ -28,14 +28,20 @@ from pyspark.sql import types as T
 from .common import dealt, materialize
 from .ngram_join import _grouped, _local_roots, components
 
-POINTS = (16, 8)  # corners at full and at half size
-BITS, PARTS = 256, 8
+POINTS = (12, 8)  # corners at full and at half size
+BITS, PARTS, PART_BYTES = 256, 6, 5
 MATCH_BITS, MIN_INLIERS, TOLERANCE_PX = 24, 6, 3.0
 RADIUS, TURNS = 8, 30
 LONGEST_SIDE = 128
 BUCKET_BLOCK, GROUP_BLOCK = 128, 128
-#: One corner: x, y, log2 of its scale, angle (four floats), then the descriptor.
-_ROW = np.dtype([("x", "<f4"), ("y", "<f4"), ("s", "<f4"), ("a", "<f4"), ("d", "<u8", (BITS // 64,))])
+#: One corner, packed: x and y in sixteenths of a pixel, log2 of its scale, angle in 256ths of a turn, descriptor.
+_ROW = np.dtype([("x", "<u2"), ("y", "<u2"), ("s", "u1"), ("a", "u1"), ("d", "<u8", (BITS // 64,))])
+_HEAD = _ROW.itemsize - BITS // 8
+
+
+def _numbers(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """x, y, log2 scale and angle (radians) as floats."""
+    return rows["x"] / np.float32(16), rows["y"] / np.float32(16), rows["s"].astype(np.float32), rows["a"] * np.float32(2 * np.pi / 256)
 
 
 def decode(raw: bytes | None) -> np.ndarray | None:
@@ -177,8 +183,8 @@ def corners(images: np.ndarray) -> list[np.ndarray]:
             at = lambda k: soft[img[:, None], np.clip(ys[:, None] + t[..., k], 0, h - 1), np.clip(xs[:, None] + t[..., k + 1], 0, w - 1)]
             bits = np.packbits(at(0) < at(2), axis=1)
             rows = np.zeros(len(img), _ROW)
-            rows["x"], rows["y"] = (xs + 0.5) * 2**scale, (ys + 0.5) * 2**scale
-            rows["s"], rows["a"] = scale, angle
+            rows["x"], rows["y"] = (xs + 0.5) * 2**scale * 16, (ys + 0.5) * 2**scale * 16
+            rows["s"], rows["a"] = scale, np.rint(angle / (2 * np.pi) * 256).astype(int) % 256
             rows["d"] = bits.view("<u8")
             for i, part in zip(*np.unique(img, return_index=True)):
                 end = np.searchsorted(img, i, side="right")
@@ -211,16 +217,17 @@ def consensus(one: np.ndarray, rest: list[np.ndarray]) -> np.ndarray:
     if not len(rows):
         return out
     near, ok = near[rows], ok[rows]
-    b = np.take_along_axis(pad[rows], near, 1)
-    ds, da = b["s"] - one["s"], b["a"] - one["a"]
+    ox, oy, osc, oa = _numbers(one)
+    bx, by, bs, ba = _numbers(np.take_along_axis(pad[rows], near, 1))
+    ds, da = bs - osc, ba - oa
     f = np.exp2(ds)
     c, s = f * np.cos(da), f * np.sin(da)
-    vx, vy = one["x"][None, :] - one["x"][:, None], one["y"][None, :] - one["y"][:, None]  # from hypothesis l to match k
-    px = b["x"][:, :, None] + c[:, :, None] * vx - s[:, :, None] * vy
-    py = b["y"][:, :, None] + s[:, :, None] * vx + c[:, :, None] * vy
+    vx, vy = ox[None, :] - ox[:, None], oy[None, :] - oy[:, None]  # from hypothesis l to match k
+    px = bx[:, :, None] + c[:, :, None] * vx - s[:, :, None] * vy
+    py = by[:, :, None] + s[:, :, None] * vx + c[:, :, None] * vy
     room = TOLERANCE_PX + 0.08 * np.hypot(vx, vy)  # an angle is known to a few degrees only
     turn = np.abs((da[:, :, None] - da[:, None, :] + np.pi) % (2 * np.pi) - np.pi)
-    fits = (np.hypot(px - b["x"][:, None, :], py - b["y"][:, None, :]) <= room) & (turn <= np.pi / 9) & (np.abs(ds[:, :, None] - ds[:, None, :]) < 0.5)
+    fits = (np.hypot(px - bx[:, None, :], py - by[:, None, :]) <= room) & (turn <= np.pi / 9) & (np.abs(ds[:, :, None] - ds[:, None, :]) < 0.5)
     out[rows] = (fits & ok[:, :, None] & ok[:, None, :]).sum(axis=2).max(axis=1)
     return out
 
@@ -256,8 +263,8 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _keys(reps: DataFrame) -> DataFrame:
-    """g, key: one row for each different 32-bit part of an image's descriptors, from the packed corners."""
-    size, at, width = _ROW.itemsize, 16, BITS // PARTS // 8
+    """g, key: one row for each different 40-bit part of an image's descriptors, from the packed corners."""
+    size, at, width = _ROW.itemsize, _HEAD, PART_BYTES
     n = F.floor(F.length("points") / size).cast("int")
     parts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.xxhash64(p, F.substring(F.col("points"), i * size + at + p * width + 1, F.lit(width))))))
     return reps.filter(n > 0).select("g", F.explode(F.array_distinct(parts)).alias("key"))
