@@ -1,9 +1,10 @@
 """Media columns: cropped or edited copies of images, found by local descriptors.
 
 Corners are taken at two scales; each gets an orientation (its patch's intensity centroid) and 256 binary brightness tests
-turned by it. Tables keyed by 40-bit parts of the descriptors bring images together (two descriptors that differ in up to 5
-bits share a part; a pair of images has many descriptors). Whether two images are linked is decided by geometry: matches (mutually nearest, 24 bits apart at most)
-must agree on one shift, turn and scale, MIN_INLIERS of them at least.
+turned by it. Tables keyed by 40-bit parts of the descriptors bring descriptors together (two that differ in up to 5 bits
+share a part; a pair of images has many), and those at most 24 bits apart bring their images together. Whether two images
+are linked is decided by geometry: matches (mutually nearest, 24 bits apart at most) must agree on one shift, turn and scale,
+MIN_INLIERS of them at least.
 
 Images with equal pixels form a class of which one goes on. Buckets and groups of any size are dealt out as pairs of blocks;
 rows that leave a task grow with its images, not with their pairs.
@@ -34,6 +35,10 @@ MATCH_BITS, MIN_INLIERS, TOLERANCE_PX = 24, 6, 3.0
 RADIUS, TURNS = 8, 30
 LONGEST_SIDE = 128
 BUCKET_BLOCK, GROUP_BLOCK = 128, 128
+#: Descriptors of a bucket that are compared as a whole in one task. Larger buckets are not thinned out: all their images meet, block by block.
+COMPARED = 4096
+#: Pairs of descriptors that are compared at once.
+PAIRS = 1_000_000
 #: One corner, packed: x and y in sixteenths of a pixel, log2 of its scale, angle in 256ths of a turn, descriptor.
 _ROW = np.dtype([("x", "<u2"), ("y", "<u2"), ("s", "u1"), ("a", "u1"), ("d", "<u8", (BITS // 64,))])
 _HEAD = _ROW.itemsize - BITS // 8
@@ -263,11 +268,59 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _keys(reps: DataFrame) -> DataFrame:
-    """g, key: one row for each different 40-bit part of an image's descriptors, from the packed corners."""
+    """g, key, i: the 40-bit parts of an image's descriptors, with the number of the corner, from the packed corners."""
     size, at, width = _ROW.itemsize, _HEAD, PART_BYTES
     n = F.floor(F.length("points") / size).cast("int")
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.xxhash64(p, F.substring(F.col("points"), i * size + at + p * width + 1, F.lit(width))))))
-    return reps.filter(n > 0).select("g", F.explode(F.array_distinct(parts)).alias("key"))
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.struct(F.xxhash64(p, F.substring(F.col("points"), i * size + at + p * width + 1, F.lit(width))).alias("key"), i.cast("short").alias("i")))))
+    return reps.filter(n > 0).select("g", F.explode(parts).alias("x")).select("g", "x.key", "x.i")
+
+
+def near_rows(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each descriptor (a row of words; rows of one key stand together) the first row of its group: descriptors of its key at most MATCH_BITS apart, followed transitively."""
+    n = len(key)
+    label = np.arange(n)
+    end = np.searchsorted(key, key, side="right") if n else label
+    more = end - label - 1  # each row meets the later ones of its key
+    sums = np.cumsum(more)
+    row = 0
+    while row < n:
+        stop = max(row + 1, int(np.searchsorted(sums, (sums[row - 1] if row else 0) + PAIRS, side="right")))
+        a = np.repeat(np.arange(row, stop), more[row:stop])
+        b = np.arange(len(a)) - np.repeat(np.cumsum(more[row:stop]) - more[row:stop], more[row:stop]) + a + 1
+        near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= MATCH_BITS
+        a, b = a[near], b[near]
+        while len(a):
+            x, y = label[a], label[b]
+            open_ = x != y
+            if not open_.any():
+                break
+            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(label, up := label[label]):
+                label = up
+        row = stop
+    return label
+
+
+def _near_groups(batches):
+    """From rows sorted by key and g: lead and g, for each image in a group of near descriptors that a lesser image leads."""
+
+    def solve(key, g, bits):
+        first = near_rows(bits, key)
+        lead = g[first]
+        at = np.flatnonzero(lead != g)
+        return pa.RecordBatch.from_arrays([pa.array([x[i].tobytes() for i in at], pa.binary()) for x in (lead, g)], names=["lead", "g"])
+
+    held = (np.zeros(0, np.int64), np.zeros(0, "V16"), np.zeros((0, BITS // 64), np.uint64))
+    for batch in batches:
+        new = (batch.column(0).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(batch.column(1).to_pylist()), "V16"), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BITS // 64))
+        held = tuple(np.concatenate(x) for x in zip(held, new))
+        whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last key may go on
+        if whole:
+            yield solve(*(x[:whole] for x in held))
+            held = tuple(x[whole:] for x in held)
+    if len(held[0]):
+        yield solve(*held)
 
 
 def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
@@ -275,11 +328,17 @@ def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media")
     all_rows = materialize(describe(media, id_col, media_col), "media-points")
     reps = materialize(all_rows.filter("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("copies"), F.min("points").alias("points")), "media-reps")
     keys = _keys(reps)
-    # Near copies share most of their keys. Buckets of one size class with the same least image are taken as one, so an image goes to few units, not once per key.
-    blocks = F.when(F.col("c") <= BUCKET_BLOCK, 1).otherwise(F.pow(F.lit(2), F.ceil(F.log2(F.col("c") / BUCKET_BLOCK)))).cast("int")
-    busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("lead")).filter("c > 1").select("key", "lead", blocks.alias("n"))
-    met = keys.join(busy, "key").select("lead", "n", "g").distinct()
-    spread = dealt(met.withColumn("c", F.col("n") * BUCKET_BLOCK), "c", "g", BUCKET_BLOCK)
+    busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("lead"), F.max("g").alias("last")).filter("lead <> last").select("key", "lead", "c")
+    met = materialize(keys.join(busy, "key"), "media-met")
+    # In a bucket, only descriptors that are near as a whole bring images together. Groups with the same least image are taken as one, so an image goes to few units, not once per key.
+    descriptor = F.substring(F.col("points"), F.col("i") * _ROW.itemsize + _HEAD + 1, F.lit(BITS // 8))
+    some = met.filter(F.col("c") <= COMPARED).join(reps.select("g", "points"), "g").select("key", "g", descriptor.alias("d"))
+    near = some.repartition("key").sortWithinPartitions("key", "g").mapInArrow(_near_groups, "lead binary, g binary").select("lead", F.lit(0).alias("n"), "g")
+    blocks = F.ceil(F.log2(F.col("c") / COMPARED)).cast("int")
+    near = near.union(met.filter(F.col("c") > COMPARED).select("lead", blocks, "g")).distinct()
+    near = materialize(near.union(near.select("lead", "n", "lead")).distinct(), "media-near")
+    units_of = near.groupBy("lead", "n").agg(F.count(F.lit(1)).alias("c"))
+    spread = dealt(near.join(units_of, ["lead", "n"]), "c", "g", BUCKET_BLOCK)
     spread = spread.select("lead", "n", "bi", "bj", "g").join(reps.select("g", "points"), "g")
 
     def meet(batches):

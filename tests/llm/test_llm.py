@@ -143,6 +143,37 @@ def test_media_copies(spark, monkeypatch, block):
     assert media.linked_media(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pairs", [1_000_000, 3])
+def test_near_rows_brute_force(monkeypatch, pairs):
+    monkeypatch.setattr(media, "PAIRS", pairs)
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2**63, (60, 4), dtype=np.uint64)
+    for i in range(20, 60):  # chains of near descriptors
+        bits[i] = bits[i - 20]
+        for k in rng.integers(0, 256, 15):
+            bits[i, k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+    key = np.arange(60) % 4
+    bits, key = bits[np.argsort(key, kind="stable")], np.sort(key)
+    want = list(range(60))
+    for _ in range(60):
+        for a in range(60):
+            for b in range(60):
+                if key[a] == key[b] and np.bitwise_count(bits[a] ^ bits[b]).sum() <= media.MATCH_BITS:
+                    want[a] = want[b] = min(want[a], want[b])
+    assert media.near_rows(bits, key).tolist() == want and len(set(want)) < 60
+    assert media.near_rows(bits[:0], key[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("compared", [4096, 2])
+def test_media_large_buckets(spark, monkeypatch, compared):
+    monkeypatch.setattr(media, "COMPARED", compared)
+    rng = np.random.default_rng(5)
+    a = [picture(x / np.linalg.norm(x)) for x in rng.normal(size=(4, 64))]
+    rows = [(10 * i + k, pgm(np.clip(x + rng.normal(0, 2, (64, 64)), 0, 255))) for i, x in enumerate(a) for k in range(6)]
+    got = {r.id: (r.class_id, r.n_links) for r in media.linked_media(spark.createDataFrame(rows, "id long, media binary")).collect()}
+    assert got == {i: (i // 10 * 10, 5) for i, _ in rows}
+
+
 # -- token counts
 
 
