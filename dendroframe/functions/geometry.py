@@ -39,17 +39,21 @@ def distance(a, b) -> Column:
     return norm(minus(a, b))
 
 
-def cylinder_terms(p, s, e, r: Column, perp_tol: float = 1e-3) -> dict[str, Column]:
-    """Distance of a point to a cylinder's surface, and the offset to its mantle, in closed form.
+def cylinder_axis(s, e) -> tuple[Column, list[Column]]:
+    """Length and unit vector of a cylinder's axis; the zero vector where it is shorter than 1e-8."""
+    d = minus(e, s)
+    length = norm(d)
+    safe = F.when(length < 1e-8, num(1)).otherwise(length)
+    return length, [F.when(length < 1e-8, num(0)).otherwise(c / safe) for c in d]
+
+
+def cylinder_terms(p, s, length: Column, u, r: Column, perp_tol: float = 1e-3) -> dict[str, Column]:
+    """Distance of a point to a cylinder's surface, and the offset to its mantle, in closed form. length and u: its cylinder_axis, taken once per cylinder.
 
     With t the place along the axis, h what t exceeds the axis by, rho the distance from the axis there: the distance is
     |rho - r| where |h| <= perp_tol, else that to the cap or its rim. The offset always leads to the mantle. Cylinders
     shorter than 1e-8 are points with a radius.
     """
-    d = minus(e, s)
-    length = norm(d)
-    safe = F.when(length < 1e-8, num(1)).otherwise(length)
-    u = [F.when(length < 1e-8, num(0)).otherwise(c / safe) for c in d]
     v = minus(p, s)
     t = dot(v, u)
     tc = F.greatest(num(0), F.least(t, length))

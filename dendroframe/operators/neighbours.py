@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import angle_between, connection_distance, cylinder_terms, distance, num
+from ..functions.geometry import angle_between, connection_distance, cylinder_axis, cylinder_terms, distance, num
 
 XYZ = ("x", "y", "z")
 
@@ -68,16 +68,26 @@ def knn(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     return settled.unionByName(far.select("tree_id", "point_id", "rank", "other_id", "d"))
 
 
+def _with_axis(cylinders: DataFrame) -> DataFrame:
+    length, u = cylinder_axis([F.col(f"s{k}") for k in XYZ], [F.col(f"e{k}") for k in XYZ])
+    return cylinders.withColumns({"_length": length, **{f"_u{k}": c for k, c in zip(XYZ, u)}})
+
+
+def _surface_pairs(points: DataFrame, cylinders: DataFrame, perp_tol: float) -> tuple[DataFrame, dict[str, Column]]:
+    """Points with each cylinder of their tree, and the cylinder_terms of such a pair."""
+    c = _with_axis(cylinders).select("tree_id", "id", "sx", "sy", "sz", "_length", "_ux", "_uy", "_uz", "radius")
+    t = cylinder_terms([F.col(k) for k in XYZ], [F.col(f"s{k}") for k in XYZ], F.col("_length"), [F.col(f"_u{k}") for k in XYZ], F.col("radius"), perp_tol)
+    return points.select("tree_id", "point_id", *XYZ).join(c, "tree_id"), t
+
+
 def nearest_cylinder(points: DataFrame, cylinders: DataFrame, perp_tol: float = 1e-3) -> DataFrame:
     """For every point its tree's nearest cylinder surface: cylinder_id, distance, and the offset ox, oy, oz to the mantle. Ties: lower id.
 
     An equi-join on the tree; the minimum is kept per point by partial aggregation, so pairs do not reach the shuffle.
     Points of trees without cylinders are left out.
     """
-    c = cylinders.select("tree_id", "id", "sx", "sy", "sz", "ex", "ey", "ez", "radius")
-    p = points.select("tree_id", "point_id", *XYZ)
-    t = cylinder_terms([F.col(k) for k in XYZ], [F.col(f"s{k}") for k in XYZ], [F.col(f"e{k}") for k in XYZ], F.col("radius"), perp_tol)
-    pairs = p.join(c, "tree_id").select("tree_id", "point_id", F.struct(t["distance"].alias("distance"), F.col("id").alias("cylinder_id"), *(t[k].alias(k) for k in ("ox", "oy", "oz"))).alias("m"))
+    pairs, t = _surface_pairs(points, cylinders, perp_tol)
+    pairs = pairs.select("tree_id", "point_id", F.struct(t["distance"].alias("distance"), F.col("id").alias("cylinder_id"), *(t[k].alias(k) for k in ("ox", "oy", "oz"))).alias("m"))
     return pairs.groupBy("tree_id", "point_id").agg(F.min("m").alias("m")).select("tree_id", "point_id", "m.cylinder_id", "m.distance", "m.ox", "m.oy", "m.oz")
 
 
@@ -87,10 +97,11 @@ def label_points(points: DataFrame, cylinders: DataFrame, perp_tol: float = 1e-3
     return points.drop("dx", "dy", "dz", "cylinder_id").join(n, ["tree_id", "point_id"])
 
 
-def near_cylinders(points: DataFrame, cylinders: DataFrame, eps: float) -> DataFrame:
-    """Semi-join: points closer than eps to any cylinder of their tree."""
-    t = cylinder_terms([F.col(f"p.{k}") for k in XYZ], [F.col(f"c.s{k}") for k in XYZ], [F.col(f"c.e{k}") for k in XYZ], F.col("c.radius"))
-    return points.alias("p").join(cylinders.alias("c"), (F.col("p.tree_id") == F.col("c.tree_id")) & (t["distance"] < eps), "left_semi")
+def near_cylinders(points: DataFrame, cylinders: DataFrame, eps: float, perp_tol: float = 1e-3) -> DataFrame:
+    """Points closer than eps to any cylinder of their tree. The least distance is kept per point by partial aggregation: as a join condition, the closed form would outgrow compiled code."""
+    pairs, t = _surface_pairs(points, cylinders, perp_tol)
+    near = pairs.groupBy("tree_id", "point_id").agg(F.min(t["distance"]).alias("d")).filter(F.col("d") < eps)
+    return points.join(near, ["tree_id", "point_id"], "left_semi")
 
 
 def interpolate(targets: DataFrame, sources: DataFrame, value: str, k: int = 3) -> DataFrame:
