@@ -92,6 +92,7 @@ def text_slices(batch: pa.RecordBatch, column: int, limit: int):
         part = batch.slice(start, stop - start)
         yield part, [t or "" for t in part.column(column).to_pylist()]
         start = stop
+    pa.default_memory_pool().release_unused()  # workers are used again by later stages
 
 
 def ragged_take(starts: np.ndarray, lens: np.ndarray, values: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

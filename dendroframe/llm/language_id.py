@@ -28,7 +28,7 @@ from .common import text_slices
 SAMPLE = 1200
 ROUNDS = 4
 LONGEST = 8
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 #: Words that a worker remembers.
 KNOWN_WORDS = 200_000
 #: Probability of a character that no piece covers, and of any piece that a language lacks.

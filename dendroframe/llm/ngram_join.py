@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dealt, materialize, text_slices
+from .common import by_chars, dealt, materialize, text_slices
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 4
@@ -32,7 +32,9 @@ TOLERANCE = 1e-6
 STEP = 16
 #: Documents of a bucket, and of a group, that meet in one task: two blocks at most.
 BUCKET_BLOCK, GROUP_BLOCK = 512, 256
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 256
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -171,12 +173,15 @@ def _grouped(batches, keys: int):
     """From sorted batches: the rows of one key after the other, as (key, list of rows)."""
     key, rows = None, []
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-            if row[:keys] != key:
-                if rows:
-                    yield key, rows
-                key, rows = row[:keys], []
-            rows.append(row[keys:])
+        for a in range(0, batch.num_rows, SLICE):
+            part = batch.slice(a, SLICE)
+            for row in zip(*(part.column(i).to_pylist() for i in range(part.num_columns))):
+                if row[:keys] != key:
+                    if rows:
+                        yield key, rows
+                    key, rows = row[:keys], []
+                rows.append(row[keys:])
+        pa.default_memory_pool().release_unused()
     if rows:
         yield key, rows
 
@@ -246,8 +251,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             node = [r[0] for r in kept]
             copies, own = np.array([r[1] for r in kept]), np.array([r[2] for r in kept])
             grams = []
-            for a in range(0, len(kept), 64):
-                h, n = grams_of([r[4] or "" for r in kept[a : a + 64]])
+            texts = [r[4] or "" for r in kept]
+            for a, b in by_chars(texts, BATCH_CHARS):
+                h, n = grams_of(texts[a:b])
                 grams += np.split(h, np.cumsum(n)[:-1])
             link = exact_links(grams, threshold)
             root = _local_roots(link)
