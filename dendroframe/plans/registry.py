@@ -666,5 +666,5 @@ def _(s, d):
 
 @query("qsm_fit")
 def _(s, d):
-    up = sampling.noisy_cloud(X.cylinders(s, d).filter("id < 60"), mu=-6.0, sigma=0.3)
+    up = sampling.noisy_cloud(X.cylinders(s, d), mu=-6.0, sigma=0.3)
     return qsm.fit_qsm(up.withColumn("point_id", F.xxhash64("x", "y", "z")))

@@ -1,5 +1,7 @@
 """Analytic fixtures, invariants and edge cases of the point-cloud operators."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -191,3 +193,19 @@ def test_ball_query_falls_back_to_nearest(spark):
     p = cloud(spark, [("a", 10, 0.1, 0.0, 0.0), ("a", 11, 0.2, 0.0, 0.0), ("a", 12, 40.0, 0.0, 0.0)])
     got = sorted((r.point_id, r.slot, r.other_id) for r in neighbours.ball_query(c, p, 1.0, 3).collect())
     assert got == [(0, 0, 10), (0, 1, 11), (0, 2, 10), (1, 0, 12), (1, 1, 12), (1, 2, 12)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_qsm_fit_query_takes_all_cylinders(spark):
+    from dendroframe.plans import fixtures, registry
+
+    sf = "/root/testdata/sf0.001"
+    cloud_of = sampling.noisy_cloud(fixtures.cylinders(spark, sf), mu=-6.0, sigma=0.3).withColumn("point_id", F.xxhash64("x", "y", "z")).toPandas()
+    assert cloud_of.cylinder_id.nunique() == fixtures.cylinders(spark, sf).count() == 200
+    got = registry.QUERIES["qsm_fit"](spark, sf).toPandas()
+    for tree, part in cloud_of.groupby("tree_id"):
+        fit = qsm.Fit(part.sort_values("point_id")[["x", "y", "z"]].to_numpy(), qsm.QsmParams())
+        fit.run()
+        want = fit.cylinders()
+        mine = got[got.tree_id == tree].sort_values("id")
+        assert mine[["id", "sx", "sy", "sz", "ex", "ey", "ez", "radius"]].to_numpy() == pytest.approx(want[["id", "sx", "sy", "sz", "ex", "ey", "ez", "radius"]].to_numpy())
