@@ -65,6 +65,74 @@ def dbscan_labels(dist: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
     return label
 
 
+def _in_reach(a: np.ndarray, b: np.ndarray, reach: float, near) -> bool:
+    """Whether any row of a is near any row of b: halves the wider side until the boxes settle it or few rows are left."""
+    stack = [(a, b)]
+    while stack:
+        a, b = stack.pop()
+        low_a, high_a, low_b, high_b = a.min(axis=0), a.max(axis=0), b.min(axis=0), b.max(axis=0)
+        if np.linalg.norm(np.maximum(0, np.maximum(low_a - high_b, low_b - high_a))) > reach * (1 + 1e-9):
+            continue
+        if len(a) * len(b) <= 20_000 or max((high_a - low_a).max(), (high_b - low_b).max()) == 0:
+            if len(a) * len(b) > 20_000:  # each side is one place
+                a, b = a[:1], b[:1]
+            if near(a, b).any():
+                return True
+            continue
+        if len(a) == 1 or (len(b) > 1 and (high_b - low_b).max() > (high_a - low_a).max()):
+            a, b, low_a, high_a = b, a, low_b, high_b
+        k = int((high_a - low_a).argmax())
+        left = a[:, k] <= (low_a[k] + high_a[k]) / 2
+        if left.all():  # numbers too close to halve
+            left = np.arange(len(a)) < len(a) // 2
+        stack += [(a[left], b), (a[~left], b)]
+    return False
+
+
+def dbscan_points(x: np.ndarray, eps: float, min_samples: int, angular: bool = False) -> np.ndarray:
+    """The labels of dbscan_labels over all rows of x, without the matrix of their distances. angular: rows are directions, eps an angle (radians, below a half turn).
+
+    Points of one cell are all in reach of each other, so a cell with min_samples points has core points only. Compared
+    point by point are only the others, and cells that are not connected yet.
+    """
+    n = len(x)
+    if n <= 1000:
+        return dbscan_labels(angular_distances(x) if angular else np.linalg.norm(x[:, None] - x[None], axis=2), eps, min_samples)
+    if angular:
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    reach = 2 * np.sin(min(eps, np.pi) / 2) if angular else eps
+    near = lambda a, b: (np.arccos(np.clip(a @ b.T, -1, 1)) if angular else np.linalg.norm(a[:, None] - b[None], axis=2)) <= eps
+    keys, cell, size = np.unique(np.floor(x / (max(reach, 1e-12) / np.sqrt(3) * 0.999)).astype(np.int64), axis=0, return_inverse=True, return_counts=True)
+    cell = cell.ravel()
+    members = np.split(np.argsort(cell, kind="stable"), np.cumsum(size)[:-1])
+    around = [np.flatnonzero((np.abs(keys - k) <= 2).all(axis=1)) for k in keys]  # these hold all points in reach
+    core = size[cell] >= min_samples
+    for c in np.flatnonzero(size < min_samples):
+        others = np.concatenate([members[o] for o in around[c]])
+        core[members[c]] = [near(x[i : i + 1], x[others]).sum() >= min_samples for i in members[c]]
+    held = [m[core[m]] for m in members]
+    up = np.arange(len(keys))
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    for c, others in enumerate(around):
+        for o in others:
+            if o > c and len(held[c]) and len(held[o]) and (a := root(c)) != (b := root(o)) and _in_reach(x[held[c]], x[held[o]], reach, near):
+                up[max(a, b)] = min(a, b)
+    roots = np.array([root(c) for c in range(len(keys))])[cell]
+    label, first = np.full(n, -1), {}
+    inner = np.flatnonzero(core)
+    label[inner] = [first.setdefault(r, len(first)) for r in roots[inner].tolist()]
+    for i in np.flatnonzero(~core):
+        others = np.concatenate([held[o] for o in around[cell[i]]])
+        hit = others[near(x[i : i + 1], x[others])[0]]
+        label[i] = label[hit].min() if len(hit) else -1
+    return label
+
+
 def agglomerative_labels(dist: np.ndarray, threshold: float, linkage: str = "average", least: int = 1) -> np.ndarray:
     """Bottom-up merging until the closest two clusters are farther than threshold; clusters smaller than `least` become -1."""
     n = len(dist)

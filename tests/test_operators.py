@@ -209,3 +209,24 @@ def test_qsm_fit_query_takes_all_cylinders(spark):
         want = fit.cylinders()
         mine = got[got.tree_id == tree].sort_values("id")
         assert mine[["id", "sx", "sy", "sz", "ex", "ey", "ez", "radius"]].to_numpy() == pytest.approx(want[["id", "sx", "sy", "sz", "ex", "ey", "ez", "radius"]].to_numpy())
+
+
+@pytest.mark.parametrize("angular", [True, False])
+def test_dbscan_points_is_the_matrix_form(angular):
+    rng = np.random.default_rng(4)
+    for trial in range(12):
+        n = int(rng.integers(1001, 1300))
+        x = rng.normal(size=(n, 3)) if trial % 2 else rng.normal(size=(6, 3))[rng.integers(0, 6, n)] + rng.normal(0, rng.uniform(0.02, 0.3), (n, 3))
+        eps = [0.05, 0.15, 0.35, 1.0][trial % 4]
+        d = cluster.angular_distances(x) if angular else np.linalg.norm(x[:, None] - x[None], axis=2)
+        assert cluster.dbscan_points(x, eps, 5, angular).tolist() == cluster.dbscan_labels(d, eps, 5).tolist()
+
+
+def test_dense_shell_is_clustered_whole():
+    rng = np.random.default_rng(5)
+    ray = lambda d, n, w: np.array(d) * rng.uniform(0.31, 0.39, (n, 1)) + rng.normal(0, w, (n, 3))
+    v = np.concatenate([ray((0.0, 0, 1), 12000, 0.01), ray((1.0, 0, 0), 8, 0.005)])  # a thick branch and a thin one
+    fit = qsm.Fit(v, qsm.QsmParams())
+    s = qsm.Sphere(np.zeros(3), 0.4, 0.1, 0.1, 0, np.array([0.0, 0, 1]))
+    groups = fit.shell_groups(s, np.arange(len(v)))
+    assert [g.tolist() for g in groups] == [list(range(12000)), list(range(12000, 12008))]
