@@ -34,24 +34,30 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7919), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float, min_pages: int) -> DataFrame:
-    """Columns host and bad: the keys of each host's boilerplate lines. A host has at most (mean lines of a page / ratio) of them, however many pages it has."""
+def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float, min_pages: int, content: Column | None = None) -> DataFrame:
+    """Columns host and bad: the keys of each host's boilerplate lines. A host has at most (mean lines of a page / ratio) of them, however many pages it has. With content, rows of a host with equal content are one page (null: pages of their own)."""
     keys = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: _key(F.trim(x)))
-    marked = pages.select(host.alias("host"), F.array_distinct(keys).alias("keys"))
-    counts = marked.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    totals = pages.groupBy(host.alias("h")).agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= min_pages)  # reads the host's column only
+    if content is None:
+        held = pages.select(host.alias("host"), F.explode(F.array_distinct(keys)).alias("key"))
+        totals = pages.groupBy(host.alias("h")).agg(F.count(F.lit(1)).alias("total"))  # reads the host's column only
+    else:
+        held = pages.select(host.alias("host"), _key(content).alias("page"), F.explode(F.array_distinct(keys)).alias("key")).distinct()
+        each = pages.groupBy(host.alias("h"), F.when(content.isNotNull(), _key(content)).alias("page")).agg(F.count(F.lit(1)).alias("rows"))
+        totals = each.groupBy("h").agg(F.sum(F.when(F.col("page").isNull(), F.col("rows")).otherwise(1)).alias("total"))
+    counts = held.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    totals = totals.filter(F.col("total") >= min_pages)
     over = counts.join(totals, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > F.lit(ratio) * F.col("total"))
     return over.groupBy("host").agg(F.collect_list("key").alias("bad"))
 
 
-def line_dedup(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.1, min_pages: int = 5, out: str = "text", counts: bool = True) -> DataFrame:
+def line_dedup(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.1, min_pages: int = 5, out: str = "text", counts: bool = True, content: Column | None = None) -> DataFrame:
     """The pages with column out: the lines that stay, joined by newlines (null where lines is null); with counts also n_lines and n_dropped.
 
     The text is never shuffled by line: only 16-byte keys are, after a partial count. What is joined to the pages is one row per host.
     """
     mark = "_line_dedup"
     held = pages.select("*", F.struct(host.alias("host"), lines.alias("lines")).alias(mark))
-    bad = boilerplate(pages, host, lines, ratio, min_pages).select(F.col("host").alias(f"{mark}_h"), F.col("bad").alias(f"{mark}_bad"))
+    bad = boilerplate(pages, host, lines, ratio, min_pages, content).select(F.col("host").alias(f"{mark}_h"), F.col("bad").alias(f"{mark}_bad"))
     joined = held.join(bad, F.col(f"{mark}.host").eqNullSafe(F.col(f"{mark}_h")), "left")
     all_lines = F.col(f"{mark}.lines")
     kept = F.when(F.col(f"{mark}_bad").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(f"{mark}_bad"), _key(F.trim(x)))))
@@ -67,9 +73,12 @@ def line_dedup(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.1
 
 
 def dedup_documents(docs: DataFrame, ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """The documents with boilerplate lines of their source taken out of the text and n_chars set anew; the columns stay as they are. Documents whose lines all go keep an empty text."""
+    """The documents with boilerplate lines of their source taken out of the text and n_chars set anew; the columns stay as they are. Documents whose lines all go keep an empty text.
+
+    Copies of one text count as one page, or a source's larger groups of copies would lose all their lines.
+    """
     checked(docs, {"text": "text", "source": "source"})
-    out = line_dedup(docs, F.col("source"), F.split(F.col("text"), "\n"), ratio, min_pages, counts=False)
+    out = line_dedup(docs, F.col("source"), F.split(F.col("text"), "\n"), ratio, min_pages, counts=False, content=F.col("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

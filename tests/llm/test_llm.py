@@ -61,6 +61,18 @@ def test_line_dedup_edges(spark, odd):
     assert line_dedup.dedup_documents(odd.limit(0)).count() == 0
 
 
+def test_copies_of_a_text_are_one_page(spark):
+    own = lambda i: "menu\n" + f"own {i}"
+    texts = [own(i) for i in range(10)] + ["first of all\nsecond of all"] * 8 + [None] * 3
+    got = {r.doc_id: r.text for r in line_dedup.dedup_documents(docs_of(spark, texts)).collect()}
+    assert got == {**{i: f"own {i}" for i in range(10)}, **{i: "first of all\nsecond of all" for i in range(10, 18)}, 18: None, 19: None, 20: None}
+    # shares are of distinct texts (nulls are pages of their own): 2 of 20 is at the ratio, 2 of 19 above it
+    for nulls, kept in ((5, True), (4, False)):
+        texts = ["twice\na", "twice\nb"] + ["same"] * 6 + [f"x {i}" for i in range(12)] + [None] * nulls
+        got = {r.doc_id: r.text for r in line_dedup.dedup_documents(docs_of(spark, texts)).collect()}
+        assert (got[0] == "twice\na") == kept and got[2] == "same", nulls
+
+
 def test_host_of(spark):
     df = spark.createDataFrame([("https://u@WWW.A.com:80/x?y",), ("http://m.b.org#z",), ("nothing",), (None,)], "u string")
     assert [r[0] for r in df.select(line_dedup.host_of(F.col("u"))).collect()] == ["a.com", "m.b.org", None, None]
