@@ -39,6 +39,8 @@ BUCKET_BLOCK, GROUP_BLOCK = 128, 128
 COMPARED = 4096
 #: Pairs of descriptors that are compared at once.
 PAIRS = 1_000_000
+#: Pairs of corners, or of matches, that are held at once.
+CELLS = 1_000_000
 #: One corner, packed: x and y in sixteenths of a pixel, log2 of its scale, angle in 256ths of a turn, descriptor.
 _ROW = np.dtype([("x", "<u2"), ("y", "<u2"), ("s", "u1"), ("a", "u1"), ("d", "<u8", (BITS // 64,))])
 _HEAD = _ROW.itemsize - BITS // 8
@@ -199,12 +201,50 @@ def corners(images: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate(f) if f else np.zeros(0, _ROW) for f in found]
 
 
+def _mutual(one: np.ndarray, pad: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each image and each of one's corners the nearest of its corners, and whether that is a match (mutually nearest and near enough)."""
+    n, most = len(one), pad.shape[1]
+    near, least = np.zeros((len(pad), n), int), np.zeros((len(pad), n), np.int16)
+    back, best = np.zeros((len(pad), most), int), np.full((len(pad), most), 9999, np.int16)
+    step = max(1, CELLS // (len(pad) * most))
+    for a in range(0, n, step):
+        far = np.bitwise_count(one["d"][None, a : a + step, None, :] ^ pad["d"][:, None, :, :]).sum(axis=3).astype(np.int16)
+        far = np.where(real[:, None, :], far, 999)  # images x one's corners x theirs
+        near[:, a : a + step], least[:, a : a + step] = far.argmin(axis=2), far.min(axis=2)
+        low = far.min(axis=1)
+        back = np.where(low < best, far.argmin(axis=1) + a, back)
+        best = np.minimum(low, best)
+    return near, (least <= MATCH_BITS) & (np.take_along_axis(back, near, 1) == np.arange(n))
+
+
+def _agreeing(frm: tuple[np.ndarray, ...], to: tuple[np.ndarray, ...], ok: np.ndarray) -> np.ndarray:
+    """The most matches (images x matches) that one of them, taken as the shift, turn and scale, explains; errors are allowed by distances in the first frame."""
+    (ox, oy, osc, oa), (bx, by, bs, ba) = frm, to
+    ds, da = bs - osc, ba - oa
+    f = np.exp2(ds)
+    c, s = (f * g(da) for g in (np.cos, np.sin))
+    out, step = np.zeros(len(ok), int), max(1, CELLS // max(1, ok.size))
+    for a in range(0, ok.shape[1], step):
+        at = slice(a, a + step)
+        vx, vy = ox[:, None, :] - ox[:, at, None], oy[:, None, :] - oy[:, at, None]  # from hypothesis l to match k
+        px = bx[:, at, None] + c[:, at, None] * vx - s[:, at, None] * vy
+        py = by[:, at, None] + s[:, at, None] * vx + c[:, at, None] * vy
+        room = TOLERANCE_PX + 0.08 * np.hypot(vx, vy)  # an angle is known to a few degrees only
+        turn = np.abs((da[:, at, None] - da[:, None, :] + np.pi) % (2 * np.pi) - np.pi)
+        fits = (np.hypot(px - bx[:, None, :], py - by[:, None, :]) <= room) & (turn <= np.pi / 9) & (np.abs(ds[:, at, None] - ds[:, None, :]) < 0.5)
+        out = np.maximum(out, (fits & ok[:, at, None] & ok[:, None, :]).sum(axis=2).max(axis=1, initial=0))
+    return out
+
+
 def consensus(one: np.ndarray, rest: list[np.ndarray]) -> np.ndarray:
-    """For each of `rest` the most matches with `one` that agree on a shift, turn and scale."""
+    """For each of `rest` the most matches with `one` that agree on a shift, turn and scale, seen from either image: the same for both orders."""
     out = np.zeros(len(rest), int)
     if not len(one) or not rest:
         return out
     most = max(map(len, rest))
+    step = max(1, CELLS // (len(one) * max(1, most)))
+    if step < len(rest):
+        return np.concatenate([consensus(one, rest[a : a + step]) for a in range(0, len(rest), step)])
     if not most:
         return out
     pad = np.zeros((len(rest), most), _ROW)
@@ -212,28 +252,15 @@ def consensus(one: np.ndarray, rest: list[np.ndarray]) -> np.ndarray:
     for i, r in enumerate(rest):
         pad[i, : len(r)] = r
         real[i, : len(r)] = True
-    far = np.bitwise_count(one["d"][None, :, None, :] ^ pad["d"][:, None, :, :]).sum(axis=3).astype(np.int16)
-    far = np.where(real[:, None, :], far, 999)  # images x one's corners x theirs
-    near = far.argmin(axis=2)
-    back = far.argmin(axis=1)
-    k = np.arange(len(one))
-    ok = (np.take_along_axis(far, near[:, :, None], 2)[:, :, 0] <= MATCH_BITS) & (np.take_along_axis(back, near, 1) == k)
+    near, ok = _mutual(one, pad, real)
     rows = np.flatnonzero(ok.sum(axis=1) >= MIN_INLIERS)
     if not len(rows):
         return out
     near, ok = near[rows], ok[rows]
-    ox, oy, osc, oa = _numbers(one)
-    bx, by, bs, ba = _numbers(np.take_along_axis(pad[rows], near, 1))
-    ds, da = bs - osc, ba - oa
-    f = np.exp2(ds)
-    c, s = f * np.cos(da), f * np.sin(da)
-    vx, vy = ox[None, :] - ox[:, None], oy[None, :] - oy[:, None]  # from hypothesis l to match k
-    px = bx[:, :, None] + c[:, :, None] * vx - s[:, :, None] * vy
-    py = by[:, :, None] + s[:, :, None] * vx + c[:, :, None] * vy
-    room = TOLERANCE_PX + 0.08 * np.hypot(vx, vy)  # an angle is known to a few degrees only
-    turn = np.abs((da[:, :, None] - da[:, None, :] + np.pi) % (2 * np.pi) - np.pi)
-    fits = (np.hypot(px - bx[:, None, :], py - by[:, None, :]) <= room) & (turn <= np.pi / 9) & (np.abs(ds[:, :, None] - ds[:, None, :]) < 0.5)
-    out[rows] = (fits & ok[:, :, None] & ok[:, None, :]).sum(axis=2).max(axis=1)
+    held = np.argsort(~ok, axis=1, kind="stable")[:, : ok.sum(axis=1).max()]  # matches only
+    ok = np.take_along_axis(ok, held, 1)
+    mine, theirs = _numbers(one[held]), _numbers(np.take_along_axis(pad[rows], np.take_along_axis(near, held, 1), 1))
+    out[rows] = np.maximum(_agreeing(mine, theirs, ok), _agreeing(theirs, mine, ok))
     return out
 
 
@@ -362,7 +389,7 @@ def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media")
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["u", "v"])
 
     order = ["lead", "n", "bi", "bj"]
-    units = spread.repartition(*order).sortWithinPartitions(*order).select(*order, "g", "points")
+    units = spread.repartition(*order).sortWithinPartitions(*order, "g").select(*order, "g", "points")
     groups = components(units.mapInArrow(meet, "u binary, v binary"), "media-candidates")
     groups = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
@@ -375,7 +402,9 @@ def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media")
         for (_, bi, bj), rows in _grouped(batches, 3):
             node, points = [r[0] for r in rows], [_unpack(r[4]) for r in rows]
             copies, own = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            link = np.stack([consensus(p, points) for p in points]) >= MIN_INLIERS
+            link = np.zeros((len(points), len(points)), bool)
+            for i, p in enumerate(points):
+                link[i, i + 1 :] = consensus(p, points[i + 1 :]) >= MIN_INLIERS
             link |= link.T
             np.fill_diagonal(link, False)
             root = _local_roots(link)

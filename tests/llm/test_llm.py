@@ -186,6 +186,24 @@ def test_media_large_buckets(spark, monkeypatch, compared):
     assert got == {i: (i // 10 * 10, 5) for i, _ in rows}
 
 
+def test_media_links_hold_in_either_direction(monkeypatch):
+    rng = np.random.default_rng(0)
+    one = np.zeros(10, media._ROW)
+    one["d"] = rng.integers(0, 2**63, (10, 4), dtype=np.uint64)
+    at = rng.uniform(20, 100, (10, 2))
+    half = one.copy()
+    for k, c in enumerate("xy"):
+        one[c] = np.rint(at[:, k] * 16)
+        half[c] = np.rint((at[:, k] / 2 + np.where(np.arange(10) % 2, 2.6, -2.6)) * 16)
+    one["s"] = 1  # the copy has half the size, and its places are off by a few pixels
+    assert media.consensus(one, [half])[0] == media.consensus(half, [one])[0] >= media.MIN_INLIERS
+    other = one.copy()
+    other["d"] = rng.integers(0, 2**63, (10, 4), dtype=np.uint64)
+    for cells in (1_000_000, 30):
+        monkeypatch.setattr(media, "CELLS", cells)
+        assert media.consensus(half, [other, one[:0], one, half]).tolist()[:2] == [0, 0] and media.consensus(half, [other, one, half])[1:].min() >= media.MIN_INLIERS
+
+
 # -- token counts
 
 
