@@ -1,7 +1,7 @@
 """Media columns: cropped or edited copies of images, found by local descriptors.
 
-Corners are taken at two scales; each gets an orientation (its patch's intensity centroid) and 256 binary brightness tests
-turned by it. Tables keyed by 40-bit parts of the descriptors bring descriptors together (two that differ in up to 5 bits
+All corners of the whole image are taken, at full size and at every halving of it that is large enough for a patch; each gets an orientation (its patch's intensity centroid) and 256 binary brightness tests
+turned by it. Tables keyed by 32-bit parts of the descriptors bring descriptors together (two that differ in up to 7 bits
 share a part; a pair of images has many), and those at most 24 bits apart bring their images together. Whether two images
 are linked is decided by geometry: matches (mutually nearest, 24 bits apart at most) must agree on one shift, turn and scale,
 MIN_INLIERS of them at least.
@@ -29,11 +29,11 @@ from pyspark.sql import types as T
 from .common import dealt, materialize
 from .ngram_join import _grouped, _local_roots, components
 
-POINTS = (12, 8)  # corners at full and at half size
-BITS, PARTS, PART_BYTES = 256, 6, 5
+BITS, PARTS, PART_BYTES = 256, 8, 4
 MATCH_BITS, MIN_INLIERS, TOLERANCE_PX = 24, 6, 3.0
 RADIUS, TURNS = 8, 30
-LONGEST_SIDE = 128
+#: Pixels whose corners are sought at once (one image at least), and corners that are described at once.
+PIXELS, DESCRIBED = 1_100_000, 20_000
 BUCKET_BLOCK, GROUP_BLOCK = 128, 128
 #: Descriptors of a bucket that are compared as a whole in one task. Larger buckets are not thinned out: all their images meet, block by block.
 COMPARED = 4096
@@ -41,14 +41,15 @@ COMPARED = 4096
 PAIRS = 1_000_000
 #: Pairs of corners, or of matches, that are held at once.
 CELLS = 1_000_000
-#: One corner, packed: x and y in sixteenths of a pixel, log2 of its scale, angle in 256ths of a turn, descriptor.
+#: One corner, packed: x and y in pixels of its own scale, log2 of that scale, angle in 256ths of a turn, descriptor.
 _ROW = np.dtype([("x", "<u2"), ("y", "<u2"), ("s", "u1"), ("a", "u1"), ("d", "<u8", (BITS // 64,))])
 _HEAD = _ROW.itemsize - BITS // 8
 
 
 def _numbers(rows: np.ndarray) -> tuple[np.ndarray, ...]:
     """x, y, log2 scale and angle (radians) as floats."""
-    return rows["x"] / np.float32(16), rows["y"] / np.float32(16), rows["s"].astype(np.float32), rows["a"] * np.float32(2 * np.pi / 256)
+    unit = np.exp2(rows["s"].astype(np.float32))
+    return (rows["x"] + np.float32(0.5)) * unit, (rows["y"] + np.float32(0.5)) * unit, rows["s"].astype(np.float32), rows["a"] * np.float32(2 * np.pi / 256)
 
 
 def decode(raw: bytes | None) -> np.ndarray | None:
@@ -118,15 +119,6 @@ def _png(raw: bytes) -> np.ndarray | None:
     return x[..., : 3 if c >= 3 else 1].mean(axis=2)
 
 
-def _fit_size(img: np.ndarray) -> np.ndarray:
-    """Whole-number shrinking by means until the longer side fits."""
-    k = -(-max(img.shape) // LONGEST_SIDE)
-    if k == 1:
-        return img
-    h, w = (x // k * k for x in img.shape)
-    return img[:h, :w].reshape(h // k, k, w // k, k).mean(axis=(1, 3)) if h and w else img[:LONGEST_SIDE, :LONGEST_SIDE]
-
-
 def _box(x: np.ndarray, r: int) -> np.ndarray:
     """Means over squares of side 2r+1, edges repeated."""
     for axis in (1, 2):
@@ -150,14 +142,30 @@ def _tests() -> np.ndarray:
     return np.stack(out)
 
 
+def _described(smooth: np.ndarray, img: np.ndarray, ys: np.ndarray, xs: np.ndarray, scale: int) -> np.ndarray:
+    """_ROW of corners at the given places of smoothed images."""
+    h, w = smooth.shape[1:]
+    span = np.arange(-RADIUS, RADIUS + 1)
+    dy, dx = (v.ravel() for v in np.meshgrid(span, span, indexing="ij"))
+    disc = dy**2 + dx**2 <= RADIUS**2
+    dy, dx = dy[disc], dx[disc]
+    patch = smooth[img[:, None], np.clip(ys[:, None] + dy, 0, h - 1), np.clip(xs[:, None] + dx, 0, w - 1)]
+    angle = np.arctan2((patch * dy).sum(axis=1), (patch * dx).sum(axis=1))
+    t = _tests()[np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS]
+    at = lambda k: smooth[img[:, None], np.clip(ys[:, None] + t[..., k], 0, h - 1), np.clip(xs[:, None] + t[..., k + 1], 0, w - 1)]
+    rows = np.zeros(len(img), _ROW)
+    rows["x"], rows["y"], rows["s"] = xs, ys, scale
+    rows["a"] = np.rint(angle / (2 * np.pi) * 256).astype(int) % 256
+    rows["d"] = np.packbits(at(0) < at(2), axis=1).view("<u8")
+    return rows
+
+
 def corners(images: np.ndarray) -> list[np.ndarray]:
     """The corners of images of one size, each as an array of _ROW. A response that is not above a hundredth of the image's largest does not count; ties go to the upper, then the left one."""
     found: list[list[np.ndarray]] = [[] for _ in images]
-    level = images
-    for scale, most in enumerate(POINTS):
+    level, scale = images, 0
+    while min(level.shape[1:]) >= 2 * RADIUS + 8:
         n, h, w = level.shape
-        if min(h, w) < 2 * RADIUS + 8:
-            break
         smooth = _box(level, 1)
         gy, gx = np.gradient(smooth, axis=(1, 2))
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
@@ -175,29 +183,11 @@ def corners(images: np.ndarray) -> list[np.ndarray]:
         img, ys, xs = np.nonzero(peak)
         order = np.lexsort((xs, ys, -inner[img, ys, xs], img))
         img, ys, xs = img[order], ys[order], xs[order]
-        place = np.arange(len(img)) - np.searchsorted(img, img)
-        keep = place < most
-        img, ys, xs = img[keep], ys[keep], xs[keep]
-        if len(img):
-            span = np.arange(-RADIUS, RADIUS + 1)
-            dy, dx = (v.ravel() for v in np.meshgrid(span, span, indexing="ij"))
-            disc = dy**2 + dx**2 <= RADIUS**2
-            dy, dx = dy[disc], dx[disc]
-            patch = smooth[img[:, None], np.clip(ys[:, None] + dy, 0, h - 1), np.clip(xs[:, None] + dx, 0, w - 1)]
-            angle = np.arctan2((patch * dy).sum(axis=1), (patch * dx).sum(axis=1))
-            t = _tests()[np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS]
-            soft = _box(level, 1)
-            at = lambda k: soft[img[:, None], np.clip(ys[:, None] + t[..., k], 0, h - 1), np.clip(xs[:, None] + t[..., k + 1], 0, w - 1)]
-            bits = np.packbits(at(0) < at(2), axis=1)
-            rows = np.zeros(len(img), _ROW)
-            rows["x"], rows["y"] = (xs + 0.5) * 2**scale * 16, (ys + 0.5) * 2**scale * 16
-            rows["s"], rows["a"] = scale, np.rint(angle / (2 * np.pi) * 256).astype(int) % 256
-            rows["d"] = bits.view("<u8")
-            for i, part in zip(*np.unique(img, return_index=True)):
-                end = np.searchsorted(img, i, side="right")
-                found[i].append(rows[part:end])
+        rows = np.concatenate([_described(smooth, img[a : a + DESCRIBED], ys[a : a + DESCRIBED], xs[a : a + DESCRIBED], scale) for a in range(0, len(img), DESCRIBED)] or [np.zeros(0, _ROW)])
+        for i, part in zip(*np.unique(img, return_index=True)):
+            found[i].append(rows[part : np.searchsorted(img, i, side="right")])
         h2, w2 = h // 2 * 2, w // 2 * 2
-        level = level[:, :h2, :w2].reshape(n, h2 // 2, 2, w2 // 2, 2).mean(axis=(2, 4))
+        level, scale = level[:, :h2, :w2].reshape(n, h2 // 2, 2, w2 // 2, 2).mean(axis=(2, 4)), scale + 1
     return [np.concatenate(f) if f else np.zeros(0, _ROW) for f in found]
 
 
@@ -272,7 +262,14 @@ def describe(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                digest, points, shapes = [], [b""] * part.num_rows, {}
+                digest, points, shapes, held = [], [b""] * part.num_rows, {}, 0
+
+                def flush():
+                    for some in shapes.values():
+                        for (i, _), rows in zip(some, corners(np.stack([x for _, x in some]))):
+                            points[i] = rows.tobytes()
+                    shapes.clear()
+
                 for i, raw in enumerate(part.column(1)):
                     raw = raw.as_py()
                     img = decode(raw)
@@ -280,11 +277,12 @@ def describe(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
                         digest.append(None if raw is None else b"?" + hashlib.blake2b(raw, digest_size=15).digest())
                         continue
                     digest.append(hashlib.blake2b(f"{img.shape}".encode() + img.tobytes(), digest_size=16).digest())
-                    small = _fit_size(img)
-                    shapes.setdefault(small.shape, []).append((i, small))
-                for held in shapes.values():
-                    for (i, _), rows in zip(held, corners(np.stack([x for _, x in held]))):
-                        points[i] = rows.tobytes()
+                    if held + img.size > PIXELS:
+                        flush()
+                        held = 0
+                    shapes.setdefault(img.shape, []).append((i, img))
+                    held += img.size
+                flush()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(points, pa.binary())], names=["id", "g", "points"])
 
     return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, schema)
@@ -295,10 +293,10 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _keys(reps: DataFrame) -> DataFrame:
-    """g, key, i: the 40-bit parts of an image's descriptors, with the number of the corner, from the packed corners."""
+    """g, key, i: the 32-bit parts of an image's descriptors, with the number of the corner, from the packed corners."""
     size, at, width = _ROW.itemsize, _HEAD, PART_BYTES
     n = F.floor(F.length("points") / size).cast("int")
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.struct(F.xxhash64(p, F.substring(F.col("points"), i * size + at + p * width + 1, F.lit(width))).alias("key"), i.cast("short").alias("i")))))
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.struct(F.xxhash64(p, F.substring(F.col("points"), i * size + at + p * width + 1, F.lit(width))).alias("key"), i.alias("i")))))
     return reps.filter(n > 0).select("g", F.explode(parts).alias("x")).select("g", "x.key", "x.i")
 
 

@@ -193,8 +193,8 @@ def test_media_links_hold_in_either_direction(monkeypatch):
     at = rng.uniform(20, 100, (10, 2))
     half = one.copy()
     for k, c in enumerate("xy"):
-        one[c] = np.rint(at[:, k] * 16)
-        half[c] = np.rint((at[:, k] / 2 + np.where(np.arange(10) % 2, 2.6, -2.6)) * 16)
+        one[c] = np.rint(at[:, k] / 2)
+        half[c] = np.rint(at[:, k] / 2 + np.where(np.arange(10) % 2, 2.6, -2.6))
     one["s"] = 1  # the copy has half the size, and its places are off by a few pixels
     assert media.consensus(one, [half])[0] == media.consensus(half, [one])[0] >= media.MIN_INLIERS
     other = one.copy()
@@ -204,6 +204,18 @@ def test_media_links_hold_in_either_direction(monkeypatch):
         assert media.consensus(half, [other, one[:0], one, half]).tolist()[:2] == [0, 0] and media.consensus(half, [other, one, half])[1:].min() >= media.MIN_INLIERS
 
 
+def test_media_takes_all_corners_of_large_images():
+    rng = np.random.default_rng(6)
+    big = np.kron(rng.integers(0, 256, (60, 60)), np.ones((8, 8))).astype(np.float32)  # 480 x 480
+    (whole,) = media.corners(big[None])
+    assert len(whole) > 500 and set(whole["s"]) == {0, 1, 2, 3, 4}
+    for part in (big[100:220, 200:320], big[240:480, 0:240]):  # a sixteenth, a quarter of the area
+        (rows,) = media.corners(part[None])
+        assert media.consensus(rows, [whole])[0] > 20
+    starts = [p * media.PART_BYTES for p in range(media.PARTS)] if not hasattr(media, "STARTS") else media.STARTS
+    assert {s + k for s in starts for k in range(media.PART_BYTES)} == set(range(32))  # every bit has a key
+
+
 # -- token counts
 
 
