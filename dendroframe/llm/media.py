@@ -1,7 +1,7 @@
 """Media columns: cropped or edited copies of images, found by local descriptors.
 
 All corners of the whole image are taken, at full size and at every halving of it that is large enough for a patch; each gets an orientation (its patch's intensity centroid) and 256 binary brightness tests
-turned by it. Tables keyed by 32-bit parts of the descriptors bring descriptors together (two that differ in up to 7 bits
+turned by it. Tables keyed by eleven 24-bit parts of the descriptors bring descriptors together (two that differ in up to 9 bits
 share a part; a pair of images has many), and those at most 24 bits apart bring their images together. Whether two images
 are linked is decided by geometry: matches (mutually nearest, 24 bits apart at most) must agree on one shift, turn and scale,
 MIN_INLIERS of them at least.
@@ -29,13 +29,15 @@ from pyspark.sql import types as T
 from .common import dealt, materialize
 from .ngram_join import _grouped, _local_roots, components
 
-BITS, PARTS, PART_BYTES = 256, 8, 4
+BITS, PART_BYTES = 256, 3
+#: First bytes of the keyed parts: together they hold all bits. Two descriptors with 24 of 256 bits apart, evenly spread, share a part in about 62 % of cases, so six such matches bring their images together in more than 99 %.
+STARTS = (0, 3, 6, 9, 12, 15, 18, 21, 24, 27, 29)
 MATCH_BITS, MIN_INLIERS, TOLERANCE_PX = 24, 6, 3.0
 RADIUS, TURNS = 8, 30
 #: Pixels whose corners are sought at once (one image at least), and corners that are described at once.
 PIXELS, DESCRIBED = 1_100_000, 20_000
 BUCKET_BLOCK, GROUP_BLOCK = 128, 128
-#: Descriptors of a bucket that are compared as a whole in one task. Larger buckets are not thinned out: all their images meet, block by block.
+#: Rows of a block of descriptors of one bucket. Larger buckets are dealt out as pairs of blocks, under the same rule.
 COMPARED = 4096
 #: Pairs of descriptors that are compared at once.
 PAIRS = 1_000_000
@@ -293,11 +295,12 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _keys(reps: DataFrame) -> DataFrame:
-    """g, key, i: the 32-bit parts of an image's descriptors, with the number of the corner, from the packed corners."""
-    size, at, width = _ROW.itemsize, _HEAD, PART_BYTES
+    """key, g, d: an image's descriptors, once for each of their parts; key is made of the part's place and its bits."""
+    size = _ROW.itemsize
     n = F.floor(F.length("points") / size).cast("int")
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.struct(F.xxhash64(p, F.substring(F.col("points"), i * size + at + p * width + 1, F.lit(width))).alias("key"), i.alias("i")))))
-    return reps.filter(n > 0).select("g", F.explode(parts).alias("x")).select("g", "x.key", "x.i")
+    words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("points"), i * size + _HEAD + 1, F.lit(BITS // 8)))
+    each = reps.filter(n > 0).select("g", F.explode(F.array_distinct(words)).alias("d"))
+    return each.select(F.explode(F.array(*(F.xxhash64(F.lit(s), F.substring("d", s + 1, PART_BYTES)) for s in STARTS))).alias("key"), "g", "d")
 
 
 def near_rows(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -353,21 +356,19 @@ def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media")
     all_rows = materialize(describe(media, id_col, media_col), "media-points")
     reps = materialize(all_rows.filter("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("copies"), F.min("points").alias("points")), "media-reps")
     keys = _keys(reps)
-    busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("g").alias("lead"), F.max("g").alias("last")).filter("lead <> last").select("key", "lead", "c")
-    met = materialize(keys.join(busy, "key"), "media-met")
     # In a bucket, only descriptors that are near as a whole bring images together. Groups with the same least image are taken as one, so an image goes to few units, not once per key.
-    descriptor = F.substring(F.col("points"), F.col("i") * _ROW.itemsize + _HEAD + 1, F.lit(BITS // 8))
-    some = met.filter(F.col("c") <= COMPARED).join(reps.select("g", "points"), "g").select("key", "g", descriptor.alias("d"))
-    near = some.repartition("key").sortWithinPartitions("key", "g").mapInArrow(_near_groups, "lead binary, g binary").select("lead", F.lit(0).alias("n"), "g")
-    blocks = F.ceil(F.log2(F.col("c") / COMPARED)).cast("int")
-    near = near.union(met.filter(F.col("c") > COMPARED).select("lead", blocks, "g")).distinct()
-    near = materialize(near.union(near.select("lead", "n", "lead")).distinct(), "media-near")
-    units_of = near.groupBy("lead", "n").agg(F.count(F.lit(1)).alias("c"))
-    spread = dealt(near.join(units_of, ["lead", "n"]), "c", "g", BUCKET_BLOCK)
-    spread = spread.select("lead", "n", "bi", "bj", "g").join(reps.select("g", "points"), "g")
+    large = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > COMPARED)
+    met = dealt(keys.join(large, "key", "left").withColumn("c", F.coalesce("c", F.lit(1))), "c", F.struct("g", "d"), COMPARED)
+    unit = F.when(F.col("c") <= COMPARED, F.col("key")).otherwise(F.xxhash64("key", "bi", "bj")).alias("unit")
+    met = met.select(unit, "g", "d").repartition("unit").sortWithinPartitions("unit", "g")
+    near = met.mapInArrow(_near_groups, "lead binary, g binary").distinct()
+    near = materialize(near.union(near.select("lead", "lead")).distinct(), "media-near")
+    units_of = near.groupBy("lead").agg(F.count(F.lit(1)).alias("c"))
+    spread = dealt(near.join(units_of, "lead"), "c", "g", BUCKET_BLOCK)
+    spread = spread.select("lead", "bi", "bj", "g").join(reps.select("g", "points"), "g")
 
     def meet(batches):
-        for _, rows in _grouped(batches, 4):
+        for _, rows in _grouped(batches, 3):
             g, points = [r[0] for r in rows], [_unpack(r[1]) for r in rows]
             left, out = list(range(1, len(rows))), ([], [])
             root, queue = 0, [0]
@@ -386,7 +387,7 @@ def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media")
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["u", "v"])
 
-    order = ["lead", "n", "bi", "bj"]
+    order = ["lead", "bi", "bj"]
     units = spread.repartition(*order).sortWithinPartitions(*order, "g").select(*order, "g", "points")
     groups = components(units.mapInArrow(meet, "u binary, v binary"), "media-candidates")
     groups = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())

@@ -212,8 +212,22 @@ def test_media_takes_all_corners_of_large_images():
     for part in (big[100:220, 200:320], big[240:480, 0:240]):  # a sixteenth, a quarter of the area
         (rows,) = media.corners(part[None])
         assert media.consensus(rows, [whole])[0] > 20
-    starts = [p * media.PART_BYTES for p in range(media.PARTS)] if not hasattr(media, "STARTS") else media.STARTS
-    assert {s + k for s in starts for k in range(media.PART_BYTES)} == set(range(32))  # every bit has a key
+
+
+def test_media_tables_meet_pairs_of_few_far_matches(spark):
+    rng = np.random.default_rng(7)
+    rows = np.zeros((400, 6), media._ROW)  # pairs of images with six matches, each 24 evenly spread bits apart
+    rows["d"] = rng.integers(0, 2**63, (400, 6, 4), dtype=np.uint64)
+    for i in range(200):
+        for k in range(6):
+            rows[200 + i, k]["d"] = rows[i, k]["d"]
+            for b in rng.choice(256, media.MATCH_BITS, replace=False):
+                rows[200 + i, k]["d"][b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    df = spark.createDataFrame([(i.to_bytes(16, "big"), r.tobytes()) for i, r in enumerate(rows)], "g binary, points binary")
+    keys = media._keys(df).select("key", "g").distinct()
+    met = keys.alias("a").join(keys.alias("b"), F.expr("a.key = b.key and hex(b.g) > hex(a.g)")).select("a.g", F.col("b.g").alias("h")).distinct().collect()
+    found = sum(int.from_bytes(r.h, "big") - int.from_bytes(r.g, "big") == 200 for r in met)
+    assert found >= 196
 
 
 # -- token counts
