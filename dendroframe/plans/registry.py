@@ -334,6 +334,13 @@ def _(s, d):
     return neighbours.ball_query(p.filter("point_id % 5 = 0"), p.filter("point_id % 5 <> 0"), 1.5, 4)
 
 
+@query("ball_query_all")
+def _(s, d):
+    """Every point as a centre, against every point."""
+    p = X.points(s, d)
+    return neighbours.ball_query(p, p, 1.5, 4)
+
+
 @query("square_distances", X.sql(f"SELECT a.tree_id, a.point_id, count(*) AS n, {q('sum((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))', 4)} AS d2 FROM pts a JOIN pts b ON a.tree_id = b.tree_id GROUP BY a.tree_id, a.point_id", "pts"))
 def _(s, d):
     p = X.points(s, d)
@@ -358,6 +365,14 @@ def _(s, d):
     return rounded(qsm.sphere_assignment(p, sp, 1.0), "d")
 
 
+@query("sphere_assignment_all")
+def _(s, d):
+    """Every point as a sphere, against every point."""
+    p = X.points(s, d)
+    sp = p.select("tree_id", F.col("point_id").alias("sphere_id"), "x", "y", "z", F.lit(1.5).alias("radius"))
+    return rounded(qsm.sphere_assignment(p, sp, 1.0), "d")
+
+
 @query("anti_join_segmented", X.sql("SELECT tree_id, point_id FROM pts WHERE NOT (l0 >= l1)", "pts"))
 def _(s, d):
     p = X.points(s, d)

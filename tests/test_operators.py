@@ -230,3 +230,27 @@ def test_dense_shell_is_clustered_whole():
     s = qsm.Sphere(np.zeros(3), 0.4, 0.1, 0.1, 0, np.array([0.0, 0, 1]))
     groups = fit.shell_groups(s, np.arange(len(v)))
     assert [g.tolist() for g in groups] == [list(range(12000)), list(range(12000, 12008))]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_spheres_and_balls_over_all_points(spark):
+    from dendroframe.plans import fixtures, registry
+
+    sf = "/root/testdata/sf0.001"
+    p = fixtures.points(spark, sf).select("tree_id", "point_id", "x", "y", "z").toPandas()
+    balls = {(r.tree_id, r.point_id, r.slot): r.other_id for r in registry.QUERIES["ball_query_all"](spark, sf).collect()}
+    spheres = {(r.tree_id, r.sphere_id, r.point_id): (r.d, r.shell) for r in registry.QUERIES["sphere_assignment_all"](spark, sf).collect()}
+    want_balls, want_spheres = {}, {}
+    for tree, part in p.sort_values("point_id").groupby("tree_id"):
+        ids, v = part.point_id.tolist(), part[["x", "y", "z"]].to_numpy()
+        d = np.linalg.norm(v[:, None] - v[None], axis=2)
+        for i, a in enumerate(ids):
+            inside = [b for b, x in zip(ids, d[i]) if x <= 1.5]
+            for slot in range(4):
+                want_balls[tree, a, slot] = inside[slot] if slot < len(inside) else inside[0]
+            for b, x in zip(ids, d[i]):
+                if x <= 1.5:
+                    want_spheres[tree, a, b] = (x, x > 0.5)
+    assert balls == want_balls and {k[1] for k in balls} == set(p.point_id)
+    assert spheres.keys() == want_spheres.keys() and {k[1] for k in spheres} == set(p.point_id)
+    assert all(spheres[k][0] == pytest.approx(x, abs=1e-6) and spheres[k][1] == shell for k, (x, shell) in want_spheres.items())
