@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -52,7 +53,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize() wrote for df; for rounds of a loop that a later round, written itself, replaces."""
+    global _made
+    path = df.written_to
+    old, _made = [m for m in _made if m[1] == path], [m for m in _made if m[1] != path]
+    for spark, path in old:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, or a longer one if a column of the table begins with it (in any case): for columns that a table is given for a while."""
+    low = [c.lower() for c in columns]
+    while any(c.startswith(name.lower()) for c in low):
+        name += "_"
+    return name
 
 
 def checked(df: DataFrame, needed: dict[str, str]) -> None:
@@ -95,6 +116,18 @@ def text_slices(batch: pa.RecordBatch, column: int, limit: int):
     pa.default_memory_pool().release_unused()  # workers are used again by later stages
 
 
+_BREAK = re.compile("[ \n]")
+
+
+def segments(text: str, limit: int) -> list[str]:
+    """The text in parts of about `limit` characters, each ending before a blank or a line break (where there is none, it goes on), so that a very long text's words need not all be Python objects at a time."""
+    out, a = [], 0
+    while len(text) - a > limit and (found := _BREAK.search(text, a + limit)):
+        out.append(text[a : found.start()])
+        a = found.start()
+    return [*out, text[a:]] if a else [text]
+
+
 def ragged_take(starts: np.ndarray, lens: np.ndarray, values: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenates values[starts[i]:starts[i]+lens[i]] for i in idx; also returns the lengths taken."""
     took = lens[idx]
