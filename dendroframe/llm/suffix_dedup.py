@@ -9,11 +9,13 @@ Removing what an earlier match covers keeps first copies; the matches themselves
 
 Minimisers with many different strings are not gathered: their strings meet as pairs of blocks. That work grows with the
 square of their number, so beyond PAIRED strings windows are counted by a 128-bit hash instead, which grows in proportion.
-All ways are exact.
+Strings that are equal as a whole, and windows that are counted, are told apart by 128-bit hashes; all else byte by byte.
 
 Defined results: a null text counts as empty; rows that are equal in id and text are documents of their own, each a copy of
 the other; texts shorter than `length` lose nothing; overlaps within a document count; the result has one row per input row.
-The id may be null or repeated. "First" means lowest by hash order of (id, text), then position. Column names do not clash: only id and text are used.
+The id may be null or repeated (rows are told apart by 128 bits of id and text). An empty table gives an empty
+result. A very long text is taken in pieces of SEGMENT windows. "First" means lowest by hash order of (id, text), then position. Column names
+do not clash: only id and text are used.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ GROUP = 128
 #: Different strings of one minimiser that meet as pairs of blocks (64 blocks); of more, windows are counted by hash.
 PAIRED = 8192
 BATCH_BYTES = 2_000_000
+#: Windows whose minimisers are sought at once, over the texts of a batch: some twenty arrays of 8 bytes each.
+SEGMENT = 262_144
 _MULT = 0x9E3779B97F4A7C15
 
 
@@ -195,23 +199,47 @@ def _window_hashes(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return _gram_hashes(data, length).view(np.int64), _gram_hashes(data ^ np.uint8(0x5A), length).view(np.int64)
 
 
+def _row_keys(id_col: str, text_col: str) -> list:
+    """k1, k2: together 128 bits of the id and the text, which tell the rows apart."""
+    return [F.xxhash64(F.lit(1), id_col, text_col).alias("k1"), F.xxhash64(F.lit(2), text_col, id_col).alias("k2")]
+
+
+def _pieces(column: pa.Array, length: int, limit: int):
+    """Lists of (row, start, bytes) with about `limit` windows together; the pieces of a long text overlap by length - 1 bytes, so every window is in one of them."""
+    out, size = [], 0
+    for i in range(len(column)):
+        text = column[i].as_py()
+        for a in range(0, len(text) - length + 1, limit):
+            if out and size + min(limit, len(text) - a) > limit:
+                yield out
+                out, size = [], 0
+            out.append((i, a, text[a : a + limit + length - 1]))
+            size += len(out[-1][2])
+    if out:
+        yield out
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(keyed, spans): the documents with their keys k1, k2, and for each key the runs [a, b) of windows that are repeated."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    keyed = docs.select(F.col(id_col), F.xxhash64(id_col).alias("k1"), F.xxhash64(text_col).alias("k2"), raw.alias("raw"))
+    keyed = docs.select(F.col(id_col), *_row_keys(id_col, text_col), raw.alias("raw"))
 
     def cut(batches):
         for batch in batches:
-            for part, texts in _byte_slices(batch):
-                r = runs_of(texts, length)
-                d = pa.array(r["doc"])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(d), part.column(1).take(d), *(pa.array(r[c].astype(np.int64)) for c in ("m", "g1", "g2")), *(pa.array(r[c].astype(np.int32)) for c in ("start", "n")), pa.array(r["twice"].astype(bool))], names=["k1", "k2", "m", "g1", "g2", "start", "n", "twice"])
+            for part in _pieces(batch.column(2), length, SEGMENT):
+                r = runs_of([p[2] for p in part], length)
+                row, at = (np.array([p[k] for p in part]) for k in (0, 1))
+                d = pa.array(row[r["doc"]])
+                r["start"] = r["start"] + at[r["doc"]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(d), batch.column(1).take(d), *(pa.array(r[c].astype(np.int64)) for c in ("m", "g1", "g2")), *(pa.array(r[c].astype(np.int32)) for c in ("start", "n")), pa.array(r["twice"].astype(bool))], names=["k1", "k2", "m", "g1", "g2", "start", "n", "twice"])
+                del r, d
+            pa.default_memory_pool().release_unused()
 
     runs = keyed.filter(F.length("raw") >= length).select("k1", "k2", "raw").mapInArrow(cut, "k1 long, k2 long, m long, g1 long, g2 long, start int, n int, twice boolean")
     runs = materialize(runs, "suffix-runs")
     # minimisers that occur again: all their strings equal (lo = hi), or different ones
-    again = runs.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("g1").alias("lo"), F.max("g1").alias("hi"), F.max("twice").alias("t")).filter("c > 1 or t")
-    shared = materialize(runs.join(again.select("m", (F.col("lo") != F.col("hi")).alias("mixed"), "c"), "m").drop("twice"), "suffix-shared")
+    again = runs.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("g1").alias("lo"), F.max("g1").alias("hi"), F.min("g2").alias("lo2"), F.max("g2").alias("hi2"), F.max("twice").alias("t")).filter("c > 1 or t")
+    shared = materialize(runs.join(again.select("m", ((F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2"))).alias("mixed"), "c"), "m").drop("twice"), "suffix-shared")
     same = shared.filter("not mixed and c > 1").select("k1", "k2", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
     unsure = shared.filter("mixed or c = 1")
     # each different string once; those that occur twice are repeated as a whole
@@ -229,18 +257,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return keyed, same.union(got)
 
 
-def _byte_slices(batch: pa.RecordBatch):
-    start, raw = 0, batch.column(2)
-    while start < batch.num_rows:
-        out, size, stop = [], 0, start
-        while stop < batch.num_rows and (stop == start or size < BATCH_BYTES):
-            out.append(raw[stop].as_py())
-            size += len(out[-1])
-            stop += 1
-        yield batch.slice(start, stop - start), out
-        start = stop
-
-
 def _by_order(text: DataFrame, length: int) -> DataFrame:
     """Repeated windows among the different strings of each minimiser, by suffix order. Strings with copies take part, but their own windows are known to be repeated."""
 
@@ -310,10 +326,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     schema = docs.select(id_col).schema.add("n_bytes", "long").add("kept", "binary").add("removed", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    def done(part: pa.RecordBatch, kept: list, removed: list, size: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=[id_col, "n_bytes", "kept", "removed"])
+
     def run(batches):
         for batch in batches:
-            kept, removed, size = [], [], []
-            for raw, runs in zip(batch.column(1), batch.column(2)):
+            kept, removed, size, start = [], [], [], 0
+            for row, (raw, runs) in enumerate(zip(batch.column(1), batch.column(2))):
+                if sum(size) > BATCH_BYTES:  # a part of the batch
+                    yield done(batch.slice(start, row - start), kept, removed, size)
+                    kept, removed, size, start = [], [], [], row
                 raw = raw.as_py()
                 merged: list[list[int]] = []
                 for a, b in sorted((r["a"], r["b"] + length - 1) for r in runs.as_py() or []):
@@ -329,6 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 kept.append(b"".join(parts))
                 size.append(len(raw))
                 removed.append([{"start": a, "end": b} for a, b in merged])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=[id_col, "n_bytes", "kept", "removed"])
+            yield done(batch.slice(start), kept, removed, size)
+            pa.default_memory_pool().release_unused()
 
     return joined.mapInArrow(run, schema)
