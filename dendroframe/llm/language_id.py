@@ -4,36 +4,36 @@ Every language has a unigram distribution over the pieces of a fixed public voca
 A word's probability in a language is the sum over all its segmentations into pieces (a forward algorithm); a text's is the
 product over its words. The prediction is the language with the highest posterior under equal priors.
 
-Words are runs of letters, in lower case. The fit uses a bounded sample of labelled rows (`sample` documents, the lowest
-in hash order); everything else covers whole texts of all rows.
+Words are runs of letters (Unicode categories L*, so digits, fractions and numerals like the roman ones are none), in lower
+case. The vocabulary is every piece of the public one that is made of letters, at any length; none is dropped. The fit uses a
+bounded sample of labelled rows (`sample` documents of each language, the lowest in hash order); everything else covers whole
+texts of all rows. A very long text is read in parts cut at white space.
 Defined results: a null text or one without letters is 'und' with score 0; ties go to the language that sorts first;
-null languages are never learned; an empty or unlabelled training table makes every prediction 'und'. Other columns are
-kept, except that they give way to lang_pred and score.
+null languages are never learned; an empty or unlabelled training table makes every prediction 'und'; an empty table gives an
+empty result; repeated rows get equal results. Other columns are kept, except that they give way to the result's names.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import by_chars, fresh, materialize, segments, text_slices
 
-#: Documents that the fit may read. The accuracy hardly moves beyond some hundreds a language.
-SAMPLE = 1200
+#: Documents of each language that the fit may read. The accuracy hardly moves beyond some hundreds.
+SAMPLE = 300
 ROUNDS = 4
-LONGEST = 8
 BATCH_CHARS = 500_000
 #: Words that a worker remembers.
 KNOWN_WORDS = 200_000
 #: Probability of a character that no piece covers, and of any piece that a language lacks.
 UNKNOWN, LEAST = 1e-7, 1e-7
-_WORDS = re.compile(r"[^\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,7 +43,20 @@ def vocabulary(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(p for p in pieces if 1 <= len(p) <= LONGEST and re.fullmatch(r"▁?[^\W\d_]*", p))
+    return sorted(p for p in pieces if p == "▁" or p.removeprefix("▁").isalpha())
+
+
+def letter_runs(chunk: str) -> list[str]:
+    """The runs of letters in a chunk without white space."""
+    return [chunk] if chunk.isalpha() else "".join(c if c.isalpha() else " " for c in chunk).split()
+
+
+def word_counts(texts: list[str]) -> Counter:
+    out: Counter = Counter()
+    for chunk, n in Counter(w for t in texts for w in t.lower().split()).items():
+        for w in letter_runs(chunk):
+            out[w] += n
+    return out
 
 
 class Segments:
@@ -51,10 +64,15 @@ class Segments:
 
     def __init__(self, pieces: list[str]):
         self.pieces = sorted(pieces)
+        size = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
         codes = np.array([self._hash(p) for p in self.pieces], np.uint64)
-        self.order = np.argsort(codes)
-        self.codes = codes[self.order]
-        self.longest = max(map(len, self.pieces), default=1)
+        self.longest = int(size.max(initial=1))
+        #: by length: the pieces' hashes, sorted, and their numbers
+        self.known = {}
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            at = at[np.argsort(codes[at])]
+            self.known[n] = (codes[at], at)
 
     @staticmethod
     def _hash(piece: str) -> np.uint64:
@@ -90,9 +108,12 @@ class Segments:
             for j in range(1, size + 1):
                 out = []
                 for length in range(1, min(j, self.longest) + 1):
+                    if length not in self.known and length > 1:
+                        continue
+                    codes, number = self.known.get(length, (np.zeros(1, np.uint64), np.array([-1])))
                     h = head[j] - head[j - length] * power[length]
-                    at = np.minimum(np.searchsorted(self.codes, h), len(self.codes) - 1)
-                    out.append((j - length, np.where(self.codes[at] == h, self.order[at], -1)))
+                    at = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
+                    out.append((j - length, np.where(codes[at] == h, number[at], -1)))
                 yield j, out
 
 
@@ -148,37 +169,42 @@ class LanguageModel:
             out[at] = np.log(np.maximum(alpha[size], 1e-300)) + scale[:, None]
         return out
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, posterior, and mean log probability per letter, for each text."""
-        n = len(texts)
+    def _add(self, parts: list[tuple[int, str]], sums: np.ndarray, letters: np.ndarray) -> None:
+        """Adds the scores and letters of parts (text number, part) to those of their texts."""
         chunks: list[str] = []
-        counts = np.zeros(n, np.int64)
-        for i, t in enumerate(texts):
+        counts = np.zeros(len(parts), np.int64)
+        for i, (_, t) in enumerate(parts):
             c = t.lower().split()
             chunks += c
             counts[i] = len(c)
+        if not chunks:
+            return
+        codes, uniq = pd.factorize(np.array(chunks, dtype=object))
+        words: list[str] = []
+        pieces = np.ones(len(uniq), np.int64)
+        for i, c in enumerate(uniq):
+            found = letter_runs(c)
+            words += found
+            pieces[i] = len(found)
+        of_chunk = np.zeros((len(uniq), len(self.languages) + 1))
+        if words:
+            code, w = pd.factorize(np.array(words, dtype=object))
+            w = w.tolist()
+            one = np.c_[self.remembered(w), np.fromiter(map(len, w), np.int64, len(w))]
+            np.add.at(of_chunk, np.repeat(np.arange(len(uniq)), pieces), one[code])
+        doc = np.repeat(np.array([i for i, _ in parts]), counts)
+        for k in range(len(self.languages)):
+            sums[:, k] += np.bincount(doc, of_chunk[codes, k], len(sums))
+        letters += np.bincount(doc, of_chunk[codes, -1], len(sums))
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, posterior, and mean log probability per letter, for each text."""
+        n = len(texts)
         sums, letters = np.zeros((n, len(self.languages))), np.zeros(n)
-        if chunks and self.languages:
-            codes, uniq = pd.factorize(np.array(chunks, dtype=object))
-            words: list[str] = []
-            parts = np.ones(len(uniq), np.int64)
-            for i, c in enumerate(uniq):
-                if c.isalpha():
-                    words.append(c)
-                else:
-                    found = _WORDS.findall(c)
-                    words += found
-                    parts[i] = len(found)
-            of_chunk = np.zeros((len(uniq), len(self.languages) + 1))
-            if words:
-                code, w = pd.factorize(np.array(words, dtype=object))
-                w = w.tolist()
-                one = np.c_[self.remembered(w), np.fromiter(map(len, w), np.int64, len(w))]
-                np.add.at(of_chunk, np.repeat(np.arange(len(uniq)), parts), one[code])
-            doc = np.repeat(np.arange(n), counts)
-            for k in range(len(self.languages)):
-                sums[:, k] = np.bincount(doc, of_chunk[codes, k], n)
-            letters = np.bincount(doc, of_chunk[codes, -1], n)
+        parts = [(i, p) for i, t in enumerate(texts) for p in segments(t, BATCH_CHARS)]
+        if self.languages:
+            for a, b in by_chars([p for _, p in parts], BATCH_CHARS):
+                self._add(parts[a:b], sums, letters)
         if not self.languages:
             return ["und"] * n, np.zeros(n), np.zeros(n)
         best = sums.argmax(axis=1)
@@ -190,13 +216,8 @@ class LanguageModel:
         return names, post, np.where(none, 0, top / np.maximum(letters, 1))
 
 
-def fit(rows: list[tuple[str, str]], pieces: list[str]) -> LanguageModel:
-    """rows: (language, text). Expectation-maximisation of the piece probabilities, per language over its word counts."""
-    words: dict[str, dict[str, int]] = {}
-    for lang, text in rows:
-        into = words.setdefault(lang, {})
-        for w in _WORDS.findall((text or "").lower()):
-            into[w] = into.get(w, 0) + 1
+def fit(words: dict[str, dict[str, int]], pieces: list[str]) -> LanguageModel:
+    """words: for each language its words and their counts. Expectation-maximisation of the piece probabilities."""
     languages = sorted(k for k, v in words.items() if v)
     vocab = sorted({w for k in languages for w in words[k]})
     at = {w: i for i, w in enumerate(vocab)}
@@ -204,10 +225,9 @@ def fit(rows: list[tuple[str, str]], pieces: list[str]) -> LanguageModel:
     for k, lang in enumerate(languages):
         for w, c in words[lang].items():
             count[at[w], k] = c
-    letters = {c for w in vocab for c in w}
-    seg = Segments([p for p in pieces if set(p) <= letters | {"▁"}] or ["▁"])
+    seg = Segments(pieces or ["▁"])
     prob = np.full((len(seg.pieces), len(languages)), 1.0 / max(1, len(seg.pieces)))
-    for step in range(ROUNDS):
+    for _ in range(ROUNDS):
         got = np.zeros_like(prob)
         for idx, chars in seg.blocks(vocab, 400_000):
             n, size = chars.shape
@@ -229,23 +249,31 @@ def fit(rows: list[tuple[str, str]], pieces: list[str]) -> LanguageModel:
                     hit = piece >= 0
                     np.add.at(got, piece[hit], (flow * fwd[start])[hit])
         prob = np.maximum(got / np.maximum(got.sum(axis=0), 1e-300), LEAST)
-        if step == ROUNDS - 2:  # what no language uses goes, for speed
-            keep = got.max(axis=1, initial=0) >= 0.5
-            if keep.any():
-                prob = prob[keep]
-                seg = Segments([p for p, k in zip(seg.pieces, keep) if k])
     return LanguageModel(languages, seg, prob / prob.sum(axis=0))
 
 
 def train(labelled: DataFrame, vocab_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> LanguageModel:
-    """Fits on at most `sample` labelled rows: those lowest in hash order of their id. A hash range keeps about twice that many before they are sorted, so the sort is of bounded size."""
+    """Fits on at most `sample` labelled rows of each language: those lowest in hash order. A hash range of each language keeps about twice that many before they are put in order, so no language is ever gathered; only the sample's word counts come to the driver."""
     h = F.xxhash64(F.lit(11), F.col(id_col), F.xxhash64(F.col(text_col)))
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = rows.count()
-    if n > 2 * sample:
-        rows = rows.filter(F.abs(h % 1_000_000_007) < int(1_000_000_007 * 2 * sample / n))
-    got = rows.orderBy(h, id_col).limit(sample).select(lang_col, text_col).collect()
-    return fit([(r[0], r[1]) for r in got], vocabulary(vocab_path))
+    sizes = materialize(rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")), "language-sizes")
+    rows = rows.select(F.col(lang_col).alias("lang"), h.alias("h"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).join(sizes, "lang")
+    rows = rows.filter((F.col("n") <= 2 * sample) | (F.abs(F.col("h") % 1_000_000_007) < 1e9 * 2 * sample / F.col("n")))
+    w = Window.partitionBy("lang").orderBy("h", "id")
+    rows = rows.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= sample).select("lang", "text")
+
+    def count(batches):
+        for batch in batches:
+            for part, texts in text_slices(batch, 1, BATCH_CHARS):
+                langs = part.column(0).to_pylist()
+                for lang in sorted(set(langs)):
+                    got = word_counts([t for t, own in zip(texts, langs) if own == lang])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got), pa.string()), pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], names=["lang", "word", "n"])
+
+    words: dict[str, dict[str, int]] = {}
+    for r in rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
+        words.setdefault(r[0], {})[r[1]] = r[2]
+    return fit(words, vocabulary(vocab_path))
 
 
 _models: dict[str, LanguageModel] = {}
@@ -276,7 +304,7 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", keep_t
                 found, post, per = m.predict(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(found, pa.string()), pa.array(post, pa.float64()), pa.array(per, pa.float64())], names=[*kept, *(n for n, _ in new)])
 
-    return df.select(*(df[f"`{c}`"] for c in kept), df[f"`{text_col}`"].alias("_language_text")).mapInArrow(run, schema)
+    return df.select(*(df[f"`{c}`"] for c in kept), df[f"`{text_col}`"].alias(fresh(df.columns, "_language_text"))).mapInArrow(run, schema)
 
 
 #: A document fits no learned language if a letter's mean log probability is below this (a uniform choice of 26 letters: -3.3).
@@ -285,7 +313,8 @@ LEAST_FIT = -6.0
 
 def accepted(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows whose language is certain: not 'und', with a posterior of one half or more, and a fit of LEAST_FIT or more. The columns stay as they are."""
-    names = ("_language_pred", "_language_score", "_language_fit")
+    mark = fresh(df.columns, "_language")
+    names = (f"{mark}_pred", f"{mark}_score", f"{mark}_fit")
     out = identify(df, model, text_col, names=names).filter((F.col(names[0]) != "und") & (F.col(names[1]) >= 0.5) & (F.col(names[2]) >= LEAST_FIT))
     return out.select(*(F.col(f"`{c}`") for c in df.columns))
 

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, language_id, line_dedup, media, mixing, ngram_join, secrets, suffix_dedup, token_counts, topk
 from .common import read_table
 
-#: Where the public tokenizers lie; a parameter of every query that needs one.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+#: The public tokenizers' files; each is a parameter of the operator that needs it.
+WORD_BPE, BYTE_BPE, PIECES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
 #: GPT-2's splitting pattern, which the byte-level vocabularies were made with (fixed value).
 BYTE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-LINE_RATIO, LINE_MIN_PAGES = 0.1, 5
+LINE_RATIO, LINE_MIN_PAGES, LINE_LEAST = 0.1, 5, 2
 MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {}}
 MIX_NUM, MIX_DEN, MIX_EPOCHS, MIX_SEED = 3, 5, 2, 17
 
@@ -23,7 +22,7 @@ MIX_NUM, MIX_DEN, MIX_EPOCHS, MIX_SEED = 3, 5, 2, 17
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page: the lines of its HTML without its host's boilerplate."""
     pages = read_table(spark, sf_dir, "pages")
-    out = line_dedup.line_dedup(pages, line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html")), LINE_RATIO, LINE_MIN_PAGES)
+    out = line_dedup.line_dedup(pages, line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html")), LINE_RATIO, LINE_MIN_PAGES, least=LINE_LEAST)
     return out.select("page_id", line_dedup.host_of(F.col("url")).alias("host"), "n_lines", "n_dropped", "text")
 
 
@@ -36,7 +35,7 @@ WITH p AS (
 l AS (SELECT page_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM p),
 t AS (SELECT host, count(*) AS total FROM p GROUP BY host),
 c AS (SELECT host, line, count(DISTINCT page_id) AS n FROM l GROUP BY host, line),
-bad AS (SELECT c.host, c.line FROM c JOIN t ON c.host IS NOT DISTINCT FROM t.host WHERE t.total >= {LINE_MIN_PAGES} AND c.n > 1 AND c.n > CAST({LINE_RATIO} AS DOUBLE) * t.total),
+bad AS (SELECT c.host, c.line FROM c JOIN t ON c.host IS NOT DISTINCT FROM t.host WHERE t.total >= {LINE_MIN_PAGES} AND c.n >= {LINE_LEAST} AND c.n > CAST({LINE_RATIO} AS DOUBLE) * t.total),
 k AS (SELECT l.page_id, l.pos, l.line, bad.line IS NOT NULL AS gone FROM l LEFT JOIN bad ON l.host IS NOT DISTINCT FROM bad.host AND l.line = bad.line),
 g AS (SELECT page_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS text FROM k GROUP BY page_id)
 SELECT p.page_id, p.host, coalesce(g.n_lines, 0) AS n_lines, coalesce(g.n_dropped, 0) AS n_dropped, CASE WHEN p.none THEN NULL ELSE coalesce(g.text, '') END AS text
@@ -59,7 +58,7 @@ def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact histogram of token lengths over all documents, with suffix sums."""
     docs = read_table(spark, sf_dir, "documents")
-    return token_counts.length_histogram(token_counts.token_lengths(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN))
+    return token_counts.length_histogram(token_counts.token_lengths(docs, BYTE_BPE, BYTE_PATTERN))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +115,7 @@ OP6_SQL = f"WITH {mixing_ctes('documents')}\nSELECT doc_id, md AS domain, ml AS
 
 
 def trained_language_model(docs: DataFrame) -> language_id.LanguageModel:
-    return language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))), PIECES)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,8 +144,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded and decoded again."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
-    out = bpe.bpe_round_trip(docs, path)
+    out = bpe.bpe_round_trip(docs, WORD_BPE)
     return out.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
