@@ -6,12 +6,14 @@ share a part; a pair of images has many), and those at most 24 bits apart bring
 are linked is decided by geometry: matches (mutually nearest, 24 bits apart at most) must agree on one shift, turn and scale,
 MIN_INLIERS of them at least.
 
-Images with equal pixels form a class of which one goes on. Buckets and groups of any size are dealt out as pairs of blocks;
-rows that leave a task grow with its images, not with their pairs.
+Images with equal pixels form a class of which one goes on, under a number of its own. A key is 28 bits, so the keys that occur
+again fit a bitmap of fixed size (23 MB), which is broadcast; only descriptors under such keys move. Buckets and groups of any
+size are dealt out as pairs of blocks; rows that leave a task grow with its images, not with their pairs.
 
 Defined results: null, empty or undecodable media, and images without corners, have no links except to media of equal bytes
 (null: none) and, unless such exist, a class of their own; class_id is the least id of the class; n_links counts all other
-rows that are linked, equal ones included; repeated rows are media of their own. PNG (8 bits, not interlaced), PGM and PPM are read.
+rows that are linked, equal ones included; repeated rows are media of their own; an empty table gives an empty result. PNG (8
+bits, not interlaced), PGM and PPM are read; anything else, also a broken header, counts as undecodable. Only id and media are used.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ PIXELS, DESCRIBED = 1_100_000, 20_000
 BUCKET_BLOCK, GROUP_BLOCK = 128, 128
 #: Rows of a block of descriptors of one bucket. Larger buckets are dealt out as pairs of blocks, under the same rule.
 COMPARED = 4096
+#: Images whose descriptors are keyed at once, and all keys there are: 24 bits of each part.
+KEYED, KEYS = 512, len(STARTS) << (8 * PART_BYTES)
 #: Pairs of descriptors that are compared at once.
 PAIRS = 1_000_000
 #: Pairs of corners, or of matches, that are held at once.
@@ -75,7 +79,7 @@ def decode(raw: bytes | None) -> np.ndarray | None:
                 return None
             x = np.frombuffer(raw, np.uint8, w * h * n, at + 1).reshape(h, w, n)
             return x.astype(np.float32).mean(axis=2)
-    except (ValueError, IndexError, zlib.error):
+    except (ValueError, IndexError, OverflowError, MemoryError, zlib.error):
         return None
     return None
 
@@ -95,7 +99,9 @@ def _png(raw: bytes) -> np.ndarray | None:
     if head is None or head[8] != 8 or head[12]:
         return None
     w, h, color = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), head[9]
-    c = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
+    c = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color)
+    if c is None or not w or not h:
+        return None
     lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * c)
     out = np.zeros((h, w * c), np.uint8)
     before = np.zeros(w * c, np.int32)
@@ -294,13 +300,57 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, _ROW)
 
 
-def _keys(reps: DataFrame) -> DataFrame:
-    """key, g, d: an image's descriptors, once for each of their parts; key is made of the part's place and its bits."""
-    size = _ROW.itemsize
-    n = F.floor(F.length("points") / size).cast("int")
-    words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("points"), i * size + _HEAD + 1, F.lit(BITS // 8)))
-    each = reps.filter(n > 0).select("g", F.explode(F.array_distinct(words)).alias("d"))
-    return each.select(F.explode(F.array(*(F.xxhash64(F.lit(s), F.substring("d", s + 1, PART_BYTES)) for s in STARTS))).alias("key"), "g", "d")
+def _keyed(numbers: list[int], points: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, image and descriptor (words) of all parts of all different descriptors of some images; the key is the part's number and its bits."""
+    rows = [np.unique(_unpack(p)["d"], axis=0) for p in points]
+    image = np.repeat(np.array(numbers, np.int64), [len(r) for r in rows])
+    words = np.concatenate(rows) if rows else np.zeros((0, BITS // 64), np.uint64)
+    raw = np.ascontiguousarray(words).view(np.uint8).reshape(len(words), BITS // 8).astype(np.int64)
+    keys = [(part << 24) | raw[:, s] << 16 | raw[:, s + 1] << 8 | raw[:, s + 2] for part, s in enumerate(STARTS)]
+    return np.concatenate(keys), np.tile(image, len(STARTS)), np.tile(words, (len(STARTS), 1))
+
+
+def _parts(batches):
+    """Slices of batches (n, points) as (numbers, points)."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, KEYED):
+            part = batch.slice(a, KEYED)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+        pa.default_memory_pool().release_unused()
+
+
+def _again(reps: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """A bit for each of all KEYS: whether it occurs more than once (of fixed size, whatever the table's: 23 MB); and those keys (key, c) that occur more than COMPARED times."""
+
+    def run(batches):
+        for numbers, points in _parts(batches):
+            key, n = np.unique(_keyed(numbers, points)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "c"])
+
+    busy = materialize(reps.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter("c > 1"), "media-busy")
+    place = F.col("key") + 1  # Spark's buckets begin at 1
+    bits = busy.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros((KEYS >> 3) + 4096, np.uint8)
+    for b, raw in bits.toLocalIterator():  # at most KEYS / 32768 rows of 4 KB
+        out[(b - 1) * 4096 : (b - 1) * 4096 + len(raw)] = np.frombuffer(raw, np.uint8)
+    return out, busy.filter(F.col("c") > COMPARED)
+
+
+def _keys(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, n, d): the descriptors of images (n, points), once for each of their parts whose bits occur again; (key, c): the keys of more than COMPARED descriptors."""
+    again, large = _again(reps)
+    held = reps.sparkSession.sparkContext.broadcast(again)
+
+    def run(batches):
+        bits = held.value
+        for numbers, points in _parts(batches):
+            key, image, words = _keyed(numbers, points)
+            use = np.flatnonzero((bits[key >> 3] >> (key & 7).astype(np.uint8)) & 1)
+            raw = np.ascontiguousarray(words[use]).tobytes()
+            d = pa.Array.from_buffers(pa.binary(BITS // 8), len(use), [None, pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(image[use]), d], names=["key", "n", "d"])
+
+    return reps.mapInArrow(run, "key long, n long, d binary"), large
 
 
 def near_rows(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -331,17 +381,16 @@ def near_rows(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _near_groups(batches):
-    """From rows sorted by key and g: lead and g, for each image in a group of near descriptors that a lesser image leads."""
+    """From rows sorted by key and n: lead and n, for each image in a group of near descriptors that a lesser image leads."""
 
-    def solve(key, g, bits):
-        first = near_rows(bits, key)
-        lead = g[first]
-        at = np.flatnonzero(lead != g)
-        return pa.RecordBatch.from_arrays([pa.array([x[i].tobytes() for i in at], pa.binary()) for x in (lead, g)], names=["lead", "g"])
+    def solve(key, n, bits):
+        lead = n[near_rows(bits, key)]
+        pairs = np.unique(np.stack([lead, n])[:, lead != n], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["lead", "n"])
 
-    held = (np.zeros(0, np.int64), np.zeros(0, "V16"), np.zeros((0, BITS // 64), np.uint64))
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64))
     for batch in batches:
-        new = (batch.column(0).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(batch.column(1).to_pylist()), "V16"), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BITS // 64))
+        new = (*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BITS // 64))
         held = tuple(np.concatenate(x) for x in zip(held, new))
         whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last key may go on
         if whole:
@@ -354,18 +403,17 @@ def _near_groups(batches):
 def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """One row per row of media: id, class_id, n_links, n_points."""
     all_rows = materialize(describe(media, id_col, media_col), "media-points")
-    reps = materialize(all_rows.filter("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("copies"), F.min("points").alias("points")), "media-reps")
-    keys = _keys(reps)
+    reps = materialize(all_rows.filter("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("copies"), F.min("points").alias("points")).withColumn("n", F.monotonically_increasing_id()), "media-reps")
+    keys, large = _keys(reps.filter(F.length("points") > 0).select("n", "points"))
     # In a bucket, only descriptors that are near as a whole bring images together. Groups with the same least image are taken as one, so an image goes to few units, not once per key.
-    large = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > COMPARED)
-    met = dealt(keys.join(large, "key", "left").withColumn("c", F.coalesce("c", F.lit(1))), "c", F.struct("g", "d"), COMPARED)
+    met = dealt(keys.join(large, "key", "left").withColumn("c", F.coalesce("c", F.lit(1))), "c", F.struct("n", "d"), COMPARED)
     unit = F.when(F.col("c") <= COMPARED, F.col("key")).otherwise(F.xxhash64("key", "bi", "bj")).alias("unit")
-    met = met.select(unit, "g", "d").repartition("unit").sortWithinPartitions("unit", "g")
-    near = met.mapInArrow(_near_groups, "lead binary, g binary").distinct()
-    near = materialize(near.union(near.select("lead", "lead")).distinct(), "media-near")
+    met = met.select(unit, "n", "d").repartition("unit").sortWithinPartitions("unit", "n")
+    near = materialize(met.mapInArrow(_near_groups, "lead long, n long").distinct(), "media-near")
+    near = near.union(near.select("lead", "lead").distinct())
     units_of = near.groupBy("lead").agg(F.count(F.lit(1)).alias("c"))
-    spread = dealt(near.join(units_of, "lead"), "c", "g", BUCKET_BLOCK)
-    spread = spread.select("lead", "bi", "bj", "g").join(reps.select("g", "points"), "g")
+    spread = dealt(near.join(units_of, "lead"), "c", "n", BUCKET_BLOCK)
+    spread = spread.select("lead", "bi", "bj", "n").join(reps.select("n", "points"), "n")
 
     def meet(batches):
         for _, rows in _grouped(batches, 3):
@@ -385,14 +433,14 @@ def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media")
                         queue.append(i)
                 left = [i for i, h in zip(left, hit) if not h]
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v"])
 
     order = ["lead", "bi", "bj"]
-    units = spread.repartition(*order).sortWithinPartitions(*order, "g").select(*order, "g", "points")
-    groups = components(units.mapInArrow(meet, "u binary, v binary"), "media-candidates")
+    units = spread.repartition(*order).sortWithinPartitions(*order, "n").select(*order, "n", "points")
+    groups = components(units.mapInArrow(meet, "u long, v long"), "media-candidates")
     groups = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
-    members = groups.join(sizes, "root").join(reps.select(F.col("g").alias("node"), "copies", "points"), "node")
+    members = groups.join(sizes, "root").join(reps.select(F.col("n").alias("node"), "copies", "points"), "node")
     spread = dealt(members, "c", "node", GROUP_BLOCK)
     order = ["root", "bi", "bj"]
     units = spread.select(*order, "node", "copies", "own", (F.col("c") > GROUP_BLOCK).alias("split"), "points").repartition(*order).sortWithinPartitions(*order)
@@ -409,17 +457,17 @@ def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media")
             root = _local_roots(link)
             if bi != bj:
                 link &= own[:, None] != own[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array([node[i] for i in root], pa.binary()), pa.array(link @ copies, pa.int64()), pa.array([r[3] for r in rows], pa.bool_())], names=["u", "v", "links", "split"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([node[i] for i in root], pa.int64()), pa.array(link @ copies, pa.int64()), pa.array([r[3] for r in rows], pa.bool_())], names=["u", "v", "links", "split"])
 
-    found = materialize(units.mapInArrow(verify, "u binary, v binary, links long, split boolean"), "media-links")
+    found = materialize(units.mapInArrow(verify, "u long, v long, links long, split boolean"), "media-links")
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
     whole = found.filter("not split").select(F.col("u").alias("node"), F.col("v").alias("root"))
     parts = found.filter("split and u <> v").select("u", "v")
     if not parts.isEmpty():
         whole = whole.union(components(parts, "media-parts"))
-    roots = links.join(whole.withColumnRenamed("node", "u"), "u", "left").select(F.col("u").alias("g"), F.coalesce("root", "u").alias("root"), "links")
-    placed = all_rows.select("id", "g", F.floor(F.length("points") / _ROW.itemsize).alias("n_points")).join(reps.select("g", "copies"), "g", "left").join(roots, "g", "left")
-    placed = materialize(placed.select("id", F.coalesce("root", "g").alias("root"), F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"), "n_points"), "media-placed")
+    roots = links.join(whole.withColumnRenamed("node", "u"), "u", "left").select(F.col("u").alias("n"), F.coalesce("root", "u").alias("root"), "links")
+    placed = all_rows.select("id", "g", F.floor(F.length("points") / _ROW.itemsize).alias("n_points")).join(reps.select("g", "n", "copies"), "g", "left").join(roots, "n", "left")
+    placed = materialize(placed.select("id", F.coalesce("root", "n").alias("root"), F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"), "n_points"), "media-placed")
     least = placed.filter("root is not null").groupBy("root").agg(F.min("id").alias("class_id"))
     return placed.join(least, "root", "left").select("id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_links", "n_points")
 

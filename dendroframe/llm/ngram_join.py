@@ -1,6 +1,7 @@
 """Near-duplicate join on word 5-grams: exact Jaccard similarity of 0.8 or more, with Bayesian pruning of MinHash candidates.
 
-1. Each document becomes the set of its word 5-grams; documents with equal sets form a class, and one of each goes on.
+1. Each document becomes the set of its word 5-grams; documents with equal sets form a class, and one of each goes on, under a
+   number of its own.
 2. MinHash values are cut into bands; documents that share a band meet in its bucket. There, values are compared in steps of
    16, and a pair is dropped as soon as the posterior probability (uniform prior) that its similarity reaches the threshold
    is below `tolerance`. The surviving pairs are only followed to join groups; they are never emitted.
@@ -11,7 +12,9 @@ task grow with its documents, not with their pairs. No cap: every pair that shar
 
 Defined results: words are what white space separates, in lower case; a text of 1 to 4 words has one gram, the whole; null and
 empty texts have no grams, no links and a class of their own; equal rows are documents of their own and links of each other;
-class_id is the least id of the class (null if it has none); n_links counts all other documents at the threshold or above.
+class_id is the least id of the class (null if it has none); n_links counts all other documents at the threshold or above; an
+empty table gives an empty result. Rows are told apart by 128 bits of id and text. Of a very long text only one part's words
+are Python objects at a time; the rest is 8 bytes a word. Columns of any name may come along: only id and text are used.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_chars, dealt, materialize, text_slices
+from .common import by_chars, dealt, discard, fresh, materialize, segments, text_slices
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 4
@@ -35,19 +38,27 @@ BUCKET_BLOCK, GROUP_BLOCK = 512, 256
 BATCH_CHARS = 500_000
 #: Rows of an Arrow batch that are Python objects at a time.
 SLICE = 256
+#: In components: edges of a node from which it is a hub, at least, and hubs at most (a hub has more than 2 * edges / HUBS edges).
+HUB, HUBS = 2048, 50_000
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 def grams_of(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The distinct 64-bit gram hashes of each text, sorted, one text after the other; and each text's number of them."""
-    lists = [t.lower().split() for t in texts]
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    if not n.sum():
+    parts = [(i, p) for i, t in enumerate(texts) for p in segments(t, BATCH_CHARS)]
+    n, hashes = np.zeros(len(texts), np.int64), []
+    for a, b in by_chars([p for _, p in parts], BATCH_CHARS):
+        flat: list[str] = []
+        for i, p in parts[a:b]:
+            found = p.lower().split()
+            flat += found
+            n[i] += len(found)
+        if flat:
+            code, uniq = pd.factorize(np.array(flat, dtype=object))
+            hashes.append(np.fromiter((xxhash.xxh64_intdigest(w) for w in uniq), np.uint64, len(uniq))[code])
+    if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    flat = np.array([w for x in lists for w in x], dtype=object)
-    del lists
-    code, uniq = pd.factorize(flat)
-    word = np.fromiter((xxhash.xxh64_intdigest(w) for w in uniq), np.uint64, len(uniq))[code]
+    word = np.concatenate(hashes)
     start = np.cumsum(n) - n
     with np.errstate(over="ignore"):
         count = np.where(n >= words, n - words + 1, (n > 0) * 1)
@@ -146,20 +157,32 @@ def exact_links(grams: list[np.ndarray], threshold: float = THRESHOLD) -> np.nda
     return out
 
 
+def _with_least(rows: DataFrame, low: DataFrame, hub: int | None) -> DataFrame:
+    """rows (u, v) with the m of low (u, m, c) for their u. A node with more than `hub` rows does not draw them to one task: its m is broadcast. There are at most HUBS of these (each has more than 2 * edges / HUBS rows)."""
+    if hub is None:
+        return rows.join(low.select("u", "m"), "u")
+    hubs = low.filter(F.col("c") > hub).select("u", "m")
+    few = rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(low.filter(F.col("c") <= hub).select("u", "m"), "u")
+    return few.select("u", "v", "m").union(rows.join(F.broadcast(hubs), "u").select("u", "v", "m"))
+
+
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
-    """Connected components of edges (u, v): columns node, root (the least node). Alternating large and small stars, each round written to the shared folder. No node's neighbours are ever gathered: only their minimum is taken."""
+    """Connected components of edges (u, v) between whole numbers: columns node, root (the least node). Alternating large and small stars, each round written to the shared folder and the one before deleted. No node's neighbours are ever gathered: only their minimum is taken, by partial aggregation."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     e = materialize(e, f"{name}-edges")
     state = None
     for i in range(most_rounds):
+        n = e.count()
+        hub = max(HUB, 2 * n // HUBS) if 2 * n > HUB else None
         # large star: neighbours above a node go to the least of its neighbourhood
         both = e.union(e.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        big = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("c"))
+        big = _with_least(both.filter("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its lower neighbours go to the least of these
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, f"{name}-round{i}")
+        low = big.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        small = _with_least(big, low, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        before, e = e, materialize(small, f"{name}-round{i}")
+        discard(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -186,6 +209,11 @@ def _grouped(batches, keys: int):
         yield key, rows
 
 
+def row_keys(id_col: str, text_col: str) -> list:
+    """k1, k2: together 128 bits of the id and the text, which tell the rows apart."""
+    return [F.xxhash64(F.lit(1), id_col, text_col).alias("k1"), F.xxhash64(F.lit(2), text_col, id_col).alias("k2")]
+
+
 def gram_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, k1, k2 (the row's key), g (the gram set's 128-bit hash; null if there are no grams), sig."""
     size = BANDS * ROWS
@@ -201,19 +229,19 @@ def gram_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 sig = iter(signatures(grams, n, size)) if len(grams) else iter(())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary()), pa.array([next(sig).tobytes() if k else None for k in n.tolist()], pa.binary())], names=["id", "k1", "k2", "g", "sig"])
 
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("k1"), F.xxhash64(text_col).alias("k2"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def candidate_groups(reps: DataFrame) -> DataFrame:
-    """node, root: groups of gram sets that surviving candidate pairs connect. reps: g, sig."""
+    """node, root: groups of gram sets that surviving candidate pairs connect. reps: n, sig."""
     size = BANDS * ROWS
     least = least_matches(size)
     width = 2 * ROWS
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))).alias("key"))))
-    keys = reps.select("g", band.alias("x")).select("g", "x.key")
+    keys = reps.select("n", band.alias("x")).select("n", "x.key")
     busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = keys.join(busy, "key").join(reps.select("g", "sig"), "g")
-    spread = dealt(met, "c", "g", BUCKET_BLOCK)
+    met = keys.join(busy, "key").join(reps.select("n", "sig"), "n")
+    spread = dealt(met, "c", "n", BUCKET_BLOCK)
 
     def run(batches):
         for _, rows in _grouped(batches, 3):
@@ -222,22 +250,22 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
             root = bucket_groups(sig, least)
             at = np.flatnonzero(root != np.arange(len(root))).tolist()
             if at:
-                yield pa.RecordBatch.from_arrays([pa.array([g[i] for i in at], pa.binary()), pa.array([g[root[i]] for i in at], pa.binary())], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([g[i] for i in at], pa.int64()), pa.array([g[root[i]] for i in at], pa.int64())], names=["u", "v"])
 
-    units = spread.select("key", "bi", "bj", "g", "sig").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return components(units.mapInArrow(run, "u binary, v binary"), "join-candidates")
+    units = spread.select("key", "bi", "bj", "n", "sig").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    return components(units.mapInArrow(run, "u long, v long"), "join-candidates")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, k1, k2, class_id, n_links."""
     sets = materialize(gram_sets(docs, id_col, text_col), "join-sets")
-    reps = materialize(sets.filter("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2")).alias("at"), F.min("sig").alias("sig")), "join-reps")
-    groups = candidate_groups(reps.select("g", "sig"))
+    reps = materialize(sets.filter("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2")).alias("at"), F.min("sig").alias("sig")).withColumn("n", F.monotonically_increasing_id()), "join-reps")
+    groups = candidate_groups(reps.select("n", "sig"))
     groups = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
-    members = groups.join(sizes, "root").join(reps.select(F.col("g").alias("node"), "copies", "at"), "node")
+    members = groups.join(sizes, "root").join(reps.select(F.col("n").alias("node"), "copies", "at"), "node")
     members = members.select("root", "c", "node", "copies", "at.k1", "at.k2")
-    keyed = docs.select(F.xxhash64(id_col).alias("k1"), F.xxhash64(text_col).alias("k2"), F.col(text_col).alias("text"))
+    keyed = docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("text"))
     spread = dealt(members.join(keyed, ["k1", "k2"]), "c", "node", GROUP_BLOCK)
     units = spread.select("root", "bi", "bj", "node", "copies", "own", (F.col("c") > GROUP_BLOCK).alias("split"), "text").repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj", "node")
 
@@ -260,19 +288,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if bi != bj:  # pairs inside a block are counted where it meets itself
                 link &= own[:, None] != own[None, :]
             links = link @ copies
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array([node[i] for i in root], pa.binary()), pa.array(links, pa.int64()), pa.array([r[3] for r in kept], pa.bool_())], names=["u", "v", "links", "split"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([node[i] for i in root], pa.int64()), pa.array(links, pa.int64()), pa.array([r[3] for r in kept], pa.bool_())], names=["u", "v", "links", "split"])
 
-    found = materialize(units.mapInArrow(run, "u binary, v binary, links long, split boolean"), "join-links")
+    found = materialize(units.mapInArrow(run, "u long, v long, links long, split boolean"), "join-links")
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
     whole = found.filter("not split").select(F.col("u").alias("node"), F.col("v").alias("root"))
     parts = found.filter("split and u <> v").select("u", "v")
     if not parts.isEmpty():
         joined = components(parts, "join-parts")
         whole = whole.union(joined)
-    roots = links.join(whole.withColumnRenamed("node", "u"), "u", "left").select(F.col("u").alias("g"), F.coalesce("root", "u").alias("root"), "links")
-    placed = sets.select("id", "k1", "k2", "g").join(reps.select("g", "copies"), "g", "left").join(roots, "g", "left")
+    roots = links.join(whole.withColumnRenamed("node", "u"), "u", "left").select(F.col("u").alias("n"), F.coalesce("root", "u").alias("root"), "links")
+    placed = sets.select("id", "k1", "k2", "g").join(reps.select("g", "n", "copies"), "g", "left").join(roots, "n", "left")
     # texts without grams: each a class of its own
-    placed = placed.select("id", "k1", "k2", "g", F.coalesce("root", "g").alias("root"), F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"))
+    placed = placed.select("id", "k1", "k2", F.coalesce("root", "n").alias("root"), F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"))
     placed = materialize(placed, "join-placed")
     least = placed.filter("root is not null").groupBy("root").agg(F.min("id").alias("class_id"))
     return placed.join(least, "root", "left").select("id", "k1", "k2", "root", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_links")
@@ -296,15 +324,16 @@ def _local_roots(link: np.ndarray) -> np.ndarray:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near-duplicates: of each class the row with the least id stays (null last; ties by text, then one of equal rows). Texts without grams all stay. The columns stay as they are."""
+    """The documents without near-duplicates: of each class the row with the least id stays (null last; ties by hash of the text, then one of equal rows). Texts without grams all stay, also null ones. An empty table gives an empty table; the columns stay as they are, whatever their names."""
     found = materialize(near_duplicates(docs, id_col, text_col), "join-classes")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("k2"), F.col("k1"))
     kept = found.filter("root is not null").groupBy("root").agg(F.min(order).alias("x")).select("x.k1", "x.k2")
     rows = found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("root").isNull()).alias("bare"))
     rows = rows.join(kept.withColumn("first", F.lit(True)), ["k1", "k2"], "left").filter("bare or first")
-    marks = rows.select(F.col("k1").alias("_join_k1"), F.col("k2").alias("_join_k2"), (F.col("c") > 1).alias("_join_many"), F.col("bare").alias("_join_bare"))
-    joined = docs.withColumns({"_join_a": F.xxhash64(id_col), "_join_b": F.xxhash64(text_col)}).join(marks, (F.col("_join_a") == F.col("_join_k1")) & (F.col("_join_b") == F.col("_join_k2")))
+    mark = fresh(docs.columns, "_join")
+    marks = rows.select(*(F.col(c).alias(f"{mark}_{n}") for c, n in (("k1", "k1"), ("k2", "k2"), ("bare", "bare"))), (F.col("c") > 1).alias(f"{mark}_many"))
+    own = row_keys(id_col, text_col)
+    joined = docs.withColumns({f"{mark}_a": own[0], f"{mark}_b": own[1]}).join(marks, (F.col(f"{mark}_a") == F.col(f"{mark}_k1")) & (F.col(f"{mark}_b") == F.col(f"{mark}_k2")))
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    once = joined.filter("not _join_many or _join_bare").select(*cols)
-    again = joined.filter("_join_many and not _join_bare").dropDuplicates(["_join_a", "_join_b"]).select(*cols)
-    return once.unionByName(again)
+    again = F.col(f"{mark}_many") & ~F.col(f"{mark}_bare")
+    return joined.filter(~again).select(*cols).unionByName(joined.filter(again).dropDuplicates([f"{mark}_a", f"{mark}_b"]).select(*cols))
