@@ -4,7 +4,8 @@ Merging runs in batched numpy rounds: the symbols of many words lie in one flat
 lowest-ranked pair is found (binary search over the sorted pair keys) and merged, until no word has a known pair.
 
 Defined results: a null text encodes as the empty text; the empty text has no ids and decodes to ''. Repeated rows give
-repeated results. Other columns are kept, whatever their names; the result columns replace columns of the same names.
+repeated results; an empty table gives an empty result. A very long text is encoded in parts cut before a blank or a line
+break, where no token can cross. Other columns are kept, whatever their names; the result columns replace columns of the same names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import ragged_take, text_slices
+from .common import by_chars, ragged_take, segments, text_slices
 
 #: Characters that are encoded at once; bounds a worker's memory.
 BATCH_CHARS = 2_000_000
@@ -230,9 +231,14 @@ class Bpe:
         return ids, sums[ends] - sums[ends - counts]
 
     def encode_each(self, texts: list[str]) -> list[np.ndarray]:
-        ids, n = self.encode(texts)
-        ends = np.cumsum(n)
-        return [ids[e - k : e] for e, k in zip(ends.tolist(), n.tolist())]
+        parts = [(i, p) for i, t in enumerate(texts) for p in segments(t, BATCH_CHARS)]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for a, b in by_chars([p for _, p in parts], BATCH_CHARS):
+            ids, n = self.encode([p for _, p in parts[a:b]])
+            ends = np.cumsum(n)
+            for (i, _), e, k in zip(parts[a:b], ends.tolist(), n.tolist()):
+                out[i].append(ids[e - k : e])
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
     def decode(self, ids: np.ndarray) -> str:
         """Without a decoder in the tokenizer's file, the tokens stand side by side with blanks between them. Ids without a token are left out."""

@@ -8,7 +8,8 @@ that epoch's seeded order that fits what is left of its budget.
 All amounts are whole numbers; shares are rounded down. Order in an epoch: md5 of 'seed:epoch:doc_id' (documents of one id
 stand together: all or none). Defined results: null domain, language or source is the node 'none'; a null doc_id orders as
 ''; a null or blank text has 0 tokens and comes with any prefix that reaches it; nodes without a given weight weigh 1; weights
-are at least 1; an empty table gives an empty result; repeated rows are documents of their own. Other columns are kept.
+are at least 1; an empty table gives an empty result; repeated rows are documents of their own; a text of any length is only
+counted. Other columns are kept, whatever their names, except that they give way to the result's.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 TREE = ("domain", "lang", "source")
 #: Hexadecimal digits of the order that each refinement of a leaf's cut looks at: 256 ranges of a leaf at once.
@@ -87,8 +88,9 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], num
     """
     none = lambda c: F.coalesce(c, F.lit("none"))
     ids = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    own = docs.select("*", F.struct(none(domain).alias("domain"), none(F.col("lang")).alias("lang"), none(F.col("source")).alias("source"), count_tokens(F.col("text")).alias("n")).alias("_mix"))
-    meta = materialize(own.select("_mix.*", ids.alias("id")), "mix-meta")
+    mark = fresh(docs.columns, "_mix")
+    own = docs.select("*", F.struct(none(domain).alias("domain"), none(F.col("lang")).alias("lang"), none(F.col("source")).alias("source"), count_tokens(F.col("text")).alias("n")).alias(mark))
+    meta = materialize(own.select(f"{mark}.*", ids.alias("id")), "mix-meta")
     leaves = materialize(meta.groupBy(*TREE).agg(F.sum("n").alias("tokens")), "mix-leaves")
     plan = materialize(budgets(leaves, weights, num, den, max_epochs), "mix-budgets")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("epochs") + 1).cast("string"), F.col("id")))
@@ -105,16 +107,16 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], num
         # the first range that doesn't fit whole; if all fit, the range after the last
         step = sums.groupBy(*TREE, "cut", "room").agg(F.min(F.when(F.col("upto") > F.col("room"), F.struct("piece", (F.col("room") - F.col("upto") + F.col("n")).alias("room")))).alias("at"))
         cuts = materialize(step.select(*TREE, F.concat("cut", F.coalesce("at.piece", F.lit("~"))).alias("cut"), F.coalesce("at.room", F.lit(0)).alias("room")), f"mix-cut{i}")
-    # the last range, document by document; equal orders stand together
-    inside = keyed.join(cuts, list(TREE)).filter(F.expr(f"substring(h, 1, {DIGITS * REFINEMENTS})") == F.col("cut"))
-    peers = Window.partitionBy(*TREE).orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
+    # the last range, order by order: the documents of one id (they may be a third of all) are one row
+    inside = keyed.join(cuts, list(TREE)).filter(F.expr(f"substring(h, 1, {DIGITS * REFINEMENTS})") == F.col("cut")).groupBy(*TREE, "room", "h").agg(F.sum("n").alias("n"))
+    peers = Window.partitionBy(*TREE).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     last = inside.withColumn("upto", F.sum("n").over(peers)).filter(F.col("upto") <= F.col("room")).groupBy(*TREE).agg(F.max("h").alias("last"))
     cuts = cuts.join(last, list(TREE), "left").select(*TREE, F.coalesce("last", "cut").alias("cut"))
-    plan = materialize(plan.join(cuts, list(TREE), "left").select(*(F.col(c).alias(f"_mix_{c}") for c in TREE), F.col("epochs").alias("_mix_e"), F.col("cut").alias("_mix_cut"), F.col("rest").alias("_mix_rest")), "mix-plan")
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("_mix_e") + 1).cast("string"), ids))
+    plan = materialize(plan.join(cuts, list(TREE), "left").select(*(F.col(c).alias(f"{mark}_{c}") for c in TREE), F.col("epochs").alias(f"{mark}_e"), F.col("cut").alias(f"{mark}_cut"), F.col("rest").alias(f"{mark}_rest")), "mix-plan")
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col(f"{mark}_e") + 1).cast("string"), ids))
     # a cut that is a range's name stands before all that begins with it; documents without tokens come with the prefix
-    more = F.when((F.col("_mix_rest") > 0) & (h <= F.col("_mix_cut")), 1).otherwise(0)
-    on = [F.col(f"_mix.{c}") == F.col(f"_mix_{c}") for c in TREE]
-    out = own.join(plan, on).withColumn("_mix_copies", F.col("_mix_e") + more).filter("_mix_copies > 0")
+    more = F.when((F.col(f"{mark}_rest") > 0) & (h <= F.col(f"{mark}_cut")), 1).otherwise(0)
+    on = [F.col(f"{mark}.{c}") == F.col(f"{mark}_{c}") for c in TREE]
+    out = own.join(plan, on).withColumn(f"{mark}_copies", F.col(f"{mark}_e") + more).filter(F.col(f"{mark}_copies") > 0)
     names = [c for c in docs.columns if c not in (f"{prefix}domain", f"{prefix}tokens", f"{prefix}copies")]
-    return out.select(*(F.col(f"`{c}`") for c in names), F.col("_mix.domain").alias(f"{prefix}domain"), F.col("_mix.n").alias(f"{prefix}tokens"), F.col("_mix_copies").cast("long").alias(f"{prefix}copies"))
+    return out.select(*(F.col(f"`{c}`") for c in names), F.col(f"{mark}.domain").alias(f"{prefix}domain"), F.col(f"{mark}.n").alias(f"{prefix}tokens"), F.col(f"{mark}_copies").cast("long").alias(f"{prefix}copies"))

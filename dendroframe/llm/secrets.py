@@ -7,7 +7,9 @@ its neighbours' words and features of the file, and is decoded by Viterbi. It is
 A document is decoded token by token only if some token could gain by leaving O (emission gain plus twice the largest
 transition gain above 0); all others are O throughout, so the result is that of a full decoding.
 Defined results: a null or empty text has no spans; spans are in code points with the end excluded; spans of the field that
-touch a pattern's span give way to it; equal starts sort by kind. Repeated rows give repeated results. Other columns are kept.
+touch a pattern's span give way to it; equal starts sort by kind. Repeated rows give repeated results; an empty table gives an
+empty one, and a field that has learned nothing adds no span. A very long text is held whole, alone in its slice, with some 60
+bytes of arrays a character. Other columns are kept, whatever their names, except that they give way to found.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import fresh, text_slices
 
 KINDS = ("assign", "access", "hex", "crf")
 #: Fixed patterns (letters of the names in either case).
@@ -32,7 +35,7 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 #: Documents that the fit may read.
 SAMPLE = 800
 WINDOW = 16
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 O, B, I = 0, 1, 2  # noqa: E741
 _NEVER = -1e4
 
@@ -214,6 +217,7 @@ def _planted(text: str, rng: random.Random) -> tuple[str, list[tuple[int, int]]]
         lambda: (rng.choice(["password=", "passwd: ", 'token = "', "api_key=", "secret = "]), "".join(rng.choices("0123456789abcdef", k=rng.choice([18, 32, 40])))),
         lambda: ("", "".join(rng.choices(mixed, k=rng.randrange(28, 48)))),
         lambda: (rng.choice(["key: ", "auth = ", "token "]), "".join(rng.choices(mixed, k=rng.randrange(20, 40)))),
+        lambda: ("", rng.choice(".-_").join("".join(rng.choices(mixed, k=rng.randrange(8, 48))) for _ in range(rng.randrange(2, 4)))),
     ]
     name = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 10)))
     # what looks odd and is no secret
@@ -246,22 +250,17 @@ def _planted(text: str, rng: random.Random) -> tuple[str, list[tuple[int, int]]]
     return " ".join(out), spans
 
 
-def fit(texts: list[str], seed: int = 5, steps: int = 60) -> Field:
-    """Maximum likelihood with a quadratic penalty, over windows around secrets, around all tokens with digits or signs, and at random places."""
-    rng = random.Random(seed)
-    rows_f, rows_y = [], []
-    for n, text in enumerate(texts):
-        if n % 2 == 0:
-            text, planted = _planted(text, rng)
-        else:
-            planted = []
-        t = Tokens([text.encode()])
-        m = len(t.start)
-        if m < WINDOW:
-            continue
+def windows(text: str, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Features (windows x columns x places) and tags (windows x places) of at most ten windows of a text: around secrets, around tokens with digits or signs, and at random places. Into every other text, by its hash, secrets are planted first."""
+    h = xxhash.xxh64_intdigest(text.encode(errors="replace"), seed)
+    rng = random.Random(h)
+    text, planted = _planted(text, rng) if h % 2 == 0 else (text, [])
+    t = Tokens([text.encode(errors="replace")])
+    m, rows_f, rows_y = len(t.start), [], []
+    if m >= WINDOW:
         y = np.zeros(m, np.int64)
         for a, b in [*planted, *((a, b) for a, b, _ in base_spans(text))]:
-            a, b = len(text[:a].encode()), len(text[:b].encode())
+            a, b = len(text[:a].encode(errors="replace")), len(text[:b].encode(errors="replace"))
             i, j = np.searchsorted(t.end, a, side="right"), np.searchsorted(t.start, b, side="left")
             y[i:j] = np.where(y[i:j] == O, I, y[i:j])
             if i < j and (i == 0 or y[i - 1] == O):
@@ -275,12 +274,25 @@ def fit(texts: list[str], seed: int = 5, steps: int = 60) -> Field:
                 continue
             rows_f.append(t.features[:, a : a + WINDOW])
             rows_y.append(y[a : a + WINDOW])
+    if not rows_f:
+        return np.zeros((0, len(SIZES), WINDOW), np.int64), np.zeros((0, WINDOW), np.int64)
+    return np.stack(rows_f), np.stack(rows_y)
+
+
+def fit(texts: list[str], seed: int = 5, steps: int = 60) -> Field:
+    """fit_windows on the windows of texts."""
+    return fit_windows([windows(t, seed) for t in texts], steps)
+
+
+def fit_windows(found: list[tuple[np.ndarray, np.ndarray]], steps: int = 60) -> Field:
+    """Maximum likelihood with a quadratic penalty."""
+    rows_f, rows_y = ([x[i] for x in found if len(x[1])] for i in (0, 1))
     weights, moves = [np.zeros((s, 3)) for s in SIZES], np.zeros((3, 3))
     moves[O, I] = _NEVER
     if not rows_f:  # nothing to learn from: everything is outside
         weights[0][:, O] = 50.0
         return Field(weights, moves)
-    f, y = np.stack(rows_f), np.stack(rows_y)  # windows x columns x places
+    f, y = np.concatenate(rows_f), np.concatenate(rows_y)  # windows x columns x places
     n = len(y)
     seen = [np.zeros((s, 3)) for s in SIZES]
     for k, s in enumerate(seen):
@@ -314,13 +326,21 @@ def fit(texts: list[str], seed: int = 5, steps: int = 60) -> Field:
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Field:
-    """Fits on at most `sample` documents, those lowest in hash order; a hash range keeps about twice that many before the sort."""
+    """Fits on at most `sample` documents, those lowest in hash order; a hash range keeps about twice that many before the sort. Their windows are cut by a task; only these, at most ten a document, come to the driver."""
     h = F.xxhash64(F.lit(23), F.col(id_col), F.xxhash64(F.col(text_col)))
     rows = docs.filter(F.col(text_col).isNotNull())
     n = rows.count()
     if n > 2 * sample:
         rows = rows.filter(F.abs(h % 1_000_000_007) < int(1_000_000_007 * 2 * sample / n))
-    return fit([r[0] for r in rows.orderBy(h, id_col).limit(sample).select(text_col).collect()])
+
+    def run(batches):
+        for batch in batches:
+            for _, texts in text_slices(batch, 0, BATCH_CHARS):
+                got = [windows(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i].astype("<i8").tobytes() for x in got], pa.binary()) for i in (0, 1)], names=["f", "y"])
+
+    kept = rows.orderBy(h, id_col).limit(sample).select(text_col).mapInArrow(run, "f binary, y binary").collect()
+    return fit_windows(sorted(((np.frombuffer(r.f, "<i8").reshape(-1, len(SIZES), WINDOW), np.frombuffer(r.y, "<i8").reshape(-1, WINDOW)) for r in kept), key=lambda x: x[0].tobytes()))
 
 
 def scan_texts(field: Field, texts: list[str]) -> list[list[tuple[int, int, int]]]:
@@ -348,4 +368,4 @@ def scan(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
                 found = [[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in x] for x in scan_texts(f, texts)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(found, kind)], names=[*kept, "found"])
 
-    return df.select(*(df[f"`{c}`"] for c in kept), df[f"`{text_col}`"].alias("_secret_text")).mapInArrow(run, schema)
+    return df.select(*(df[f"`{c}`"] for c in kept), df[f"`{text_col}`"].alias(fresh(df.columns, "_secret_text"))).mapInArrow(run, schema)

@@ -4,7 +4,8 @@ Documents are aggregated by their encoded length; suffix sums over the histogram
 totals for every context limit without touching the documents again.
 
 Defined results: a null text counts as the empty text (length 0); repeated rows count as often as they occur; an empty
-table gives an empty histogram. Ties: documents of one length share a row.
+table gives an empty histogram. Ties: documents of one length share a row. A very long text is encoded whole, alone in its
+slice; columns of any name may come along, only the text is used.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_slices
 
 #: Lengths that are summed up together before the sums over all lengths are made.
 BLOCK = 1024
+BATCH_CHARS = 2_000_000
 
 
 @lru_cache(maxsize=2)
@@ -41,7 +43,8 @@ def token_lengths(df: DataFrame, ranks_path: str, pattern: str, text_col: str =
     def run(batches):
         enc = _encoding(*held.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(0).to_pylist()], pa.int64())], names=["n_tokens"])
+            for _, texts in text_slices(batch, 0, BATCH_CHARS):
+                yield pa.RecordBatch.from_arrays([pa.array([len(enc.encode_ordinary(t)) if t else 0 for t in texts], pa.int64())], names=["n_tokens"])
 
     return df.select(df[f"`{text_col}`"]).mapInArrow(run, "n_tokens long")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dendroframe.llm import bpe, language_id, line_dedup, media, mixing, ngram_join, queries, secrets, suffix_dedup, token_counts, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-WORD_BPE = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+WORD_BPE = queries.WORD_BPE
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(WORD_BPE), reason="no tokenizers")
 
 
@@ -223,11 +223,19 @@ def test_media_tables_meet_pairs_of_few_far_matches(spark):
             rows[200 + i, k]["d"] = rows[i, k]["d"]
             for b in rng.choice(256, media.MATCH_BITS, replace=False):
                 rows[200 + i, k]["d"][b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-    df = spark.createDataFrame([(i.to_bytes(16, "big"), r.tobytes()) for i, r in enumerate(rows)], "g binary, points binary")
-    keys = media._keys(df).select("key", "g").distinct()
-    met = keys.alias("a").join(keys.alias("b"), F.expr("a.key = b.key and hex(b.g) > hex(a.g)")).select("a.g", F.col("b.g").alias("h")).distinct().collect()
-    found = sum(int.from_bytes(r.h, "big") - int.from_bytes(r.g, "big") == 200 for r in met)
-    assert found >= 196
+    df = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(rows)], "n long, points binary")
+    again, large = media._again(df)
+    keys = media._keys(df)[0].select("key", "n").distinct()
+    met = keys.alias("a").join(keys.alias("b"), F.expr("a.key = b.key and b.n > a.n")).select("a.n", F.col("b.n").alias("h")).distinct().collect()
+    assert sum(r.h - r.n == 200 for r in met) >= 196 and large.isEmpty()
+    # the bitmap has exactly the keys that occur again, the first and the last key included
+    seen = Counter(media._keyed(list(range(400)), [r.tobytes() for r in rows])[0].tolist())
+    assert set(np.flatnonzero(np.unpackbits(again, bitorder="little")).tolist()) == {k for k, n in seen.items() if n > 1}
+    assert {r.key for r in keys.collect()} == {k for k, n in seen.items() if n > 1}
+    ends = np.zeros((2, 1), media._ROW)
+    ends["d"] = np.frombuffer(b"\0" * 3 + b"\xff" * 29, "<u8")
+    both = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(ends)], "n long, points binary")
+    assert {0, media.KEYS - 1} <= set(np.flatnonzero(np.unpackbits(media._again(both)[0], bitorder="little")).tolist())
 
 
 # -- token counts
@@ -235,7 +243,7 @@ def test_media_tables_meet_pairs_of_few_far_matches(spark):
 
 @needs_vocabulary
 def test_token_histogram(spark, odd):
-    path = f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken"
+    path = queries.BYTE_BPE
     lengths = token_counts.token_lengths(odd, path, queries.BYTE_PATTERN)
     n = sorted(r[0] for r in lengths.collect())
     enc = token_counts._encoding(queries.BYTE_PATTERN, open(path, "rb").read())
@@ -358,7 +366,7 @@ def test_language_accuracy_and_edges(spark, odd):
     text = lambda l: " ".join("".join(rng.choices(syll[l], k=rng.randrange(1, 4))) for _ in range(40))
     rows = [(i, text(l), l, "s", 0) for i in range(200) for l in [("xx", "yy")[i % 2]]] + [(900, None, "xx", "s", 0), (901, "12 %$", "xx", "s", 0), (902, "", None, "s", 0)]
     df = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("own"))
-    model = language_id.train(df.filter(~language_id.held_out(F.col("doc_id"))), f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    model = language_id.train(df.filter(~language_id.held_out(F.col("doc_id"))), queries.PIECES)
     out = {r.doc_id: r for r in language_id.identify(df, model).withColumn("h", language_id.held_out(F.col("doc_id"))).collect()}
     held = [i for i in range(200) if out[i].h]
     assert held and all(zlib.crc32(str(i).encode()) % 4 == 2 for i in held)
@@ -367,7 +375,7 @@ def test_language_accuracy_and_edges(spark, odd):
     kept = language_id.accepted(df, model)
     assert kept.columns == df.columns and kept.count() == 200 and kept.first().score == "own"
     assert language_id.identify(odd, model).count() == odd.count()
-    none = language_id.train(odd.limit(0), f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    none = language_id.train(odd.limit(0), queries.PIECES)
     assert {r.lang_pred for r in language_id.identify(odd, none).collect()} == {"und"}
 
 
