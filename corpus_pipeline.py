@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that more than a tenth of a source's documents hold go."""
-    return line_dedup.dedup_documents(docs, queries.LINE_RATIO, queries.LINE_MIN_PAGES)
+    return line_dedup.dedup_documents(docs, queries.LINE_RATIO, queries.LINE_MIN_PAGES, queries.LINE_LEAST)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit) and a digest of what the ids decode to."""
-    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
-    out = bpe.bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), path)
+    out = bpe.bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), queries.WORD_BPE)
     return out.select("doc_id", "lang", "source", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
