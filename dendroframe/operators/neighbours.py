@@ -1,7 +1,8 @@
 """Neighbour joins: balls, nearest neighbours, nearest cylinder surfaces, interpolation.
 
 Balls are equi-joins on grid cells: one side is copied to its 27 neighbouring cells, the other stays where it is.
-Ties are broken by the lower id.
+Nearest things are sought in rounds: what a point finds within one cell's width is final; the cells' width doubles for the
+points that are left. Ties are broken by the lower id.
 """
 
 from __future__ import annotations
@@ -10,8 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import angle_between, connection_distance, cylinder_axis, cylinder_terms, distance, num
+from ..sources.scratch import cut
 
 XYZ = ("x", "y", "z")
+#: Points, or cylinders, of a tree up to which every point meets all of them at once: a bound on the pairs of a point.
+FEW_POINTS, FEW_CYLINDERS = 1024, 4096
+#: Doublings after which the points that are left (far from everything) meet their whole tree.
+ROUNDS = 16
 
 
 def _cells(df: DataFrame, cell: Column | float, prefix: str, spread: bool) -> DataFrame:
@@ -45,27 +51,53 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _extents(df: DataFrame, columns: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Rows and widest extent of each tree."""
+    width = [F.max(F.greatest(*map(F.col, c)) if len(c) > 1 else F.col(c[0])) - F.min(F.least(*map(F.col, c)) if len(c) > 1 else F.col(c[0])) for c in columns.values()]
+    return df.groupBy("tree_id").agg(F.count(F.lit(1)).alias("_n"), *(w.alias(f"_e{k}") for k, w in zip(columns, width))).withColumn("_wide", F.greatest("_ex", "_ey", "_ez", num(1e-9)))
+
+
 def knn(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """The k nearest points of the same tree (fewer if the tree has fewer): tree_id, point_id, rank, other_id, d.
 
-    One round over grid cells sized from the tree's density answers most points: a point is settled if its k-th candidate
-    lies within one cell width. Only the rest is joined with its whole tree.
+    The first cells are sized for a tree whose points lie on a surface (trees do), or fill their box if that is smaller, and
+    then narrowed by how many points a point's cell really holds. Trees of few points are one cell.
     """
-    stat = right.groupBy("tree_id").agg(F.count(F.lit(1)).alias("_n"), *((F.max(c) - F.min(c)).alias(f"_e{c}") for c in XYZ))
-    widest = F.greatest("_ex", "_ey", "_ez", num(1e-9))
-    volume = F.greatest("_ex", widest * 1e-3) * F.greatest("_ey", widest * 1e-3) * F.greatest("_ez", widest * 1e-3)
-    stat = stat.select("tree_id", "_n", F.cbrt(volume * num(k) / F.col("_n")).alias("_cell"))
-    a = _cells(left.select("tree_id", "point_id", *XYZ).join(stat, "tree_id"), F.col("_cell"), "g", True)
-    b = _cells(right.select("tree_id", F.col("point_id").alias("other_id"), *XYZ).join(stat.select("tree_id", "_cell"), "tree_id"), F.col("_cell"), "g", False)
-    b = b.select("tree_id", "other_id", "gx", "gy", "gz", *(F.col(c).alias(f"o{c}") for c in XYZ))
+    stat = _extents(right, {c: (c,) for c in XYZ})
+    share = num(k) / F.col("_n")
+    room = lambda c: F.greatest(F.col(f"_e{c}"), F.col("_wide") * 1e-3)
+    guess = F.least(F.col("_wide") * F.sqrt(share), F.cbrt(room("x") * room("y") * room("z") * share))
+    stat = cut(stat.select("tree_id", "_n", F.when(F.col("_n") <= FEW_POINTS, F.col("_wide") * 4).otherwise(F.greatest(guess, F.col("_wide") * 1e-6)).alias("_cell")))
+    crowded = stat.filter(F.col("_n") > FEW_POINTS)
+    if not crowded.isEmpty():
+        held = _cells(right.select("tree_id", *XYZ).join(crowded.select("tree_id", "_cell"), "tree_id"), F.col("_cell"), "g", False)
+        held = held.groupBy("tree_id", "gx", "gy", "gz").agg(F.count(F.lit(1)).alias("c")).groupBy("tree_id").agg((F.sum(F.col("c") * F.col("c")) / F.sum("c")).alias("_held"))
+        narrow = F.when(F.col("_held") > k, F.col("_cell") * F.sqrt(num(k) / F.col("_held"))).otherwise(F.col("_cell"))
+        stat = cut(stat.join(held, "tree_id", "left").select("tree_id", "_n", narrow.alias("_cell")))
     d = distance([F.col(c) for c in XYZ], [F.col(f"o{c}") for c in XYZ])
-    near = _nearest(a.join(b, ["tree_id", "gx", "gy", "gz"]).withColumn("d", d).filter(F.col("d") <= F.col("_cell")).select("tree_id", "point_id", "other_id", "d", "_n"), k)
-    full = F.count(F.lit(1)).over(Window.partitionBy("tree_id", "point_id")) >= F.least(F.lit(k), F.col("_n"))
-    settled = near.withColumn("_ok", full).filter("_ok").select("tree_id", "point_id", "rank", "other_id", "d")
-    rest = left.select("tree_id", "point_id", *XYZ).join(settled.filter("rank = 1").select("tree_id", "point_id"), ["tree_id", "point_id"], "left_anti")
-    all_others = right.select("tree_id", F.col("point_id").alias("other_id"), *(F.col(c).alias(f"o{c}") for c in XYZ))
-    far = _nearest(rest.join(all_others, "tree_id").withColumn("d", d).select("tree_id", "point_id", "other_id", "d"), k)
-    return settled.unionByName(far.select("tree_id", "point_id", "rank", "other_id", "d"))
+    others = right.select("tree_id", F.col("point_id").alias("other_id"), *XYZ)
+    rest, out = left.select("tree_id", "point_id", *XYZ), None
+    for i in range(ROUNDS + 1):
+        size = stat.withColumn("_cell", F.col("_cell") * 2**i)
+        if i < ROUNDS:
+            a = _cells(rest.join(size, "tree_id"), F.col("_cell"), "g", True)
+            b = _cells(others.join(size.select("tree_id", "_cell"), "tree_id"), F.col("_cell"), "g", False)
+            b = b.select("tree_id", "other_id", "gx", "gy", "gz", *(F.col(c).alias(f"o{c}") for c in XYZ))
+            pairs = a.join(b, ["tree_id", "gx", "gy", "gz"]).withColumn("d", d).filter(F.col("d") <= F.col("_cell"))
+        else:
+            b = others.select("tree_id", "other_id", *(F.col(c).alias(f"o{c}") for c in XYZ))
+            pairs = rest.join(size, "tree_id").join(b, "tree_id").withColumn("d", d)
+        near = _nearest(pairs.select("tree_id", "point_id", "other_id", "d", "_n"), k)
+        full = F.count(F.lit(1)).over(Window.partitionBy("tree_id", "point_id")) >= F.least(F.lit(k), F.col("_n"))
+        settled = cut(near.withColumn("_ok", full).filter("_ok").select("tree_id", "point_id", "rank", "other_id", "d"))
+        out = settled if out is None else out.unionByName(settled)
+        if i == ROUNDS:
+            break
+        rest = rest.join(settled.filter("rank = 1").select("tree_id", "point_id"), ["tree_id", "point_id"], "left_anti")
+        rest = cut(rest.join(stat.select("tree_id"), "tree_id", "left_semi"))
+        if rest.isEmpty():
+            break
+    return out
 
 
 def _with_axis(cylinders: DataFrame) -> DataFrame:
@@ -73,22 +105,64 @@ def _with_axis(cylinders: DataFrame) -> DataFrame:
     return cylinders.withColumns({"_length": length, **{f"_u{k}": c for k, c in zip(XYZ, u)}})
 
 
-def _surface_pairs(points: DataFrame, cylinders: DataFrame, perp_tol: float) -> tuple[DataFrame, dict[str, Column]]:
-    """Points with each cylinder of their tree, and the cylinder_terms of such a pair."""
-    c = _with_axis(cylinders).select("tree_id", "id", "sx", "sy", "sz", "_length", "_ux", "_uy", "_uz", "radius")
-    t = cylinder_terms([F.col(k) for k in XYZ], [F.col(f"s{k}") for k in XYZ], F.col("_length"), [F.col(f"_u{k}") for k in XYZ], F.col("radius"), perp_tol)
-    return points.select("tree_id", "point_id", *XYZ).join(c, "tree_id"), t
+_AXIS = ("sx", "sy", "sz", "_length", "_ux", "_uy", "_uz", "radius")
+
+
+def _terms(perp_tol: float) -> dict[str, Column]:
+    return cylinder_terms([F.col(k) for k in XYZ], [F.col(f"s{k}") for k in XYZ], F.col("_length"), [F.col(f"_u{k}") for k in XYZ], F.col("radius"), perp_tol)
+
+
+def _covered(cylinders: DataFrame, cell: Column, reach: Column) -> DataFrame:
+    """Cylinders (with their axis), once for each grid cell that may hold a point within `reach` of their surface: columns gx, gy, gz. The axis is followed in steps of a cell's width; around each step lies a box of cells."""
+    steps = F.ceil(F.col("_length") / cell)
+    room = F.col("radius") + reach + cell / 2
+    at = lambda j, k: F.col(f"s{k}") + F.col(f"_u{k}") * F.least(j * cell, F.col("_length"))
+    span = lambda j, k: F.sequence(F.floor((at(j, k) - room) / cell), F.floor((at(j, k) + room) / cell))
+    box = lambda j: F.flatten(F.transform(span(j, "x"), lambda x: F.flatten(F.transform(span(j, "y"), lambda y: F.transform(span(j, "z"), lambda z: F.struct(x.alias("gx"), y.alias("gy"), z.alias("gz")))))))
+    cells = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), steps), box)))
+    return cylinders.withColumn("_g", F.explode(cells)).select("tree_id", "id", *_AXIS, "_g.gx", "_g.gy", "_g.gz")
+
+
+def _cylinder_cells(cylinders: DataFrame) -> DataFrame:
+    """Per tree: its cylinders, and a cell's width that leaves a few of them in a cell."""
+    e = _extents(cylinders, {k: (f"s{k}", f"e{k}") for k in XYZ})
+    return e.select("tree_id", "_n", F.greatest(F.col("_wide") / F.cbrt(F.col("_n").cast("double")), F.col("_wide") * 1e-4).alias("_cell"))
 
 
 def nearest_cylinder(points: DataFrame, cylinders: DataFrame, perp_tol: float = 1e-3) -> DataFrame:
     """For every point its tree's nearest cylinder surface: cylinder_id, distance, and the offset ox, oy, oz to the mantle. Ties: lower id.
 
-    An equi-join on the tree; the minimum is kept per point by partial aggregation, so pairs do not reach the shuffle.
-    Points of trees without cylinders are left out.
+    Points of trees with few cylinders meet all of them; the minimum is kept per point by partial aggregation, so pairs do
+    not reach the shuffle. In larger trees points meet the cylinders whose surface may pass within one cell's width of
+    theirs, for which cylinders are copied to cells; a minimum within that width is final. Points of trees without cylinders
+    are left out.
     """
-    pairs, t = _surface_pairs(points, cylinders, perp_tol)
-    pairs = pairs.select("tree_id", "point_id", F.struct(t["distance"].alias("distance"), F.col("id").alias("cylinder_id"), *(t[k].alias(k) for k in ("ox", "oy", "oz"))).alias("m"))
-    return pairs.groupBy("tree_id", "point_id").agg(F.min("m").alias("m")).select("tree_id", "point_id", "m.cylinder_id", "m.distance", "m.ox", "m.oy", "m.oz")
+    t = _terms(perp_tol)
+    best = F.min(F.struct(t["distance"].alias("distance"), F.col("id").alias("cylinder_id"), *(t[k].alias(k) for k in ("ox", "oy", "oz")))).alias("m")
+    p, c = points.select("tree_id", "point_id", *XYZ), _with_axis(cylinders).select("tree_id", "id", *_AXIS)
+    stat = cut(_cylinder_cells(cylinders))
+    crowded = stat.filter(F.col("_n") > FEW_CYLINDERS)
+    out = None
+    if crowded.isEmpty():
+        out = p.join(c, "tree_id").groupBy("tree_id", "point_id").agg(best)
+    else:
+        few = c.join(stat.filter(F.col("_n") <= FEW_CYLINDERS).select("tree_id"), "tree_id", "left_semi")
+        out = p.join(few, "tree_id").groupBy("tree_id", "point_id").agg(best)
+        rest = p.join(crowded.select("tree_id"), "tree_id", "left_semi")
+        for i in range(ROUNDS + 1):
+            size = crowded.select("tree_id", (F.col("_cell") * 2**i).alias("_cell"))
+            if i < ROUNDS:
+                cell = F.col("_cell")
+                held = _cells(rest.join(size, "tree_id"), cell, "g", False)
+                met = held.join(_covered(c.join(size, "tree_id"), cell, cell), ["tree_id", "gx", "gy", "gz"])
+                found = cut(met.groupBy("tree_id", "point_id").agg(best, F.first("_cell").alias("_cell")).filter("m.distance <= _cell").drop("_cell"))
+            else:
+                found = cut(rest.join(c, "tree_id").groupBy("tree_id", "point_id").agg(best))
+            out = out.unionByName(found)
+            rest = cut(rest.join(found.select("tree_id", "point_id"), ["tree_id", "point_id"], "left_anti"))
+            if i == ROUNDS or rest.isEmpty():
+                break
+    return out.select("tree_id", "point_id", "m.cylinder_id", "m.distance", "m.ox", "m.oy", "m.oz")
 
 
 def label_points(points: DataFrame, cylinders: DataFrame, perp_tol: float = 1e-3) -> DataFrame:
@@ -98,9 +172,11 @@ def label_points(points: DataFrame, cylinders: DataFrame, perp_tol: float = 1e-3
 
 
 def near_cylinders(points: DataFrame, cylinders: DataFrame, eps: float, perp_tol: float = 1e-3) -> DataFrame:
-    """Points closer than eps to any cylinder of their tree. The least distance is kept per point by partial aggregation: as a join condition, the closed form would outgrow compiled code."""
-    pairs, t = _surface_pairs(points, cylinders, perp_tol)
-    near = pairs.groupBy("tree_id", "point_id").agg(F.min(t["distance"]).alias("d")).filter(F.col("d") < eps)
+    """Points closer than eps to any cylinder of their tree. Points meet only the cylinders whose surface may pass within eps of their grid cell; the least distance is kept per point by partial aggregation (as a join condition, the closed form would outgrow compiled code)."""
+    size = _cylinder_cells(cylinders).select("tree_id", F.greatest("_cell", num(max(eps, 1e-9))).alias("_cell"))
+    c = _covered(_with_axis(cylinders).select("tree_id", "id", *_AXIS).join(size, "tree_id"), F.col("_cell"), num(eps))
+    held = _cells(points.select("tree_id", "point_id", *XYZ).join(size, "tree_id"), F.col("_cell"), "g", False)
+    near = held.join(c, ["tree_id", "gx", "gy", "gz"]).groupBy("tree_id", "point_id").agg(F.min(_terms(perp_tol)["distance"]).alias("d")).filter(F.col("d") < eps)
     return points.join(near, ["tree_id", "point_id"], "left_semi")
 
 
