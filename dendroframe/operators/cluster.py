@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
 from .hierarchy import components
 from .neighbours import ball_join
 
@@ -161,17 +162,27 @@ def agglomerative_labels(dist: np.ndarray, threshold: float, linkage: str = "ave
 
 
 def cluster_directions(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """Density clustering by the angle between directions from each tree's centroid, per tree (one tree per task; a tree's shell of points must fit)."""
+    """Density clustering by the angle between directions from each tree's centroid, one tree per task. Memory grows with the tree's points, not with their square: directions are compared within and between cells only."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id")
         v = pdf[["x", "y", "z"]].to_numpy()
-        return pd.DataFrame({"tree_id": pdf.tree_id, "point_id": pdf.point_id, "label": dbscan_labels(angular_distances(v - v.mean(axis=0)), eps, min_samples)})
+        return pd.DataFrame({"tree_id": pdf.tree_id, "point_id": pdf.point_id, "label": dbscan_points(v - v.mean(axis=0), eps, min_samples, angular=True)})
 
     return points.select("tree_id", "point_id", "x", "y", "z").groupBy("tree_id").applyInPandas(run, points.select("tree_id", "point_id").schema.add("label", "long"))
 
 
 def agglomerate(points: DataFrame, threshold: float, linkage: str = "average", least: int = 1) -> DataFrame:
+    """Bottom-up clustering per tree: tree_id, point_id, label (-1: smaller than `least`).
+
+    Single linkage at a threshold is the components of the graph of points that near each other; it is solved so, as joins,
+    and labels are least ids. The other linkages need all distances of a tree in one task, so its points must be few.
+    """
+    if linkage == "single":
+        label = linked_components(points, threshold)
+        size = label.groupBy("tree_id", "component").agg(F.count(F.lit(1)).alias("n"))
+        return label.join(size, ["tree_id", "component"]).select("tree_id", "point_id", F.when(F.col("n") >= least, F.col("component")).otherwise(F.lit(-1).cast("long")).alias("label"))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id")
         v = pdf[["x", "y", "z"]].to_numpy()
@@ -200,10 +211,18 @@ def farthest_points(points: DataFrame, n: int) -> DataFrame:
 
 def sample_and_group(points: DataFrame, n: int, radius: float, most: int, value: str) -> DataFrame:
     """Set abstraction without weights: sampled centres, their capped balls, coordinates relative to the centre, and the largest value of each ball."""
+    return sample_and_group_scales(points, n, [(radius, most)], value).drop("scale")
+
+
+def sample_and_group_scales(points: DataFrame, n: int, scales: list[tuple[float, int]], value: str) -> DataFrame:
+    """sample_and_group around the same centres at several (radius, most): one row per centre and scale (its number)."""
     from .neighbours import ball_query
 
-    centres = farthest_points(points, n).join(points.select("tree_id", "point_id", "x", "y", "z"), ["tree_id", "point_id"])
-    q = ball_query(centres, points, radius, most)
+    centres = cut(farthest_points(points, n).join(points.select("tree_id", "point_id", "x", "y", "z"), ["tree_id", "point_id"]))
     o = points.select("tree_id", F.col("point_id").alias("other_id"), *(F.col(k).alias(f"o{k}") for k in "xyz"), value)
-    g = q.join(o, ["tree_id", "other_id"]).join(centres, ["tree_id", "point_id"])
-    return g.groupBy("tree_id", "point_id").agg(F.max(value).alias("max_v"), *(F.avg(F.col(f"o{k}") - F.col(k)).alias(f"mean_{k}") for k in "xyz"))
+    out = None
+    for i, (radius, most) in enumerate(scales):
+        g = ball_query(centres, points, radius, most).join(o, ["tree_id", "other_id"]).join(centres, ["tree_id", "point_id"])
+        g = g.groupBy("tree_id", "point_id").agg(F.max(value).alias("max_v"), *(F.avg(F.col(f"o{k}") - F.col(k)).alias(f"mean_{k}") for k in "xyz")).withColumn("scale", F.lit(i))
+        out = g if out is None else out.unionByName(g)
+    return out

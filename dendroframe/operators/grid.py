@@ -52,6 +52,35 @@ def reaggregate(predictions: DataFrame, points: DataFrame, value: str) -> DataFr
     return points.select("tree_id", "point_id").join(mean, ["tree_id", "point_id"], "left").select("tree_id", "point_id", F.coalesce("_m", num(0)).alias(value))
 
 
+def extract_rasters(points: DataFrame, rasters: DataFrame) -> DataFrame:
+    """The points of each raster of a metadata table (tree_id, raster_id, min_x .. max_z; as read_raster_metadata gives it): columns of points and raster_id. Boxes are half-open and may overlap.
+
+    An equi-join: a tree's grid has cells as wide as its widest box, so a box lies in eight cells at most; points keep the one cell they are in.
+    """
+    size = rasters.groupBy("tree_id").agg(*(F.max(F.col(f"max_{c}") - F.col(f"min_{c}")).alias(f"_s{c}") for c in "xyz")).select("tree_id", *(F.greatest(f"_s{c}", num(1e-9)).alias(f"_s{c}") for c in "xyz"))
+    boxes = rasters.select("tree_id", "raster_id", *(F.col(f"{e}_{c}").alias(f"_{e}_{c}") for c in "xyz" for e in ("min", "max"))).join(size, "tree_id")
+    held = with_tree(points, size)
+    for c in "xyz":
+        low, high = F.floor(F.col(f"_min_{c}") / F.col(f"_s{c}")), F.floor(F.col(f"_max_{c}") / F.col(f"_s{c}"))
+        boxes = boxes.withColumn(f"_g{c}", F.explode(F.sequence(low, high)))
+        held = held.withColumn(f"_g{c}", F.floor(F.col(c) / F.col(f"_s{c}")))
+    both = held.drop(*(f"_s{c}" for c in "xyz")).join(boxes.drop(*(f"_s{c}" for c in "xyz")), ["tree_id", "_gx", "_gy", "_gz"])
+    for c in "xyz":
+        both = both.filter((F.col(c) >= F.col(f"_min_{c}")) & (F.col(c) < F.col(f"_max_{c}")))
+    return both.select(*(F.col(f"`{c}`") for c in points.columns), "raster_id")
+
+
+def rasters_per_tree(cells: DataFrame) -> DataFrame:
+    """Rasters of each tree, and the mean over trees beside them."""
+    n = cells.groupBy("tree_id").agg(F.countDistinct("raster_id").alias("n"))
+    return n.agg(F.count(F.lit(1)).alias("n_trees"), F.sum("n").alias("n_rasters"), F.avg("n").alias("mean_rasters"))
+
+
+def first_rasters(cells: DataFrame, most: int) -> DataFrame:
+    """The first `most` rasters of each tree, by id (rasters are numbered from 0 without gaps)."""
+    return cells.filter(F.col("raster_id") < most)
+
+
 def voxel_key(points: DataFrame, size: float) -> DataFrame:
     low = points.groupBy("tree_id").agg(*(F.min(c).alias(f"_{c}") for c in "xyz"))
     return with_tree(points, low).withColumns({f"v{c}": cell_of(F.col(c), F.col(f"_{c}"), size) for c in "xyz"}).drop("_x", "_y", "_z")
@@ -71,21 +100,47 @@ def unpool(points: DataFrame, voxels: DataFrame, size: float) -> DataFrame:
     return voxel_key(points, size).join(voxels, ["tree_id", "vx", "vy", "vz"])
 
 
-def serialise(points: DataFrame, size: float, depth: int = 16, swap: bool = False) -> DataFrame:
-    """Adds the cell numbers, the Z-order code (swap: x and y exchanged), and rank: the place in code order within the tree (ties by id).
+#: Orders along space-filling curves; '-trans' exchanges x and y (fixed names).
+ORDERS = ("z", "z-trans", "hilbert", "hilbert-trans")
 
-    The rank is a prefix sum over the curve: points are counted in ranges of codes first, so that only a range, never a
-    whole tree, is sorted in one task.
-    """
-    keyed = voxel_key(points, size)
-    a, b = ("vy", "vx") if swap else ("vx", "vy")
-    keyed = keyed.withColumn("code", morton(F.col(a), F.col(b), F.col("vz"), depth))
-    keyed = keyed.withColumn("_part", F.shiftright("code", 9))
+
+def curve_code(x: Column, y: Column, z: Column, order: str = "z", depth: int = 16, batch: Column | None = None) -> Column:
+    """Code of cell numbers along a curve of ORDERS; with batch its number stands in the bits above."""
+    if order not in ORDERS:
+        raise ValueError(f"order is one of {ORDERS}")
+    a, b = (y, x) if order.endswith("-trans") else (x, y)
+    code = morton(a, b, z, depth) if order.startswith("z") else hilbert(a, b, z, depth)
+    return code if batch is None else F.shiftleft(batch.cast("long"), 3 * depth).bitwiseOR(code)
+
+
+def _ranked(keyed: DataFrame, code: str, rank: str) -> DataFrame:
+    """Adds rank: the place by (code, point_id) within the tree, as a prefix sum over ranges of codes: a range's rows are sorted in one task, a tree's never."""
+    keyed = keyed.withColumn("_part", F.shiftright(code, 9))
     parts = keyed.groupBy("tree_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("tree_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("tree_id", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("tree_id", "_part").orderBy("code", "point_id"))
-    return keyed.withColumn("_own", own).join(parts, ["tree_id", "_part"]).withColumn("rank", (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_part", "_own", "_before")
+    own = F.row_number().over(Window.partitionBy("tree_id", "_part").orderBy(code, "point_id"))
+    return keyed.withColumn("_own", own).join(parts, ["tree_id", "_part"]).withColumn(rank, (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_part", "_own", "_before")
+
+
+def serialise(points: DataFrame, size: float, depth: int = 16, swap: bool = False, order: str | None = None) -> DataFrame:
+    """Adds the cell numbers, code (along the curve `order`; by default Z-order, with swap x and y exchanged), and rank: the place in code order within the tree (ties by id). The rank of a point is the inverse permutation; order_of gives the permutation itself."""
+    keyed = voxel_key(points, size)
+    order = order or ("z-trans" if swap else "z")
+    return _ranked(keyed.withColumn("code", curve_code(F.col("vx"), F.col("vy"), F.col("vz"), order, depth)), "code", "rank")
+
+
+def serialise_all(points: DataFrame, size: float, depth: int = 16, orders: tuple[str, ...] = ORDERS) -> DataFrame:
+    """The cell numbers with code_0, rank_0, code_1, ... for each of the orders."""
+    out = voxel_key(points, size)
+    for i, order in enumerate(orders):
+        out = _ranked(out.withColumn(f"code_{i}", curve_code(F.col("vx"), F.col("vy"), F.col("vz"), order, depth)), f"code_{i}", f"rank_{i}")
+    return out
+
+
+def order_of(coded: DataFrame, rank: str = "rank") -> DataFrame:
+    """The permutation: which point stands at each place of the order. Columns tree_id, place, point_id."""
+    return coded.select("tree_id", F.col(rank).alias("place"), "point_id")
 
 
 def serialised_pool(coded: DataFrame, levels: int, value: str) -> DataFrame:

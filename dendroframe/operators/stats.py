@@ -34,6 +34,18 @@ def binned(df: DataFrame, key: str, value: str, edges: list[float], last_closed:
     return bins.join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std")
 
 
+def bin_centres(edges: list[float], geometric: bool = False) -> list[float | None]:
+    """Middle of each bin: arithmetic, or the root of the edges' product; None for an open bin."""
+    mid = [(math.sqrt(a * b) if geometric else (a + b) / 2) for a, b in zip(edges, edges[1:])]
+    return [None if math.isinf(m) else m for m in mid]
+
+
+def log_edges(low: float, high: float, multipliers: tuple[int, ...] = (1, 2, 5)) -> list[float]:
+    """The edges of log_bins as a list, in order."""
+    inner = (m * 10.0**o for o in range(math.floor(math.log10(low)), math.ceil(math.log10(high)) + 1) for m in multipliers)
+    return sorted({low, high, *(e for e in inner if low < e < high)})
+
+
 def log_bins(spark: SparkSession, low: float, high: float, multipliers: tuple[int, ...] = (1, 2, 5)) -> DataFrame:
     """Edges m * 10^o between low and high, with both ends put in."""
     orders = range(math.floor(math.log10(low)), math.ceil(math.log10(high)) + 1)
