@@ -64,6 +64,9 @@ models AS (SELECT CAST(30 + p_partkey % 60 AS VARCHAR) || '_' || CAST(p_partkey
 axis AS (SELECT *, ((x-sx)*ax+(y-sy)*ay+(z-sz)*az)/len t FROM pair),
 clip AS (SELECT *, t - greatest(0, least(t, len)) h, sqrt((x-sx-t*ax/len)*(x-sx-t*ax/len)+(y-sy-t*ay/len)*(y-sy-t*ay/len)+(z-sz-t*az/len)*(z-sz-t*az/len)) rho FROM axis),
 near AS (SELECT tree_id, point_id, min_by(id, d) cylinder_id, min(d) distance FROM (SELECT *, CASE WHEN abs(h) <= 0.001 THEN abs(rho-r) ELSE sqrt(h*h + greatest(rho-r,0)*greatest(rho-r,0)) END d FROM clip) GROUP BY tree_id, point_id)""",
+    "near_offset": """near_offset AS (SELECT n.tree_id, n.point_id, n.cylinder_id, n.distance, sx + (t-h)*ax/len + r*(x-sx-t*ax/len)/greatest(rho, 1e-8) - x ox,
+    sy + (t-h)*ay/len + r*(y-sy-t*ay/len)/greatest(rho, 1e-8) - y oy, sz + (t-h)*az/len + r*(z-sz-t*az/len)/greatest(rho, 1e-8) - z oz
+    FROM near n JOIN clip c ON c.tree_id = n.tree_id AND c.point_id = n.point_id AND c.id = n.cylinder_id)""",
 }
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import cluster, grid, hierarchy, neighbours, points, qsm, sampling, stats
+from ..operators import cluster, evaluation, grid, hierarchy, neighbours, points, qsm, sampling, stats
 from ..sources import readers, sinks
 from . import fixtures as X
 
@@ -40,9 +42,9 @@ def q(c: str, digits: int = D) -> str:
 # -- nearest cylinders and labels
 
 
-@query("nearest_cylinder", X.sql(f"SELECT tree_id, point_id, cylinder_id, {q('distance')} AS distance FROM near", "pts", "cyl", "near"))
+@query("nearest_cylinder", X.sql(f"SELECT tree_id, point_id, cylinder_id, {q('distance')} AS distance, {q('ox')} AS ox, {q('oy')} AS oy, {q('oz')} AS oz FROM near_offset", "pts", "cyl", "near", "near_offset"))
 def _(s, d):
-    return rounded(neighbours.nearest_cylinder(X.points(s, d), X.cylinders(s, d)), "distance").select("tree_id", "point_id", "cylinder_id", "distance")
+    return rounded(neighbours.nearest_cylinder(X.points(s, d), X.cylinders(s, d)), "distance", "ox", "oy", "oz").select("tree_id", "point_id", "cylinder_id", "distance", "ox", "oy", "oz")
 
 
 @query("tree_mean_distance", X.sql(f"SELECT tree_id, count(*) AS n, {q('avg(distance)')} AS mean, {q('stddev_pop(distance)/sqrt(count(*))')} AS sem, {q('stddev_pop(distance)')} AS std FROM near GROUP BY tree_id", "pts", "cyl", "near"))
@@ -111,6 +113,12 @@ def _(s, d):
     return X.event_points(s, d).filter(G.in_box(G.cols("x", "y", "z"), *BOX)).select("tree_id", "point_id", r(u).alias("u"), r(v).alias("v"))
 
 
+@query("slice_views", X.sql(f"SELECT tree_id, point_id, {q('x')} AS top_u, {q('y')} AS top_v, {q('y')} AS side_u, {q('z')} AS side_v FROM ev WHERE {IN_BOX}", "ev"))
+def _(s, d):
+    top, side = (G.rotate_view(*G.cols("x", "y", "z"), 1.5, 3.0, v) for v in "zx")
+    return X.event_points(s, d).filter(G.in_box(G.cols("x", "y", "z"), *BOX)).select("tree_id", "point_id", r(top[0]).alias("top_u"), r(top[1]).alias("top_v"), r(side[0]).alias("side_u"), r(side[1]).alias("side_v"))
+
+
 CYL_BOX = ((-1.0, -1.0, -1.0), (0.6, 0.9, 0.8))
 
 
@@ -119,10 +127,14 @@ def _(s, d):
     return X.cylinders(s, d).filter(G.cylinder_in_box(G.cols("sx", "sy", "sz"), G.cols("ex", "ey", "ez"), *CYL_BOX)).select("tree_id", "id")
 
 
-@query("cylinder_quad", X.sql(f"SELECT tree_id, id, {q('sx - (ey-sy)/sqrt((ex-sx)*(ex-sx)+(ey-sy)*(ey-sy))*radius')} AS u, {q('sy + (ex-sx)/sqrt((ex-sx)*(ex-sx)+(ey-sy)*(ey-sy))*radius')} AS v FROM cyl WHERE sqrt((ex-sx)*(ex-sx)+(ey-sy)*(ey-sy)) > 1e-12", "cyl"))
+FLAT = "sqrt((ex-sx)*(ex-sx)+(ey-sy)*(ey-sy))"
+CORNERS = ", ".join(f"{q(f'{e}x {sign} (ey-sy)/{FLAT}*radius')} AS u{i}, {q(f'{e}y {back} (ex-sx)/{FLAT}*radius')} AS v{i}" for i, (e, sign, back) in enumerate((("s", "-", "+"), ("s", "+", "-"), ("e", "+", "-"), ("e", "-", "+"))))
+
+
+@query("cylinder_quad", X.sql(f"SELECT tree_id, id, {CORNERS} FROM cyl WHERE {FLAT} > 1e-12", "cyl"))
 def _(s, d):
     c = X.cylinders(s, d).withColumn("q", G.cylinder_quad(*G.cols("sx", "sy", "ex", "ey", "radius"))).filter("q is not null")
-    return c.select("tree_id", "id", r(F.col("q")[0].u).alias("u"), r(F.col("q")[0].v).alias("v"))
+    return c.select("tree_id", "id", *(r(F.col("q")[i][k]).alias(f"{k}{i}") for i in range(4) for k in "uv"))
 
 
 LEN = "sqrt((ex-sx)*(ex-sx)+(ey-sy)*(ey-sy)+(ez-sz)*(ez-sz))"
@@ -267,6 +279,94 @@ def _(s, d):
     return rounded(points.extent(X.event_points(s, d)), *(f"{m}_{c}" for m in ("min", "max") for c in "xyz"))
 
 
+def _hilbert_steps(source: str, x: str, y: str, z: str, bits: int, keep: str) -> tuple[str, str]:
+    """Skilling's transform of axes to a Hilbert index as a chain of CTEs, one per bit and axis; (the CTEs, the last one's name). Its column is code."""
+    steps, at = [f"h0 AS (SELECT {keep}, CAST({x} AS BIGINT) a, CAST({y} AS BIGINT) b, CAST({z} AS BIGINT) c FROM {source})"], 0
+
+    def add(a: str, b: str, c: str, more: str = "") -> None:
+        nonlocal at
+        steps.append(f"h{at + 1} AS (SELECT {keep}, {a} a, {b} b, {c} c{more} FROM h{at})")
+        at += 1
+
+    for k in range(bits - 1, 0, -1):
+        p = (1 << k) - 1
+        hit = lambda v: f"(({v} >> {k}) & 1) = 1"  # noqa: B023, E731
+        add(f"CASE WHEN {hit('a')} THEN xor(a, {p}) ELSE a END", "b", "c")
+        add(f"CASE WHEN {hit('b')} THEN xor(a, {p}) ELSE xor(a, xor(a, b) & {p}) END", f"CASE WHEN {hit('b')} THEN b ELSE xor(b, xor(a, b) & {p}) END", "c")
+        add(f"CASE WHEN {hit('c')} THEN xor(a, {p}) ELSE xor(a, xor(a, c) & {p}) END", "b", f"CASE WHEN {hit('c')} THEN c ELSE xor(c, xor(a, c) & {p}) END")
+    add("a", "xor(b, a)", "xor(c, xor(b, a))")
+    turn = "0"
+    for k in range(bits - 1, 0, -1):
+        turn = f"xor({turn}, CASE WHEN ((c >> {k}) & 1) = 1 THEN {(1 << k) - 1} ELSE 0 END)"
+    add("a", "b", "c", f", {turn} t")
+    add("xor(a, t)", "xor(b, t)", "xor(c, t)")
+    code = " + ".join(f"((({v} >> {i}) & 1) << {3 * i + k})" for i in range(bits) for v, k in (("a", 2), ("b", 1), ("c", 0)))
+    steps.append(f"h{at + 1} AS (SELECT {keep}, CAST({code} AS BIGINT) code FROM h{at})")
+    return ",\n".join(steps), f"h{at + 1}"
+
+
+HILBERT, LAST = _hilbert_steps("ev", "point_id % 1024", "(point_id*7) % 1024", "(point_id*13) % 1024", 10, "point_id")
+
+
+@query("hilbert_encode", X.sql(f"{HILBERT}\nSELECT point_id, code FROM {LAST}", "ev"))
+def _(s, d):
+    return X.event_points(s, d).select("point_id", grid.curve_code(F.expr("point_id % 1024"), F.expr("(point_id*7) % 1024"), F.expr("(point_id*13) % 1024"), "hilbert", 10).alias("code"))
+
+
+def _orders_sql() -> str:
+    hilbert, last = _hilbert_steps("v", "vx", "vy", "vz", 8, "tree_id, point_id")
+    swapped, last_2 = _hilbert_steps("v", "vy", "vx", "vz", 8, "tree_id, point_id")
+    swapped = re.sub(r"\bh(\d+)\b", r"g\1", swapped)
+    rank = lambda code: f"row_number() OVER (PARTITION BY v.tree_id ORDER BY {code}, v.point_id) - 1"
+    z, zt = (f"CAST({_bits(a, b, 'vz')} AS BIGINT)" for a, b in (("vx", "vy"), ("vy", "vx")))
+    on = lambda t: f"{t}.tree_id = v.tree_id AND {t}.point_id = v.point_id"
+    h, g = last, last_2.replace("h", "g")
+    return f"{VOX},\n{hilbert},\n{swapped}\nSELECT v.tree_id, v.point_id, {rank(z)} AS rank_0, {rank(zt)} AS rank_1, {h}.code AS code_2, {rank(h + '.code')} AS rank_2, {g}.code AS code_3, {rank(g + '.code')} AS rank_3 FROM v JOIN {h} ON {on(h)} JOIN {g} ON {on(g)}"
+
+
+@query("serialized_orders", X.sql(_orders_sql(), "ev"))
+def _(s, d):
+    return grid.serialise_all(X.event_points(s, d), 1.0, 8).select("tree_id", "point_id", "rank_0", "rank_1", "code_2", "rank_2", "code_3", "rank_3")
+
+
+@query("serialized_inverse", X.sql(f"{RANKED} SELECT tree_id, \"rank\" AS place, point_id FROM o", "ev"))
+def _(s, d):
+    return grid.order_of(grid.serialise(X.event_points(s, d), 1.0))
+
+
+@query("morton_batch", X.sql(f"{CODED} SELECT tree_id, point_id, (CAST(tree_id AS BIGINT) << 24) | code AS code FROM k", "ev"))
+def _(s, d):
+    return grid.voxel_key(X.event_points(s, d), 1.0).select("tree_id", "point_id", grid.curve_code(*G.cols("vx", "vy", "vz"), depth=8, batch=F.col("tree_id")).alias("code"))
+
+
+BOXES = f"{_raster_sql('2.0', '1.0')},\n{CELLS}, meta AS (SELECT tree_id, row_number() OVER (PARTITION BY tree_id ORDER BY ix, iy, iz) - 1 raster_id, lx+ix*1.0 ax, ly+iy*1.0 ay, lz+iz*1.0 az FROM cells)"
+
+
+@query("extract_rasters", X.sql(f"{BOXES} SELECT e.tree_id, point_id, raster_id FROM ev e JOIN meta m ON e.tree_id = m.tree_id AND x >= ax AND x < ax+2.0 AND y >= ay AND y < ay+2.0 AND z >= az AND z < az+2.0", "ev"))
+def _(s, d):
+    p = X.event_points(s, d)
+    return grid.extract_rasters(p, grid.raster_table(grid.raster_members(p, 2.0, 1.0), p, 2.0, 1.0)).select("tree_id", "point_id", "raster_id")
+
+
+@query("rasters_per_tree", X.sql(f"{BOXES} SELECT count(DISTINCT tree_id) AS n_trees, count(*) AS n_rasters, {q('count(*) / CAST(count(DISTINCT tree_id) AS DOUBLE)')} AS mean_rasters FROM meta", "ev"))
+def _(s, d):
+    p = X.event_points(s, d)
+    return rounded(grid.rasters_per_tree(grid.raster_table(grid.raster_members(p, 2.0, 1.0), p, 2.0, 1.0)), "mean_rasters")
+
+
+@query("first_rasters", X.sql(f"{BOXES} SELECT tree_id, raster_id FROM meta WHERE raster_id < 5 AND tree_id IN (SELECT DISTINCT tree_id FROM ev ORDER BY tree_id LIMIT 2)", "ev"))
+def _(s, d):
+    p = X.event_points(s, d)
+    return sampling.first_trees(grid.first_rasters(grid.raster_table(grid.raster_members(p, 2.0, 1.0), p, 2.0, 1.0), 5), 2).select("tree_id", "raster_id")
+
+
+@query("split_rasters", X.sql(f"{BOXES}, nm AS (SELECT CAST(3 + tree_id % 5 AS VARCHAR) || '_' || CAST(tree_id AS VARCHAR) tree, tree_id, raster_id FROM meta), t AS (SELECT tree, row_number() OVER (ORDER BY (tree_id*7919) % 10007, tree) rk, count(*) OVER () n FROM (SELECT DISTINCT tree, tree_id FROM nm)) SELECT nm.tree AS tree_id, raster_id, CASE WHEN rk <= ceil(n*0.15) THEN 'test' ELSE 'train' END AS split, left(nm.tree, 1) AS plot FROM nm JOIN t ON nm.tree = t.tree", "ev"))
+def _(s, d):
+    p = X.event_points(s, d)
+    m = grid.raster_table(grid.raster_members(p, 2.0, 1.0), p, 2.0, 1.0).withColumn("tree_id", F.expr("concat(cast(3 + tree_id % 5 as string), '_', cast(tree_id as string))"))
+    return sampling.split_rasters(m, lambda c: F.expr(f"(cast(substring_index({c}, '_', -1) as bigint) * 7919) % 10007")).select("tree_id", "raster_id", "split", "plot")
+
+
 @query("hilbert_roundtrip", X.sql("SELECT point_id, point_id % 1024 AS x, (point_id*7) % 1024 AS y, (point_id*13) % 1024 AS z FROM ev", "ev"))
 def _(s, d):
     p = X.event_points(s, d).select("point_id", grid.hilbert(F.expr("point_id % 1024"), F.expr("(point_id*7) % 1024"), F.expr("(point_id*13) % 1024"), 10).alias("code"))
@@ -295,7 +395,24 @@ def _(s, d):
     return neighbours.density(X.event_points(s, d), 0.5)
 
 
-COV = f"{KN}, cv AS (SELECT k.tree_id, k.point_id, " + ", ".join(f"covar_samp(p.{a}, p.{b}) c{a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")) + " FROM kn k JOIN pts p ON k.tree_id = p.tree_id AND k.other_id = p.point_id WHERE rk <= 8 GROUP BY k.tree_id, k.point_id)"
+COVARIANCES = ", ".join(f"covar_samp(p.{a}, p.{b}) c{a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz"))
+
+
+def _cov_sql(k: int, name: str = "cv") -> str:
+    return f"{name} AS (SELECT k.tree_id, k.point_id, {COVARIANCES} FROM kn k JOIN pts p ON k.tree_id = p.tree_id AND k.other_id = p.point_id WHERE rk <= {k} GROUP BY k.tree_id, k.point_id)"
+
+
+def _eigen_sql(source: str, name: str) -> str:
+    """name: the rows of source with eigenvalues hi, mid, lo and vert, the size of the least axis' z."""
+    n = name
+    return f"""{n}1 AS (SELECT *, (cxx+cyy+czz)/3 q FROM {source}), {n}2 AS (SELECT *, sqrt(((cxx-q)*(cxx-q)+(cyy-q)*(cyy-q)+(czz-q)*(czz-q)+2*(cxy*cxy+cxz*cxz+cyz*cyz))/6) p FROM {n}1),
+{n}3 AS (SELECT *, ((cxx-q)*((cyy-q)*(czz-q)-cyz*cyz)-cxy*(cxy*(czz-q)-cyz*cxz)+cxz*(cxy*cyz-(cyy-q)*cxz))/(p*p*p)/2 h FROM {n}2), {n}4 AS (SELECT *, q+2*p*cos(acos(least(1, greatest(-1, h)))/3+2*pi()/3) lo, q+2*p*cos(acos(least(1, greatest(-1, h)))/3) hi FROM {n}3),
+{n}5 AS (SELECT *, cxy*cyz-cxz*(cyy-lo) ax, cxz*cxy-(cxx-lo)*cyz ay, (cxx-lo)*(cyy-lo)-cxy*cxy az, cxy*(czz-lo)-cxz*cyz bx, cxz*cxz-(cxx-lo)*(czz-lo) by_, (cxx-lo)*cyz-cxy*cxz bz, (cyy-lo)*(czz-lo)-cyz*cyz cx_, cyz*cxz-cxy*(czz-lo) cy_, cxy*cyz-(cyy-lo)*cxz cz_ FROM {n}4),
+{n}6 AS (SELECT *, sqrt(ax*ax+ay*ay+az*az) na, sqrt(bx*bx+by_*by_+bz*bz) nb, sqrt(cx_*cx_+cy_*cy_+cz_*cz_) nc FROM {n}5),
+{name} AS (SELECT *, 3*q-hi-lo mid, abs(CASE WHEN na >= nb AND na >= nc THEN az/na WHEN nb >= nc THEN bz/nb ELSE cz_/nc END) vert FROM {n}6)"""
+
+
+COV = f"{KN}, {_cov_sql(8)}"
 
 
 @query("local_covariance", X.sql(f"{COV} SELECT tree_id, point_id, " + ", ".join(f"{q(c)} AS {c}" for c in ("cxx", "cyy", "czz", "cxy", "cxz", "cyz")) + " FROM cv", "pts"))
@@ -303,23 +420,25 @@ def _(s, d):
     return rounded(stats.covariance(X.points(s, d), 8), "cxx", "cyy", "czz", "cxy", "cxz", "cyz")
 
 
-EIG = f"""{COV}, e1 AS (SELECT *, (cxx+cyy+czz)/3 q FROM cv), e2 AS (SELECT *, sqrt(((cxx-q)*(cxx-q)+(cyy-q)*(cyy-q)+(czz-q)*(czz-q)+2*(cxy*cxy+cxz*cxz+cyz*cyz))/6) p FROM e1),
-e3 AS (SELECT *, ((cxx-q)*((cyy-q)*(czz-q)-cyz*cyz)-cxy*(cxy*(czz-q)-cyz*cxz)+cxz*(cxy*cyz-(cyy-q)*cxz))/(p*p*p)/2 h FROM e2), e4 AS (SELECT *, q+2*p*cos(acos(least(1, greatest(-1, h)))/3+2*pi()/3) lo FROM e3)"""
+EIG = f"{COV}, {_eigen_sql('cv', 'eig')}"
 
 
-@query("curvature", X.sql(f"{EIG} SELECT tree_id, point_id, {q('greatest(lo, 0)/(cxx+cyy+czz+0.000001)', 5)} AS curvature FROM e4", "pts"))
+@query("curvature", X.sql(f"{EIG} SELECT tree_id, point_id, {q('greatest(lo, 0)/(cxx+cyy+czz+0.000001)', 5)} AS curvature FROM eig", "pts"))
 def _(s, d):
     return rounded(stats.curvature(stats.covariance(X.points(s, d), 8)), "curvature", digits=5)
 
 
-@query("normals")
+@query("normals", X.sql(f"{KN}, {_cov_sql(15)}, {_eigen_sql('cv', 'eig')} SELECT tree_id, point_id, {q('vert', 4)} AS verticality, true AS unit FROM eig", "pts"))
 def _(s, d):
-    return stats.normals(stats.covariance(X.points(s, d), 15))
+    """The normal's sign is arbitrary, so the size of its z is shown, and that its length is 1."""
+    n = stats.normals(stats.covariance(X.points(s, d), 15))
+    return rounded(n.withColumn("unit", F.abs(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz") - 1) < 1e-6), "verticality", digits=4).select("tree_id", "point_id", "verticality", "unit")
 
 
-@query("point_features")
+@query("point_features", X.sql(f"{KN}, {_cov_sql(15)}, {_cov_sql(10, 'cw')}, {_eigen_sql('cv', 'eig')}, {_eigen_sql('cw', 'eiw')}, dn AS (SELECT tree_id, point_id, count(*) density FROM pr WHERE d <= 1.0 GROUP BY tree_id, point_id) SELECT a.tree_id, a.point_id, {q('a.vert', 4)} AS verticality, {q('greatest(b.lo, 0)/(b.cxx+b.cyy+b.czz+0.000001)', 5)} AS curvature, density FROM eig a JOIN eiw b ON a.tree_id = b.tree_id AND a.point_id = b.point_id JOIN dn ON a.tree_id = dn.tree_id AND a.point_id = dn.point_id", "pts"))
 def _(s, d):
-    return stats.add_features(X.points(s, d), radius=1.0)
+    out = stats.add_features(X.points(s, d), radius=1.0)
+    return rounded(rounded(out, "verticality", digits=4), "curvature", digits=5).select("tree_id", "point_id", "verticality", "curvature", "density")
 
 
 @query("idw_interpolate", X.sql(f"t AS (SELECT a.tree_id, a.point_id, b.f0, {DIST} d, row_number() OVER (PARTITION BY a.tree_id, a.point_id ORDER BY {DIST}, b.point_id) rk FROM pts a JOIN pts b ON a.tree_id = b.tree_id WHERE a.point_id % 2 = 0 AND b.point_id % 2 = 1) SELECT tree_id, point_id, {q('sum(f0/greatest(d*d, 0.000001))/sum(1/greatest(d*d, 0.000001))')} AS f0 FROM t WHERE rk <= 3 GROUP BY tree_id, point_id", "pts"))
@@ -358,6 +477,13 @@ def _(s, d):
     return rounded(neighbours.merge_candidates(p, p, 1.5, 0.7), "d").select("tree_id", "point_id", "other_id", "d")
 
 
+@query("merge_candidates_effective", X.sql(f"c AS (SELECT a.tree_id, a.point_id, b.point_id other_id, greatest(0, {DIST} - 0.5) d, acos(least(1, greatest(-1, (a.dx*b.dx+a.dy*b.dy+a.dz*b.dz)/(sqrt(a.dx*a.dx+a.dy*a.dy+a.dz*a.dz)*sqrt(b.dx*b.dx+b.dy*b.dy+b.dz*b.dz))))) g FROM pts a JOIN pts b ON a.tree_id = b.tree_id AND a.point_id <> b.point_id), o AS (SELECT *, row_number() OVER (PARTITION BY tree_id, point_id ORDER BY d, other_id) k FROM c WHERE d < 1.5 AND g < 0.7) SELECT tree_id, point_id, other_id, {q('d')} AS d FROM o WHERE k = 1", "pts"))
+def _(s, d):
+    """By the distance between surfaces, not below 0."""
+    p = X.points(s, d).withColumn("radius", F.lit(0.25)).withColumnsRenamed({"dx": "ux", "dy": "uy", "dz": "uz"})
+    return rounded(neighbours.merge_candidates(p, p, 1.5, 0.7, effective=True), "d").select("tree_id", "point_id", "other_id", "d")
+
+
 @query("sphere_assignment", X.sql(f"SELECT b.tree_id, a.point_id AS sphere_id, b.point_id, {q(DIST)} AS d, {DIST} > 0.5 AS shell FROM pts a JOIN pts b ON a.tree_id = b.tree_id WHERE a.point_id % 10 = 0 AND {DIST} <= 1.5", "pts"))
 def _(s, d):
     p = X.points(s, d)
@@ -411,14 +537,31 @@ def _(s, d):
     return rounded(stats.fit_circles(X.points(s, d), ["tree_id"]), "cx", "cy", "r")
 
 
-@query("circle_fit_subsampled")
+def _circle_sql(source: str, by: str, name: str) -> str:
+    """name: circle fits (n, mx, my, cx, cy relative to the mean, r) of the rows of source by its columns `by`."""
+    on = " AND ".join(f"p.{k} = m.{k}" for k in by.split(", "))
+    det, scale = "(aa*bb-ab*ab)", "((aa+bb)*(aa+bb))"
+    return f"""{name}1 AS (SELECT {by}, avg(x) mx, avg(y) my FROM {source} GROUP BY {by}), {name}2 AS (SELECT p.*, mx, my, x-mx a, y-my b FROM {source} p JOIN {name}1 m ON {on}),
+{name}3 AS (SELECT {by}, count(*) n, any_value(mx) mx, any_value(my) my, sum(a*a) aa, sum(b*b) bb, sum(a*b) ab, sum(a*(a*a+b*b)) aq, sum(b*(a*a+b*b)) bq, sum(a*a+b*b) q FROM {name}2 GROUP BY {by}),
+{name}4 AS (SELECT *, CASE WHEN n >= 3 AND {det} > {scale}*1e-12 THEN (aq*bb-bq*ab)/(2*{det}) END ux, CASE WHEN n >= 3 AND {det} > {scale}*1e-12 THEN (bq*aa-aq*ab)/(2*{det}) END uy FROM {name}3),
+{name} AS (SELECT *, ux+mx cx, uy+my cy, CASE WHEN q/n+ux*ux+uy*uy >= 0 THEN sqrt(q/n+ux*ux+uy*uy) END r FROM {name}4)"""
+
+
+@query("circle_fit_subsampled", X.sql(f"s AS (SELECT p.tree_id, fit, x, y, row_number() OVER (PARTITION BY p.tree_id, fit ORDER BY (point_id*7919 + fit*104729) % 10007, point_id) k, count(*) OVER (PARTITION BY p.tree_id, fit) n FROM pts p, range(10) f(fit)), t AS (SELECT tree_id, fit, x, y FROM s WHERE k <= floor(n*0.8)), {_circle_sql('t', 'tree_id, fit', 'c')}, {_circle_sql('pts', 'tree_id', 'w')}, a AS (SELECT tree_id, avg(cx) sx, avg(cy) sy, avg(r) sr, count(r) n_fits FROM c GROUP BY tree_id) SELECT w.tree_id, w.n, n_fits, {q('coalesce(sx, cx)')} AS cx, {q('coalesce(sy, cy)')} AS cy, {q('coalesce(sr, r)')} AS r FROM w LEFT JOIN a ON w.tree_id = a.tree_id", "pts"))
 def _(s, d):
-    return stats.subsampled_circles(X.points(s, d), ["tree_id"], F.expr("(point_id * 7919 + fit * 104729) % 10007"), 10, 0.8)
+    return rounded(stats.subsampled_circles(X.points(s, d), ["tree_id"], F.expr("(point_id * 7919 + fit * 104729) % 10007"), 10, 0.8), "cx", "cy", "r")
 
 
-@query("stem_base_cloud")
+def _stem_sql() -> str:
+    heights = [0.10 + i * 0.10 for i in range(4)]
+    pick = "CASE " + " ".join(f"WHEN count(*) FILTER (WHERE up < CAST({h!r} AS DOUBLE)) >= 3 THEN CAST({h!r} AS DOUBLE)" for h in heights) + f" ELSE CAST({heights[-1]!r} AS DOUBLE) END"
+    return f"""b AS (SELECT tree_id, min(z) bz FROM ev GROUP BY tree_id), nr AS (SELECT e.*, bz, z-bz up FROM ev e JOIN b ON e.tree_id = b.tree_id WHERE z-bz < 0.5), pk AS (SELECT tree_id, {pick} slice FROM nr GROUP BY tree_id),
+pt AS (SELECT nr.*, slice FROM nr JOIN pk ON nr.tree_id = pk.tree_id WHERE up < slice), {_circle_sql('pt', 'tree_id', 'c')} SELECT c.tree_id, {q('coalesce(cx, mx)', 4)} AS bx, {q('coalesce(cy, my)', 4)} AS "by", {q('bz')} AS bz, {q('slice')} AS slice, n FROM c JOIN b ON c.tree_id = b.tree_id JOIN pk ON c.tree_id = pk.tree_id"""
+
+
+@query("stem_base_cloud", X.sql(_stem_sql(), "ev"))
 def _(s, d):
-    return stats.stem_base(X.event_points(s, d))
+    return rounded(rounded(stats.stem_base(X.event_points(s, d)), "bx", "by", digits=4), "bz", "slice")
 
 
 @query("stem_base_qsm", X.sql(f"r AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY sz, id) k FROM cyl) SELECT tree_id, {q('sx')} AS bx, {q('sy')} AS \"by\", {q('sz')} AS bz FROM r WHERE k = 1", "cyl"))
@@ -459,6 +602,53 @@ def _(s, d):
     return rounded(stats.power_law(p, "x", "y"), "a", "b", "a_err", "b_err")
 
 
+def _power_sql(source: str, x: str, y: str) -> str:
+    return f"""pw AS (SELECT ln(greatest({x}, 1e-8)) lx, ln(greatest({y}, 1e-8)) ly FROM {source}), ps AS (SELECT count(*) n_all, regr_slope(ly, lx) b, regr_intercept(ly, lx) la, regr_sxx(ly, lx) sxx, regr_syy(ly, lx) syy, avg(lx) mx FROM pw),
+pf AS (SELECT n_all, {q('exp(la)', 5)} a, {q('b', 5)} b, {q('exp(la)*sqrt(v*(1.0/n_all+mx*mx/sxx))', 5)} a_err, {q('sqrt(v/sxx)', 5)} b_err FROM (SELECT *, greatest(0, syy-b*b*sxx)/(n_all-2) v FROM ps))"""
+
+
+def _fitted(df):
+    return rounded(rounded(df, "mean", "std", "centre"), "a", "b", "a_err", "b_err", digits=5).select("bin", "n", "mean", "std", "centre", "n_all", "a", "b", "a_err", "b_err")
+
+
+NND = f"{KN}, moved AS (SELECT tree_id, point_id, x+dx x, y+dy y, z+dz z FROM pts), mn AS (SELECT a.tree_id, a.point_id, min({DIST}) v_b FROM moved a JOIN moved b ON a.tree_id = b.tree_id AND a.point_id <> b.point_id GROUP BY a.tree_id, a.point_id), nn AS (SELECT a.tree_id, a.point_id, min(d) v_a FROM pr a WHERE other_id <> point_id GROUP BY a.tree_id, a.point_id), o AS (SELECT v_a, v_b FROM nn JOIN mn ON nn.tree_id = mn.tree_id AND nn.point_id = mn.point_id)"
+CENTRES = "CASE " + " ".join(f"WHEN i = {i} THEN CAST({m!r} AS DOUBLE)" for i, m in enumerate(stats.bin_centres(EDGES)) if m is not None) + " END"
+
+
+@query("nnd_comparison", X.sql(f"{NND}, g AS (SELECT {_bin_sql('v_a')} bin, count(*) n, avg(v_b) m, stddev_pop(v_b) s FROM o GROUP BY 1), {_power_sql('o', 'v_a', 'v_b')} SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS n, {q('m')} AS mean, {q('s')} AS std, {q(CENTRES)} AS centre, n_all, a, b, a_err, b_err FROM range({len(EDGES) - 1}) r(i) LEFT JOIN g ON g.bin = i, pf", "pts"))
+def _(s, d):
+    return _fitted(evaluation.nnd_comparison(X.points(s, d)))
+
+
+@query("tree_comparison", X.sql(f"SELECT p.tree_id, {q(f'avg({NORM})')} AS mean_a, {q('avg(n.distance)')} AS mean_b, count(*) AS n_a, {q(f'avg({NORM}) - avg(n.distance)')} AS gain FROM pts p JOIN near n ON p.tree_id = n.tree_id AND p.point_id = n.point_id GROUP BY p.tree_id", "pts", "cyl", "near"))
+def _(s, d):
+    p = X.points(s, d)
+    a = points.offset_labels(p, 0.2).withColumnRenamed("offset_norm", "distance")
+    return rounded(evaluation.tree_comparison(a, neighbours.nearest_cylinder(p, X.cylinders(s, d))), "mean_a", "mean_b", "gain").select("tree_id", "mean_a", "mean_b", "n_a", "gain")
+
+
+SMALL_BOXES = [((-2.0, -2.0, -2.0), (2.0, 2.0, 2.0)), ((0.0, 0.0, -3.0), (3.0, 3.0, 3.0)), ((-4.0, -4.0, 0.0), (0.0, 4.0, 4.0))]
+
+
+def _slices_sql() -> str:
+    boxes = " UNION ALL ".join(f"SELECT tree_id, CAST({i} AS INT) slice, point_id, x, y, z, x+dx mx, y+dy my, z+dz mz FROM pts WHERE x BETWEEN {a[0]} AND {b[0]} AND y BETWEEN {a[1]} AND {b[1]} AND z BETWEEN {a[2]} AND {b[2]}" for i, (a, b) in enumerate(SMALL_BOXES))
+    moved = "sqrt((a.mx-b.mx)*(a.mx-b.mx)+(a.my-b.my)*(a.my-b.my)+(a.mz-b.mz)*(a.mz-b.mz))"
+    return f"""s AS ({boxes}), n AS (SELECT tree_id, slice, count(*) n FROM s GROUP BY tree_id, slice), d AS (SELECT a.tree_id, a.slice, a.point_id, min({DIST}) va, min({moved}) vb FROM s a JOIN s b ON a.tree_id = b.tree_id AND a.slice = b.slice AND a.point_id <> b.point_id GROUP BY a.tree_id, a.slice, a.point_id),
+g AS (SELECT tree_id, slice, avg(va) ma, stddev_pop(va)/sqrt(count(va)) ea, avg(vb) mb, stddev_pop(vb)/sqrt(count(vb)) eb FROM d GROUP BY tree_id, slice) SELECT n.tree_id, n.slice, n, {q('ma')} AS mean_a, {q('ea')} AS sem_a, {q('mb')} AS mean_b, {q('eb')} AS sem_b FROM n LEFT JOIN g ON n.tree_id = g.tree_id AND n.slice = g.slice"""
+
+
+@query("slice_report", X.sql(_slices_sql(), "pts"))
+def _(s, d):
+    return rounded(evaluation.slice_report(X.points(s, d), SMALL_BOXES), "mean_a", "sem_a", "mean_b", "sem_b").select("tree_id", "slice", "n", "mean_a", "sem_a", "mean_b", "sem_b")
+
+
+@query("offset_bins", X.sql(f"o AS (SELECT {NORM} va, n.distance vb FROM pts p JOIN near n ON p.tree_id = n.tree_id AND p.point_id = n.point_id), top AS (SELECT max(va) hi FROM o), ed AS (SELECT 0.001 e UNION SELECT hi FROM top UNION SELECT m * pow(10, x) FROM (VALUES (1),(2),(5)) a(m), range(-4, 6) b(x), top WHERE m * pow(10, x) > 0.001 AND m * pow(10, x) < hi), bn AS (SELECT e lo, lead(e) OVER (ORDER BY e) up, CAST(row_number() OVER (ORDER BY e) - 1 AS INT) bin FROM ed), {_power_sql('o', 'va', 'vb')} SELECT bin, count(va) AS n, {q('avg(vb)')} AS mean, {q('stddev_pop(vb)')} AS std, {q('sqrt(any_value(lo)*any_value(up))')} AS centre, any_value(n_all) AS n_all, any_value(a) AS a, any_value(b) AS b, any_value(a_err) AS a_err, any_value(b_err) AS b_err FROM (SELECT * FROM bn, top WHERE up IS NOT NULL) bn LEFT JOIN o ON va >= lo AND (va < up OR (up = hi AND va <= up)), pf GROUP BY bin", "pts", "cyl", "near"))
+def _(s, d):
+    p = X.points(s, d)
+    both = points.offset_labels(p, 0.2).join(neighbours.nearest_cylinder(p, X.cylinders(s, d)), ["tree_id", "point_id"])
+    return _fitted(evaluation.offset_bins(both, "offset_norm", "distance", 0.001))
+
+
 @query("mean_sem", X.sql(f"SELECT count(z) AS n, {q('avg(z)')} AS mean, {q('stddev_pop(z)/sqrt(count(z))')} AS sem, {q('stddev_pop(z)')} AS std FROM ev", "ev"))
 def _(s, d):
     return rounded(stats.mean_error(X.event_points(s, d), "z"), "mean", "sem", "std")
@@ -525,9 +715,18 @@ def _(s, d):
     return rounded(stats.merge_spheres(p, ["tree_id", "g"], "enclosed"), "x", "radius").select("tree_id", "g", "x", "radius", "weight")
 
 
-@query("principal_axes")
+@query("merge_spheres_weighted", X.sql(f"""w AS (SELECT *, point_id // 10 % 5 g, CAST(1 + point_id % 3 AS DOUBLE) w, 0.1 + abs(f0) rad FROM pts)
+SELECT tree_id, g, {q('sum(w*z)/sum(w)')} AS z, {q('sum(w*rad)/sum(w)')} AS radius, {q('max(rad)')} AS largest, {q('sum(w*abs(f0))/sum(w)')} AS spread FROM w GROUP BY tree_id, g""", "pts"))
 def _(s, d):
-    return stats.principal_axes(X.points(s, d), ["tree_id"])
+    p = X.points(s, d).withColumns({"g": F.expr("point_id div 10 % 5"), "weight": F.expr("cast(1 + point_id % 3 as double)"), "radius": 0.1 + F.abs("f0"), "spread": F.abs("f0")})
+    subset = stats.merge_spheres(p, ["tree_id", "g"], "subset").select("tree_id", "g", F.col("radius").alias("largest"))
+    return rounded(stats.merge_spheres(p, ["tree_id", "g"], "weighted").join(subset, ["tree_id", "g"]), "z", "radius", "largest", "spread").select("tree_id", "g", "z", "radius", "largest", "spread")
+
+
+@query("principal_axes", X.sql(f"cv AS (SELECT p.tree_id, {COVARIANCES} FROM pts p GROUP BY p.tree_id), {_eigen_sql('cv', 'eig')} SELECT tree_id, {q('hi', 5)} AS l0, {q('mid', 5)} AS l1, {q('lo', 5)} AS l2, {q('vert', 4)} AS verticality FROM eig", "pts"))
+def _(s, d):
+    out = stats.principal_axes(X.points(s, d), ["tree_id"]).withColumn("verticality", F.abs("nz"))
+    return rounded(rounded(out, "l0", "l1", "l2", digits=5), "verticality", digits=4).select("tree_id", "l0", "l1", "l2", "verticality")
 
 
 # -- hierarchy and clusters
@@ -584,19 +783,57 @@ def _(s, d):
     return cluster.cluster_directions(X.points(s, d), 0.35, 4)
 
 
+@query("agglomerate_single", X.sql(f"{COMP}, n AS (SELECT tree_id, component, count(*) n FROM comp GROUP BY tree_id, component) SELECT comp.tree_id, point_id, CASE WHEN n >= 2 THEN comp.component ELSE -1 END AS label FROM comp JOIN n ON comp.tree_id = n.tree_id AND comp.component = n.component", "pts", recursive=True))
+def _(s, d):
+    return cluster.agglomerate(X.points(s, d), 1.2, "single", 2)
+
+
 @query("agglomerate")
 def _(s, d):
     return cluster.agglomerate(X.points(s, d), 2.0, "average", 2)
 
 
-@query("fps")
+def _fps_sql(n: int) -> str:
+    """picks: the places of farthest-point sampling (tree_id, point_id, pick), unrolled."""
+    gap = "(p.x-c.x)*(p.x-c.x)+(p.y-c.y)*(p.y-c.y)+(p.z-c.z)*(p.z-c.z)"
+    out = ["k0 AS MATERIALIZED (SELECT tree_id, min(point_id) point_id FROM pts GROUP BY tree_id)"]
+    for i in range(n - 1):
+        before = f"least(p.d, {gap})" if i else gap
+        out.append(f"d{i} AS MATERIALIZED (SELECT p.tree_id, p.point_id, p.x, p.y, p.z, {before} d FROM {f'd{i - 1}' if i else 'pts'} p JOIN k{i} k ON k.tree_id = p.tree_id JOIN pts c ON c.tree_id = k.tree_id AND c.point_id = k.point_id)")
+        out.append(f"k{i + 1} AS MATERIALIZED (SELECT tree_id, point_id FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY d DESC, point_id) rk, count(*) OVER (PARTITION BY tree_id) n FROM d{i}) WHERE rk = 1 AND n > {i + 1})")
+    return ",\n".join(out) + ", picks AS (" + " UNION ALL ".join(f"SELECT tree_id, point_id, {i} pick FROM k{i}" for i in range(n)) + ")"
+
+
+@query("fps", X.sql(f"{_fps_sql(8)} SELECT tree_id, point_id, CAST(pick AS BIGINT) AS pick FROM picks", "pts"))
 def _(s, d):
     return cluster.farthest_points(X.points(s, d), 8)
 
 
-@query("sample_and_group")
+def _group_sql(n: int, scales: list[tuple[float, int]]) -> str:
+    """Balls around the sampled centres, filled up with their first point: the largest f0 and the mean place."""
+    parts = []
+    for i, (radius, most) in enumerate(scales):
+        fill = lambda k: f"(sum(b{k}) + ({most} - count(*)) * min_by(b{k}, slot)) / {most}"  # noqa: B023, E731
+        parts.append(f"SELECT tree_id, point_id, CAST({i} AS INT) scale, max(f0) max_v, {fill('x')} mean_x, {fill('y')} mean_y, {fill('z')} mean_z FROM (SELECT c.tree_id, c.point_id, p.f0, p.x-c.x bx, p.y-c.y \"by\", p.z-c.z bz, row_number() OVER (PARTITION BY c.tree_id, c.point_id ORDER BY p.point_id) slot FROM centres c JOIN pts p ON c.tree_id = p.tree_id WHERE sqrt((c.x-p.x)*(c.x-p.x)+(c.y-p.y)*(c.y-p.y)+(c.z-p.z)*(c.z-p.z)) <= {radius}) WHERE slot <= {most} GROUP BY tree_id, point_id".replace("sum(by)", 'sum("by")').replace("min_by(by,", 'min_by("by",'))
+    return f"{_fps_sql(n)}, centres AS (SELECT p.tree_id, p.point_id, x, y, z FROM picks k JOIN pts p ON p.tree_id = k.tree_id AND p.point_id = k.point_id), gr AS ({' UNION ALL '.join(parts)}) SELECT tree_id, point_id, scale, {q('max_v')} AS max_v, {q('mean_x')} AS mean_x, {q('mean_y')} AS mean_y, {q('mean_z')} AS mean_z FROM gr"
+
+
+SCALES = [(1.0, 4), (2.0, 8), (4.0, 16)]
+
+
+@query("sample_and_group", X.sql(_group_sql(8, [(2.0, 8)]).replace("scale, round", "round"), "pts"))
+def _(s, d):
+    return rounded(cluster.sample_and_group(X.points(s, d), 8, 2.0, 8, "f0"), "max_v", "mean_x", "mean_y", "mean_z").select("tree_id", "point_id", "max_v", "mean_x", "mean_y", "mean_z")
+
+
+@query("sample_and_group_scales", X.sql(_group_sql(8, SCALES), "pts"))
+def _(s, d):
+    return rounded(cluster.sample_and_group_scales(X.points(s, d), 8, SCALES, "f0"), "max_v", "mean_x", "mean_y", "mean_z").select("tree_id", "point_id", "scale", "max_v", "mean_x", "mean_y", "mean_z")
+
+
+@query("outer_spheres", X.sql("SELECT tree_id, id AS sphere_id FROM cyl WHERE NOT EXISTS (SELECT 1 FROM cyl k WHERE k.tree_id = cyl.tree_id AND k.parent_id = cyl.id)", "cyl"))
 def _(s, d):
-    return cluster.sample_and_group(X.points(s, d), 8, 2.0, 8, "f0")
+    return qsm.outer_spheres(X.cylinders(s, d).select("tree_id", F.col("id").alias("sphere_id"), "parent_id", F.col("sz").alias("z")))
 
 
 # -- sampling, names, generation

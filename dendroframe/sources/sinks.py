@@ -1,10 +1,13 @@
-"""Sinks. Tables go to Parquet by tree; file formats of other tools are written by the tasks that hold a tree's rows."""
+"""Sinks. Tables go to Parquet by tree. File formats of other tools are made by the tasks that hold a tree's rows, and written by them
+where the folder is a file system that all executors share; to other stores the driver writes them, one partition at a time."""
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,10 +46,25 @@ def cloud_files(df: DataFrame, columns: list[str], kind: str = "npy") -> DataFra
 
 
 def write_files(files: DataFrame, directory: str) -> int:
-    """Writes rows (name, content) as files with Hadoop's file system of the directory, from the tasks' results one partition at a time; returns their number."""
-    jvm = files.sparkSession.sparkContext._jvm
-    conf = files.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    n = 0
+    """Writes rows (name, content) as files; returns their number. To file: folders (one that all executors share) the tasks write, each under a passing name first, so that a repeated task leaves whole files; to other file systems the driver, through Hadoop."""
+    spark = files.sparkSession
+    if "://" not in directory and not directory.startswith("file:"):
+        directory = f"file:{directory}"
+    if directory.startswith("file:"):
+        folder = "/" + directory.removeprefix("file:").lstrip("/")
+
+        def write(batches):
+            os.makedirs(folder, exist_ok=True)
+            for pdf in batches:
+                for name, content in zip(pdf.name, pdf.content):
+                    passing = f"{folder}/.{name}.{os.getpid()}"
+                    with open(passing, "wb") as f:
+                        f.write(content)
+                    os.replace(passing, f"{folder}/{name}")
+                yield pd.DataFrame({"n": [len(pdf)]})
+
+        return files.select("name", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
     for row in files.toLocalIterator():
         p = jvm.org.apache.hadoop.fs.Path(f"{directory}/{row['name']}")
         out = p.getFileSystem(conf).create(p, True)
@@ -72,6 +90,11 @@ def splits_json(trees: DataFrame) -> DataFrame:
     return trees.groupBy("split").agg(F.to_json(F.sort_array(F.collect_list("path"))).alias("value"))
 
 
+def qsm_set_json(models: DataFrame, path_col: str = "path") -> DataFrame:
+    """The JSON list of all model files' paths, in order: one row. The list is bounded by the number of files."""
+    return models.agg(F.to_json(F.sort_array(F.collect_list(path_col))).alias("value"))
+
+
 def raster_json(rasters: DataFrame) -> DataFrame:
     """One JSON object of raster bounds per tree."""
     b = lambda e: F.array(*(F.col(f"{e}_{c}") for c in "xyz")).alias(e)
@@ -79,11 +102,22 @@ def raster_json(rasters: DataFrame) -> DataFrame:
     return rasters.groupBy("tree_id").agg(F.to_json(F.struct(F.first("path").alias("path"), F.array_sort(F.collect_list(r)).alias("rasters"))).alias("value"))
 
 
-def colored_cylinders(cylinders: DataFrame, least_radius: float = 1e-5) -> DataFrame:
-    """Cylinders to draw (numbers without null or NaN, radius of least_radius or more), coloured by radius from blue over green to red within the tree."""
+def colored_cylinders(cylinders: DataFrame, least_radius: float = 1e-5, by: str = "radius") -> DataFrame:
+    """Cylinders to draw (numbers without null or NaN, radius of least_radius or more) with their colour: by radius from blue over green to red within the tree; by root (red where there is no parent, else brown); or by type (connections red, else green)."""
     ok = cylinders.filter(" and ".join(f"{c} is not null and not isnan({c})" for c in ("sx", "sy", "sz", "ex", "ey", "ez", "radius"))).filter(F.col("radius") >= least_radius)
-    e = ok.groupBy("tree_id").agg(F.min("radius").alias("lo"), F.max("radius").alias("hi"))
-    return ok.join(e, "tree_id").withColumn("color", color_ramp(F.col("radius"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    if by == "radius":
+        e = ok.groupBy("tree_id").agg(F.min("radius").alias("lo"), F.max("radius").alias("hi"))
+        return ok.join(e, "tree_id").withColumn("color", color_ramp(F.col("radius"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    red = {"root": F.col("parent_id").isNull(), "type": F.col("type") == "connection"}[by]
+    return ok.withColumn("color", F.when(red, _color(RED)).otherwise(_color(BROWN if by == "root" else GREEN)))
+
+
+#: Colours of meshes: red, green and blue shares (fixed values).
+RED, GREEN, BROWN, BLUE, GREY = (1.0, 0.0, 0.0), (0.0, 0.6, 0.0), (0.55, 0.35, 0.15), (0.0, 0.0, 1.0), (0.5, 0.5, 0.5)
+
+
+def _color(rgb: tuple[float, float, float]) -> Column:
+    return F.struct(*(F.lit(v).alias(n) for v, n in zip(rgb, ("red", "green", "blue"))))
 
 
 def _frame(axis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,36 +156,38 @@ def ply(vertices: np.ndarray, faces: np.ndarray, colors: np.ndarray) -> bytes:
     return "\n".join([*head, *body, *(f"3 {a} {b} {c}" for a, b, c in index.reshape(-1)[faces])]).encode() + b"\n"
 
 
-def mesh_files(cylinders: DataFrame, sides: int = 12) -> DataFrame:
-    """One PLY file per tree, cylinders coloured by radius."""
+def _mesh(rows, shape) -> bytes:
+    """PLY of the shapes (vertices, faces) of rows with red, green and blue."""
+    vs, fs, cs, n = [], [], [], 0
+    for row in rows:
+        v, f = shape(row)
+        vs.append(v)
+        fs.append(f + n)
+        cs.append(np.tile([255 * row.red, 255 * row.green, 255 * row.blue], (len(v), 1)).astype(int))
+        n += len(v)
+    return ply(np.concatenate(vs), np.concatenate(fs), np.concatenate(cs))
+
+
+def _files(df: DataFrame, order: list[str], end: str, shape) -> DataFrame:
     schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        vs, fs, cs, n = [], [], [], 0
-        for row in pdf.sort_values("id").itertuples():
-            v, f = cylinder_mesh(np.array([row.sx, row.sy, row.sz]), np.array([row.ex, row.ey, row.ez]), row.radius, sides)
-            vs.append(v)
-            fs.append(f + n)
-            cs.append(np.tile([255 * row.red, 255 * row.green, 255 * row.blue], (len(v), 1)).astype(int))
-            n += len(v)
-        return pd.DataFrame({"name": [f"{pdf.tree_id.iloc[0]}.ply"], "content": [ply(np.concatenate(vs), np.concatenate(fs), np.concatenate(cs))]})
+        return pd.DataFrame({"name": [f"{pdf.tree_id.iloc[0]}{end}"], "content": [_mesh(pdf.sort_values(order).itertuples(), shape)]})
 
-    c = colored_cylinders(cylinders).select("tree_id", "id", "sx", "sy", "sz", "ex", "ey", "ez", "radius", "color.*")
-    return c.groupBy("tree_id").applyInPandas(run, schema)
+    return df.groupBy("tree_id").applyInPandas(run, schema)
 
 
-def sphere_files(spheres: DataFrame) -> DataFrame:
-    """One PLY file per tree: outer spheres blue, inner ones grey."""
-    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType())])
+def mesh_files(cylinders: DataFrame, sides: int = 12, by: str = "radius") -> DataFrame:
+    """One PLY file per tree, cylinders coloured as in colored_cylinders."""
+    c = colored_cylinders(cylinders, by=by).select("tree_id", "id", "sx", "sy", "sz", "ex", "ey", "ez", "radius", "color.*")
+    return _files(c, ["id"], ".ply", lambda r: cylinder_mesh(np.array([r.sx, r.sy, r.sz]), np.array([r.ex, r.ey, r.ez]), r.radius, sides))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        vs, fs, cs, n = [], [], [], 0
-        for row in pdf.itertuples():
-            v, f = sphere_mesh(np.array([row.x, row.y, row.z]), row.radius)
-            vs.append(v)
-            fs.append(f + n)
-            cs.append(np.tile([0, 0, 255] if row.outer else [128, 128, 128], (len(v), 1)))
-            n += len(v)
-        return pd.DataFrame({"name": [f"{pdf.tree_id.iloc[0]}_spheres.ply"], "content": [ply(np.concatenate(vs), np.concatenate(fs), np.concatenate(cs))]})
-
-    return spheres.withColumnRenamed("is_outer", "outer").groupBy("tree_id").applyInPandas(run, schema)
+
+def sphere_files(spheres: DataFrame, by: str = "outer") -> DataFrame:
+    """One PLY file per tree: outer spheres (is_outer) blue, inner ones grey; or by radius, from blue over green to red within the tree."""
+    if by == "radius":
+        e = spheres.groupBy("tree_id").agg(F.min("radius").alias("lo"), F.max("radius").alias("hi"))
+        c = spheres.join(e, "tree_id").withColumn("color", color_ramp(F.col("radius"), F.col("lo"), F.col("hi")))
+    else:
+        c = spheres.withColumn("color", F.when(F.col("is_outer"), _color(BLUE)).otherwise(_color(GREY)))
+    return _files(c.select("tree_id", "x", "y", "z", "radius", "color.*"), ["x", "y", "z", "radius"], "_spheres.ply", lambda r: sphere_mesh(np.array([r.x, r.y, r.z]), r.radius))
