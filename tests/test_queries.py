@@ -27,7 +27,7 @@ def _rows(columns, rows):
     return sorted((tuple(clean(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(registry.ORACLES) if n not in ("radius_density", "seeded_growth", "dbscan_labels", "components")])
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_against_sql(spark, con, name):
     got = registry.QUERIES[name](spark, SF)
     want = con.sql(registry.ORACLES[name])
