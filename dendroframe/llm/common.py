@@ -76,6 +76,20 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+#: Rows of a key from which it is a hub, at least; and hubs that a table has at most.
+HUB, HUBS = 2048, 50_000
+
+
+def spread_join(rows: DataFrame, few: DataFrame, on: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with few, which has one row per key, with the key's number of rows in `count`; no key draws its rows to one task. Keys of more than total / HUBS rows (and of HUB) are sent to all tasks: as total is the number of rows, there are at most HUBS of them."""
+    hub = max(HUB, total // HUBS)
+    if total <= hub:  # no key can have more
+        return rows.join(few, on, how)
+    hubs = F.broadcast(few.filter(F.col(count) > hub))
+    rest = rows.join(hubs.select(on), on, "left_anti").join(few.filter(F.col(count) <= hub), on, how)
+    return rest.unionByName(rows.join(hubs, on))
+
+
 def checked(df: DataFrame, needed: dict[str, str]) -> None:
     """Fails early, naming what is missing."""
     missing = [c for c in needed.values() if c not in df.columns]

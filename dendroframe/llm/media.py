@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dealt, materialize
+from .common import dealt, materialize, spread_join
 from .ngram_join import _grouped, _local_roots, components
 
 BITS, PART_BYTES = 256, 3
@@ -412,7 +412,7 @@ def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media")
     near = materialize(met.mapInArrow(_near_groups, "lead long, n long").distinct(), "media-near")
     near = near.union(near.select("lead", "lead").distinct())
     units_of = near.groupBy("lead").agg(F.count(F.lit(1)).alias("c"))
-    spread = dealt(near.join(units_of, "lead"), "c", "n", BUCKET_BLOCK)
+    spread = dealt(spread_join(near, units_of, "lead", "c", near.count()), "c", "n", BUCKET_BLOCK)
     spread = spread.select("lead", "bi", "bj", "n").join(reps.select("n", "points"), "n")
 
     def meet(batches):
@@ -440,7 +440,8 @@ def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media")
     groups = components(units.mapInArrow(meet, "u long, v long"), "media-candidates")
     groups = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
-    members = groups.join(sizes, "root").join(reps.select(F.col("n").alias("node"), "copies", "points"), "node")
+    total = all_rows.count()
+    members = spread_join(groups, sizes, "root", "c", total).join(reps.select(F.col("n").alias("node"), "copies", "points"), "node")
     spread = dealt(members, "c", "node", GROUP_BLOCK)
     order = ["root", "bi", "bj"]
     units = spread.select(*order, "node", "copies", "own", (F.col("c") > GROUP_BLOCK).alias("split"), "points").repartition(*order).sortWithinPartitions(*order)
@@ -466,10 +467,11 @@ def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media")
     if not parts.isEmpty():
         whole = whole.union(components(parts, "media-parts"))
     roots = links.join(whole.withColumnRenamed("node", "u"), "u", "left").select(F.col("u").alias("n"), F.coalesce("root", "u").alias("root"), "links")
-    placed = all_rows.select("id", "g", F.floor(F.length("points") / _ROW.itemsize).alias("n_points")).join(reps.select("g", "n", "copies"), "g", "left").join(roots, "n", "left")
+    of_images = reps.select("g", "n", "copies").join(roots, "n", "left")
+    placed = spread_join(all_rows.select("id", "g", F.floor(F.length("points") / _ROW.itemsize).alias("n_points")), of_images, "g", "copies", total, "left")
     placed = materialize(placed.select("id", F.coalesce("root", "n").alias("root"), F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"), "n_points"), "media-placed")
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("id").alias("class_id"))
-    return placed.join(least, "root", "left").select("id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_links", "n_points")
+    least = placed.filter("root is not null").groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("c"))
+    return spread_join(placed, least, "root", "c", total, "left").select("id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_links", "n_points")
 
 
 def render(vectors: DataFrame, id_col: str, vec_col: str, cell: int = 4, side: int = 16) -> DataFrame:

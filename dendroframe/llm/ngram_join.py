@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_chars, dealt, discard, fresh, materialize, segments, text_slices
+from .common import by_chars, dealt, discard, fresh, materialize, segments, spread_join, text_slices
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 4
@@ -38,8 +38,6 @@ BUCKET_BLOCK, GROUP_BLOCK = 512, 256
 BATCH_CHARS = 500_000
 #: Rows of an Arrow batch that are Python objects at a time.
 SLICE = 256
-#: In components: edges of a node from which it is a hub, at least, and hubs at most (a hub has more than 2 * edges / HUBS edges).
-HUB, HUBS = 2048, 50_000
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -157,30 +155,20 @@ def exact_links(grams: list[np.ndarray], threshold: float = THRESHOLD) -> np.nda
     return out
 
 
-def _with_least(rows: DataFrame, low: DataFrame, hub: int | None) -> DataFrame:
-    """rows (u, v) with the m of low (u, m, c) for their u. A node with more than `hub` rows does not draw them to one task: its m is broadcast. There are at most HUBS of these (each has more than 2 * edges / HUBS rows)."""
-    if hub is None:
-        return rows.join(low.select("u", "m"), "u")
-    hubs = low.filter(F.col("c") > hub).select("u", "m")
-    few = rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(low.filter(F.col("c") <= hub).select("u", "m"), "u")
-    return few.select("u", "v", "m").union(rows.join(F.broadcast(hubs), "u").select("u", "v", "m"))
-
-
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (u, v) between whole numbers: columns node, root (the least node). Alternating large and small stars, each round written to the shared folder and the one before deleted. No node's neighbours are ever gathered: only their minimum is taken, by partial aggregation."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     e = materialize(e, f"{name}-edges")
     state = None
     for i in range(most_rounds):
-        n = e.count()
-        hub = max(HUB, 2 * n // HUBS) if 2 * n > HUB else None
+        total = 2 * e.count()
         # large star: neighbours above a node go to the least of its neighbourhood
         both = e.union(e.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("c"))
-        big = _with_least(both.filter("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        big = spread_join(both.filter("v > u"), least, "u", "c", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its lower neighbours go to the least of these
         low = big.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
-        small = _with_least(big, low, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = spread_join(big, low, "u", "c", total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         before, e = e, materialize(small, f"{name}-round{i}")
         discard(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -260,10 +248,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, k1, k2, class_id, n_links."""
     sets = materialize(gram_sets(docs, id_col, text_col), "join-sets")
     reps = materialize(sets.filter("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2")).alias("at"), F.min("sig").alias("sig")).withColumn("n", F.monotonically_increasing_id()), "join-reps")
+    total = sets.count()
     groups = candidate_groups(reps.select("n", "sig"))
     groups = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
-    members = groups.join(sizes, "root").join(reps.select(F.col("n").alias("node"), "copies", "at"), "node")
+    members = spread_join(groups, sizes, "root", "c", total).join(reps.select(F.col("n").alias("node"), "copies", "at"), "node")
     members = members.select("root", "c", "node", "copies", "at.k1", "at.k2")
     keyed = docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("text"))
     spread = dealt(members.join(keyed, ["k1", "k2"]), "c", "node", GROUP_BLOCK)
@@ -298,12 +287,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined = components(parts, "join-parts")
         whole = whole.union(joined)
     roots = links.join(whole.withColumnRenamed("node", "u"), "u", "left").select(F.col("u").alias("n"), F.coalesce("root", "u").alias("root"), "links")
-    placed = sets.select("id", "k1", "k2", "g").join(reps.select("g", "n", "copies"), "g", "left").join(roots, "n", "left")
+    of_sets = reps.select("g", "n", "copies").join(roots, "n", "left")
+    placed = spread_join(sets.select("id", "k1", "k2", "g"), of_sets, "g", "copies", total, "left")
     # texts without grams: each a class of its own
     placed = placed.select("id", "k1", "k2", F.coalesce("root", "n").alias("root"), F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"))
     placed = materialize(placed, "join-placed")
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("id").alias("class_id"))
-    return placed.join(least, "root", "left").select("id", "k1", "k2", "root", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_links")
+    least = placed.filter("root is not null").groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("c"))
+    return spread_join(placed, least, "root", "c", total, "left").select("id", "k1", "k2", "root", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_links")
 
 
 def _local_roots(link: np.ndarray) -> np.ndarray:

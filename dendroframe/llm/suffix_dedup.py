@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dealt, materialize
+from .common import dealt, materialize, spread_join
 
 LENGTH = 400
 GRAM = 48
@@ -239,14 +239,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     runs = materialize(runs, "suffix-runs")
     # minimisers that occur again: all their strings equal (lo = hi), or different ones
     again = runs.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("g1").alias("lo"), F.max("g1").alias("hi"), F.min("g2").alias("lo2"), F.max("g2").alias("hi2"), F.max("twice").alias("t")).filter("c > 1 or t")
-    shared = materialize(runs.join(again.select("m", ((F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2"))).alias("mixed"), "c"), "m").drop("twice"), "suffix-shared")
+    again = again.select("m", ((F.col("lo") != F.col("hi")) | (F.col("lo2") != F.col("hi2"))).alias("mixed"), "c")
+    shared = materialize(spread_join(runs, again, "m", "c", runs.count()).drop("twice"), "suffix-shared")
     same = shared.filter("not mixed and c > 1").select("k1", "k2", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
     unsure = shared.filter("mixed or c = 1")
     # each different string once; those that occur twice are repeated as a whole
     strings = unsure.groupBy("m", "g1", "g2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "start", "n")).alias("at"))
     strings = materialize(strings.select("m", "g1", "g2", "copies", "at.*"), "suffix-strings")
     busy = strings.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > GROUP)
-    placed = strings.join(busy, "m", "left").join(keyed.select("k1", "k2", "raw"), ["k1", "k2"])
+    placed = spread_join(strings, busy, "m", "c", strings.count(), "left").join(keyed.select("k1", "k2", "raw"), ["k1", "k2"])
     # equal rows give their strings twice; the paths below count strings, so these become single again there
     text = placed.select("m", "g1", "g2", "copies", F.coalesce("c", F.lit(1)).alias("c"), F.substring("raw", F.col("start") + 1, F.col("n") + (length - 1)).alias("s"))
     text = materialize(text, "suffix-text")

@@ -393,7 +393,7 @@ def test_topk_of_huge_numbers(spark):
 
 @pytest.mark.parametrize("hub", [2048, 3])
 def test_components_brute_force(spark, monkeypatch, hub):
-    monkeypatch.setattr(ngram_join, "HUB", hub)
+    monkeypatch.setattr(common, "HUB", hub)
     rng = random.Random(28)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(500, 600 + i) for i in range(60)] + [(900 + i, 901 + i) for i in range(30)] + [(2000, 1000 + i) for i in range(40)] + [(4, 4)]
     root = {x: x for e in edges for x in e}
@@ -405,6 +405,32 @@ def test_components_brute_force(spark, monkeypatch, hub):
     assert ngram_join.components(spark.createDataFrame([], "u long, v long"), "test").count() == 0
 
 
+@pytest.mark.parametrize("hubs", [50_000, 3])
+def test_joins_with_hubs_are_joins(spark, monkeypatch, hubs):
+    monkeypatch.setattr(common, "HUB", 2)
+    monkeypatch.setattr(common, "HUBS", hubs)
+    rng = random.Random(32)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 4, 5, None]), i) for i in range(60)]
+    n = Counter(k for k, _ in rows if k is not None and k != 5)
+    a, b = spark.createDataFrame(rows, "k long, i long"), spark.createDataFrame(list(n.items()), "k long, c long")
+    for how in ("inner", "left"):
+        got = sorted((r.k or 0, r.i, r.c or 0) for r in common.spread_join(a, b, "k", "c", len(rows), how).collect())
+        assert got == sorted((k or 0, i, n.get(k, 0)) for k, i in rows if how == "left" or k in n)
+
+
+@pytest.mark.parametrize("hub", [2048, 1])
+def test_groups_of_copies_as_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "HUB", hub)
+    rng = random.Random(33)
+    base = words(rng, 80).split()
+    near = [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in (3, 40, 70)]
+    body = [" ".join(base)] * 9 + near * 2 + [words(rng, 60) for _ in range(4)] + [None, ""]
+    got = {r.id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(docs_of(spark, body)).collect()}
+    assert [got[i][0] for i in range(15)] == [0] * 15 and got[0][1] == 14 and all(got[i] == (i, 0) for i in range(15, 21))
+    kept = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(docs_of(spark, body), 100).collect()}
+    assert kept == dict(enumerate(brute_repeats([(t or "").encode() for t in body], 100)))
+
+
 # -- media
 
 
