@@ -3,7 +3,7 @@
 The score of a query and a candidate is a sum over slices of the dimensions. Each slice of each block of candidates is a row of
 its own, held by tasks that see no other slice: there its partial scores are the lists of the method.
 
-1. Every list gives its k best partial scores. These entries are scored exactly, and each query's k-th best of them is a safe
+1. Every list gives its DEPTH * k best partial scores. These entries are scored exactly, and each query's k-th best of them is a safe
    cutoff t: the true k-th best is not below it.
 2. t goes back to all lists. An entry is sent if its partial score reaches t / slices; a candidate sent by no list stays below
    t in total.
@@ -38,6 +38,8 @@ SLICES = 2
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
 #: Blocks of queries that a task holds, and blocks of candidates that meet them in one group of rows.
 QUERY_CHUNK, GROUP = 64, 32
+#: A list gives this many times k entries in phase 1: the deeper, the higher the cutoff, and the fewer entries phase 2 sends.
+DEPTH = 8
 #: Parts in which what all groups found for a query is merged.
 SPREAD = 64
 _LOW, _HIGH = -(2**63), 2**63 - 1
@@ -279,8 +281,8 @@ def phases(queries: DataFrame, rows: DataFrame, k: int = K, slices: int = SLICES
     queries = queries.groupBy("id").agg(F.min(F.struct("dim", "v")).alias("x")).select("id", "x.dim", "x.v")
     q = _blocks(queries, QUERY_BLOCK, "topk-queries", slices, None)
     lists = _Lists(q, _blocks(rows, ROW_BLOCK, "topk-rows", slices, k))
-    heads = _heads(lists, k, slices)
-    # a few numbers per query: at most k of each slice
+    heads = _heads(lists, DEPTH * k, slices)
+    # a few numbers per query: at most DEPTH * k of each slice
     scored = _totals(lists, heads, slices).groupBy("qb", "qi").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k).alias("best"))
     least = F.when(F.size("best") >= k, F.element_at("best", k)).otherwise(F.lit(_LOW))
     cuts = materialize(scored.select("qb", "qi", least.alias("cut")), "topk-cutoffs")

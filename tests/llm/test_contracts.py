@@ -166,7 +166,7 @@ CLASHES = ["_line_dedup", "_line_dedup_bad", "_mix", "_mix_copies", "_join_k1",
 def test_private_names_do_not_clash(spark, odd):  # noqa: F811
     df = odd.drop("host", "key").withColumns({c: F.lit("kept") for c in CLASHES})
     weights = {"domain": {}, "lang": {}, "source": {}}
-    model = language_id.fit({"xx": {"abc": 3}, "yy": {"déf": 2}}, language_id.vocabulary(queries.PIECES))
+    model = language_id.fit({"xx": dict.fromkeys("abcdefghij", 5)}, language_id.vocabulary(queries.PIECES))
     outs = [line_dedup.dedup_documents(df), ngram_join.keep_one(df), language_id.accepted(df, model), mixing.mix(df, mixing.domain_of(F.col("source")), weights, 1, 1, 1), secrets.scan(df, secrets.fit([])), bpe.bpe_round_trip(df, queries.WORD_BPE)]
     for out in outs:
         assert set(CLASHES) <= set(out.columns)
@@ -351,7 +351,7 @@ def test_topk_phases(spark, monkeypatch):
         cut = {r.qi + 0: r.cut for r in got["cuts"].collect()}
         assert len(cut) <= topk.QUERY_BLOCK and got["cuts"].count() == n_q
         heads, sent = (sum(len(set(zip(r.qi, r.pos))) for r in got[k].collect()) for k in ("heads", "sent"))
-        assert heads <= slices * 10 * n_q and sent < 0.35 * n_q * len(rows) * slices  # few of all entries
+        assert heads <= slices * topk.DEPTH * 10 * n_q and sent < 0.2 * n_q * len(rows) * slices  # few of all entries
         want = []
         for q in range(n_q):
             order = sorted((-int(s), i) for i, s in enumerate(scores[q]) if i != 50 * q)[:10]
