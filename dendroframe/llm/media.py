@@ -1,14 +1,15 @@
 """Media columns: cropped or edited copies of images, found by local descriptors.
 
 All corners of the whole image are taken, at full size and at every halving of it that is large enough for a patch; each gets an orientation (its patch's intensity centroid) and 256 binary brightness tests
-turned by it. Tables keyed by eleven 24-bit parts of the descriptors bring descriptors together (two that differ in up to 9 bits
-share a part; a pair of images has many), and those at most 24 bits apart bring their images together. Whether two images
-are linked is decided by geometry: matches (mutually nearest, 24 bits apart at most) must agree on one shift, turn and scale,
-MIN_INLIERS of them at least.
+turned by it. Images that share a descriptor come together. So do images of different descriptors that are near: tables keyed by
+eleven 24-bit parts bring these together (two that differ in up to 9 bits share a part; a pair of images has many), and those at
+most 24 bits apart count as near. Whether two images are linked is decided by geometry: matches (mutually nearest, 24 bits apart
+at most) must agree on one shift, turn and scale, MIN_INLIERS of them at least.
 
-Images with equal pixels form a class of which one goes on, under a number of its own. A key is 28 bits, so the keys that occur
-again fit a bitmap of fixed size (23 MB), which is broadcast; only descriptors under such keys move. Buckets and groups of any
-size are dealt out as pairs of blocks; rows that leave a task grow with its images, not with their pairs.
+Images with equal pixels form a class of which one goes on, under a number of its own; equal descriptors are keyed once, however
+many images hold them. A key is 28 bits, so the keys that occur again fit a bitmap of fixed size (23 MB), which is broadcast; only
+descriptors under such keys move. Buckets and groups of any size are dealt out as pairs of blocks; rows that leave a task grow
+with its images, not with their pairs.
 
 Defined results: null, empty or undecodable media, and images without corners, have no links except to media of equal bytes
 (null: none) and, unless such exist, a class of their own; class_id is the least id of the class; n_links counts all other
@@ -41,8 +42,8 @@ PIXELS, DESCRIBED = 1_100_000, 20_000
 BUCKET_BLOCK, GROUP_BLOCK = 128, 128
 #: Rows of a block of descriptors of one bucket. Larger buckets are dealt out as pairs of blocks, under the same rule.
 COMPARED = 4096
-#: Images whose descriptors are keyed at once, and all keys there are: 24 bits of each part.
-KEYED, KEYS = 512, len(STARTS) << (8 * PART_BYTES)
+#: Rows of an Arrow batch that are Python objects at a time, and all keys there are: 24 bits of each part.
+KEYED, KEYS = 4096, len(STARTS) << (8 * PART_BYTES)
 #: Pairs of descriptors that are compared at once.
 PAIRS = 1_000_000
 #: Pairs of corners, or of matches, that are held at once.
@@ -300,34 +301,65 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, _ROW)
 
 
-def _keyed(numbers: list[int], points: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """key, image and descriptor (words) of all parts of all different descriptors of some images; the key is the part's number and its bits."""
-    rows = [np.unique(_unpack(p)["d"], axis=0) for p in points]
-    image = np.repeat(np.array(numbers, np.int64), [len(r) for r in rows])
-    words = np.concatenate(rows) if rows else np.zeros((0, BITS // 64), np.uint64)
+def _words(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint64).reshape(-1, BITS // 64)
+
+
+def _binary(words: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(BITS // 8), len(words), [None, pa.py_buffer(np.ascontiguousarray(words).tobytes())]).cast(pa.binary())
+
+
+def _keyed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all parts of some descriptors, and which descriptor each belongs to; a key is the part's number and its bits."""
     raw = np.ascontiguousarray(words).view(np.uint8).reshape(len(words), BITS // 8).astype(np.int64)
     keys = [(part << 24) | raw[:, s] << 16 | raw[:, s + 1] << 8 | raw[:, s + 2] for part, s in enumerate(STARTS)]
-    return np.concatenate(keys), np.tile(image, len(STARTS)), np.tile(words, (len(STARTS), 1))
+    return np.concatenate(keys), np.tile(np.arange(len(words)), len(STARTS))
 
 
-def _parts(batches):
-    """Slices of batches (n, points) as (numbers, points)."""
+def _slices(batches):
     for batch in batches:
         for a in range(0, batch.num_rows, KEYED):
-            part = batch.slice(a, KEYED)
-            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+            yield batch.slice(a, KEYED)
         pa.default_memory_pool().release_unused()
 
 
-def _again(reps: DataFrame) -> tuple[np.ndarray, DataFrame]:
-    """A bit for each of all KEYS: whether it occurs more than once (of fixed size, whatever the table's: 23 MB); and those keys (key, c) that occur more than COMPARED times."""
+def _numbers_of(words: np.ndarray) -> np.ndarray:
+    """64 bits of each descriptor, which stand for it. Two that shared them would only be candidates together."""
+    h = np.zeros(len(words), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(words.shape[1]):
+            h = (h ^ words[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def _held(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dn, n): the numbers of the descriptors that each image (n) holds; (dn, d): each descriptor once."""
+
+    def of_images(batches):
+        for part in _slices(batches):
+            rows = [_numbers_of(np.unique(_unpack(p)["d"], axis=0)) for p in part.column(1).to_pylist()]
+            image = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(r) for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(image)], names=["dn", "n"])
+
+    def of_words(batches):
+        for part in _slices(batches):
+            words = np.unique(np.concatenate([_unpack(p)["d"] for p in part.column(1).to_pylist()]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(_numbers_of(words)), _binary(words)], names=["dn", "d"])
+
+    held = materialize(reps.mapInArrow(of_images, "dn long, n long"), "media-held")
+    return held, materialize(reps.mapInArrow(of_words, "dn long, d binary").groupBy("dn").agg(F.first("d").alias("d")), "media-words")
+
+
+def _again(words: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """Of descriptors (dn, d): a bit for each of all KEYS, whether it occurs more than once (of fixed size, whatever the table's: 23 MB); and those keys (key, c) that occur more than COMPARED times."""
 
     def run(batches):
-        for numbers, points in _parts(batches):
-            key, n = np.unique(_keyed(numbers, points)[0], return_counts=True)
+        for part in _slices(batches):
+            key, n = np.unique(_keyed(_words(part.column(1).to_pylist()))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "c"])
 
-    busy = materialize(reps.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter("c > 1"), "media-busy")
+    busy = materialize(words.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter("c > 1"), "media-busy")
     place = F.col("key") + 1  # Spark's buckets begin at 1
     bits = busy.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     out = np.zeros((KEYS >> 3) + 4096, np.uint8)
@@ -336,21 +368,20 @@ def _again(reps: DataFrame) -> tuple[np.ndarray, DataFrame]:
     return out, busy.filter(F.col("c") > COMPARED)
 
 
-def _keys(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, n, d): the descriptors of images (n, points), once for each of their parts whose bits occur again; (key, c): the keys of more than COMPARED descriptors."""
-    again, large = _again(reps)
-    held = reps.sparkSession.sparkContext.broadcast(again)
+def _keys(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, dn, d): descriptors (dn, d), once for each of their parts whose bits occur again; (key, c): the keys of more than COMPARED descriptors."""
+    again, large = _again(words)
+    held = words.sparkSession.sparkContext.broadcast(again)
 
     def run(batches):
         bits = held.value
-        for numbers, points in _parts(batches):
-            key, image, words = _keyed(numbers, points)
+        for part in _slices(batches):
+            own = _words(part.column(1).to_pylist())
+            key, of = _keyed(own)
             use = np.flatnonzero((bits[key >> 3] >> (key & 7).astype(np.uint8)) & 1)
-            raw = np.ascontiguousarray(words[use]).tobytes()
-            d = pa.Array.from_buffers(pa.binary(BITS // 8), len(use), [None, pa.py_buffer(raw)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(image[use]), d], names=["key", "n", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[use]), part.column(0).take(pa.array(of[use])), _binary(own[of[use]])], names=["key", "dn", "d"])
 
-    return reps.mapInArrow(run, "key long, n long, d binary"), large
+    return words.mapInArrow(run, "key long, dn long, d binary"), large
 
 
 def near_rows(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -381,16 +412,16 @@ def near_rows(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _near_groups(batches):
-    """From rows sorted by key and n: lead and n, for each image in a group of near descriptors that a lesser image leads."""
+    """From rows sorted by key and dn: lead and dn, for each descriptor in a group of near ones that a lesser one leads."""
 
-    def solve(key, n, bits):
-        lead = n[near_rows(bits, key)]
-        pairs = np.unique(np.stack([lead, n])[:, lead != n], axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["lead", "n"])
+    def solve(key, dn, bits):
+        lead = dn[near_rows(bits, key)]
+        pairs = np.unique(np.stack([lead, dn])[:, lead != dn], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["lead", "dn"])
 
     held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64))
     for batch in batches:
-        new = (*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BITS // 64))
+        new = (*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)), _words(batch.column(2).to_pylist()))
         held = tuple(np.concatenate(x) for x in zip(held, new))
         whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last key may go on
         if whole:
@@ -400,17 +431,30 @@ def _near_groups(batches):
         yield solve(*held)
 
 
+def _met(reps: DataFrame) -> DataFrame:
+    """lead, n: for each image that leads a group of images with a common or near descriptors (it is the least of them), the group's images, itself included."""
+    held, words = _held(reps)
+    keys, large = _keys(words)
+    met = dealt(keys.join(large, "key", "left").withColumn("c", F.coalesce("c", F.lit(1))), "c", "dn", COMPARED)
+    unit = F.when(F.col("c") <= COMPARED, F.col("key")).otherwise(F.xxhash64("key", "bi", "bj")).alias("unit")
+    met = met.select(unit, "dn", "d").repartition("unit").sortWithinPartitions("unit", "dn")
+    near = materialize(met.mapInArrow(_near_groups, "lead long, dn long").distinct(), "media-near")
+    # each descriptor stands for its images: the groups of near descriptors become groups of images
+    of = held.groupBy("dn").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("first"))
+    whole = near.unionByName(near.select("lead").distinct().withColumn("dn", F.col("lead"))).join(of, "dn")
+    least = whole.groupBy("lead").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("rows"))
+    by = spread_join(whole.drop("first"), least, "lead", "rows", near.count()).select("dn", "first", "c")
+    by = materialize(by.unionByName(of.filter("c > 1").select("dn", "first", "c")).distinct(), "media-leads")
+    found = spread_join(held, by, "dn", "c", held.count())
+    return materialize(found.select(F.col("first").alias("lead"), "n").distinct(), "media-met")
+
+
 def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """One row per row of media: id, class_id, n_links, n_points."""
     all_rows = materialize(describe(media, id_col, media_col), "media-points")
     reps = materialize(all_rows.filter("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("copies"), F.min("points").alias("points")).withColumn("n", F.monotonically_increasing_id()), "media-reps")
-    keys, large = _keys(reps.filter(F.length("points") > 0).select("n", "points"))
-    # In a bucket, only descriptors that are near as a whole bring images together. Groups with the same least image are taken as one, so an image goes to few units, not once per key.
-    met = dealt(keys.join(large, "key", "left").withColumn("c", F.coalesce("c", F.lit(1))), "c", F.struct("n", "d"), COMPARED)
-    unit = F.when(F.col("c") <= COMPARED, F.col("key")).otherwise(F.xxhash64("key", "bi", "bj")).alias("unit")
-    met = met.select(unit, "n", "d").repartition("unit").sortWithinPartitions("unit", "n")
-    near = materialize(met.mapInArrow(_near_groups, "lead long, n long").distinct(), "media-near")
-    near = near.union(near.select("lead", "lead").distinct())
+    # Groups with the same least image are taken as one, so an image goes to few units, not once per descriptor.
+    near = _met(reps.filter(F.length("points") > 0).select("n", "points"))
     units_of = near.groupBy("lead").agg(F.count(F.lit(1)).alias("c"))
     spread = dealt(spread_join(near, units_of, "lead", "c", near.count()), "c", "n", BUCKET_BLOCK)
     spread = spread.select("lead", "bi", "bj", "n").join(reps.select("n", "points"), "n")

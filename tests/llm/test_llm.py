@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dendroframe.llm import bpe, language_id, line_dedup, media, mixing, ngram_join, queries, secrets, suffix_dedup, token_counts, topk
+from dendroframe.llm import bpe, common, language_id, line_dedup, media, mixing, ngram_join, queries, secrets, suffix_dedup, token_counts, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD_BPE = queries.WORD_BPE
@@ -224,18 +224,40 @@ def test_media_tables_meet_pairs_of_few_far_matches(spark):
             for b in rng.choice(256, media.MATCH_BITS, replace=False):
                 rows[200 + i, k]["d"][b // 64] ^= np.uint64(1) << np.uint64(b % 64)
     df = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(rows)], "n long, points binary")
-    again, large = media._again(df)
-    keys = media._keys(df)[0].select("key", "n").distinct()
-    met = keys.alias("a").join(keys.alias("b"), F.expr("a.key = b.key and b.n > a.n")).select("a.n", F.col("b.n").alias("h")).distinct().collect()
+    held, words_of = media._held(df)
+    assert held.count() == words_of.count() == 2400
+    again, large = media._again(words_of)
+    keys = media._keys(words_of)[0]
+    of_image = keys.join(held, "dn").select("key", "n").distinct()
+    met = of_image.alias("a").join(of_image.alias("b"), F.expr("a.key = b.key and b.n > a.n")).select("a.n", F.col("b.n").alias("h")).distinct().collect()
     assert sum(r.h - r.n == 200 for r in met) >= 196 and large.isEmpty()
     # the bitmap has exactly the keys that occur again, the first and the last key included
-    seen = Counter(media._keyed(list(range(400)), [r.tobytes() for r in rows])[0].tolist())
+    seen = Counter(media._keyed(rows["d"].reshape(-1, 4))[0].tolist())
     assert set(np.flatnonzero(np.unpackbits(again, bitorder="little")).tolist()) == {k for k, n in seen.items() if n > 1}
     assert {r.key for r in keys.collect()} == {k for k, n in seen.items() if n > 1}
-    ends = np.zeros((2, 1), media._ROW)
-    ends["d"] = np.frombuffer(b"\0" * 3 + b"\xff" * 29, "<u8")
-    both = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(ends)], "n long, points binary")
-    assert {0, media.KEYS - 1} <= set(np.flatnonzero(np.unpackbits(media._again(both)[0], bitorder="little")).tolist())
+    ends = [(0, b"\0" * 3 + b"\xff" * 29), (1, b"\0" * 3 + b"\x01" * 26 + b"\xff" * 3)]
+    assert {0, media.KEYS - 1} <= set(np.flatnonzero(np.unpackbits(media._again(spark.createDataFrame(ends, "dn long, d binary"))[0], bitorder="little")).tolist())
+
+
+@pytest.mark.parametrize("hub", [2048, 2])
+def test_media_groups_of_images(spark, monkeypatch, hub):
+    """Images meet that share a descriptor or hold near ones; the least image leads."""
+    monkeypatch.setattr(common, "HUB", hub)
+    rng = np.random.default_rng(8)
+    d = rng.integers(0, 2**63, (40, 4), dtype=np.uint64)
+    near = d[0].copy()
+    near[2] ^= np.uint64(7)  # three bits
+    images = {5: [0, 1], 6: [1, 2], 7: [3], 8: [], 9: [4], 10: [4], 11: [4], 20: [30]}
+    rows = []
+    for n, held in images.items():
+        r = np.zeros(len(held) + (n == 7), media._ROW)
+        for i, k in enumerate(held):
+            r[i]["d"] = d[k]
+        if n == 7:
+            r[-1]["d"] = near
+        rows.append((n, r.tobytes()))
+    got = {(r.lead, r.n) for r in media._met(spark.createDataFrame([x for x in rows if x[1]], "n long, points binary")).collect()}
+    assert got == {(5, 5), (5, 6), (5, 7), (9, 9), (9, 10), (9, 11)}
 
 
 # -- token counts
