@@ -167,6 +167,10 @@ def test_private_names_do_not_clash(spark, odd):  # noqa: F811
     df = odd.drop("host", "key").withColumns({c: F.lit("kept") for c in CLASHES})
     weights = {"domain": {}, "lang": {}, "source": {}}
     model = language_id.fit({"xx": dict.fromkeys("abcdefghij", 5)}, language_id.vocabulary(queries.PIECES))
+    import corpus_pipeline
+
+    mixed = corpus_pipeline.mix_sources(spark, df.withColumn("_mixed_copies", F.lit(7)), "")
+    assert mixed.columns == [*df.columns, "_mixed_copies"] and all(r[0] == 7 for r in mixed.select("_mixed_copies").collect())
     outs = [line_dedup.dedup_documents(df), ngram_join.keep_one(df), language_id.accepted(df, model), mixing.mix(df, mixing.domain_of(F.col("source")), weights, 1, 1, 1), secrets.scan(df, secrets.fit([])), bpe.bpe_round_trip(df, queries.WORD_BPE)]
     for out in outs:
         assert set(CLASHES) <= set(out.columns)
