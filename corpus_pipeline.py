@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dendroframe.llm import bpe, language_id, line_dedup, mixing, ngram_join, queries
-from dendroframe.llm.common import materialize, read_table
+from dendroframe.llm.common import fresh, materialize, read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture takes, once for each epoch in which it takes them."""
-    mixed = mixing.mix(docs, mixing.domain_of(F.col("source")), queries.MIX_WEIGHTS, queries.MIX_NUM, queries.MIX_DEN, queries.MIX_EPOCHS, queries.MIX_SEED, prefix="_mixed_")
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mixed_copies"))).alias("_mixed_epoch")
-    return mixed.select(*(F.col(f"`{c}`") for c in docs.columns), copies).drop("_mixed_epoch")
+    mark = fresh(docs.columns, "_mixed")
+    mixed = mixing.mix(docs, mixing.domain_of(F.col("source")), queries.MIX_WEIGHTS, queries.MIX_NUM, queries.MIX_DEN, queries.MIX_EPOCHS, queries.MIX_SEED, prefix=f"{mark}_")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{mark}_copies"))).alias(f"{mark}_epoch")
+    return mixed.select(*(F.col(f"`{c}`") for c in docs.columns), copies).drop(f"{mark}_epoch")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
