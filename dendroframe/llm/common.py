@@ -76,8 +76,8 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-#: Rows of a key from which it is a hub, at least; and hubs that a table has at most.
-HUB, HUBS = 2048, 50_000
+#: Rows of a key from which it is a hub, at least (fewer, of some ten bytes each, are no burden for a task, while a second way for hubs makes plans twice as large); and hubs that a table has at most.
+HUB, HUBS = 1_000_000, 50_000
 
 
 def spread_join(rows: DataFrame, few: DataFrame, on: str, count: str, total: int, how: str = "inner") -> DataFrame:
