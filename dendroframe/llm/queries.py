@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, media, mixing, ngram_join, secrets, suffix_dedup, token_counts, topk
+from . import bpe, centroids, collocations, language_id, line_dedup, main_text, media, mixing, ngram_join, secrets, suffix_dedup, token_counts, topk
 from .common import read_table
 
 #: The public tokenizers' files; each is a parameter of the operator that needs it.
@@ -154,6 +156,80 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after ten rounds of exact k-means."""
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def _rounds_sql(k: int, rounds: int) -> str:
+    """c0 .. c<rounds>: the centroids (j, v) of each round; d<rounds>: the last assignment."""
+    square = "list_sum(list_transform(list_zip(e.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"d{i} AS MATERIALIZED (SELECT rid, min(struct_pack(d := d, j := j)) AS m FROM (SELECT e.rid, c.j, CAST({square} AS BIGINT) AS d FROM e, c{i} c) GROUP BY rid)")
+        if i < rounds:
+            out.append(
+                f"s{i} AS (SELECT j, pos, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT d{i}.m.j AS j, unnest(e.v) AS x, generate_subscripts(e.v, 1) AS pos FROM e JOIN d{i} ON d{i}.rid = e.rid) GROUP BY j, pos),\n"
+                f"c{i + 1} AS MATERIALIZED (SELECT c.j, coalesce(g.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS v FROM s{i} GROUP BY j) g ON g.j = c.j)"
+            )
+    return ",\n".join(out)
+
+
+OP11_SQL = f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {centroids.DIMS} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS j, v FROM (SELECT sha256('{centroids.SEED}:' || CAST(vec_id AS VARCHAR)) AS h, v FROM e ORDER BY h NULLS LAST, v LIMIT {centroids.K})),
+{_rounds_sql(centroids.K, centroids.ROUNDS)}
+SELECT e.vec_id, CAST(m.j AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.j) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM e JOIN d{centroids.ROUNDS} d ON d.rid = e.rid JOIN c{centroids.ROUNDS} c ON c.j = d.m.j
+"""
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two to four words, over all whole documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    return collocations.collocations(docs, F.col("lang"), F.col("text"))
+
+
+OP12_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, {collocations.LONGEST + 1}) r(k) WHERE len(words) >= k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS c FROM g GROUP BY lang, k, phrase HAVING c >= {collocations.LEAST}),
+t AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+a AS MATERIALIZED (SELECT lang, k AS size, phrase, c AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+x AS (SELECT a.lang, a.size, a.phrase, a.a, j AS k, l.c AS l, r.c AS r, CAST({collocations.SCALE}::HUGEINT * a.a // (l.c + r.c) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS j FROM a) a JOIN f l ON l.lang = a.lang AND l.phrase = array_to_string(a.ws[1 : j], ' ') JOIN f r ON r.lang = a.lang AND r.phrase = array_to_string(a.ws[j + 1 : ], ' ')),
+b AS (SELECT lang, phrase, a, min(struct_pack(score := score, k := k, l := l, r := r)) AS m FROM x GROUP BY lang, phrase, a),
+h AS (SELECT lang, array_to_string(ws[i : i + z - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, size - z + 2)) AS i FROM a, range(2, {collocations.LONGEST}) s(z) WHERE z < size) GROUP BY ALL),
+o AS (SELECT b.lang, b.phrase, b.a, b.m, row_number() OVER (PARTITION BY b.lang ORDER BY b.m.score DESC, b.a DESC, b.phrase) AS rank FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE h.longer IS NULL OR 100 * h.longer < {collocations.SHARE} * b.a)
+SELECT o.lang, o.rank, o.phrase, o.a, o.m.l AS l, o.m.r AS r, t.n, o.m.score AS score FROM o JOIN t ON t.lang = o.lang WHERE o.rank <= {collocations.TOP}
+"""
+
+
+@functools.cache
+def page_field() -> main_text.Field:
+    """The field of op 13, trained once a driver on labelled pages of invented words (the tables hold no labels)."""
+    return main_text.train(main_text.example_pages())
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages, page_field())
+
+
+#: What the field must find on these tables, whose pages hold their main text in one article of headings and paragraphs.
+OP13_SQL = r"""
+WITH p AS (SELECT page_id, url, row_number() OVER () AS rid, regexp_replace(regexp_replace(regexp_extract(html, '<article>((?s:.*?))(</article>|$)', 1), '</?b>', '', 'g'), '<br>', ' ', 'g') AS body FROM pages),
+b AS (SELECT rid, unnest(string_split_regex(body, '</?(p|h1)>')) AS block, generate_subscripts(string_split_regex(body, '</?(p|h1)>'), 1) AS pos FROM p),
+c AS (SELECT rid, pos, trim(regexp_replace(replace(replace(replace(replace(block, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS block FROM b),
+t AS (SELECT rid, string_agg(block, chr(10) ORDER BY pos) AS text FROM c WHERE block <> '' GROUP BY rid)
+SELECT p.page_id, p.url, coalesce(t.text, '') AS text, length(coalesce(t.text, '')) AS n_chars FROM p LEFT JOIN t ON t.rid = p.rid
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -165,5 +241,8 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_bpe": op9_bpe,
     "op10_ngram_join": op10_ngram_join,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_phrase_mining": op12_phrase_mining,
+    "op13_html_extraction": op13_html_extraction,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op6_source_mixing": OP6_SQL, "op8_topk_search": OP8_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op6_source_mixing": OP6_SQL, "op8_topk_search": OP8_SQL, "op11_centroid_clusters": OP11_SQL, "op12_phrase_mining": OP12_SQL, "op13_html_extraction": OP13_SQL}
