@@ -35,7 +35,7 @@ LEAST, TOP, LONGEST = 30, 2000, 4
 SHARE, SCALE = 80, 2_000_000
 BUCKETS = 1 << 25
 #: Buckets of a part, and bytes of text of a slice.
-PART, SLICE = 1 << 17, 8 << 20
+PART, SLICE = 1 << 17, 4 << 20
 #: Keys that a frequent word's phrases are dealt to.
 SPREAD = 16
 
@@ -204,6 +204,7 @@ def _scan(docs: DataFrame, n: int, how: Counting, known, buckets) -> DataFrame:
             if n < how.longest:
                 at = np.flatnonzero(passed[:-1] & passed[1:] & s.joined[:-1])
                 _add(counter, how.place(h[n][at]), how.least)
+            pa.default_memory_pool().release_unused()
         yield from _parts(counter, names)
 
     return materialize(docs.mapInArrow(run, _COUNTS), f"phrases-{n}")
