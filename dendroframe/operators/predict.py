@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import num
+from .layers import sparse_unet
 from .neighbours import label_points
 from .points import apply_offset, denoise, offset_labels
 from .stats import neighbour_distance
@@ -52,6 +53,12 @@ def statistical(points: DataFrame, k: int = 8, z: float = 2.0) -> DataFrame:
     return points.withColumns({"dx": num(0), "dy": num(0), "dz": num(0)}).join(bad, ["tree_id", "point_id"], "left").withColumn("l1", F.coalesce("l1", num(0))).withColumn("l0", 1 - F.col("l1"))
 
 
+@predictor("sparse_unet")
+def unet(points: DataFrame, weights: dict[str, np.ndarray], **options) -> DataFrame:
+    """A trained sparse U-net, its arrays as load_weights reads them (layers.sparse_unet)."""
+    return sparse_unet(points, weights, **options)
+
+
 def _predicted(key: DataFrame) -> T.StructType:
     return T.StructType([*key.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("dx", "dy", "dz", "l0", "l1"))])
 

@@ -920,3 +920,6 @@ def _(s, d):
 def _(s, d):
     up = sampling.noisy_cloud(X.cylinders(s, d), mu=-6.0, sigma=0.3)
     return qsm.fit_qsm(up.withColumn("point_id", F.xxhash64("x", "y", "z")))
+
+
+from . import learned  # noqa: E402, F401  (registers its queries)
