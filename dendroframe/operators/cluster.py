@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import dot, norm, num
 from ..sources.scratch import cut
 from .hierarchy import components
 from .neighbours import ball_join
@@ -161,50 +166,214 @@ def agglomerative_labels(dist: np.ndarray, threshold: float, linkage: str = "ave
     return label
 
 
-def cluster_directions(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """Density clustering by the angle between directions from each tree's centroid, one tree per task. Memory grows with the tree's points, not with their square: directions are compared within and between cells only."""
+_U = ("ux", "uy", "uz")
+_CELL = ("gx", "gy", "gz")
+#: Directions along which a cell's outermost points stand for it (and their opposites).
+_WAYS = [w for w in itertools.product((-1, 0, 1), repeat=3) if w > (0, 0, 0)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id")
-        v = pdf[["x", "y", "z"]].to_numpy()
-        return pd.DataFrame({"tree_id": pdf.tree_id, "point_id": pdf.point_id, "label": dbscan_points(v - v.mean(axis=0), eps, min_samples, angular=True)})
 
-    return points.select("tree_id", "point_id", "x", "y", "z").groupBy("tree_id").applyInPandas(run, points.select("tree_id", "point_id").schema.add("label", "long"))
+def _beside(df: DataFrame, by: int = 2) -> DataFrame:
+    """Rows once for each cell up to `by` cells away, their own included: gx, gy, gz become those cells."""
+    for g in _CELL:
+        df = df.withColumn(g, F.explode(F.sequence(F.col(g) - by, F.col(g) + by)))
+    return df
+
+
+def _same_way(a: tuple[str, ...], b: tuple[str, ...], eps: float) -> Column:
+    """Whether two unit vectors are at most eps (radians) apart."""
+    return F.acos(F.least(num(1), F.greatest(num(-1), dot([F.col(c) for c in a], [F.col(c) for c in b])))) <= eps
+
+
+def cluster_directions(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    """Density clustering by the angle (eps, radians, at most pi / 2) between directions from each tree's centroid: tree_id, point_id, label (the least id of the cluster's core points; border points: the lowest label in reach; -1: noise, and points at the centroid).
+
+    Unit vectors lie in cells whose points are all in reach of each other; a tree has as many cells as the angle allows,
+    however many points it has. All points of a cell with min_samples points are core; only the others, few per cell, are
+    compared with the points of cells nearby. Clusters are components of cells: cells are tied by their outermost core
+    points, and only what these leave apart is compared point by point, as far as cells' boxes are in reach.
+    """
+    if not 0 < eps <= math.pi / 2:
+        raise ValueError("eps is an angle of at most a quarter turn")
+    chord = 2 * math.sin(eps / 2)
+    mean = points.groupBy("tree_id").agg(*(F.avg(c).alias(f"_m{c}") for c in "xyz"))
+    v = points.select("tree_id", "point_id", "x", "y", "z").join(mean, "tree_id").select("tree_id", "point_id", *((F.col(c) - F.col(f"_m{c}")).alias(u) for c, u in zip("xyz", _U)))
+    v = v.withColumn("_r", norm([F.col(c) for c in _U])).filter("_r > 0").withColumns({c: F.col(c) / F.nullif(F.col("_r"), num(0)) for c in _U}).drop("_r")
+    v = v.withColumns({g: F.floor(F.col(c) / num(chord / math.sqrt(3) * 0.999)).cast("long") for g, c in zip(_CELL, _U)})
+    size = v.groupBy("tree_id", *_CELL).agg((F.count(F.lit(1)) >= min_samples).alias("dense"))
+    v = cut(v.join(size, ["tree_id", *_CELL]))
+    few = v.filter("not dense")
+    other = v.select("tree_id", *_CELL, F.col("point_id").alias("other_id"), *(F.col(c).alias(f"o{c}") for c in _U))
+    near = _beside(few).join(other, ["tree_id", *_CELL]).filter(_same_way(_U, tuple(f"o{c}" for c in _U), eps))
+    enough = near.groupBy("tree_id", "point_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_samples).select("tree_id", "point_id")
+    core = cut(v.filter("dense").unionByName(few.join(enough, ["tree_id", "point_id"], "left_semi")).drop("dense"))
+
+    cells = cut(core.groupBy("tree_id", *_CELL).agg(F.min("point_id").alias("cell"), *(f(c).alias(f"{n}{c}") for c in _U for n, f in (("lo", F.min), ("hi", F.max)))))
+    ends = [f(F.struct(*_U), sum((F.col(c) * k for c, k in zip(_U, way) if k), num(0))) for way in _WAYS for f in (F.min_by, F.max_by)]
+    outer = core.groupBy("tree_id", *_CELL).agg(F.min("point_id").alias("cell"), F.array_distinct(F.array(*ends)).alias("e")).select("tree_id", *_CELL, "cell", F.explode("e").alias("e")).select("tree_id", *_CELL, "cell", *(F.col(f"e.{c}") for c in _U))
+    to = outer.select("tree_id", *_CELL, F.col("cell").alias("b"), *(F.col(c).alias(f"o{c}") for c in _U))
+    tied = _beside(outer).join(to, ["tree_id", *_CELL]).filter(F.col("cell") < F.col("b")).filter(_same_way(_U, tuple(f"o{c}" for c in _U), eps))
+    tied = cut(tied.select("tree_id", F.col("cell").alias("a"), "b").distinct())
+    nodes = cells.select("tree_id", F.col("cell").alias("point_id"))
+    label = components(nodes, tied)
+
+    # cells that are still apart, and whose boxes are in reach: all their core points near the other's box
+    own = cells.join(label.select("tree_id", F.col("point_id").alias("cell"), "component"), ["tree_id", "cell"])
+    there = own.select("tree_id", *_CELL, F.col("cell").alias("b"), F.col("component").alias("component_b"), *(F.col(f"{n}{c}").alias(f"{n}_{c}") for c in _U for n in ("lo", "hi")))
+    gap = lambda lo, hi, lo2, hi2: F.greatest(num(0), lo - hi2, lo2 - hi)
+    boxes = norm([gap(F.col(f"lo{c}"), F.col(f"hi{c}"), F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in _U]) <= chord * (1 + 1e-9)
+    open_ = cut(_beside(own).join(there, ["tree_id", *_CELL]).filter((F.col("cell") < F.col("b")) & (F.col("component") != F.col("component_b")) & boxes).select("tree_id", F.col("cell").alias("a"), "b", *(f"{n}{s}{c}" for c in _U for n in ("lo", "hi") for s in ("", "_"))))
+    if not open_.isEmpty():
+        held = core.join(cells.select("tree_id", *_CELL, "cell"), ["tree_id", *_CELL]).select("tree_id", "cell", *_U)
+        inside = lambda s: norm([gap(F.col(c), F.col(c), F.col(f"lo{s}{c}"), F.col(f"hi{s}{c}")) for c in _U]) <= chord * (1 + 1e-9)
+        left = held.withColumnRenamed("cell", "a").join(open_, ["tree_id", "a"]).filter(inside("_")).select("tree_id", "a", "b", *_U)
+        right = held.withColumnRenamed("cell", "b").join(open_, ["tree_id", "b"]).filter(inside("")).select("tree_id", "a", "b", *(F.col(c).alias(f"o{c}") for c in _U))
+        more = cut(left.join(right, ["tree_id", "a", "b"]).filter(_same_way(_U, tuple(f"o{c}" for c in _U), eps)).select("tree_id", "a", "b").distinct())
+        if not more.isEmpty():
+            label = components(nodes, tied.unionByName(more))
+    label = label.select("tree_id", F.col("point_id").alias("cell"), F.col("component").alias("label"))
+    inner = core.join(cells.select("tree_id", *_CELL, "cell"), ["tree_id", *_CELL]).join(label, ["tree_id", "cell"])
+    border = few.join(enough, ["tree_id", "point_id"], "left_anti")
+    to = inner.select("tree_id", *_CELL, "label", *(F.col(c).alias(f"o{c}") for c in _U))
+    reached = _beside(border).join(to, ["tree_id", *_CELL]).filter(_same_way(_U, tuple(f"o{c}" for c in _U), eps)).groupBy("tree_id", "point_id").agg(F.min("label").alias("label"))
+    known = inner.select("tree_id", "point_id", "label").unionByName(reached)
+    return points.select("tree_id", "point_id").join(known, ["tree_id", "point_id"], "left").select("tree_id", "point_id", F.coalesce("label", F.lit(-1).cast("long")).alias("label"))
+
+
+def _pairs_within(x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i < j of x at most `reach` apart, and their distances, by cells as wide: memory grows with the pairs."""
+    cell = np.floor(x / max(reach, 1e-12)).astype(np.int64)
+    order = np.lexsort(cell.T)
+    starts = np.flatnonzero(np.r_[True, np.any(np.diff(cell[order], axis=0), axis=1)])
+    held = {tuple(cell[p[0]]): p for p in np.split(order, starts[1:])}
+    out: tuple[list, list, list] = ([], [], [])
+    for (a, b, c), own in held.items():
+        for step in itertools.product((-1, 0, 1), repeat=3):
+            if step >= (0, 0, 0) and (other := held.get((a + step[0], b + step[1], c + step[2]))) is not None:
+                d = np.linalg.norm(x[own][:, None] - x[other][None], axis=2)
+                hit = d <= reach
+                if step == (0, 0, 0):
+                    hit &= own[:, None] < other[None]
+                i, j = np.nonzero(hit)
+                for o, v in zip(out, (np.minimum(own[i], other[j]), np.maximum(own[i], other[j]), d[i, j])):
+                    o.append(v)
+    return tuple(np.concatenate(o) if o else np.zeros(0, int) for o in out)
+
+
+def linked_labels(x: np.ndarray, threshold: float, linkage: str) -> np.ndarray:
+    """Average or complete linkage of the rows of x up to a threshold, as agglomerative_labels gives it, without a matrix: each row's label is its cluster's first row.
+
+    Only distances up to the threshold are kept. Both linkages are reducible: what is beyond it for both parts of a cluster
+    stays beyond it for the whole. Where one part is within and the other beyond, complete linkage is beyond, and for the
+    average the missing distance is taken from the points.
+    """
+    n = len(x)
+    group, size = {i: [i] for i in range(n)}, dict.fromkeys(range(n), 1)
+    near: dict[int, dict[int, float]] = {i: {} for i in range(n)}
+    heap = []
+    for i, j, d in zip(*(v.tolist() for v in _pairs_within(x, threshold))):
+        near[i][j] = near[j][i] = d
+        heap.append((d, i, j))
+    heapq.heapify(heap)
+    between = lambda a, b: float(np.linalg.norm(x[group[a]][:, None] - x[group[b]][None], axis=2).mean())
+    while heap:
+        d, i, j = heapq.heappop(heap)
+        if i not in group or j not in group or near[i].get(j) != d:
+            continue
+        a, b = near.pop(i), near.pop(j)
+        near[i] = {}
+        for k in a.keys() | b.keys():
+            if k in (i, j):
+                continue
+            da, db = a.get(k), b.get(k)
+            near[k].pop(i, None)
+            near[k].pop(j, None)
+            if linkage == "complete":
+                new = max(da, db) if da is not None and db is not None else None
+            else:
+                da, db = (between(i, k) if da is None else da), (between(j, k) if db is None else db)
+                new = (size[i] * da + size[j] * db) / (size[i] + size[j])
+            if new is not None and new <= threshold:
+                near[i][k] = near[k][i] = new
+                heapq.heappush(heap, (new, min(i, k), max(i, k)))
+        group[i] += group.pop(j)
+        size[i] += size.pop(j)
+    label = np.zeros(n, int)
+    for i, members in group.items():
+        label[members] = i
+    return label
 
 
 def agglomerate(points: DataFrame, threshold: float, linkage: str = "average", least: int = 1) -> DataFrame:
-    """Bottom-up clustering per tree: tree_id, point_id, label (-1: smaller than `least`).
+    """Bottom-up clustering per tree until the closest two clusters are farther than threshold: tree_id, point_id, label (the cluster's least id; -1: smaller than `least`). Ties: the cluster whose least id is lower.
 
-    Single linkage at a threshold is the components of the graph of points that near each other; it is solved so, as joins,
-    and labels are least ids. The other linkages need all distances of a tree in one task, so its points must be few.
+    Clusters never leave a component of the graph of points within the threshold. Components are found by joins; for single
+    linkage they are the clusters. For average and complete linkage each component is a task of its own, whose memory grows
+    with its pairs within the threshold.
     """
-    if linkage == "single":
-        label = linked_components(points, threshold)
-        size = label.groupBy("tree_id", "component").agg(F.count(F.lit(1)).alias("n"))
-        return label.join(size, ["tree_id", "component"]).select("tree_id", "point_id", F.when(F.col("n") >= least, F.col("component")).otherwise(F.lit(-1).cast("long")).alias("label"))
+    if linkage not in ("single", "average", "complete"):
+        raise ValueError(f"unknown linkage {linkage}")
+    label = linked_components(points, threshold)
+    if linkage != "single":
+        held = points.select("tree_id", "point_id", "x", "y", "z").join(label, ["tree_id", "point_id"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id")
-        v = pdf[["x", "y", "z"]].to_numpy()
-        d = np.linalg.norm(v[:, None] - v[None], axis=2)
-        return pd.DataFrame({"tree_id": pdf.tree_id, "point_id": pdf.point_id, "label": agglomerative_labels(d, threshold, linkage, least)})
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("point_id")
+            ids = pdf.point_id.to_numpy()
+            own = linked_labels(pdf[["x", "y", "z"]].to_numpy(float), threshold, linkage)
+            return pd.DataFrame({"tree_id": pdf.tree_id, "point_id": ids, "component": ids[own]})
+
+        label = held.groupBy("tree_id", "component").applyInPandas(run, label.schema)
+    label = cut(label)
+    size = label.groupBy("tree_id", "component").agg(F.count(F.lit(1)).alias("n"))
+    return label.join(size, ["tree_id", "component"]).select("tree_id", "point_id", F.when(F.col("n") >= least, F.col("component")).otherwise(F.lit(-1).cast("long")).alias("label"))
 
-    return points.select("tree_id", "point_id", "x", "y", "z").groupBy("tree_id").applyInPandas(run, points.select("tree_id", "point_id").schema.add("label", "long"))
+
+def farthest_rows(v: np.ndarray, n: int, seen: list | None = None) -> list[int]:
+    """The first n rows of farthest-point sampling from row 0 on; ties go to the lower row. seen: gets the number of rows that each pick looked at.
+
+    Cells keep their farthest row, and a pick looks only at cells whose box is nearer to it than their farthest row is to the
+    picks before: no other cell can change.
+    """
+    if not len(v):
+        return []
+    wide = float((v.max(axis=0) - v.min(axis=0)).max())
+    cell = np.floor((v - v.min(axis=0)) / max(wide / math.sqrt(len(v) / 64 + 1), 1e-12)).astype(np.int64)
+    order = np.lexsort((np.arange(len(v)), *cell.T))
+    first = np.flatnonzero(np.r_[True, np.any(np.diff(cell[order], axis=0), axis=1)])
+    size = np.diff(np.r_[first, len(v)])
+    x = v[order]
+    low, high = np.minimum.reduceat(x, first), np.maximum.reduceat(x, first)
+    far, top, row = np.full(len(v), np.inf), np.full(len(first), np.inf), order[first]
+    at, picks = 0, []
+    for _ in range(min(n, len(v))):
+        picks.append(at)
+        gap = np.maximum(0, np.maximum(low - v[at], v[at] - high))
+        hit = np.flatnonzero((gap * gap).sum(axis=1) * (1 - 1e-12) < top)
+        ends = np.cumsum(size[hit])
+        idx = np.arange(int(ends[-1]) if len(hit) else 0) + np.repeat(first[hit] - (ends - size[hit]), size[hit])
+        if seen is not None:
+            seen.append(len(idx))
+        if len(hit):
+            far[idx] = np.minimum(far[idx], ((x[idx] - v[at]) ** 2).sum(axis=1))
+            starts = ends - size[hit]
+            top[hit] = np.maximum.reduceat(far[idx], starts)
+            best = np.flatnonzero(far[idx] == np.repeat(top[hit], size[hit]))
+            row[hit] = order[idx[best[np.searchsorted(best, starts)]]]
+        at = int(row[top == top.max()].min())
+    return picks
 
 
 def farthest_points(points: DataFrame, n: int) -> DataFrame:
-    """Farthest-point sampling per tree, from the lowest id on; ties go to the lower id: tree_id, point_id, pick."""
+    """Farthest-point sampling per tree, from the lowest id on; ties go to the lower id: tree_id, point_id, pick.
+
+    Each pick depends on all before it, so a tree is one task, which holds some 80 bytes a point; a pick looks at the cells
+    that it can change only (farthest_rows).
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id").reset_index(drop=True)
-        v = pdf[["x", "y", "z"]].to_numpy()
-        far, at, picks = np.full(len(v), np.inf), 0, []
-        for _ in range(min(n, len(v))):
-            picks.append(at)
-            far = np.minimum(far, ((v - v[at]) ** 2).sum(axis=1))
-            at = int(far.argmax())
-        out = pdf.loc[picks, ["tree_id", "point_id"]]
-        return out.assign(pick=range(len(picks)))
+        picks = farthest_rows(pdf[["x", "y", "z"]].to_numpy(float), n)
+        return pdf.loc[picks, ["tree_id", "point_id"]].assign(pick=range(len(picks)))
 
     return points.select("tree_id", "point_id", "x", "y", "z").groupBy("tree_id").applyInPandas(run, points.select("tree_id", "point_id").schema.add("pick", "long"))
 

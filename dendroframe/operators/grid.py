@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import functools
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import morton, num
+from ..sources.scratch import cut
 from .points import extent, with_tree
 
 
@@ -113,10 +115,11 @@ def curve_code(x: Column, y: Column, z: Column, order: str = "z", depth: int = 1
     return code if batch is None else F.shiftleft(batch.cast("long"), 3 * depth).bitwiseOR(code)
 
 
-def _ranked(keyed: DataFrame, code: str, rank: str) -> DataFrame:
-    """Adds rank: the place by (code, point_id) within the tree, as a prefix sum over ranges of codes: a range's rows are sorted in one task, a tree's never."""
-    keyed = keyed.withColumn("_part", F.shiftright(code, 9))
-    parts = keyed.groupBy("tree_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
+def _ranked(keyed: DataFrame, code: str, rank: str, coded: DataFrame | None = None) -> DataFrame:
+    """Adds rank: the place by (code, point_id) within the tree, as a prefix sum over ranges of codes: a range's rows are sorted in one task, a tree's never. coded: the same rows from a shorter plan, for the counts of the ranges."""
+    part = F.shiftright(code, 9).alias("_part")
+    keyed = keyed.withColumn("_part", part)
+    parts = (keyed if coded is None else coded.select("tree_id", part)).groupBy("tree_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("tree_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("tree_id", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("tree_id", "_part").orderBy(code, "point_id"))
@@ -131,10 +134,11 @@ def serialise(points: DataFrame, size: float, depth: int = 16, swap: bool = Fals
 
 
 def serialise_all(points: DataFrame, size: float, depth: int = 16, orders: tuple[str, ...] = ORDERS) -> DataFrame:
-    """The cell numbers with code_0, rank_0, code_1, ... for each of the orders."""
-    out = voxel_key(points, size)
-    for i, order in enumerate(orders):
-        out = _ranked(out.withColumn(f"code_{i}", curve_code(F.col("vx"), F.col("vy"), F.col("vz"), order, depth)), f"code_{i}", f"rank_{i}")
+    """The cell numbers with code_0, rank_0, code_1, ... for each of the orders. All codes are written once; ranks are taken from there, so the source is read as often for four orders as for one."""
+    keyed = voxel_key(points, size)
+    out = coded = cut(keyed.withColumns({f"code_{i}": curve_code(F.col("vx"), F.col("vy"), F.col("vz"), order, depth) for i, order in enumerate(orders)}))
+    for i in range(len(orders)):
+        out = _ranked(out, f"code_{i}", f"rank_{i}", coded)
     return out
 
 
@@ -182,73 +186,91 @@ def mini_batches(cells: DataFrame, size: int) -> DataFrame:
     return cells.withColumn("_b", b).withColumn("batch", F.expr("raster_id div _b")).drop("_b")
 
 
-def _hilbert(locs: np.ndarray, bits: int) -> np.ndarray:
-    """Skilling's transform of axes to a Hilbert index; locs: n x dims, unsigned."""
-    x = locs.astype(np.uint64).T.copy()
-    dims = len(x)
-    q = np.uint64(1) << np.uint64(bits - 1)
+def _hilbert(x: int, y: int, z: int, bits: int) -> int:
+    """Skilling's transform of one cell's numbers to its Hilbert index: the rule that the state table is made from."""
+    v = [x, y, z]
+    q = 1 << (bits - 1)
     while q > 1:
-        p = q - np.uint64(1)
-        for i in range(dims):
-            hit = (x[i] & q) > 0
-            x[0] = np.where(hit, x[0] ^ p, x[0])
-            t = np.where(hit, np.uint64(0), (x[0] ^ x[i]) & p)
-            x[0] ^= t
-            x[i] ^= t
-        q >>= np.uint64(1)
-    for i in range(1, dims):
-        x[i] ^= x[i - 1]
-    t = np.zeros_like(x[0])
-    q = np.uint64(1) << np.uint64(bits - 1)
+        for i in range(3):
+            if v[i] & q:
+                v[0] ^= q - 1
+            else:
+                t = (v[0] ^ v[i]) & (q - 1)
+                v[0] ^= t
+                v[i] ^= t
+        q >>= 1
+    v[1] ^= v[0]
+    v[2] ^= v[1]
+    t, q = 0, 1 << (bits - 1)
     while q > 1:
-        t = np.where((x[-1] & q) > 0, t ^ (q - np.uint64(1)), t)
-        q >>= np.uint64(1)
-    x ^= t
-    out = np.zeros_like(x[0])
-    for b in range(bits - 1, -1, -1):
-        for i in range(dims):
-            out = (out << np.uint64(1)) | ((x[i] >> np.uint64(b)) & np.uint64(1))
-    return out
-
-
-def _hilbert_inverse(code: np.ndarray, dims: int, bits: int) -> np.ndarray:
-    code = code.astype(np.uint64)
-    x = np.zeros((dims, len(code)), np.uint64)
-    for b in range(bits):
-        for i in range(dims):
-            x[i] |= ((code >> np.uint64(b * dims + dims - 1 - i)) & np.uint64(1)) << np.uint64(b)
-    t = x[-1] >> np.uint64(1)
-    for i in range(dims - 1, 0, -1):
-        x[i] ^= x[i - 1]
-    x[0] ^= t
-    q = np.uint64(2)
-    while q < np.uint64(1) << np.uint64(bits):
-        p = q - np.uint64(1)
-        for i in range(dims - 1, -1, -1):
-            hit = (x[i] & q) > 0
-            x[0] = np.where(hit, x[0] ^ p, x[0])
-            t = np.where(hit, np.uint64(0), (x[0] ^ x[i]) & p)
-            x[0] ^= t
-            x[i] ^= t
-        q <<= np.uint64(1)
-    return x.T
+        if v[2] & q:
+            t ^= q - 1
+        q >>= 1
+    return sum(((c ^ t) >> b & 1) << (3 * b + 2 - i) for i, c in enumerate(v) for b in range(bits))
+
+
+@functools.cache
+def _hilbert_states() -> tuple[list[int], list[int]]:
+    """(digit, next state) of each state and octant (at 8 * state + octant). Within an octant the curve is the whole curve seen in a turned frame; a state is such a frame: which axis stands for which, and which run backwards. Frames are found by comparing the curve two levels down with every turned curve of one level less."""
+    turns = [(order, flips) for order in itertools.permutations(range(3)) for flips in range(8)]
+    seen = lambda turn, c, top: tuple((c[turn[0][i]] ^ (top if turn[1] >> i & 1 else 0)) for i in range(3))
+    cells = list(itertools.product(range(4), repeat=3))
+    small = {c: _hilbert(*c, 2) for c in cells}
+    inner = []
+    for o in range(8):
+        high = (o >> 2, o >> 1 & 1, o & 1)
+        low = {c: _hilbert(*(4 * h + k for h, k in zip(high, c)), 3) & 63 for c in cells}
+        inner.append(next(t for t in turns if all(low[c] == small[seen(t, c, 3)] for c in cells)))
+    combined = lambda a, b: (tuple(a[0][b[0][i]] for i in range(3)), sum(((b[1] >> i & 1) ^ (a[1] >> b[0][i] & 1)) << i for i in range(3)))
+    states, digit, follow, at = [((0, 1, 2), 0)], [], [], 0
+    while at < len(states):
+        for o in range(8):
+            c = seen(states[at], (o >> 2, o >> 1 & 1, o & 1), 1)
+            digit.append(_hilbert(*c, 1))
+            turn = combined(states[at], inner[c[0] << 2 | c[1] << 1 | c[2]])
+            if turn not in states:
+                states.append(turn)
+            follow.append(states.index(turn))
+        at += 1
+    return digit, follow
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*(F.lit(v).cast("long") for v in values))
+
+
+def _bit(v: Column, i: Column) -> Column:
+    return F.call_function("shiftright", v, i).bitwiseAND(F.lit(1).cast("long"))
+
+
+def _walk(start: dict[str, Column], bits: int, step) -> Column:
+    """The struct of long columns that `step` (of the struct and the bit's number, highest first) leads to; the columns are taken once."""
+    held = F.struct(*(c.cast("long").alias(k) for k, c in start.items()))
+    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), held, lambda a, i: F.struct(*(c.alias(k) for k, c in step(a, i).items())))
 
 
 def hilbert(x: Column, y: Column, z: Column, bits: int = 16) -> Column:
-    """Hilbert index of cell numbers (up to 63 bits in all), in Arrow batches: no built-in expression does the transform."""
+    """Hilbert index of cell numbers (up to 63 bits in all): a walk down the bits by the state table, inside the JVM."""
+    digit, follow = _hilbert_states()
 
-    @F.pandas_udf("long")
-    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(_hilbert(np.stack([a, b, c], axis=1), bits).astype(np.int64))
+    def step(a: Column, i: Column) -> dict[str, Column]:
+        at = (a["s"] * 8 + _bit(a["x"], i) * 4 + _bit(a["y"], i) * 2 + _bit(a["z"], i) + 1).cast("int")
+        return {"x": a["x"], "y": a["y"], "z": a["z"], "s": F.element_at(_longs(follow), at), "code": a["code"] * 8 + F.element_at(_longs(digit), at)}
 
-    return run(x, y, z)
+    return _walk({"x": x, "y": y, "z": z, "s": F.lit(0), "code": F.lit(0)}, bits, step)["code"]
 
 
 def hilbert_decode(code: Column, bits: int = 16) -> Column:
     """A struct of x, y, z."""
-
-    @F.pandas_udf("x long, y long, z long")
-    def run(c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_hilbert_inverse(c.to_numpy(), 3, bits).astype(np.int64), columns=["x", "y", "z"])
-
-    return run(code)
+    digit, follow = _hilbert_states()
+    place = {(k // 8, d): k % 8 for k, d in enumerate(digit)}
+    octant = [place[s, d] for s in range(len(digit) // 8) for d in range(8)]
+    after = [follow[8 * s + place[s, d]] for s in range(len(digit) // 8) for d in range(8)]
+
+    def step(a: Column, i: Column) -> dict[str, Column]:
+        at = (a["s"] * 8 + F.call_function("shiftright", a["code"], i * 3).bitwiseAND(F.lit(7).cast("long")) + 1).cast("int")
+        o = F.element_at(_longs(octant), at)
+        return {"code": a["code"], "s": F.element_at(_longs(after), at), "x": a["x"] * 2 + F.shiftright(o, 2), "y": a["y"] * 2 + F.shiftright(o, 1).bitwiseAND(F.lit(1).cast("long")), "z": a["z"] * 2 + o.bitwiseAND(F.lit(1).cast("long"))}
+
+    out = _walk({"code": code, "s": F.lit(0), "x": F.lit(0), "y": F.lit(0), "z": F.lit(0)}, bits, step)
+    return F.struct(out["x"].alias("x"), out["y"].alias("y"), out["z"].alias("z"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import angle_between, connection_distance, cylinder_axis, cylinder_terms, distance, num
+from ..functions.geometry import angle_between, cylinder_axis, cylinder_terms, distance, num
 from ..sources.scratch import cut
 
 XYZ = ("x", "y", "z")
@@ -37,6 +37,25 @@ def ball_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["tree_id", "gx", "gy", "gz"]).withColumn("d", d).filter(F.col("d") <= radius).select("tree_id", "point_id", "other_id", "d")
 
 
+def reach_join(points: DataFrame, balls: DataFrame, least: float = 1e-6, with_points: list[str] | None = None, with_balls: list[str] | None = None) -> DataFrame:
+    """Pairs of points (tree_id, point_id, x, y, z) and balls (tree_id, ball_id, x, y, z, radius) of a tree with d <= radius, each ball with a radius of its own: tree_id, ball_id, point_id, d, radius, and other columns of either side by name.
+
+    Balls are dealt to levels by the power of two that holds their radius; a level's cells are as wide, so a ball lies in 27
+    of them at most, whatever its radius. Points have one row for each level that their tree uses. Balls of no radius (below
+    `least`) share the finest level; those of a negative or null one hold nothing.
+    """
+    more_p, more_b = with_points or [], with_balls or []
+    cell, room = F.pow(num(2), F.col("_level")), F.col("radius") * (1 + 1e-9) + 1e-12
+    b = balls.filter(F.col("radius") >= 0).select("tree_id", "ball_id", *(F.col(k).alias(f"_c{k}") for k in XYZ), "radius", *more_b)
+    b = b.withColumn("_level", F.ceil(F.log2(F.greatest("radius", num(least)))).cast("int"))
+    used = b.select("tree_id", "_level").distinct()
+    for k in XYZ:
+        b = b.withColumn(f"g{k}", F.explode(F.sequence(F.floor((F.col(f"_c{k}") - room) / cell), F.floor((F.col(f"_c{k}") + room) / cell))))
+    held = points.select("tree_id", "point_id", *XYZ, *more_p).join(used, "tree_id").withColumns({f"g{k}": F.floor(F.col(k) / cell) for k in XYZ})
+    met = held.join(b, ["tree_id", "_level", "gx", "gy", "gz"]).withColumn("d", distance([F.col(k) for k in XYZ], [F.col(f"_c{k}") for k in XYZ]))
+    return met.filter(F.col("d") <= F.col("radius")).select("tree_id", "ball_id", "point_id", "d", "radius", *more_p, *more_b)
+
+
 def density(points: DataFrame, radius: float) -> DataFrame:
     """Points within radius of each point, itself included.
 
@@ -208,11 +227,17 @@ def square_distances(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def merge_candidates(ends: DataFrame, heads: DataFrame, max_distance: float, max_angle: float, effective: bool = False) -> DataFrame:
     """For each branch end (tree_id, point_id, x, y, z, radius, ux, uy, uz) the nearest head (same columns) of the tree with d < max_distance and an angle below max_angle. effective: distance between surfaces, not below 0."""
-    h = heads.select("tree_id", F.col("point_id").alias("other_id"), *(F.col(k).alias(f"o{k}") for k in (*XYZ, "radius", "ux", "uy", "uz")))
-    p, o = [F.col(k) for k in XYZ], [F.col(f"o{k}") for k in XYZ]
-    d = F.greatest(num(0), connection_distance(p, o, F.col("radius"), F.col("oradius"))) if effective else distance(p, o)
-    a = angle_between([F.col(k) for k in ("ux", "uy", "uz")], [F.col(k) for k in ("oux", "ouy", "ouz")])
-    pairs = ends.join(h, "tree_id").filter(F.col("point_id") != F.col("other_id")).withColumns({"d": d, "angle": a}).filter((F.col("d") < max_distance) & (F.col("angle") < max_angle))
+    own = [f"_o{k}" for k in ("radius", "ux", "uy", "uz")]
+    head = heads.select("tree_id", "point_id", *XYZ, *(F.col(k).alias(f"_o{k}") for k in ("radius", "ux", "uy", "uz")))
+    reach = num(max_distance)
+    if effective:  # surfaces are that near only if centres are within the distance plus both radii
+        wide = heads.groupBy("tree_id").agg(F.max("radius").alias("_wide"))
+        ends, reach = ends.join(wide, "tree_id"), reach + F.col("radius") + F.col("_wide")
+    balls = ends.select("tree_id", F.col("point_id").alias("ball_id"), *XYZ, F.col("radius").alias("_r"), "ux", "uy", "uz", reach.alias("radius"))
+    met = reach_join(head, balls, with_points=own, with_balls=["_r", "ux", "uy", "uz"]).withColumnsRenamed({"point_id": "other_id", "ball_id": "point_id"}).filter("point_id <> other_id")
+    d = F.greatest(num(0), F.col("d") - (F.col("_r") + F.col("_oradius"))) if effective else F.col("d")
+    a = angle_between([F.col(k) for k in ("ux", "uy", "uz")], [F.col(f"_o{k}") for k in ("ux", "uy", "uz")])
+    pairs = met.withColumns({"d": d, "angle": a}).filter((F.col("d") < max_distance) & (F.col("angle") < max_angle))
     return pairs.groupBy("tree_id", "point_id").agg(F.min(F.struct("d", "other_id", "angle")).alias("m")).select("tree_id", "point_id", "m.other_id", "m.d", "m.angle")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import cluster, evaluation, grid, hierarchy, neighbours, points, qsm, sampling, stats
+from ..operators import branches, cluster, evaluation, grid, hierarchy, neighbours, points, qsm, sampling, stats
 from ..sources import readers, sinks
 from . import fixtures as X
 
@@ -453,7 +453,7 @@ def _(s, d):
     return neighbours.ball_query(p.filter("point_id % 5 = 0"), p.filter("point_id % 5 <> 0"), 1.5, 4)
 
 
-@query("ball_query_all")
+@query("ball_query_all", X.sql(f"near AS (SELECT a.tree_id, a.point_id, b.point_id other_id, row_number() OVER (PARTITION BY a.tree_id, a.point_id ORDER BY b.point_id) - 1 slot FROM pts a JOIN pts b ON a.tree_id = b.tree_id WHERE {DIST} <= 1.5), k AS (SELECT tree_id, point_id, count(*) n, min(other_id) f FROM near GROUP BY tree_id, point_id) SELECT tree_id, point_id, CAST(slot AS INT) AS slot, other_id FROM near WHERE slot < 4 UNION ALL SELECT tree_id, point_id, CAST(s AS INT), f FROM k, range(4) r(s) WHERE s >= n", "pts"))
 def _(s, d):
     """Every point as a centre, against every point."""
     p = X.points(s, d)
@@ -491,7 +491,7 @@ def _(s, d):
     return rounded(qsm.sphere_assignment(p, sp, 1.0), "d")
 
 
-@query("sphere_assignment_all")
+@query("sphere_assignment_all", X.sql(f"SELECT b.tree_id, a.point_id AS sphere_id, b.point_id, {q(DIST)} AS d, {DIST} > 0.5 AS shell FROM pts a JOIN pts b ON a.tree_id = b.tree_id WHERE {DIST} <= 1.5", "pts"))
 def _(s, d):
     """Every point as a sphere, against every point."""
     p = X.points(s, d)
@@ -499,6 +499,17 @@ def _(s, d):
     return rounded(qsm.sphere_assignment(p, sp, 1.0), "d")
 
 
+RADII = "0.1 * power(3, a.point_id % 5)"
+
+
+@query("sphere_assignment_radii", X.sql(f"SELECT b.tree_id, a.point_id AS sphere_id, b.point_id, {q(DIST)} AS d, {DIST} > {RADII} - 0.2 AS shell FROM pts a JOIN pts b ON a.tree_id = b.tree_id WHERE {DIST} <= {RADII}", "pts"))
+def _(s, d):
+    """Spheres of 0.1 to 8.1: five levels of cells."""
+    p = X.points(s, d)
+    sp = p.select("tree_id", F.col("point_id").alias("sphere_id"), "x", "y", "z", F.expr("cast(0.1 as double) * power(3, point_id % 5)").alias("radius"))
+    return rounded(qsm.sphere_assignment(p, sp, 0.2), "d")
+
+
 @query("anti_join_segmented", X.sql("SELECT tree_id, point_id FROM pts WHERE NOT (l0 >= l1)", "pts"))
 def _(s, d):
     p = X.points(s, d)
@@ -773,12 +784,18 @@ def _(s, d):
     return cluster.seeded_growth(X.points(s, d), 1.2, 4)
 
 
-@query("dbscan_labels", X.sql("e AS (SELECT a.tree_id, a.point_id a, b.point_id b FROM pts a JOIN pts b ON a.tree_id = b.tree_id WHERE " + DIST + " <= 1.5), core AS (SELECT tree_id, a point_id FROM e GROUP BY tree_id, a HAVING count(*) >= 4), ce AS (SELECT e.* FROM e JOIN core x ON e.tree_id = x.tree_id AND e.a = x.point_id JOIN core y ON e.tree_id = y.tree_id AND e.b = y.point_id), t AS (SELECT tree_id, point_id, point_id reach FROM core UNION SELECT t.tree_id, t.point_id, ce.b FROM t JOIN ce ON ce.tree_id = t.tree_id AND ce.a = t.reach), lab AS (SELECT tree_id, point_id, min(reach) label FROM t GROUP BY tree_id, point_id), bord AS (SELECT e.tree_id, e.a point_id, min(label) label FROM e JOIN lab ON e.tree_id = lab.tree_id AND e.b = lab.point_id GROUP BY e.tree_id, e.a) SELECT p.tree_id, p.point_id, coalesce(lab.label, bord.label, -1) AS label FROM pts p LEFT JOIN lab ON p.tree_id = lab.tree_id AND p.point_id = lab.point_id LEFT JOIN bord ON p.tree_id = bord.tree_id AND p.point_id = bord.point_id", "pts", recursive=True))
+_DENSITY = "core AS (SELECT tree_id, a point_id FROM e GROUP BY tree_id, a HAVING count(*) >= 4), ce AS (SELECT e.* FROM e JOIN core x ON e.tree_id = x.tree_id AND e.a = x.point_id JOIN core y ON e.tree_id = y.tree_id AND e.b = y.point_id), t AS (SELECT tree_id, point_id, point_id reach FROM core UNION SELECT t.tree_id, t.point_id, ce.b FROM t JOIN ce ON ce.tree_id = t.tree_id AND ce.a = t.reach), lab AS (SELECT tree_id, point_id, min(reach) label FROM t GROUP BY tree_id, point_id), bord AS (SELECT e.tree_id, e.a point_id, min(label) label FROM e JOIN lab ON e.tree_id = lab.tree_id AND e.b = lab.point_id GROUP BY e.tree_id, e.a) SELECT p.tree_id, p.point_id, coalesce(lab.label, bord.label, -1) AS label FROM pts p LEFT JOIN lab ON p.tree_id = lab.tree_id AND p.point_id = lab.point_id LEFT JOIN bord ON p.tree_id = bord.tree_id AND p.point_id = bord.point_id"
+
+
+@query("dbscan_labels", X.sql("e AS (SELECT a.tree_id, a.point_id a, b.point_id b FROM pts a JOIN pts b ON a.tree_id = b.tree_id WHERE " + DIST + " <= 1.5)," + _DENSITY, "pts", recursive=True))
 def _(s, d):
     return cluster.dbscan(X.points(s, d), 1.5, 4)
 
 
-@query("cluster_directions")
+_TURNS = "u AS (SELECT p.tree_id, point_id, (x-mx)/r ux, (y-my)/r uy, (z-mz)/r uz FROM (SELECT p.*, mx, my, mz, sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz)) r FROM pts p JOIN (SELECT tree_id, avg(x) mx, avg(y) my, avg(z) mz FROM pts GROUP BY tree_id) m ON p.tree_id = m.tree_id) p), e AS (SELECT a.tree_id, a.point_id a, b.point_id b FROM u a JOIN u b ON a.tree_id = b.tree_id WHERE acos(least(1, greatest(-1, a.ux*b.ux+a.uy*b.uy+a.uz*b.uz))) <= 0.35), "
+
+
+@query("cluster_directions", X.sql(_TURNS + _DENSITY, "pts", recursive=True))
 def _(s, d):
     return cluster.cluster_directions(X.points(s, d), 0.35, 4)
 
@@ -788,7 +805,27 @@ def _(s, d):
     return cluster.agglomerate(X.points(s, d), 1.2, "single", 2)
 
 
-@query("agglomerate")
+def _linkage_sql(threshold: float, how: str, rounds: int = 14) -> str:
+    """c<rounds>: clusters by the mean or the largest distance. Each round joins the clusters that are each other's nearest: for linkages that only grow so, the result is that of joining one pair at a time."""
+    out = [f"dd AS MATERIALIZED (SELECT a.tree_id, a.point_id p, b.point_id q, {DIST} d FROM pts a JOIN pts b ON a.tree_id = b.tree_id AND a.point_id <> b.point_id)", "c0 AS (SELECT tree_id, point_id, point_id k FROM pts)"]
+    for i in range(rounds):
+        out += [
+            f"m{i} AS MATERIALIZED (SELECT dd.tree_id, a.k p, b.k q, {how}(d) d FROM dd JOIN c{i} a ON a.tree_id = dd.tree_id AND a.point_id = p JOIN c{i} b ON b.tree_id = dd.tree_id AND b.point_id = q WHERE a.k <> b.k GROUP BY dd.tree_id, a.k, b.k)",
+            f"n{i} AS MATERIALIZED (SELECT tree_id, p, min_by(q, d) q, min(d) d FROM m{i} GROUP BY tree_id, p)",
+            f"c{i + 1} AS MATERIALIZED (SELECT c.tree_id, c.point_id, CASE WHEN x.p IS NOT NULL THEN least(c.k, x.q) ELSE c.k END k FROM c{i} c LEFT JOIN (SELECT a.* FROM n{i} a JOIN n{i} b ON a.tree_id = b.tree_id AND a.p = b.q AND a.q = b.p WHERE a.d <= {threshold}) x ON x.tree_id = c.tree_id AND x.p = c.k)",
+        ]
+    return ",\n".join(out)
+
+
+_LINKED = "s AS (SELECT tree_id, k, count(*) n FROM c14 GROUP BY tree_id, k) SELECT c.tree_id, point_id, CASE WHEN n >= 2 THEN c.k ELSE -1 END AS label FROM c14 c JOIN s ON s.tree_id = c.tree_id AND s.k = c.k"
+
+
+@query("agglomerate_complete", X.sql(f"{_linkage_sql(2.0, 'max')}, {_LINKED}", "pts"))
+def _(s, d):
+    return cluster.agglomerate(X.points(s, d), 2.0, "complete", 2)
+
+
+@query("agglomerate", X.sql(f"{_linkage_sql(2.0, 'avg')}, {_LINKED}", "pts"))
 def _(s, d):
     return cluster.agglomerate(X.points(s, d), 2.0, "average", 2)
 
@@ -922,4 +959,40 @@ def _(s, d):
     return qsm.fit_qsm(up.withColumn("point_id", F.xxhash64("x", "y", "z")))
 
 
+# -- merging of branches
+
+_COS = "((a.x-b.x)*b.dx + (a.y-b.y)*b.dy + (a.z-b.z)*b.dz) / greatest({d} * sqrt(b.dx*b.dx+b.dy*b.dy+b.dz*b.dz), 1e-12)".format(d=DIST)
+
+
+def _branches_sql(max_dist: float, max_angle: float, rounds: int = 6) -> str:
+    """u: the joints of the minimum spanning forest, those whose rank is the least that the greatest rank on a way between their clusters can be (ways are doubled in rounds); l: the clusters' names."""
+    out = [
+        "s AS (SELECT *, point_id % 23 AS cluster, point_id % 7 <> 0 AS tied FROM pts)",
+        f"c AS (SELECT a.tree_id, a.cluster ca, b.cluster cb, {DIST} far, {_COS} cos, a.point_id a, b.point_id b FROM s a JOIN s b ON a.tree_id = b.tree_id AND a.cluster <> b.cluster AND (a.tied OR b.tied) WHERE {DIST} < {max_dist})",
+        f"j AS (SELECT *, CASE WHEN cos >= cos(radians({max_angle})) THEN 0 WHEN far < {max_dist / 2} THEN 1 END loose FROM c)",
+        "k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY loose, far, a, b) r FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, least(ca, cb), greatest(ca, cb) ORDER BY loose, far, a, b) n FROM j WHERE loose IS NOT NULL) WHERE n = 1)",
+        "w0 AS MATERIALIZED (SELECT tree_id, ca p, cb q, r FROM k UNION ALL SELECT tree_id, cb, ca, r FROM k)",
+    ]
+    for i in range(rounds):
+        out.append(f"w{i + 1} AS MATERIALIZED (SELECT tree_id, p, q, min(r) r FROM (SELECT tree_id, p, q, r FROM w{i} UNION ALL SELECT x.tree_id, x.p, y.q, greatest(x.r, y.r) FROM w{i} x JOIN w{i} y ON x.tree_id = y.tree_id AND x.q = y.p WHERE x.p <> y.q) GROUP BY tree_id, p, q)")
+    out.append(f"u AS (SELECT k.* FROM k JOIN w{rounds} w ON w.tree_id = k.tree_id AND w.p = k.ca AND w.q = k.cb WHERE w.r = k.r)")
+    out.append(f"z AS (SELECT tree_id, cluster, count(*) n FROM s GROUP BY tree_id, cluster), m AS (SELECT tree_id, cluster p, cluster q FROM z UNION ALL SELECT tree_id, p, q FROM w{rounds})")
+    out.append("l AS (SELECT tree_id, cluster, merged FROM (SELECT m.tree_id, m.p cluster, m.q merged, row_number() OVER (PARTITION BY m.tree_id, m.p ORDER BY m.q <> 0, z.n DESC, m.q) rk FROM m JOIN z ON z.tree_id = m.tree_id AND z.cluster = m.q) WHERE rk = 1)")
+    return ",\n".join(out)
+
+
+def _branch_spheres(s, d):
+    return X.points(s, d).select("tree_id", F.col("point_id").alias("sphere_id"), (F.col("point_id") % 23).alias("cluster"), "x", "y", "z", F.lit(0.05).alias("spread"), *(F.col(f"d{c}").alias(f"h{c}") for c in "xyz"), (F.col("point_id") % 7 != 0).alias("tied"))
+
+
+@query("merge_branches", X.sql(f"{_branches_sql(1.5, 50)} SELECT tree_id, cluster, merged FROM l", "pts"))
+def _(s, d):
+    return branches.merge_branches(_branch_spheres(s, d), 1.5, 50)[0]
+
+
+@query("branch_joints", X.sql(f"{_branches_sql(1.5, 50)} SELECT tree_id, ca AS cluster_a, cb AS cluster_b, loose, {q('far')} AS far, a, b FROM u", "pts"))
+def _(s, d):
+    return rounded(branches.merge_branches(_branch_spheres(s, d), 1.5, 50)[1], "far")
+
+
 from . import learned  # noqa: E402, F401  (registers its queries)

@@ -95,10 +95,16 @@ def test_morton_and_hilbert_round_trip(spark):
     x, y, z = G.morton_decode(F.col("m"))
     bad = df.withColumn("m", G.morton(*G.cols("x", "y", "z"))).filter((x != F.col("x")) | (y != F.col("y")) | (z != F.col("z")))
     assert bad.isEmpty()
-    code = grid._hilbert(np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3), 3)
-    assert sorted(code.tolist()) == list(range(512))
-    back = grid._hilbert_inverse(np.arange(512, dtype=np.uint64), 3, 3).astype(int)
-    assert (np.abs(np.diff(back, axis=0)).sum(axis=1) == 1).all()  # neighbours along the curve touch
+    cells = spark.range(512).select(F.col("id"), grid.hilbert_decode(F.col("id"), 3).alias("c")).select("id", "c.*").withColumn("code", grid.hilbert(*G.cols("x", "y", "z"), 3)).orderBy("id").collect()
+    assert [r.code for r in cells] == list(range(512)) and len({(r.x, r.y, r.z) for r in cells}) == 512
+    assert (np.abs(np.diff([(r.x, r.y, r.z) for r in cells], axis=0)).sum(axis=1) == 1).all()  # neighbours along the curve touch
+
+
+@pytest.mark.parametrize("bits", [1, 2, 5, 16, 20])
+def test_hilbert_walk_is_the_transform(spark, bits):
+    df = spark.range(200).select(*((F.abs(F.xxhash64("id", F.lit(i))) % (1 << bits)).alias(c) for i, c in enumerate("xyz"))).withColumn("code", grid.hilbert(*G.cols("x", "y", "z"), bits))
+    for r in df.withColumn("back", grid.hilbert_decode(F.col("code"), bits)).collect():
+        assert r.code == grid._hilbert(r.x, r.y, r.z, bits) and tuple(r.back) == (r.x, r.y, r.z)
 
 
 def test_empty_single_and_duplicate_points(spark):
