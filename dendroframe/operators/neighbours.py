@@ -7,15 +7,19 @@ points that are left. Ties are broken by the lower id.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import angle_between, cylinder_axis, cylinder_terms, distance, num
+from ..functions.geometry import angle_between, cylinder_axis, cylinder_terms, distance, dot, norm, num
 from ..sources.scratch import cut
 
 XYZ = ("x", "y", "z")
-#: Points, or cylinders, of a tree up to which every point meets all of them at once: a bound on the pairs of a point.
-FEW_POINTS, FEW_CYLINDERS = 1024, 4096
+#: Points of a tree up to which every point meets all of them at once: a bound on the pairs of a point.
+FEW_POINTS = 1024
+#: Coarse and fine cells along a tree's extent, for cylinders.
+LEVELS = (4, 32)
 #: Doublings after which the points that are left (far from everything) meet their whole tree.
 ROUNDS = 16
 
@@ -148,39 +152,56 @@ def _cylinder_cells(cylinders: DataFrame) -> DataFrame:
     return e.select("tree_id", "_n", F.greatest(F.col("_wide") / F.cbrt(F.col("_n").cast("double")), F.col("_wide") * 1e-4).alias("_cell"))
 
 
+def _to_solid(p: list[Column], radius: Column) -> Column:
+    """Distance of a place to the solid capped cylinder beside it (0 inside): not above that to its surface by any rule, and it changes by no more than the place moves."""
+    v = [c - F.col(f"s{k}") for c, k in zip(p, XYZ)]
+    t = dot(v, [F.col(f"_u{k}") for k in XYZ])
+    h = t - F.greatest(num(0), F.least(t, F.col("_length")))
+    over = F.greatest(norm([c - t * F.col(f"_u{k}") for c, k in zip(v, XYZ)]) - radius, num(0))
+    return F.sqrt(h * h + over * over)
+
+
+def _cylinders_of_cells(cells: DataFrame, held: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+    """The cylinders (of held, joined on `on`) that may be nearest to some point of each cell (keys, _half: half its diagonal, _cx, _cy, _cz: its centre).
+
+    A point is at most _half from its cell's centre, and at most a radius farther from a surface than from the solid. So one
+    cylinder bounds every point's least distance, and those whose solid is beyond that bound from all of the cell are out.
+    """
+    met = cells.join(held, on).withColumn("_l", _to_solid([F.col(f"_c{k}") for k in XYZ], F.col("radius")))
+    bound = met.groupBy(*keys).agg((F.min(F.col("_l") + F.col("radius")) + 2 * F.first("_half")).alias("_bound"))
+    return met.join(bound, keys).filter(F.col("_l") <= F.col("_bound") * (1 + 1e-9)).select(*keys, "id", *_AXIS)
+
+
+def met_cylinders(points: DataFrame, cylinders: DataFrame) -> DataFrame:
+    """Points with each cylinder of their tree that may be their nearest (tree_id, point_id, x, y, z, id and the cylinder's axis).
+
+    Points lie in cells of two widths (LEVELS along a tree's extent): a coarse cell keeps the cylinders that may be nearest to
+    one of its points, a fine cell those of its coarse one, and points meet what their fine cell kept. What is looked at grows
+    with cells, not points.
+    """
+    p, c = points.select("tree_id", "point_id", *XYZ), _with_axis(cylinders).select("tree_id", "id", *_AXIS)
+    stat = _extents(p, {k: (k,) for k in XYZ}).select("tree_id", "_wide")
+    g = [[f"g{i}{k}" for k in XYZ] for i in range(len(LEVELS))]
+    at = p.join(stat, "tree_id").withColumns({name: F.floor(F.col(k) * n / F.col("_wide")).cast("long") for names, n in zip(g, LEVELS) for name, k in zip(names, XYZ)})
+    cells = cut(at.groupBy("tree_id", *g[0], *g[1]).agg(F.first("_wide").alias("_wide")))
+    held = c
+    for i, n in enumerate(LEVELS):
+        keys, on = ["tree_id", *(x for names in g[: i + 1] for x in names)], ["tree_id", *(x for names in g[:i] for x in names)]
+        wide = F.col("_wide") / n
+        own = cells.groupBy(*keys).agg(F.first("_wide").alias("_wide")).select(*keys, (wide * math.sqrt(3) / 2).alias("_half"), *(((F.col(name) + 0.5) * wide).alias(f"_c{k}") for name, k in zip(g[i], XYZ)))
+        held = cut(_cylinders_of_cells(own, held, keys, on))
+    return at.drop("_wide").join(held, ["tree_id", *g[0], *g[1]]).select("tree_id", "point_id", *XYZ, "id", *_AXIS)
+
+
 def nearest_cylinder(points: DataFrame, cylinders: DataFrame, perp_tol: float = 1e-3) -> DataFrame:
     """For every point its tree's nearest cylinder surface: cylinder_id, distance, and the offset ox, oy, oz to the mantle. Ties: lower id.
 
-    Points of trees with few cylinders meet all of them; the minimum is kept per point by partial aggregation, so pairs do
-    not reach the shuffle. In larger trees points meet the cylinders whose surface may pass within one cell's width of
-    theirs, for which cylinders are copied to cells; a minimum within that width is final. Points of trees without cylinders
-    are left out.
+    No point meets its whole tree (met_cylinders); the minimum is kept per point by partial aggregation. Points of trees
+    without cylinders are left out.
     """
     t = _terms(perp_tol)
     best = F.min(F.struct(t["distance"].alias("distance"), F.col("id").alias("cylinder_id"), *(t[k].alias(k) for k in ("ox", "oy", "oz")))).alias("m")
-    p, c = points.select("tree_id", "point_id", *XYZ), _with_axis(cylinders).select("tree_id", "id", *_AXIS)
-    stat = cut(_cylinder_cells(cylinders))
-    crowded = stat.filter(F.col("_n") > FEW_CYLINDERS)
-    out = None
-    if crowded.isEmpty():
-        out = p.join(c, "tree_id").groupBy("tree_id", "point_id").agg(best)
-    else:
-        few = c.join(stat.filter(F.col("_n") <= FEW_CYLINDERS).select("tree_id"), "tree_id", "left_semi")
-        out = p.join(few, "tree_id").groupBy("tree_id", "point_id").agg(best)
-        rest = p.join(crowded.select("tree_id"), "tree_id", "left_semi")
-        for i in range(ROUNDS + 1):
-            size = crowded.select("tree_id", (F.col("_cell") * 2**i).alias("_cell"))
-            if i < ROUNDS:
-                cell = F.col("_cell")
-                held = _cells(rest.join(size, "tree_id"), cell, "g", False)
-                met = held.join(_covered(c.join(size, "tree_id"), cell, cell), ["tree_id", "gx", "gy", "gz"])
-                found = cut(met.groupBy("tree_id", "point_id").agg(best, F.first("_cell").alias("_cell")).filter("m.distance <= _cell").drop("_cell"))
-            else:
-                found = cut(rest.join(c, "tree_id").groupBy("tree_id", "point_id").agg(best))
-            out = out.unionByName(found)
-            rest = cut(rest.join(found.select("tree_id", "point_id"), ["tree_id", "point_id"], "left_anti"))
-            if i == ROUNDS or rest.isEmpty():
-                break
+    out = met_cylinders(points, cylinders).groupBy("tree_id", "point_id").agg(best)
     return out.select("tree_id", "point_id", "m.cylinder_id", "m.distance", "m.ox", "m.oy", "m.oz")
 
 

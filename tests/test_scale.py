@@ -92,7 +92,7 @@ def test_knn_on_a_surface_settles_in_rounds(spark, monkeypatch):
     assert len(pairs) > 2 and sum(pairs) < 150 * len(v)  # far below the 3,000 pairs a point of the plain form
 
 
-def test_nearest_cylinder_in_cells(spark, monkeypatch):
+def test_nearest_cylinder_in_cells(spark):
     rng = np.random.default_rng(2)
     p, v = surface(spark, 1200)
     s = np.c_[np.sin(np.linspace(0, 20, 400)), rng.normal(0, 0.1, 400), np.linspace(0, 20, 400)]
@@ -102,19 +102,30 @@ def test_nearest_cylinder_in_cells(spark, monkeypatch):
     radius[3] = 2.5
     c = spark.createDataFrame([("a", i, *map(float, (*a, *b, r))) for i, (a, b, r) in enumerate(zip(s, e, radius))] + [("b", 1, *[0.0] * 5, 1.0, 0.5)], C)
     both = p.union(spark.createDataFrame([("b", 0, 1.0, 1.0, 1.0), ("c", 0, 0.0, 0.0, 0.0)], P))
-    plain = {(r.tree_id, r.point_id): tuple(r)[2:] for r in neighbours.nearest_cylinder(both, c).collect()}
-    monkeypatch.setattr(neighbours, "FEW_CYLINDERS", 50)
+    t = neighbours._terms(1e-3)
+    best = F.min(F.struct(t["distance"].alias("distance"), F.col("id").alias("cylinder_id"), *(t[k].alias(k) for k in ("ox", "oy", "oz")))).alias("m")
+    every = both.join(neighbours._with_axis(c), "tree_id").groupBy("tree_id", "point_id").agg(best).select("tree_id", "point_id", "m.cylinder_id", "m.distance", "m.ox", "m.oy", "m.oz")
+    plain = {(r.tree_id, r.point_id): tuple(r)[2:] for r in every.collect()}
     cells = {(r.tree_id, r.point_id): tuple(r)[2:] for r in neighbours.nearest_cylinder(both, c).collect()}
     assert plain.keys() == cells.keys() and len(plain) == 1201
     for k, x in plain.items():
         assert cells[k][0] == x[0] and cells[k][1:] == pytest.approx(x[1:], abs=1e-9), k
-    monkeypatch.setattr(neighbours, "ROUNDS", 1)  # what is left meets its whole tree
-    again = {(r.tree_id, r.point_id): r.cylinder_id for r in neighbours.nearest_cylinder(both, c).collect()}
-    assert again == {k: x[0] for k, x in plain.items()}
     near = {(r.tree_id, r.point_id) for r in neighbours.near_cylinders(both, c, 0.1).collect()}
     assert near == {k for k, x in plain.items() if x[1] < 0.1}
 
 
+def test_points_meet_few_cylinders(spark):
+    """Of 2,000 cylinders along a tree's branches, a point on them meets a few hundredths."""
+    rng = np.random.default_rng(9)
+    start = rng.uniform(-4, 4, (2000, 3))
+    end = start + rng.normal(0, 0.08, (2000, 3))
+    at = rng.integers(0, 2000, 4000)
+    x = start[at] + rng.uniform(0, 1, (4000, 1)) * (end - start)[at] + rng.normal(0, 0.03, (4000, 3))
+    c = spark.createDataFrame([("a", i, *map(float, (*s, *e, 0.03))) for i, (s, e) in enumerate(zip(start, end))], C)
+    p = spark.createDataFrame([("a", i, *map(float, v)) for i, v in enumerate(x)], P)
+    assert neighbours.met_cylinders(p, c).count() < 4000 * 2000 * 0.03
+
+
 # -- grids
 
 
