@@ -580,6 +580,13 @@ def _(s, d):
     return rounded(stats.model_base(X.cylinders(s, d)), "bx", "by", "bz")
 
 
+@query("stem_base_branches", X.sql(f"o AS (SELECT *, id % 3 AS b FROM cyl), r AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY CASE WHEN b = 0 THEN 0 ELSE 1 END, sz, id) k FROM o WHERE NOT (tree_id < 5 AND b = 0)) SELECT tree_id, {q('sx')} AS bx, {q('sy')} AS \"by\", {q('sz')} AS bz FROM r WHERE k = 1", "cyl"))
+def _(s, d):
+    """Among branch order 0 where a tree has one; half of the trees have none."""
+    c = X.cylinders(s, d).withColumn("branch_order", F.col("id") % 3).filter("not (tree_id < 5 and branch_order = 0)")
+    return rounded(stats.model_base(c, "branch_order"), "bx", "by", "bz")
+
+
 @query("qsm_align", X.sql(f"r AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY sz, id) k FROM cyl), b AS (SELECT tree_id, min_by(x, z) bx, min_by(y, z) bky, min(z) bz FROM pts GROUP BY tree_id), t AS (SELECT r.tree_id, r.sx-bx tx, r.sy-bky ty, r.sz-bz tz FROM r JOIN b ON r.tree_id = b.tree_id WHERE k = 1) SELECT c.tree_id, id, {q('sx-tx')} AS sx, {q('sy-ty')} AS sy, {q('ez-tz')} AS ez FROM cyl c JOIN t ON c.tree_id = t.tree_id", "pts", "cyl"))
 def _(s, d):
     low = X.points(s, d).groupBy("tree_id").agg(F.min(F.struct("z", "x", "y")).alias("m")).select("tree_id", F.col("m.x").alias("bx"), F.col("m.y").alias("by"), F.col("m.z").alias("bz"))
@@ -601,9 +608,11 @@ def _(s, d):
     return rounded(stats.binned(both, "offset_norm", "distance", EDGES), "mean", "std")
 
 
-@query("log_bins", "SELECT round(m * pow(10, o), 9) AS edge FROM (VALUES (1),(2),(5)) a(m), range(-3, 2) b(o) WHERE m * pow(10, o) > 0.003 AND m * pow(10, o) < 3.0 UNION SELECT 0.003 UNION SELECT 3.0")
+@query("log_bins", X.sql(f"b AS (SELECT min({NORM}) lo, max({NORM}) hi FROM pts) SELECT round(e, 9) AS edge FROM (SELECT m * pow(10, o) e FROM (VALUES (1),(2),(5)) a(m), range(-8, 8) r(o), b WHERE m * pow(10, o) > lo AND m * pow(10, o) < hi UNION SELECT lo FROM b UNION SELECT hi FROM b)", "pts"))
 def _(s, d):
-    return stats.log_bins(s, 0.003, 3.0).select(F.round("edge", 9).alias("edge"))
+    """Edges over the span of the table's offsets."""
+    low, high = X.points(s, d).select(F.sqrt(sum(F.col(f"d{k}") * F.col(f"d{k}") for k in "xyz")).alias("v")).agg(F.min("v"), F.max("v")).first()
+    return stats.log_bins(s, low, high).select(F.round("edge", 9).alias("edge"))
 
 
 @query("power_law_fit", X.sql(f"""v AS (SELECT ln(greatest(p_size, 1e-8)) lx, ln(greatest(CAST(p_retailprice AS DOUBLE), 1e-8)) ly FROM part), s AS (SELECT count(*) n, regr_slope(ly, lx) b, regr_intercept(ly, lx) la, regr_sxx(ly, lx) sxx, regr_syy(ly, lx) syy, avg(lx) mx FROM v),
@@ -932,9 +941,19 @@ def _(s, d):
     return sampling.noisy_cloud(X.cylinders(s, d))
 
 
-@query("ideal_cylinder")
+def _surface_sql(n: int, sigma: float) -> str:
+    part = lambda a, b: f"(((k + 1) * CAST({a} AS DOUBLE) + id * CAST({b} AS DOUBLE)) % 1)"
+    turn, up, size, way = (part(*w) for w in sampling.WEYL)
+    return f"""u AS (SELECT *, {LEN} len, (ex-sx)/{LEN} ux, (ey-sy)/{LEN} uy, (ez-sz)/{LEN} uz FROM cyl, range({n}) r(k)),
+g AS (SELECT *, 2 * pi() * {turn} a, len * {up} t, {sigma} * sqrt(-2 * ln(1 - {size})) * cos(2 * pi() * {way}) g FROM u),
+o AS (SELECT *, cos(a) * (1 - ux*ux/(1+uz)) - sin(a) * ux*uy/(1+uz) ox, sin(a) * (1 - uy*uy/(1+uz)) - cos(a) * ux*uy/(1+uz) oy, -cos(a) * ux - sin(a) * uy oz FROM g)
+SELECT tree_id, id AS cylinder_id, k, {", ".join(f"{q(f's{c} + t * u{c} + (radius + g) * o{c}')} AS {c}, {q(f'-g * o{c}')} AS d{c}" for c in "xyz")} FROM o"""
+
+
+@query("ideal_cylinder", X.sql(_surface_sql(10, 0.02), "cyl"))
 def _(s, d):
-    return sampling.ideal_cylinder(s)
+    """Points around every cylinder of the table, with exact offsets."""
+    return rounded(sampling.surface_points(X.cylinders(s, d), 10, 0.02), "x", "y", "z", "dx", "dy", "dz")
 
 
 @query("unique_counts", X.sql("g AS (SELECT tree_id, CAST(floor(x) AS BIGINT) v, count(*) n FROM ev GROUP BY 1, 2) SELECT tree_id, v, n, dense_rank() OVER (PARTITION BY tree_id ORDER BY v) - 1 AS code FROM g", "ev"))

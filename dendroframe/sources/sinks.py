@@ -1,12 +1,14 @@
 """Sinks. Tables go to Parquet by tree. File formats of other tools are made by the tasks that hold a tree's rows, and written by them
-where the folder is a file system that all executors share; to other stores the driver writes them, one partition at a time."""
+wherever tasks can open the store (shared folders, object stores); to other ones the driver writes them, one partition at a time."""
 
 from __future__ import annotations
 
-import os
+import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,22 +47,32 @@ def cloud_files(df: DataFrame, columns: list[str], kind: str = "npy") -> DataFra
     return df.select("tree_id", "point_id", *columns).groupBy("tree_id").applyInPandas(run, schema)
 
 
+def _store(directory: str) -> pa.fs.FileSystem | None:
+    """The file system of a folder's URI, if tasks can open it by themselves (file, and the object stores and HDFS that this Arrow build knows)."""
+    try:
+        return pa.fs.FileSystem.from_uri(directory)[0]
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
 def write_files(files: DataFrame, directory: str) -> int:
-    """Writes rows (name, content) as files; returns their number. To file: folders (one that all executors share) the tasks write, each under a passing name first, so that a repeated task leaves whole files; to other file systems the driver, through Hadoop."""
+    """Writes rows (name, content) as files; returns their number. Tasks write them, each under a passing name first, so that a repeated task leaves whole files; only to stores that tasks cannot open (_store) the driver does, through Hadoop, row by row."""
     spark = files.sparkSession
     if "://" not in directory and not directory.startswith("file:"):
         directory = f"file:{directory}"
     if directory.startswith("file:"):
-        folder = "/" + directory.removeprefix("file:").lstrip("/")
+        directory = "file:///" + directory.removeprefix("file:").lstrip("/")
+    if _store(directory) is not None:
 
         def write(batches):
-            os.makedirs(folder, exist_ok=True)
+            store, folder = pa.fs.FileSystem.from_uri(directory)
+            store.create_dir(folder, recursive=True)
             for pdf in batches:
                 for name, content in zip(pdf.name, pdf.content):
-                    passing = f"{folder}/.{name}.{os.getpid()}"
-                    with open(passing, "wb") as f:
+                    passing = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                    with store.open_output_stream(passing) as f:
                         f.write(content)
-                    os.replace(passing, f"{folder}/{name}")
+                    store.move(passing, f"{folder}/{name}")
                 yield pd.DataFrame({"n": [len(pdf)]})
 
         return files.select("name", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
