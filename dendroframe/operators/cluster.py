@@ -184,8 +184,8 @@ def _same_way(a: tuple[str, ...], b: tuple[str, ...], eps: float) -> Column:
     return F.acos(F.least(num(1), F.greatest(num(-1), dot([F.col(c) for c in a], [F.col(c) for c in b])))) <= eps
 
 
-def cluster_directions(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """Density clustering by the angle (eps, radians, at most pi / 2) between directions from each tree's centroid: tree_id, point_id, label (the least id of the cluster's core points; border points: the lowest label in reach; -1: noise, and points at the centroid).
+def cluster_directions(points: DataFrame, eps: float, min_samples: int, centres: DataFrame | None = None) -> DataFrame:
+    """Density clustering by the angle (eps, radians, at most pi / 2) between directions from each tree's centre (centres: tree_id, x, y, z; by default the centroids): tree_id, point_id, label (the least id of the cluster's core points; border points: the lowest label in reach; -1: noise, and points at the centre).
 
     Unit vectors lie in cells whose points are all in reach of each other; a tree has as many cells as the angle allows,
     however many points it has. All points of a cell with min_samples points are core; only the others, few per cell, are
@@ -195,7 +195,9 @@ def cluster_directions(points: DataFrame, eps: float, min_samples: int) -> DataF
     if not 0 < eps <= math.pi / 2:
         raise ValueError("eps is an angle of at most a quarter turn")
     chord = 2 * math.sin(eps / 2)
-    mean = points.groupBy("tree_id").agg(*(F.avg(c).alias(f"_m{c}") for c in "xyz"))
+    if centres is None:
+        centres = points.groupBy("tree_id").agg(*(F.avg(c).alias(c) for c in "xyz"))
+    mean = centres.select("tree_id", *(F.col(c).alias(f"_m{c}") for c in "xyz"))
     v = points.select("tree_id", "point_id", "x", "y", "z").join(mean, "tree_id").select("tree_id", "point_id", *((F.col(c) - F.col(f"_m{c}")).alias(u) for c, u in zip("xyz", _U)))
     v = v.withColumn("_r", norm([F.col(c) for c in _U])).filter("_r > 0").withColumns({c: F.col(c) / F.nullif(F.col("_r"), num(0)) for c in _U}).drop("_r")
     v = v.withColumns({g: F.floor(F.col(c) / num(chord / math.sqrt(3) * 0.999)).cast("long") for g, c in zip(_CELL, _U)})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import branches, cluster, evaluation, grid, hierarchy, neighbours, points, qsm, sampling, stats
+from ..operators import branches, cluster, evaluation, grid, growth, hierarchy, neighbours, points, qsm, sampling, stats
 from ..sources import readers, sinks
 from . import fixtures as X
 
@@ -1014,4 +1014,69 @@ def _(s, d):
     return rounded(branches.merge_branches(_branch_spheres(s, d), 1.5, 50)[1], "far")
 
 
+# -- steps of growth
+
+
+def _ring_sql(source: str, by: str, name: str) -> str:
+    """name: by, n, x, y, z, r of the ring of each group of source."""
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in by.split(", "))
+    pick = lambda a, b, c: f"CASE WHEN na >= nb AND na >= nc THEN {a}/na WHEN nb >= nc THEN {b}/nb ELSE {c}/nc END"
+    order = "ORDER BY (point_id*7919 + fit*104729) % 10007, point_id"
+    return f"""{name}c AS (SELECT {", ".join(f"p.{k}" for k in by.split(", "))}, avg(p.x) mx_, avg(p.y) my_, avg(p.z) mz_, {COVARIANCES} FROM {source} p GROUP BY {", ".join(f"p.{k}" for k in by.split(", "))}), {_eigen_sql(f"{name}c", f"{name}e")},
+{name}n AS (SELECT {by}, mx_, my_, mz_, {pick("ax", "bx", "cx_")} nx, {pick("ay", "by_", "cy_")} ny, {pick("az", "bz", "cz_")} nz FROM {name}e WHERE greatest(na, nb, nc) > 0),
+{name}a AS (SELECT *, CASE WHEN abs(nx) <= 0.9 THEN 0 ELSE -nz / sqrt(nx*nx+nz*nz) END ex, CASE WHEN abs(nx) <= 0.9 THEN nz / sqrt(ny*ny+nz*nz) ELSE 0 END ey, CASE WHEN abs(nx) <= 0.9 THEN -ny / sqrt(ny*ny+nz*nz) ELSE nx / sqrt(nx*nx+nz*nz) END ez FROM {name}n),
+{name}f AS (SELECT *, ny*ez-nz*ey fx, nz*ex-nx*ez fy, nx*ey-ny*ex fz FROM {name}a),
+{name}u AS MATERIALIZED (SELECT {", ".join(f"s.{k}" for k in by.split(", "))}, s.point_id, (s.x-mx_)*ex+(s.y-my_)*ey+(s.z-mz_)*ez x, (s.x-mx_)*fx+(s.y-my_)*fy+(s.z-mz_)*fz y FROM {source} s JOIN {name}f f ON {on("s", "f")}),
+{name}k AS (SELECT *, row_number() OVER (PARTITION BY {by}, fit {order}) k, count(*) OVER (PARTITION BY {by}, fit) m FROM {name}u, range(10) r(fit)), {name}t AS (SELECT {by}, fit, x, y FROM {name}k WHERE k <= floor(m*0.8)),
+{_circle_sql(f"{name}t", f"{by}, fit", f"{name}p")}, {_circle_sql(f"{name}u", by, f"{name}w")},
+{name}q AS (SELECT {by}, avg(cx) sx, avg(cy) sy, avg(r) sr FROM {name}p GROUP BY {by}), {name}z AS (SELECT {", ".join(f"w.{k}" for k in by.split(", "))}, w.n, coalesce(sx, w.cx) u, coalesce(sy, w.cy) v, coalesce(sr, w.r) r FROM {name}w w LEFT JOIN {name}q q ON {on("w", "q")}),
+{name} AS (SELECT {", ".join(f"z.{k}" for k in by.split(", "))}, n, mx_+u*ex+v*fx x, my_+u*ey+v*fy y, mz_+u*ez+v*fz z, r FROM {name}z z JOIN {name}f f ON {on("z", "f")} WHERE r IS NOT NULL)"""
+
+
+def _ranked_fit():
+    return F.expr("(point_id * 7919 + fit * 104729) % 10007")
+
+
+@query("seed_spheres", X.sql(f"lo AS (SELECT tree_id, min(z) low FROM ev GROUP BY tree_id), sl AS (SELECT e.tree_id, point_id, x, y, z FROM ev e JOIN lo ON lo.tree_id = e.tree_id WHERE z <= low + 3.0), {_ring_sql('sl', 'tree_id', 'rg')} SELECT rg.tree_id, {q('x', 4)} AS x, {q('y', 4)} AS y, {q('low')} AS z, {q('2*r', 4)} AS radius, {q('r', 4)} AS spread FROM rg JOIN lo ON lo.tree_id = rg.tree_id WHERE n >= 10", "ev"))
+def _(s, d):
+    return rounded(rounded(growth.seed_spheres(X.event_points(s, d), 3.0, 10, _ranked_fit), "x", "y", "radius", "spread", digits=4), "z")
+
+
+_SPHERE = "CAST(3 AS DOUBLE)"
+_SHELL = (
+    X.SQL["pts"].replace("pts AS", "all_pts AS", 1)
+    + f", pts AS (SELECT a.tree_id * 1000000 + a.point_id AS tree_id, b.point_id, b.x, b.y, b.z, a.x ox, a.y oy, a.z oz FROM all_pts a JOIN all_pts b ON a.tree_id = b.tree_id WHERE {DIST} <= 3 AND {DIST} > 1)"
+    + ", u AS (SELECT tree_id, point_id, (x-ox)/r ux, (y-oy)/r uy, (z-oz)/r uz FROM (SELECT *, sqrt((x-ox)*(x-ox)+(y-oy)*(y-oy)+(z-oz)*(z-oz)) r FROM pts)), e AS (SELECT a.tree_id, a.point_id a, b.point_id b FROM u a JOIN u b ON a.tree_id = b.tree_id WHERE acos(least(1, greatest(-1, a.ux*b.ux+a.uy*b.uy+a.uz*b.uz))) <= radians(40)), "
+    + f"lb AS ({_DENSITY.replace('core AS', 'WITH RECURSIVE core AS', 1)}), sh AS (SELECT p.tree_id, lb.label, p.point_id, p.x, p.y, p.z FROM pts p JOIN lb ON lb.tree_id = p.tree_id AND lb.point_id = p.point_id WHERE lb.label >= 0), "
+    + _ring_sql("sh", "tree_id, label", "rg")
+    + f", cn AS (SELECT o.tree_id, o.point_id AS sphere_id, rg.label, rg.n, rg.x, rg.y, rg.z, rg.r AS spread, abs(o.f0) + 0.05 AS own, o.x ox, o.y oy, o.z oz FROM rg JOIN all_pts o ON o.tree_id * 1000000 + o.point_id = rg.tree_id WHERE sqrt((rg.x-o.x)*(rg.x-o.x)+(rg.y-o.y)*(rg.y-o.y)+(rg.z-o.z)*(rg.z-o.z)) <= 4.5)"
+)
+
+
+def _spheres(s, d):
+    return X.points(s, d).select("tree_id", F.col("point_id").alias("sphere_id"), "x", "y", "z", F.lit(3.0).alias("radius"), (F.abs("f0") + 0.05).alias("spread"), (F.abs("f0") + 0.05).alias("score"))
+
+
+def _grown(s, d):
+    return growth.candidates(X.points(s, d), _spheres(s, d), 40.0, 4, 2.0, _ranked_fit)
+
+
+@query("growth_candidates", f"WITH RECURSIVE {_SHELL} SELECT tree_id, sphere_id, label, n, {q('x', 4)} AS x, {q('y', 4)} AS y, {q('z', 4)} AS z, {q('spread', 4)} AS spread FROM cn")
+def _(s, d):
+    """Every point as a sphere."""
+    return rounded(_grown(s, d), "x", "y", "z", "spread", digits=4)
+
+
+_ACCEPTED = (
+    ", ac AS (SELECT *, greatest(0.33*own, least(1.05*own, spread)) sp, greatest(0.15, least(3.0, 20*greatest(0.33*own, least(1.05*own, spread)))) radius FROM cn), "
+    "fr AS (SELECT a.tree_id, sphere_id, label, count(*) fresh FROM ac a JOIN all_pts p ON p.tree_id = a.tree_id WHERE sqrt((p.x-a.x)*(p.x-a.x)+(p.y-a.y)*(p.y-a.y)+(p.z-a.z)*(p.z-a.z)) <= a.radius AND sqrt((p.x-a.ox)*(p.x-a.ox)+(p.y-a.oy)*(p.y-a.oy)+(p.z-a.oz)*(p.z-a.oz)) > 3 GROUP BY a.tree_id, sphere_id, label)"
+)
+
+
+@query("growth_accepted", f"WITH RECURSIVE {_SHELL}{_ACCEPTED} SELECT ac.tree_id, ac.sphere_id, ac.label, {q('sp', 4)} AS spread, {q('radius', 4)} AS radius, {q('0.5*sp+0.5*own', 4)} AS score, fresh FROM ac JOIN fr ON fr.tree_id = ac.tree_id AND fr.sphere_id = ac.sphere_id AND fr.label = ac.label WHERE fresh >= 1")
+def _(s, d):
+    out = growth.accepted(X.points(s, d), _spheres(s, d), _grown(s, d), factor=20.0, radii=(0.15, 3.0), least=1)
+    return rounded(out, "spread", "radius", "score", digits=4).select("tree_id", "sphere_id", "label", "spread", "radius", "score", "fresh")
+
+
 from . import learned  # noqa: E402, F401  (registers its queries)

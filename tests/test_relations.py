@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dendroframe.operators import branches, cluster, grid, neighbours, qsm
+from dendroframe.operators import branches, cluster, grid, growth, neighbours, qsm
 
 
 def cloud(spark, x, tree="t", parts=3):
@@ -216,3 +216,43 @@ def test_merge_candidates_by_cells(spark):
             if ok:
                 want[i] = min(ok)[1]
         assert got == want
+
+
+# -- growth
+
+
+def test_used_up_points_brute_force(spark):
+    rng = np.random.default_rng(10)
+    x = rng.uniform(0, 3, (400, 3))
+    spheres = [("t", 1, 1.0, 1.0, 1.0, 0.4), ("t", 2, 2.0, 2.0, 2.0, 0.3)]
+    children = [("t", 1, 7, 1.4, 1.0, 1.3, 0.1), ("t", 2, 9, 2.0, 2.6, 2.0, 0.2), ("t", 2, 11, 2.0, 1.5, 2.0, 0.05)]
+    s = spark.createDataFrame(spheres, "tree_id string, sphere_id long, x double, y double, z double, radius double")
+    c = spark.createDataFrame(children, "tree_id string, sphere_id long, label long, x double, y double, z double, spread double")
+    got = {r.point_id for r in growth.used_up(cloud(spark, x), s, c, 0.1).collect()}
+    fit, want = qsm.Fit(x, qsm.QsmParams()), set()
+    for _, i, *centre, radius in spheres:
+        d = np.linalg.norm(x - centre, axis=1)
+        want |= set(np.flatnonzero(d <= radius).tolist())
+        near = np.flatnonzero(d <= 3 * radius)
+        for _, own, _, *end, spread in children:
+            if own == i:
+                want |= set(near[fit.to_axis(near, np.array(centre), np.array(end), spread) < 0.1].tolist())
+    assert got == want and len(want) > 5
+
+
+def test_rings_of_tilted_circles(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for g in range(4):
+        n = rng.normal(size=3)
+        n /= np.linalg.norm(n)
+        a = np.cross(n, [1.0, 0, 0] if abs(n[0]) < 0.9 else [0, 1.0, 0])
+        a /= np.linalg.norm(a)
+        t, c, r = rng.uniform(0, 4, 40), rng.uniform(-5, 5, 3), 0.1 + g
+        for i, p in enumerate(c + r * (np.cos(t)[:, None] * a + np.sin(t)[:, None] * np.cross(n, a))):
+            rows.append(("t", g, i, *map(float, p)))
+        want[g] = (*c, r)
+    rows += [("t", 9, i, float(i), 0.0, 0.0) for i in range(5)] + [("t", 10, 0, 1.0, 1.0, 1.0)]  # a line, a point: no ring
+    df = spark.createDataFrame(rows, "tree_id string, g long, point_id long, x double, y double, z double")
+    got = {r.g: (r.x, r.y, r.z, r.r) for r in growth.rings(df, ["tree_id", "g"]).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(v, abs=1e-6) for g, v in want.items())

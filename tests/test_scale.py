@@ -199,13 +199,14 @@ def test_final_merge_goes_on_over_new_outer_spheres():
     up = np.array([0.0, 0, 1])
     fit = qsm.Fit(np.zeros((1, 3)), qsm.QsmParams(max_dist=1.0))
     sphere = lambda z, c: qsm.Sphere(np.array([0.0, 0, z]), 0.3, 0.1, 0.1, c, up)
-    fit.spheres = [sphere(0, 0), sphere(0.5, 0), sphere(1.0, 0), sphere(1.8, 1), sphere(2.3, 1), sphere(3.1, 2), sphere(9.0, 3)]
+    for s in (sphere(0, 0), sphere(0.5, 0), sphere(1.0, 0), sphere(1.8, 1), sphere(2.3, 1), sphere(3.1, 2), sphere(9.0, 3)):
+        fit.add(s)
     fit.edges = [(0, 1, 0.1, "follow"), (1, 2, 0.1, "follow"), (3, 4, 0.1, "follow")]
     for i in (0, 1, 3):
         fit.spheres[i].outer = False
     fit.spheres[3].outer = True  # the branch's near end
     fit.merge_all()
-    assert [s.cluster for s in fit.spheres] == [0, 0, 0, 0, 0, 0, 3]  # 2 is in reach only of what 1 brought
+    assert [s.cluster for s in fit.spheres] == [0, 0, 0, 0, 0, 0, 3]  # 2 is in reach of 1 only
     assert [e[:2] for e in fit.edges if e[3] == "connection"] == [(2, 3), (4, 5)]
     assert not fit.spheres[2].outer and fit.outer(3) == [6]
 
