@@ -7,7 +7,8 @@ product over its words. The prediction is the language with the highest posterio
 Words are runs of letters (Unicode categories L*, so digits, fractions and numerals like the roman ones are none), in lower
 case. The vocabulary is every piece of the public one that is made of letters, at any length; none is dropped. The fit uses a
 bounded sample of labelled rows (`sample` documents of each language, the lowest in hash order); everything else covers whole
-texts of all rows. A very long text is read in parts cut at white space.
+texts of all rows. A very long text is read in parts cut at white space; a word of any length counts in full, in the fit and after.
+A model beyond MODEL_BYTES (a thousand languages) is refused, as it goes to all tasks.
 Defined results: a null text or one without letters is 'und' with score 0; ties go to the language that sorts first;
 null languages are never learned; an empty or unlabelled training table makes every prediction 'und'; an empty table gives an
 empty result; repeated rows get equal results. Other columns are kept, except that they give way to the result's names.
@@ -34,6 +35,8 @@ BATCH_CHARS = 500_000
 KNOWN_WORDS = 200_000
 #: Probability of a character that no piece covers, and of any piece that a language lacks.
 UNKNOWN, LEAST = 1e-7, 1e-7
+#: Bytes of the probabilities that may be broadcast: a quarter MB a language with a vocabulary of 32,000 pieces.
+MODEL_BYTES = 256 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -146,7 +149,7 @@ class LanguageModel:
         for at, chars in self.segments.blocks(words):
             n, size = chars.shape
             alpha = [np.ones((n, len(self.languages)))]
-            scale = np.zeros(n)
+            scale = np.zeros((n, len(self.languages)))
             for j, ends in self.segments.found(chars):
                 total = np.zeros((n, len(self.languages)))
                 for start, piece in ends:
@@ -160,13 +163,13 @@ class LanguageModel:
                         total[hit] += alpha[start][hit] * self.prob[piece[hit]]
                 alpha.append(total)
                 if j % 16 == 0:  # long words: keep the numbers in range
-                    top = np.maximum(total.max(axis=1), 1e-300)
+                    top = np.maximum(total, 1e-300)
                     scale += np.log(top)
                     for k in range(max(0, j - self.segments.longest), j + 1):
-                        alpha[k] = alpha[k] / top[:, None]
+                        alpha[k] = alpha[k] / top
                 if j > self.segments.longest:
                     alpha[j - self.segments.longest - 1] = None
-            out[at] = np.log(np.maximum(alpha[size], 1e-300)) + scale[:, None]
+            out[at] = np.log(np.maximum(alpha[size], 1e-300)) + scale
         return out
 
     def _add(self, parts: list[tuple[int, str]], sums: np.ndarray, letters: np.ndarray) -> None:
@@ -216,6 +219,11 @@ class LanguageModel:
         return names, post, np.where(none, 0, top / np.maximum(letters, 1))
 
 
+def _step(logs: np.ndarray, piece: np.ndarray, length: int) -> np.ndarray:
+    """Log probability of a step over the given pieces (-1: none), words x languages."""
+    return np.where((piece >= 0)[:, None], logs[piece], np.log(UNKNOWN) if length == 1 else -np.inf)
+
+
 def fit(words: dict[str, dict[str, int]], pieces: list[str]) -> LanguageModel:
     """words: for each language its words and their counts. Expectation-maximisation of the piece probabilities."""
     languages = sorted(k for k, v in words.items() if v)
@@ -228,26 +236,23 @@ def fit(words: dict[str, dict[str, int]], pieces: list[str]) -> LanguageModel:
     seg = Segments(pieces or ["▁"])
     prob = np.full((len(seg.pieces), len(languages)), 1.0 / max(1, len(seg.pieces)))
     for _ in range(ROUNDS):
-        got = np.zeros_like(prob)
+        got, logs = np.zeros_like(prob), np.log(prob)
         for idx, chars in seg.blocks(vocab, 400_000):
             n, size = chars.shape
             ends = list(seg.found(chars))
-            fwd = [np.ones((n, len(languages)))]
+            # logarithms of the forward sums, so that words of any length count in full
+            fwd = np.zeros((size + 1, n, len(languages)))
             for j, parts in ends:
-                total = np.zeros((n, len(languages)))
-                for start, piece in parts:
-                    p = np.where((piece >= 0)[:, None], prob[piece], UNKNOWN * (j - start == 1))
-                    total += fwd[start] * p
-                fwd.append(total)
-            back = [np.zeros((n, len(languages))) for _ in range(size + 1)]
-            back[size] += count[idx] / np.maximum(fwd[size], 1e-300)
+                fwd[j] = np.logaddexp.reduce([fwd[start] + _step(logs, piece, j - start) for start, piece in parts])
+            # how often a segmentation has a boundary here: that of each end, dealt out to the starts of its pieces
+            cuts = np.zeros((size + 1, n, len(languages)))
+            cuts[size] = count[idx]
             for j, parts in reversed(ends):
                 for start, piece in parts:
-                    p = np.where((piece >= 0)[:, None], prob[piece], UNKNOWN * (j - start == 1))
-                    flow = back[j] * p
-                    back[start] += flow
+                    flow = cuts[j] * np.exp(fwd[start] + _step(logs, piece, j - start) - fwd[j])
+                    cuts[start] += flow
                     hit = piece >= 0
-                    np.add.at(got, piece[hit], (flow * fwd[start])[hit])
+                    np.add.at(got, piece[hit], flow[hit])
         prob = np.maximum(got / np.maximum(got.sum(axis=0), 1e-300), LEAST)
     return LanguageModel(languages, seg, prob / prob.sum(axis=0))
 
@@ -291,6 +296,8 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", keep_t
     """Adds the language, the posterior and the mean log probability of a letter, under the given names. Without keep_text the text does not come back from the workers."""
     new = list(zip(names, ("string", "double", "double")))
     kept = [c for c in df.columns if c not in {n for n, _ in new} and (keep_text or c != text_col)]
+    if model.prob.nbytes > MODEL_BYTES:
+        raise ValueError(f"the model of {len(model.languages)} languages has {model.prob.nbytes} bytes; at most {MODEL_BYTES} are broadcast")
     held = df.sparkSession.sparkContext.broadcast((model.languages, model.segments.pieces, model.prob))
     key = uuid.uuid4().hex
     schema = df.select(*(df[f"`{c}`"] for c in kept)).schema

@@ -3,11 +3,15 @@
 import functools
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from fractions import Fraction
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -435,6 +439,86 @@ def test_groups_of_copies_as_hubs(spark, monkeypatch, hub):
     assert kept == dict(enumerate(brute_repeats([(t or "").encode() for t in body], 100)))
 
 
+def _plain_log(word, known, first):
+    """Log of the sum over all segmentations, as whole fractions."""
+    f = [Fraction(1)]
+    s = "▁" + word
+    for j in range(1, len(s) + 1):
+        f.append(sum(f[i] * (known.get(s[i:j]) or (first if j - i == 1 else 0)) for i in range(max(0, j - 16), j)))
+    return f
+
+
+def test_language_fit_counts_long_words_in_full():
+    pieces = ["▁", "a", "b", "ab", "aba", "▁ab"]
+    words = {"x": {"ab" * 250: 3, "a": 1, "c" * 500: 2}, "y": {"ba" * 30 + "d" * 90: 5}}
+    model = language_id.fit(words, pieces)
+    first = Fraction(language_id.UNKNOWN)
+    for k, lang in enumerate(("x", "y")):
+        prob = dict.fromkeys(pieces, Fraction(1, len(pieces)))
+        for _ in range(language_id.ROUNDS):
+            got = dict.fromkeys(pieces, 0.0)
+            for w, n in words[lang].items():
+                s, f = "▁" + w, _plain_log(w, prob, first)
+                back = [Fraction(0)] * len(s) + [Fraction(1)]
+                for i in range(len(s) - 1, -1, -1):
+                    back[i] = sum(back[j] * (prob.get(s[i:j]) or (first if j - i == 1 else 0)) for j in range(i + 1, min(len(s), i + 16) + 1))
+                for i in range(len(s)):
+                    for j in range(i + 1, min(len(s), i + 16) + 1):
+                        if s[i:j] in prob:
+                            got[s[i:j]] += float(n * f[i] * prob[s[i:j]] * back[j] / f[-1])
+            prob = {p: max(v / sum(got.values()), language_id.LEAST) for p, v in got.items()}
+            prob = {p: Fraction(v).limit_denominator(10**12) for p, v in prob.items()}
+        total = float(sum(prob.values()))
+        for p, v in zip(model.segments.pieces, model.prob[:, k].tolist()):
+            assert abs(v - float(prob[p]) / total) < 1e-6, (lang, p)
+    # a word that no language covers still tells them apart, at any length
+    for w in ("ab" * 250, "e" * 500, "ba" * 300):
+        want = [(lambda f: math.log(f.numerator) - math.log(f.denominator))(_plain_log(w, {p: Fraction(v) for p, v in zip(model.segments.pieces, model.prob[:, k].tolist())}, first)[-1]) for k in (0, 1)]
+        assert np.allclose(model.word_scores([w])[0], want, rtol=1e-9)
+
+
+def test_language_query_against_a_plain_version(spark):
+    """All documents: the forward sum of each word, one after the other, in logarithms."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = queries.trained_language_model(docs)
+    logs = [{p: math.log(v) for p, v in zip(model.segments.pieces, col.tolist())} for col in model.prob.T]
+    least = math.log(language_id.UNKNOWN)
+
+    @lru_cache(None)
+    def scores(word):
+        s, out = "▁" + word, []
+        for known in logs:
+            f = [0.0]
+            for j in range(1, len(s) + 1):
+                ways = [f[i] + known[s[i:j]] for i in range(max(0, j - model.segments.longest), j) if s[i:j] in known]
+                if s[j - 1] not in known:
+                    ways.append(f[j - 1] + least)
+                top = max(ways)
+                f.append(top + math.log(sum(math.exp(x - top) for x in ways)))
+            out.append(f[-1])
+        return out
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op7_language_id(spark, SF).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        words = "".join(c if c.isalpha() else " " for c in (r.text or "").lower()).split()
+        sums = [math.fsum(scores(w)[k] for w in words) for k in range(len(logs))]
+        if not words:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        top = max(sums)
+        assert got[r.doc_id][0] == model.languages[sums.index(top)]
+        assert abs(got[r.doc_id][1] - 1 / sum(math.exp(x - top) for x in sums)) < 1e-6
+
+
+def test_language_model_too_large_to_broadcast(spark, monkeypatch):
+    model = language_id.fit({"xx": {"abc": 3}}, ["▁", "a"])
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 8)
+    with pytest.raises(ValueError, match="broadcast"):
+        language_id.identify(spark.createDataFrame([("a",)], "text string"), model)
+
+
 # -- media
 
 
@@ -474,6 +558,33 @@ EDITS = {
 }
 
 
+def test_media_that_inflates_beyond_its_size():
+    def chunk(kind, body):
+        return len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+
+    def png(w, h, lines):
+        head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines, 9)) + chunk(b"IEND", b"")
+
+    flat = b"".join(b"\0" + bytes([k] * 5) for k in range(4))
+    assert media.decode(png(5, 4, flat)).tolist() == [[k] * 5 for k in range(4)]
+    more, less = png(5, 4, bytes(50_000_000)), png(60_000, 60_000, bytes(1000))  # than the header says
+    tracemalloc.start()
+    assert media.decode(more) is None and media.decode(less) is None
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
+
+
+def test_media_corners_of_wide_images_keep_their_places():
+    rng = np.random.default_rng(5)
+    part = np.kron(rng.integers(0, 255, (6, 8)), np.ones((8, 8))).astype(np.float32)
+    wide = np.full((48, 70_000), 128, np.float32)
+    wide[:, 69_900:69_964] = part
+    (rows,) = media.corners(wide[None])
+    full = rows[rows["s"] == 0]
+    assert len(full) and full["x"].min() > 69_800 and full["x"].max() < 70_000
+
+
 def test_media_recall_of_edits(spark):
     """Recall of the whole operator for each kind of edit, and no link between different pictures."""
     rng = np.random.default_rng(31)
