@@ -14,14 +14,16 @@ with its images, not with their pairs.
 Defined results: null, empty or undecodable media, and images without corners, have no links except to media of equal bytes
 (null: none) and, unless such exist, a class of their own; class_id is the least id of the class; n_links counts all other
 rows that are linked, equal ones included; repeated rows are media of their own; an empty table gives an empty result. PNG (8
-bits, not interlaced), PGM and PPM are read; anything else, also a broken header, counts as undecodable. Only id and media are used.
+bits, not interlaced), PGM and PPM are read; anything else, also a broken header or a PNG that does not inflate to exactly the size
+its header states, counts as undecodable. Only id and media are used. An image is whole in one task, some 100 bytes a pixel, and
+its corners (all of them, at places of up to 32 bits) as well; a PNG is never inflated beyond its stated size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dealt, materialize, spread_join
+from .common import dealt, discard, materialize, spread_join
 from .ngram_join import _grouped, _local_roots, components
 
 BITS, PART_BYTES = 256, 3
@@ -44,12 +46,14 @@ BUCKET_BLOCK, GROUP_BLOCK = 128, 128
 COMPARED = 4096
 #: Rows of an Arrow batch that are Python objects at a time, and all keys there are: 24 bits of each part.
 KEYED, KEYS = 4096, len(STARTS) << (8 * PART_BYTES)
+#: Spark's setting that removes a query's shuffle files when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Pairs of descriptors that are compared at once.
 PAIRS = 1_000_000
 #: Pairs of corners, or of matches, that are held at once.
 CELLS = 1_000_000
 #: One corner, packed: x and y in pixels of its own scale, log2 of that scale, angle in 256ths of a turn, descriptor.
-_ROW = np.dtype([("x", "<u2"), ("y", "<u2"), ("s", "u1"), ("a", "u1"), ("d", "<u8", (BITS // 64,))])
+_ROW = np.dtype([("x", "<u4"), ("y", "<u4"), ("s", "u1"), ("a", "u1"), ("d", "<u8", (BITS // 64,))])
 _HEAD = _ROW.itemsize - BITS // 8
 
 
@@ -103,7 +107,10 @@ def _png(raw: bytes) -> np.ndarray | None:
     c = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color)
     if c is None or not w or not h:
         return None
-    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * c)
+    size = h * (1 + w * c)
+    if size > 1032 * len(data):  # no stream of this length holds so much
+        return None
+    lines = np.frombuffer(zlib.decompressobj().decompress(data, size + 1), np.uint8).reshape(h, 1 + w * c)
     out = np.zeros((h, w * c), np.uint8)
     before = np.zeros(w * c, np.int32)
     for y in range(h):
@@ -309,11 +316,11 @@ def _binary(words: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(BITS // 8), len(words), [None, pa.py_buffer(np.ascontiguousarray(words).tobytes())]).cast(pa.binary())
 
 
-def _keyed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all parts of some descriptors, and which descriptor each belongs to; a key is the part's number and its bits."""
+def _keyed(words: np.ndarray, parts: range = range(len(STARTS))) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the given parts of some descriptors, and which descriptor each belongs to; a key is the part's number and its bits."""
     raw = np.ascontiguousarray(words).view(np.uint8).reshape(len(words), BITS // 8).astype(np.int64)
-    keys = [(part << 24) | raw[:, s] << 16 | raw[:, s + 1] << 8 | raw[:, s + 2] for part, s in enumerate(STARTS)]
-    return np.concatenate(keys), np.tile(np.arange(len(words)), len(STARTS))
+    keys = [(part << 24) | raw[:, s] << 16 | raw[:, s + 1] << 8 | raw[:, s + 2] for part in parts for s in STARTS[part : part + 1]]
+    return np.concatenate(keys), np.tile(np.arange(len(words)), len(parts))
 
 
 def _slices(batches):
@@ -365,19 +372,24 @@ def _again(words: DataFrame) -> tuple[np.ndarray, DataFrame]:
     out = np.zeros((KEYS >> 3) + 4096, np.uint8)
     for b, raw in bits.toLocalIterator():  # at most KEYS / 32768 rows of 4 KB
         out[(b - 1) * 4096 : (b - 1) * 4096 + len(raw)] = np.frombuffer(raw, np.uint8)
-    return out, busy.filter(F.col("c") > COMPARED)
+    # written by itself, so that Spark sees how small it is: else all keys would be shuffled for its join
+    large = materialize(busy.filter(F.col("c") > COMPARED), "media-large")
+    discard(busy)
+    return out, large
 
 
-def _keys(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, dn, d): descriptors (dn, d), once for each of their parts whose bits occur again; (key, c): the keys of more than COMPARED descriptors."""
-    again, large = _again(words)
-    held = words.sparkSession.sparkContext.broadcast(again)
+def _keys(words: DataFrame, parts: range = range(len(STARTS)), known: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, dn, d): descriptors (dn, d), once for each of the given parts whose bits occur again; (key, c): the keys of more than COMPARED descriptors. known: what _again() found, its bits broadcast."""
+    if known is None:
+        again, large = _again(words)
+        known = words.sparkSession.sparkContext.broadcast(again), large
+    held, large = known
 
     def run(batches):
         bits = held.value
         for part in _slices(batches):
             own = _words(part.column(1).to_pylist())
-            key, of = _keyed(own)
+            key, of = _keyed(own, parts)
             use = np.flatnonzero((bits[key >> 3] >> (key & 7).astype(np.uint8)) & 1)
             yield pa.RecordBatch.from_arrays([pa.array(key[use]), part.column(0).take(pa.array(of[use])), _binary(own[of[use]])], names=["key", "dn", "d"])
 
@@ -412,16 +424,17 @@ def near_rows(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _near_groups(batches):
-    """From rows sorted by key and dn: lead and dn, for each descriptor in a group of near ones that a lesser one leads."""
+    """From rows (key, descriptor), sorted: lead and dn, for each descriptor in a group of near ones that a lesser one leads."""
 
-    def solve(key, dn, bits):
+    def solve(key, bits):
+        dn = _numbers_of(bits)
         lead = dn[near_rows(bits, key)]
         pairs = np.unique(np.stack([lead, dn])[:, lead != dn], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["lead", "dn"])
 
-    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64))
+    held = (np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64))
     for batch in batches:
-        new = (*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)), _words(batch.column(2).to_pylist()))
+        new = (batch.column(0).to_numpy(zero_copy_only=False), _words(batch.column(1).to_pylist()))
         held = tuple(np.concatenate(x) for x in zip(held, new))
         whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last key may go on
         if whole:
@@ -431,14 +444,33 @@ def _near_groups(batches):
         yield solve(*held)
 
 
+def _near(words: DataFrame) -> DataFrame:
+    """lead, dn: the groups of near descriptors of all tables. One table at a time, so that the shuffled descriptors of one table only are on disk."""
+    spark = words.sparkSession
+    again, large = _again(words)
+    known = spark.sparkContext.broadcast(again), large
+    before, tables = spark.conf.get(_CLEAN), []
+    spark.conf.set(_CLEAN, "true")
+    try:
+        for part in range(len(STARTS)):
+            keys = _keys(words, range(part, part + 1), known)[0]
+            met = dealt(keys.join(large, "key", "left").withColumn("c", F.coalesce("c", F.lit(1))), "c", "dn", COMPARED)
+            unit = F.when(F.col("c") <= COMPARED, F.col("key")).otherwise(F.xxhash64("key", "bi", "bj")).alias("unit")
+            met = met.select(unit, "d").repartition("unit").sortWithinPartitions("unit", "d")
+            tables.append(materialize(met.mapInArrow(_near_groups, "lead long, dn long"), f"media-near{part}"))
+    finally:
+        spark.conf.set(_CLEAN, before)
+    near = materialize(reduce(DataFrame.unionByName, tables).distinct(), "media-near")
+    for t in (*tables, large):
+        discard(t)
+    return near
+
+
 def _met(reps: DataFrame) -> DataFrame:
     """lead, n: for each image that leads a group of images with a common or near descriptors (it is the least of them), the group's images, itself included."""
     held, words = _held(reps)
-    keys, large = _keys(words)
-    met = dealt(keys.join(large, "key", "left").withColumn("c", F.coalesce("c", F.lit(1))), "c", "dn", COMPARED)
-    unit = F.when(F.col("c") <= COMPARED, F.col("key")).otherwise(F.xxhash64("key", "bi", "bj")).alias("unit")
-    met = met.select(unit, "dn", "d").repartition("unit").sortWithinPartitions("unit", "dn")
-    near = materialize(met.mapInArrow(_near_groups, "lead long, dn long").distinct(), "media-near")
+    near = _near(words)
+    discard(words)
     # each descriptor stands for its images: the groups of near descriptors become groups of images
     of = held.groupBy("dn").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("first"))
     whole = near.unionByName(near.select("lead").distinct().withColumn("dn", F.col("lead"))).join(of, "dn")
