@@ -449,17 +449,13 @@ def _near(words: DataFrame) -> DataFrame:
     spark = words.sparkSession
     again, large = _again(words)
     known = spark.sparkContext.broadcast(again), large
-    before, tables = spark.conf.get(_CLEAN), []
-    spark.conf.set(_CLEAN, "true")
-    try:
-        for part in range(len(STARTS)):
-            keys = _keys(words, range(part, part + 1), known)[0]
-            met = dealt(keys.join(large, "key", "left").withColumn("c", F.coalesce("c", F.lit(1))), "c", "dn", COMPARED)
-            unit = F.when(F.col("c") <= COMPARED, F.col("key")).otherwise(F.xxhash64("key", "bi", "bj")).alias("unit")
-            met = met.select(unit, "d").repartition("unit").sortWithinPartitions("unit", "d")
-            tables.append(materialize(met.mapInArrow(_near_groups, "lead long, dn long"), f"media-near{part}"))
-    finally:
-        spark.conf.set(_CLEAN, before)
+    tables = []
+    for part in range(len(STARTS)):
+        keys = _keys(words, range(part, part + 1), known)[0]
+        met = dealt(keys.join(large, "key", "left").withColumn("c", F.coalesce("c", F.lit(1))), "c", "dn", COMPARED)
+        unit = F.when(F.col("c") <= COMPARED, F.col("key")).otherwise(F.xxhash64("key", "bi", "bj")).alias("unit")
+        met = met.select(unit, "d").repartition("unit").sortWithinPartitions("unit", "d")
+        tables.append(materialize(met.mapInArrow(_near_groups, "lead long, dn long"), f"media-near{part}"))
     near = materialize(reduce(DataFrame.unionByName, tables).distinct(), "media-near")
     for t in (*tables, large):
         discard(t)
@@ -478,13 +474,28 @@ def _met(reps: DataFrame) -> DataFrame:
     by = spread_join(whole.drop("first"), least, "lead", "rows", near.count()).select("dn", "first", "c")
     by = materialize(by.unionByName(of.filter("c > 1").select("dn", "first", "c")).distinct(), "media-leads")
     found = spread_join(held, by, "dn", "c", held.count())
-    return materialize(found.select(F.col("first").alias("lead"), "n").distinct(), "media-met")
+    met = materialize(found.select(F.col("first").alias("lead"), "n").distinct(), "media-met")
+    for t in (held, near, by):
+        discard(t)
+    return met
 
 
 def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """One row per row of media: id, class_id, n_links, n_points."""
-    all_rows = materialize(describe(media, id_col, media_col), "media-points")
-    reps = materialize(all_rows.filter("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("copies"), F.min("points").alias("points")).withColumn("n", F.monotonically_increasing_id()), "media-reps")
+    conf = media.sparkSession.conf
+    before = conf.get(_CLEAN)
+    conf.set(_CLEAN, "true")  # all steps but the last join are written: their shuffle files are of no more use
+    try:
+        return _linked(media, id_col, media_col)
+    finally:
+        conf.set(_CLEAN, before)
+
+
+def _linked(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
+    described = materialize(describe(media, id_col, media_col), "media-points")
+    reps = materialize(described.filter("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("copies"), F.min("points").alias("points")).withColumn("n", F.monotonically_increasing_id()), "media-reps")
+    all_rows = materialize(described.select("id", "g", F.floor(F.length("points") / _ROW.itemsize).alias("n_points")), "media-rows")
+    discard(described)
     # Groups with the same least image are taken as one, so an image goes to few units, not once per descriptor.
     near = _met(reps.filter(F.length("points") > 0).select("n", "points"))
     units_of = near.groupBy("lead").agg(F.count(F.lit(1)).alias("c"))
@@ -544,7 +555,7 @@ def linked_media(media: DataFrame, id_col: str = "id", media_col: str = "media")
         whole = whole.union(components(parts, "media-parts"))
     roots = links.join(whole.withColumnRenamed("node", "u"), "u", "left").select(F.col("u").alias("n"), F.coalesce("root", "u").alias("root"), "links")
     of_images = reps.select("g", "n", "copies").join(roots, "n", "left")
-    placed = spread_join(all_rows.select("id", "g", F.floor(F.length("points") / _ROW.itemsize).alias("n_points")), of_images, "g", "copies", total, "left")
+    placed = spread_join(all_rows, of_images, "g", "copies", total, "left")
     placed = materialize(placed.select("id", F.coalesce("root", "n").alias("root"), F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"), "n_points"), "media-placed")
     least = placed.filter("root is not null").groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("c"))
     return spread_join(placed, least, "root", "c", total, "left").select("id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "n_links", "n_points")
