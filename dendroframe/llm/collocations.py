@@ -279,13 +279,14 @@ def _cut_scores(frequent: list[DataFrame]) -> DataFrame:
         whole = f if whole is None else whole.unionByName(f)
     words = F.split("phrase", " ")
     cuts = whole.select("lang", "phrase", F.col("n").alias("a"), words.alias("words")).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("words") - 1)))
-    # a frequent word begins or ends many phrases: those of one word are dealt to SPREAD keys
+    # a frequent word begins or ends many phrases: those of one word are dealt to SPREAD keys. Spark takes an exploded table to be as
+    # small as before, and would broadcast SPREAD times what it allows: such joins are told to sort both sides
     salt = F.pmod(F.xxhash64("phrase"), F.lit(SPREAD)).cast("int")
     side = lambda first, size: F.array_join(F.slice("words", first, size), " ")
     cuts = cuts.select("lang", "phrase", F.size("words").alias("size"), "a", "k", salt.alias("salt"), side(F.lit(1), F.col("k")).alias("head"), side(F.col("k") + 1, F.size("words") - F.col("k")).alias("tail"))
     dealt = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     for name, to in (("head", "l"), ("tail", "r")):
-        cuts = cuts.join(dealt.select("lang", F.col("phrase").alias(name), "salt", F.col("n").alias(to)), ["lang", name, "salt"])
+        cuts = cuts.join(dealt.select("lang", F.col("phrase").alias(name), "salt", F.col("n").alias(to)).hint("merge"), ["lang", name, "salt"])
     score = F.expr(f"cast({SCALE} as decimal(20, 0)) * a div (l + r)")
     best = cuts.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.first("a").alias("a"), F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("m"))
     return best.select("lang", "phrase", "size", "a", "m.l", "m.r", "m.score")
@@ -298,7 +299,7 @@ def collocations(docs: DataFrame, lang: Column, text: Column, how: Counting = Co
     words = F.split("phrase", " ")
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("size") - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))))
     held = scored.filter("size > 2").select("lang", F.col("a").alias("longer"), F.explode(inner).alias("phrase")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    left = scored.join(held, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer").cast("decimal(20,0)") < share * F.col("a").cast("decimal(20,0)")))
+    left = scored.join(held.hint("merge"), ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer").cast("decimal(20,0)") < share * F.col("a").cast("decimal(20,0)")))
     order = [F.desc("score"), F.desc("a"), "phrase"]
     for key in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(SPREAD))], ["lang"]):  # first within parts of a language, so that no task sorts a whole one
         left = left.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("rank") <= top)
