@@ -24,6 +24,11 @@ LEVELS = (4, 32)
 ROUNDS = 16
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """The side of a join that has a row for each of many cells: both sides are sorted. Spark takes a table to be as small after an explode as before it, and would send it to all tasks by way of the driver."""
+    return df.hint("merge")
+
+
 def _cells(df: DataFrame, cell: Column | float, prefix: str, spread: bool) -> DataFrame:
     c = cell if isinstance(cell, Column) else num(cell)
     for k in XYZ:
@@ -38,7 +43,7 @@ def ball_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     b = _cells(right.select("tree_id", F.col("point_id").alias("other_id"), *XYZ), radius, "g", False)
     b = b.select("tree_id", "other_id", "gx", "gy", "gz", *(F.col(k).alias(f"o{k}") for k in XYZ))
     d = distance([F.col(k) for k in XYZ], [F.col(f"o{k}") for k in XYZ])
-    return a.join(b, ["tree_id", "gx", "gy", "gz"]).withColumn("d", d).filter(F.col("d") <= radius).select("tree_id", "point_id", "other_id", "d")
+    return _wide(a).join(b, ["tree_id", "gx", "gy", "gz"]).withColumn("d", d).filter(F.col("d") <= radius).select("tree_id", "point_id", "other_id", "d")
 
 
 def reach_join(points: DataFrame, balls: DataFrame, least: float = 1e-6, with_points: list[str] | None = None, with_balls: list[str] | None = None) -> DataFrame:
@@ -56,7 +61,7 @@ def reach_join(points: DataFrame, balls: DataFrame, least: float = 1e-6, with_po
     for k in XYZ:
         b = b.withColumn(f"g{k}", F.explode(F.sequence(F.floor((F.col(f"_c{k}") - room) / cell), F.floor((F.col(f"_c{k}") + room) / cell))))
     held = points.select("tree_id", "point_id", *XYZ, *more_p).join(used, "tree_id").withColumns({f"g{k}": F.floor(F.col(k) / cell) for k in XYZ})
-    met = held.join(b, ["tree_id", "_level", "gx", "gy", "gz"]).withColumn("d", distance([F.col(k) for k in XYZ], [F.col(f"_c{k}") for k in XYZ]))
+    met = held.join(_wide(b), ["tree_id", "_level", "gx", "gy", "gz"]).withColumn("d", distance([F.col(k) for k in XYZ], [F.col(f"_c{k}") for k in XYZ]))
     return met.filter(F.col("d") <= F.col("radius")).select("tree_id", "ball_id", "point_id", "d", "radius", *more_p, *more_b)
 
 
@@ -106,7 +111,7 @@ def knn(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
             a = _cells(rest.join(size, "tree_id"), F.col("_cell"), "g", True)
             b = _cells(others.join(size.select("tree_id", "_cell"), "tree_id"), F.col("_cell"), "g", False)
             b = b.select("tree_id", "other_id", "gx", "gy", "gz", *(F.col(c).alias(f"o{c}") for c in XYZ))
-            pairs = a.join(b, ["tree_id", "gx", "gy", "gz"]).withColumn("d", d).filter(F.col("d") <= F.col("_cell"))
+            pairs = _wide(a).join(b, ["tree_id", "gx", "gy", "gz"]).withColumn("d", d).filter(F.col("d") <= F.col("_cell"))
         else:
             b = others.select("tree_id", "other_id", *(F.col(c).alias(f"o{c}") for c in XYZ))
             pairs = rest.join(size, "tree_id").join(b, "tree_id").withColumn("d", d)
