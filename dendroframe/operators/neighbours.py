@@ -268,11 +268,60 @@ def interpolate(targets: DataFrame, sources: DataFrame, value: str, k: int = 3)
     return near.groupBy("tree_id", "point_id").agg((F.sum(w * F.col("_v")) / F.sum(w)).alias(value))
 
 
+def first_inside(centres: DataFrame, points: DataFrame, radius: float, most: int) -> DataFrame:
+    """The first `most` points by id within radius (<=) of each centre, of its tree: tree_id, point_id, other_id.
+
+    The points of the 27 cells around a cell meet its centres in groups of some CELL_POINTS centres and BLOCK points, by
+    order of id, until each centre has enough; pairs never leave a group, and no more than `most` rows of a centre do.
+    """
+    parts, whole = tree_parts(centres)
+    cell = ["tree_id", "gx", "gy", "gz"]
+    keys = [*parts, *cell[1:], "_deal", "_block"]
+    a = _cells(centres.select("tree_id", "point_id", *(F.col(k).cast("double").alias(k) for k in XYZ)).dropna(subset=list(XYZ)), radius, "g", False)
+    b = _cells(points.select("tree_id", F.col("point_id").alias("other_id"), *(F.col(k).cast("double").alias(k) for k in XYZ)).dropna(subset=list(XYZ)), radius, "g", True)
+    size = lambda df, most_, name: df.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / most_).cast("int").alias(name))
+    stat = cut(size(a, CELL_POINTS, "_deals").join(size(b, BLOCK, "_blocks"), cell))
+    own = lambda name, id_: F.pmod(F.xxhash64(id_), F.col(f"{name}s")).cast("int").alias(name)
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"{name}s") - 1)).alias(name)
+    spread = lambda df, id_, *more: _wide(df).join(stat, cell).select(*(c.alias(n) for n, c in parts.items()), *cell[1:], id_, *XYZ, *more)
+    left = spread(a, "point_id", own("_deal", "point_id"), each("_block"))
+    right = spread(b, "other_id", each("_deal"), own("_block", "other_id"))
+    names = [*parts, "point_id", "other_id"]
+    kinds = {f.name: f.dataType for df in (left, right) for f in df.schema}
+    schema = T.StructType([T.StructField(n, kinds[n]) for n in names])
+
+    def run(c: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(o):
+            return pd.DataFrame(columns=names)
+        o = o.sort_values("other_id", kind="stable")
+        x, y, ids = c[list(XYZ)].to_numpy(float), o[list(XYZ)].to_numpy(float), o["other_id"].to_numpy()
+        open_, lack, rows, found, at, step = np.arange(len(x)), np.full(len(x), most), [], [], 0, 64
+        while len(open_) and at < len(y):
+            part = y[at : at + step]
+            for k in range(0, len(open_), max(1, FEW_PAIRS * 64 // len(part))):
+                i = open_[k : k + max(1, FEW_PAIRS * 64 // len(part))]
+                d = [x[i, None, w] - part[:, w] for w in range(3)]
+                met = np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) <= radius
+                met &= np.cumsum(met, axis=1, dtype=np.int32) <= lack[i, None]
+                p, q = np.nonzero(met)
+                rows.append(i[p])
+                found.append(at + q)
+                lack[i] -= met.sum(axis=1)
+            at, step, open_ = at + step, min(2 * step, FEW_PAIRS), open_[lack[open_] > 0]
+        rows, found = np.concatenate(rows), np.concatenate(found)
+        out = c[names[:-1]].iloc[rows].reset_index(drop=True)
+        out["other_id"] = ids[found]
+        return out[names]
+
+    out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    return out.select(whole, "point_id", "other_id")
+
+
 def ball_query(centres: DataFrame, points: DataFrame, radius: float, most: int) -> DataFrame:
     """slot 0..most-1 for each centre: the first `most` points by id within the radius, filled up with the first; the nearest point where there is none."""
-    inside = ball_join(centres, points, radius)
+    inside = first_inside(centres, points, radius, most)
     w = Window.partitionBy("tree_id", "point_id").orderBy("other_id")
-    inside = inside.withColumn("slot", F.row_number().over(w) - 1).filter(F.col("slot") < most)
+    inside = cut(inside.withColumn("slot", F.row_number().over(w) - 1).filter(F.col("slot") < most))
     n = inside.groupBy("tree_id", "point_id").agg(F.count(F.lit(1)).alias("n"), F.min("other_id").alias("first_id"))
     alone = centres.join(n, ["tree_id", "point_id"], "left_anti")
     nearest = knn(alone, points, 1).select("tree_id", "point_id", F.lit(0).cast("long").alias("n"), F.col("other_id").alias("first_id"))
