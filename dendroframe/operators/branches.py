@@ -10,15 +10,21 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import dot, norm, num
 from ..sources.scratch import cut
 from .hierarchy import components
-from .neighbours import XYZ, reach_join
+from .neighbours import XYZ, reach_join, tree_parts
 
 HEADING = ("hx", "hy", "hz")
+JOINT = ("loose", "far", "a", "b", "cluster_a", "cluster_b")
+#: Joints that a task holds before it lets those go that others of their clusters lead.
+HELD = 100_000
 
 
 def joints(spheres: DataFrame, max_dist: float, max_angle: float, effective: bool = False) -> DataFrame:
@@ -45,11 +51,44 @@ def joints(spheres: DataFrame, max_dist: float, max_angle: float, effective: boo
     return met.filter("loose is not null").select("tree_id", F.col("cluster").alias("cluster_a"), F.col("_mcluster").alias("cluster_b"), "loose", "far", F.col("point_id").alias("a"), F.col("ball_id").alias("b"))
 
 
+def leading_joints(found: DataFrame) -> DataFrame:
+    """Of the joints that a task has, those of each pair of clusters that no other leads (by loose, then far): tree_id, lo, hi and the joint. A task holds HELD of them at a time and sorts no more; a pair may keep several (of other tasks, or as near)."""
+    parts, whole = tree_parts(found)
+    rows = found.select(*(c.alias(n) for n, c in parts.items()), F.least("cluster_a", "cluster_b").alias("lo"), F.greatest("cluster_a", "cluster_b").alias("hi"), *JOINT)
+    keys = [*parts, "lo", "hi"]
+
+    def lead(t: pa.Table) -> pa.Table:
+        pair = np.zeros(t.num_rows, np.int64)
+        for k in keys:
+            code = pc.fill_null(pc.dictionary_encode(t[k].combine_chunks()).indices, -1).to_numpy(zero_copy_only=False)
+            pair = np.unique(pair * (t.num_rows + 1) + code + 1, return_inverse=True)[1]
+        loose, far = t["loose"].to_numpy(), t["far"].to_numpy()
+        order = np.lexsort((far, loose, pair))
+        first = order[np.r_[True, np.diff(pair[order]) > 0]]
+        return t.filter(pa.array((loose == loose[first][pair]) & (far == far[first][pair])))
+
+    def run(batches):
+        held, n, least = [], 0, HELD
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= least:
+                kept = lead(pa.Table.from_batches(held))
+                if kept.num_rows > HELD // 2:  # too many pairs for this task: the shuffle brings them together
+                    yield from kept.to_batches()
+                    kept = kept.slice(0, 0)
+                held, n = kept.to_batches(), kept.num_rows
+                least = n + HELD // 2
+        if n:
+            yield from lead(pa.Table.from_batches(held)).to_batches()
+
+    return rows.mapInArrow(run, rows.schema).select(whole, "lo", "hi", *JOINT)
+
+
 def merge_branches(spheres: DataFrame, max_dist: float, max_angle: float, effective: bool = False, base: int = 0) -> tuple[DataFrame, DataFrame]:
     """(labels, used): labels has tree_id, cluster, merged (the name of the whole: the base's cluster, or its cluster of most spheres, ties the lower); used the joints taken: tree_id, cluster_a, cluster_b, loose, far, a, b."""
     found = joints(spheres, max_dist, max_angle, effective)
-    order = F.struct("loose", "far", "a", "b", "cluster_a", "cluster_b")
-    pairs = found.groupBy("tree_id", F.least("cluster_a", "cluster_b").alias("lo"), F.greatest("cluster_a", "cluster_b").alias("hi")).agg(F.min(order).alias("j"))
+    pairs = leading_joints(found).groupBy("tree_id", "lo", "hi").agg(F.min(F.struct(*JOINT)).alias("j"))
     pairs = cut(pairs.withColumns({"from": F.col("lo"), "to": F.col("hi")}))
     labels = cut(spheres.groupBy("tree_id", "cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.col("cluster")))
     used = None
