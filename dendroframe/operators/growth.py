@@ -199,6 +199,7 @@ def accepted(points: DataFrame, spheres: DataFrame, found: DataFrame, factor: fl
     x = found.join(own, ["tree_id", "sphere_id"]).withColumn("spread", F.greatest(low, F.least(high, F.col("spread"))))
     x = x.withColumns({"radius": F.greatest(num(radii[0]), F.least(num(radii[1]), F.col("spread") * num(factor))), "score": num(alpha) * F.col("spread") + num(1 - alpha) * F.col("_score"), "ball_id": F.struct("sphere_id", "label")})
     places = [f"_p{c}" for c in XYZ]
+    x = cut(x)  # used twice
     met = reach_join(points.withColumns({p: F.col(c) for p, c in zip(places, XYZ)}), x, with_points=places, with_balls=["_radius", *(f"_s{c}" for c in XYZ)])
     new = met.filter(distance([F.col(p) for p in places], [F.col(f"_s{c}") for c in XYZ]) > F.col("_radius"))
     fresh = new.groupBy("tree_id", "ball_id").agg(F.count(F.lit(1)).alias("fresh")).filter(F.col("fresh") >= least)
